@@ -63,9 +63,8 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, name: str =
 
 
 def newest(df: DataFrame, stamp: str) -> DataFrame:
-    """All rows of the newest snapshot."""
-    last = df.agg(F.max(stamp).alias(stamp))
-    return df.join(F.broadcast(last), stamp)
+    """All rows of the newest snapshot; the scalar reaches the scan as a filter."""
+    return df.where(F.col(stamp) == df.agg(F.max(stamp)).scalar())
 
 
 def neighbour_gaps(df: DataFrame, by: list[str], value: str, direction: Column,

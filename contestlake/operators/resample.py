@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contestlake.functions import texts
 from contestlake.functions.rates import fixed
-from contestlake.operators import ranking
+from contestlake.operators import ranking, scan
+from contestlake.operators.metrics import Metric, component_names
+
+
+DRAW_BLOCK = 1000
 
 
 def sample_sd(n: Column, total: Column, squares: Column) -> Column:
@@ -80,28 +84,59 @@ def normal(*parts: Column) -> Column:
     return radius * F.cos(2.0 * math.pi * uniform(*parts, F.lit("v")))
 
 
+def draw_params(components: DataFrame, projected: DataFrame, metrics: list[Metric], as_of: int, left: int,
+                recent: int = 4) -> DataFrame:
+    """Means and spreads of the remaining season per (entity, metric)."""
+    past = components.where(F.col("period") <= as_of)
+    aggs = []
+    for c in component_names(metrics):
+        x = F.col(c).cast("double")
+        s1, s2, n = F.sum(x), F.sum(x * x), F.count(x).cast("double")
+        late = F.sum(F.when(F.col("period") > as_of - recent, x).otherwise(0.0)) / recent
+        aggs += [s1.alias(f"{c}_ytd"), (late * left).alias(f"{c}_mean"),
+                 (sample_sd(n, s1, s2) * math.sqrt(left)).alias(f"{c}_sd")]
+    stats = past.groupBy("entity").agg(*aggs)
+    none = F.lit(None).cast("double")
+    rows = F.inline(F.array(*[
+        F.struct(
+            F.lit(m.code).alias("metric"), F.col(f"{m.num}_ytd").alias("ytd"),
+            (none if m.is_rate else F.col(f"{m.num}_sd")).alias("sd"),
+            (F.lit(m.scale) if m.is_rate else none).alias("scale"),
+            (F.col(f"{m.den}_ytd") if m.is_rate else none).alias("den_ytd"),
+            F.col(f"{m.num}_mean").alias("num_mean"), F.col(f"{m.num}_sd").alias("num_sd"),
+            (F.col(f"{m.den}_mean") if m.is_rate else none).alias("den_mean"),
+            (F.col(f"{m.den}_sd") if m.is_rate else none).alias("den_sd"),
+        ) for m in metrics
+    ]))
+    means = projected.select("entity", "metric", "direction", F.col("proj_value").alias("mean"))
+    return stats.select("entity", rows).join(means, ["entity", "metric"])
+
+
 def rank_draws(params: DataFrame, metrics: list[str], lower: list[list[float]], draws: int, seed: int,
                floor_at_ytd: bool = False) -> DataFrame:
     """Total points and finishing rank of every entity in every draw.
 
-    ``params`` has one row per (entity, metric): direction, mean, sd and, for
-    rates, rate_ytd, den_ytd, scale, num_mean, num_sd, den_mean, den_sd (null
-    for counting metrics).  Draws are generated by the tasks that use them.
+    ``params`` comes from :func:`draw_params`; ``lower`` from :func:`factor`.
+    The correlated shock moves counts and rate numerators, a shock of its own
+    moves the denominator.
     """
-    # One row per entity: its metrics travel as an array, so a draw is one row.
-    cols = [c for c in params.columns if c not in ("entity",)]
-    order = {m: i for i, m in enumerate(metrics)}
-    position = F.create_map(*[x for m, i in order.items() for x in (F.lit(m), F.lit(i))])
+    order = F.create_map(*[x for i, m in enumerate(metrics) for x in (F.lit(m), F.lit(i))])
+    cols = [c for c in params.columns if c != "entity"]
     packed = params.groupBy("entity").agg(
-        F.array_sort(F.collect_list(F.struct(position[F.col("metric")].alias("i"), *cols))).alias("p"))
-    spark = params.sparkSession
-    runs = spark.range(draws).select(F.col("id").alias("draw"))
-    sized = packed.select("entity", "p")
-    rows = runs.join(F.broadcast(sized.withColumn("__one", F.lit(1))), F.lit(1) == F.col("__one")).drop("__one")
+        F.array_sort(F.collect_list(F.struct(order[F.col("metric")].alias("i"), *cols))).alias("p"))
+    # Draws come in blocks so their number, not the entity count, sets the parallelism.
+    last = (draws - 1) // DRAW_BLOCK
+    blocks = packed.select("entity", "p", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("block"))
+    if last:
+        blocks = blocks.repartition("block", "entity")
+    first = F.col("block") * DRAW_BLOCK
+    stop = F.least(first + DRAW_BLOCK - 1, F.lit(draws - 1))
+    rows = blocks.select("entity", "p", F.explode(F.sequence(first, stop)).alias("draw"))
     shocks = rows.withColumn("z", F.array(*[
         normal(F.lit(seed), F.col("draw"), F.col("entity"), F.lit(m)) for m in metrics]))
     cells = F.inline(F.array(*[_cell(i, m, lower, seed, floor_at_ytd) for i, m in enumerate(metrics)]))
-    values = shocks.select("draw", "entity", cells)
+    # One shuffle by draw serves the boards, the totals and the ranks.
+    values = shocks.select("draw", "entity", cells).repartition("draw")
     points = ranking.rank_points(values, ["draw", "metric"], "value", F.col("direction"))
     totals = points.groupBy("draw", "entity").agg(F.sum("points").alias("total"))
     return ranking.row_rank(totals, ["draw"], [F.desc("total"), F.asc("entity")], "place")
@@ -127,15 +162,17 @@ def rank_pmf(draws: DataFrame, n: int) -> DataFrame:
     return draws.groupBy("entity", "place").agg((F.count(F.lit(1)) / n).alias("p"))
 
 
-def nearest_rank(pmf_counts: DataFrame, by: list[str], value: str, shares: list[float], names: list[str]) -> DataFrame:
+def nearest_rank(counts: DataFrame, by: list[str], value: str, shares: list[float], names: list[str],
+                 chunk: Column | None = None) -> DataFrame:
     """Nearest-rank percentiles from counts per value.
 
-    ``pmf_counts`` has (by..., value, count): the running count over distinct
-    values finds the row a sorted list would have at ``floor(p * n)``.
+    ``counts`` has (by..., value, count): the running count over distinct
+    values finds the row a sorted list would have at ``floor(p * n)``.  Give a
+    ``chunk`` of the value when a group can have very many distinct values.
     """
-    w = Window.partitionBy(*by).orderBy(value)
-    run = pmf_counts.withColumn("upto", F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = run.withColumn("n", F.sum("count").over(Window.partitionBy(*by)))
+    chunk = F.lit(0) if chunk is None else chunk
+    run = scan.running_sum(counts, by, [value], chunk, {"count": "upto"})
+    run = run.join(counts.groupBy(*by).agg(F.sum("count").alias("n")), by)
     aggs = []
     for p, name in zip(shares, names):
         target = F.least(F.floor(F.lit(p) * F.col("n")) + 1, F.col("n"))

@@ -1,4 +1,6 @@
 """Queries over the driver tables; importing this package registers them."""
 
 from contestlake.plans import standings  # noqa: F401
+from contestlake.plans import resampling  # noqa: F401
+from contestlake.plans import actions  # noqa: F401
 from contestlake.plans.registry import ORACLES, QUERIES  # noqa: F401
