@@ -10,45 +10,34 @@ from pyspark.sql import functions as F
 from contestlake.functions import names as N
 
 
-def match_keys(norm: Column) -> dict[str, Column]:
-    """The keys of the match passes, strongest evidence first."""
-    return {
-        "exact": norm,
-        "stripped": N.strip_suffix(norm),
-        "last_initial": F.concat_ws("|", N.last_name(norm), N.first_initial(norm)),
-    }
+# Match passes, strongest evidence first.
+PASSES = ["exact", "stripped", "last_initial"]
 
 
-def _lookup(targets: DataFrame, key: Column, by: list[str], tag: str) -> DataFrame:
+def _match_keys(norm: Column) -> Column:
+    """The key of every pass as (strength, key) rows."""
+    keys = [norm, N.strip_suffix(norm), F.concat_ws("|", N.last_name(norm), N.first_initial(norm))]
+    return F.array(*[F.struct(F.lit(i).alias("strength"), k.alias("key")) for i, k in enumerate(keys)])
+
+
+def _lookup(targets: DataFrame, by: list[str], tag: str) -> DataFrame:
     """Candidates per key level: how many, and the one id when it is unique.
 
     Candidates are counted and never listed, so a name that a third of the
     universe shares is a single row.
     """
-    return targets.groupBy(key.alias("key"), *by).agg(
+    return targets.groupBy("strength", "key", *by).agg(
         F.count(F.lit(1)).alias(f"n_{tag}"), F.min("target_id").alias(f"id_{tag}"))
 
 
-def _pass(sources: DataFrame, targets: DataFrame, label: str, strength: int, source_key: Column, target_key: Column):
-    """One pass: unique by key, else by key and flag, else by key, flag and team."""
-    rows = sources.withColumn("key", source_key)
-    levels = [
-        ("k", []), ("kf", ["flag"]), ("kft", ["flag", "team"]), ("kt", ["team"]),
-    ]
-    for tag, by in levels:
-        rows = rows.join(_lookup(targets, target_key, by, tag), ["key", *by], "left")
-    one = lambda tag: F.coalesce(F.col(f"n_{tag}"), F.lit(0))
-    known = F.col("flag").isNotNull()
-    by_flag = F.when(one("kf") <= 1, F.struct(one("kf").alias("n"), F.col("id_kf").alias("id"))).otherwise(
-        F.struct(one("kft").alias("n"), F.col("id_kft").alias("id")))
-    by_team = F.struct(one("kt").alias("n"), F.col("id_kt").alias("id"))
-    found = F.when(one("k") <= 1, F.struct(one("k").alias("n"), F.col("id_k").alias("id"))).when(
-        known, by_flag).otherwise(by_team)
-    out = rows.withColumn("found", found)
-    return out.select(
-        *sources.columns, F.col("found.n").alias("candidates"),
-        F.when(F.col("found.n") == 1, F.col("found.id")).alias("target_id"),
-        F.lit(label).alias("matched_by"), F.lit(strength).alias("strength"))
+def _found(known: Column) -> Column:
+    """Unique by key, else by key and flag, else by key, flag and team."""
+    def level(tag):
+        return F.struct(F.coalesce(F.col(f"n_{tag}"), F.lit(0)).alias("n"), F.col(f"id_{tag}").alias("id"))
+
+    few = lambda tag: F.coalesce(F.col(f"n_{tag}"), F.lit(0)) <= 1
+    by_flag = F.when(few("kf"), level("kf")).otherwise(level("kft"))
+    return F.when(few("k"), level("k")).when(known, by_flag).otherwise(level("kt"))
 
 
 def cascade(sources: DataFrame, targets: DataFrame) -> DataFrame:
@@ -56,22 +45,25 @@ def cascade(sources: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``sources``: source_id, norm, flag, team, rostered.  ``targets``:
     target_id, norm, flag, team.  Fuzzy passes are for rostered rows only: on
-    the long tail they would hand out wrong ids.
+    the long tail they would hand out wrong ids.  All passes run together: a
+    source is one row per pass, four lookups serve them all, and the strongest
+    pass with a candidate is kept.
     """
-    keys_s, keys_t = match_keys(F.col("norm")), match_keys(F.col("norm"))
-    left, done = sources, []
-    for strength, name in enumerate(keys_s):
-        rows = left if strength == 0 else left.where("rostered")
-        tried = _pass(rows, targets, name, strength, keys_s[name], keys_t[name])
-        done.append(tried.where(F.col("candidates") > 0))
-        left = left.join(done[-1].select("source_id"), "source_id", "left_anti")
-    none = left.select(
-        *sources.columns, F.lit(0).cast("long").alias("candidates"),
-        F.lit(None).cast(targets.schema["target_id"].dataType).alias("target_id"),
-        F.lit(None).cast("string").alias("matched_by"), F.lit(None).cast("int").alias("strength"))
-    every = reduce(lambda a, b: a.unionByName(b), [*done, none])
-    status = F.when(F.col("candidates") == 1, "matched").when(F.col("candidates") > 1, "ambiguous").otherwise("unmatched")
-    return every.withColumn("status", status)
+    keys = F.inline(_match_keys(F.col("norm")))
+    wanted = targets.select("target_id", "flag", "team", keys)
+    rows = sources.select("source_id", "flag", "team", "rostered", keys).where(
+        (F.col("strength") == 0) | F.col("rostered"))
+    for tag, by in [("k", []), ("kf", ["flag"]), ("kft", ["flag", "team"]), ("kt", ["team"])]:
+        rows = rows.join(_lookup(wanted, by, tag), ["strength", "key", *by], "left")
+    tried = rows.withColumn("found", _found(F.col("flag").isNotNull()))
+    hit = F.when(F.col("found.n") > 0, F.struct("strength", "found"))
+    best = tried.groupBy("source_id").agg(F.min_by(hit, F.when(hit.isNotNull(), F.col("strength"))).alias("hit"))
+    n = F.coalesce(F.col("hit.found.n"), F.lit(0))
+    names = F.array(*[F.lit(p) for p in PASSES])
+    return best.select(
+        "source_id", n.alias("candidates"), F.when(n == 1, F.col("hit.found.id")).alias("target_id"),
+        F.get(names, F.col("hit.strength")).alias("matched_by"), F.col("hit.strength").alias("strength"),
+        F.when(n == 1, "matched").when(n > 1, "ambiguous").otherwise("unmatched").alias("status"))
 
 
 def resolve_collisions(matches: DataFrame) -> DataFrame:

@@ -17,7 +17,6 @@ from contestlake.functions.rates import fixed, ratio
 from contestlake.operators import ranking
 from contestlake.operators.metrics import Metric, component_names, metric_values, value_of
 
-DIRECTION = F.col
 FORM_WEIGHT = 0.35
 FORM_PERIODS = 4
 MODEL_WEIGHTS = {"baseline": 0.0, "form": 1.0, "blend": 0.35}

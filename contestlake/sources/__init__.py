@@ -1,0 +1 @@
+"""Landed captures and feeds as tidy DataFrames with reject rows."""
