@@ -5,4 +5,5 @@ from contestlake.plans import resampling  # noqa: F401
 from contestlake.plans import actions  # noqa: F401
 from contestlake.plans import identities  # noqa: F401
 from contestlake.plans import pages  # noqa: F401
+from contestlake.plans import signals  # noqa: F401
 from contestlake.plans.registry import ORACLES, QUERIES  # noqa: F401
