@@ -7,4 +7,5 @@ from contestlake.plans import identities  # noqa: F401
 from contestlake.plans import pages  # noqa: F401
 from contestlake.plans import signals  # noqa: F401
 from contestlake.plans import scenarios  # noqa: F401
+from contestlake.plans import recomputes  # noqa: F401
 from contestlake.plans.registry import ORACLES, QUERIES  # noqa: F401
