@@ -39,7 +39,7 @@ def _projections(directions) -> Column:
 
 
 def knn_edges(rows: DataFrame, ident: str, vector: str, k: int = 6, cutoff: float = 0.92,
-              dims: int = 3, levels: int = 12, pieces: int = 64) -> DataFrame:
+              dims: int = 3, levels: int = 12, pieces: int | None = None) -> DataFrame:
     """The k most similar others of every row, at least ``cutoff`` alike; exact.
 
     1. Copies of a vector become one node, so a group of copies costs one row;
@@ -79,7 +79,7 @@ def knn_edges(rows: DataFrame, ident: str, vector: str, k: int = 6, cutoff: floa
     return _expand(units, copies, near, k)
 
 
-def _bounded(nodes: DataFrame, k: int, cutoff: float, pieces: int) -> DataFrame:
+def _bounded(nodes: DataFrame, k: int, cutoff: float, pieces: int | None) -> DataFrame:
     """Lower bound of the k-th similarity from neighbours along a projection."""
     chunk = scan.value_chunks(nodes, "p0", pieces)
     w = Window.partitionBy("chunk").orderBy("p0", "node").rowsBetween(-k, k)

@@ -29,7 +29,7 @@ def rank_points(df: DataFrame, by: list[str], value: str, direction: Column,
 
 
 def rank_points_wide(df: DataFrame, by: list[str], value: str, higher: bool = True,
-                     pieces: int = 64) -> DataFrame:
+                     pieces: int | None = None) -> DataFrame:
     """The same points for boards with any number of members.
 
     Copies of a value are counted first, so a value a third of all members

@@ -92,13 +92,16 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     return out.drop(_CHUNK, *[f"__in_{t}" for t in columns.values()])
 
 
-def value_chunks(df: DataFrame, column: str, pieces: int = 64) -> Column:
+def value_chunks(df: DataFrame, column: str, pieces: int | None = None) -> Column:
     """Chunk number of a value by approximate quantile bounds.
 
     The bounds are at most ``pieces`` numbers read once; the scan on top of
-    them is exact whatever they are, they only balance the chunks.
+    them is exact whatever they are, they only balance the chunks.  Without
+    ``pieces`` a chunk holds about 100,000 rows, in 64 to 10,000 chunks.
     """
+    if pieces is None:
+        pieces = max(64, min(10_000, df.count() // 100_000))
     points = [i / pieces for i in range(1, pieces)]
-    bounds = df.agg(F.percentile_approx(column, points, 1000).alias("b")).first()["b"] or []
+    bounds = df.agg(F.percentile_approx(column, points, 10 * pieces).alias("b")).first()["b"] or []
     marks = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]).cast("array<double>")
     return F.size(F.filter(marks, lambda b: b <= F.col(column)))

@@ -9,4 +9,5 @@ from contestlake.plans import signals  # noqa: F401
 from contestlake.plans import scenarios  # noqa: F401
 from contestlake.plans import recomputes  # noqa: F401
 from contestlake.plans import graphs  # noqa: F401
+from contestlake.plans import relational  # noqa: F401
 from contestlake.plans.registry import ORACLES, QUERIES  # noqa: F401
