@@ -11,4 +11,5 @@ from contestlake.plans import recomputes  # noqa: F401
 from contestlake.plans import graphs  # noqa: F401
 from contestlake.plans import relational  # noqa: F401
 from contestlake.plans import feeds  # noqa: F401
+from contestlake.plans import streams  # noqa: F401
 from contestlake.plans.registry import ORACLES, QUERIES  # noqa: F401
