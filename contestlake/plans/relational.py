@@ -242,7 +242,7 @@ def safe_numbers(spark, sf):
 
 
 @query("freshness", """
-WITH a AS (SELECT event_type AS agent, max(ts) AS seen FROM events GROUP BY 1), b AS (SELECT *, date_diff('second', seen, TIMESTAMP '2024-01-31 00:10:00')/60.0 AS age FROM a)
+WITH a AS (SELECT event_type AS agent, max(ts) AS seen FROM events GROUP BY 1), b AS (SELECT *, date_sub('second', seen, TIMESTAMP '2024-01-31 00:10:00')/60.0 AS age FROM a)
 SELECT agent, seen, CASE WHEN age<10 THEN 'healthy' WHEN age<40 THEN 'stale' ELSE 'down' END AS status FROM b""")
 def freshness(spark, sf):
     now = F.lit(datetime(2024, 1, 31, 0, 10)).cast("timestamp_ntz")

@@ -126,7 +126,19 @@ def cap_per_target(spark, sf):
     return out.select("rival", "give", "get", "ours", "theirs", "tier")
 
 
-@query("two_for_one_scan")
+_DUO_COLS = ", ".join(f"a.{c}+b.{c} AS f_{c}" for c in N)
+DUO = BASEPTS + f""",
+be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY quality DESC, member) AS st FROM ro WHERE entity<>7) WHERE st<=8),
+pr3 AS (SELECT a.member||'-'||b.member AS give, a.member AS give1, b.member AS give2, t.member AS get, t.entity AS rival, {_DUO_COLS}, {", ".join(f"t.{c} AS g3_{c}" for c in N)}
+  FROM ro a JOIN ro b ON a.entity=7 AND b.entity=7 AND a.member<b.member JOIN be t ON a.quality+b.quality>=t.quality*cast(0.9 AS double)),
+{_sql_swaps(1.0, "3")},
+du AS (SELECT pr3.rival, give1, give2, pr3.get, ours, theirs FROM pr3 JOIN r3 ON r3.give=pr3.give AND r3.get=pr3.get WHERE ours>0 AND theirs>=-0.5),
+dk AS (SELECT *, row_number() OVER (PARTITION BY get ORDER BY ours+least(theirs,0) DESC, give1, give2) AS k FROM du)
+SELECT rival, give1, give2, get, ours, theirs FROM dk WHERE k<=2 ORDER BY ours+least(theirs,0) DESC, get, give1, give2 LIMIT 10
+"""
+
+
+@query("two_for_one_scan", DUO)
 def two_for_one_scan(spark, sf):
     return SC.scan_two_for_one(inputs(spark, sf), rosters(spark, sf), L.US, L.METRICS, L.AS_OF, LEFT)
 

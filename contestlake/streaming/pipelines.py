@@ -126,10 +126,10 @@ class Heartbeat(StreamingQueryListener):
         self.rows[str(event.id)] = ("failed" if event.exception else "stopped", last)
 
 
-def drain(stream: DataFrame, label: str) -> DataFrame:
+def drain(stream: DataFrame, label: str, root: str | None = None) -> DataFrame:
     """Process what has landed, append it to a table, return the table."""
     spark = stream.sparkSession
-    root = run_dir(spark, label)
+    root = root or run_dir(spark, label)
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out")
         .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
@@ -137,35 +137,49 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], label: str) -> None:
+def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], label: str, root: str | None = None) -> None:
     """Hand every micro-batch to ``write``; used for upsert sinks."""
-    root = run_dir(stream.sparkSession, label)
+    root = root or run_dir(stream.sparkSession, label)
     query = (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True).start())
     query.awaitTermination()
 
 
-def keep_state(stream: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], schema: T.StructType, label: str) -> DataFrame:
-    """Fold micro-batches into a versioned state table; return the last version."""
+def _version_before(spark: SparkSession, folder: str, number: int | None) -> int | None:
+    """Newest finished state version below a batch number (None: of all)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    done = [
+        int(s.getPath().getName()) for s in fs.listStatus(path)
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return max((v for v in done if number is None or v < number), default=None)
+
+
+def keep_state(stream: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], schema: T.StructType, label: str,
+               root: str | None = None) -> DataFrame:
+    """Fold micro-batches into a versioned state table; return the last version.
+
+    With a fixed ``root`` a later call goes on from the offsets and the state
+    version the last one left.
+    """
     spark = stream.sparkSession
-    root = run_dir(spark, label)
-    last = {"version": None}
+    root = root or run_dir(spark, label)
+
+    def version(session: SparkSession, below: int | None) -> DataFrame:
+        found = _version_before(session, f"{root}/state", below)
+        if found is None:
+            return session.createDataFrame([], schema)
+        return session.read.schema(schema).parquet(f"{root}/state/{found}")
 
     def one(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        before = f"{root}/state/{last['version']}"
-        old = session.createDataFrame([], schema) if last["version"] is None else session.read.schema(schema).parquet(before)
+        old = version(batch.sparkSession, number)
         step(old, batch).write.mode("overwrite").parquet(f"{root}/state/{number}")
-        last["version"] = number
 
-    query = (
-        stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True).start())
-    query.awaitTermination()
-    if last["version"] is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/state/{last['version']}")
+    each_batch(stream, one, label, root)
+    return version(spark, None)
 
 
 # --- state steps -----------------------------------------------------------
