@@ -89,7 +89,7 @@ def transactions(lines: DataFrame, teams: list[str] | None = None) -> tuple[Data
     n = F.size("c")
     rows = rows.select(
         *lines.columns, F.get("c", F.lit(0)).alias("stamp"), F.get("c", F.lit(1)).alias("team"),
-        F.array_join(F.slice("c", F.lit(3), n - 4), "|").alias("players"),
+        F.array_join(F.slice("c", F.lit(3), F.greatest(n - 4, F.lit(0))), "|").alias("players"),
         F.element_at("c", -2).alias("effective"), F.element_at("c", -1).alias("paid"))
     posted = calendars.posted_at(F.regexp_extract("stamp", r"^(\d{1,2}/\d{1,2}/\d{2} \d{1,2}:\d{2} [AP]M) ET$", 1))
     rows = rows.select(
@@ -111,6 +111,12 @@ OLD_HEADER = r"^(\d{1,2}/\d{1,2}/\d{2} \d{1,2}:\d{2} [AP]M) ET (.+)$"
 OLD_TAIL = r"\s*(\d{1,2}/\d{1,2}/\d{2})?\s*(?:\$(\d+\.\d{2}))?\s*$"
 
 
+def _full_team(part: Column, teams: list[str]) -> Column:
+    """The known team a clipped counterparty stands for."""
+    known = F.filter(F.array(*[F.lit(t) for t in teams]), lambda t: t.startswith(part) | part.startswith(t))
+    return F.coalesce(F.get(known, F.lit(0)), part)
+
+
 def transactions_old(lines: DataFrame, teams: list[str]) -> tuple[DataFrame, DataFrame]:
     """One transaction over several lines; bare lines continue the one above.
 
@@ -130,6 +136,7 @@ def transactions_old(lines: DataFrame, teams: list[str]) -> tuple[DataFrame, Dat
     rows = rows.withColumn("payload_body", F.regexp_replace("payload", OLD_TAIL, ""))
     rows = rows.withColumn("segments", F.transform(whole, lambda s: _segment(F.regexp_replace(F.trim(s), r"\s+", " "))))
     rows = rows.withColumn("segments", F.filter("segments", lambda s: s.isNotNull()))
+    rows = rows.withColumn("segments", F.transform("segments", lambda s: s.withField("counterparty", _full_team(s["counterparty"], teams))))
     header = F.col("rest").isNotNull()
     good = header & (F.col("team") != "") & (F.size("segments") > 0)
     rejects = rows.where(header & ~good).select(*lines.columns)

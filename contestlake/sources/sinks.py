@@ -76,7 +76,8 @@ def write_upsert(spark: SparkSession, path: str, new: DataFrame, key: list[str],
         new = cut_lineage(merged(old, new, key, stamp))
     else:
         new = merged(new.limit(0), new, key, stamp)
-    new.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    # Rebalance splits a hot partition over several writers.
+    new.hint("rebalance", F.col(partition)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
