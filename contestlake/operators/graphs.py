@@ -39,13 +39,13 @@ def _projections(directions) -> Column:
 
 
 def knn_edges(rows: DataFrame, ident: str, vector: str, k: int = 6, cutoff: float = 0.92,
-              dims: int = 3, levels: int = 12, pieces: int | None = None) -> DataFrame:
+              dims: int = 4, levels: int = 16, pieces: int | None = None) -> DataFrame:
     """The k most similar others of every row, at least ``cutoff`` alike; exact.
 
     1. Copies of a vector become one node, so a group of copies costs one row;
        its first k + 1 ids are kept, no neighbour list can need more.
-    2. Neighbours in the order of the first projection give every node a lower
-       bound for the similarity of its k-th neighbour.
+    2. Neighbours along two space-filling curves over the projections give
+       every node a lower bound for the similarity of its k-th neighbour.
     3. That bound is a radius.  Nodes sit in grids of halving cell width over a
        few projections; a node looks only into the cells next to its own on
        the finest grid whose cells are as wide as its radius.  Projections
@@ -56,9 +56,10 @@ def knn_edges(rows: DataFrame, ident: str, vector: str, k: int = 6, cutoff: floa
     copies = ranking.top_k(units.withColumn("g", F.xxhash64("u")), ["u", "g"], [F.asc("id")], k + 1, "c")
     copies = cut_lineage(copies.drop("g").join(units.groupBy("u").agg(F.min("id").alias("node")), "u"))
     nodes = copies.where(F.col("id") == F.col("node")).select("node", "u")
-    dims = min(dims, len(nodes.select("u").first()[0])) if dims > 1 else 1
-    nodes = nodes.withColumn("p", _projections(_directions(nodes, dims)))
-    nodes = _bounded(nodes.withColumn("p0", F.col("p")[0]), k, cutoff, pieces)
+    size = len(nodes.select("u").first()[0])
+    dims = min(dims, size)
+    nodes = cut_lineage(nodes.withColumn("p", _projections(_directions(nodes, dims))))
+    nodes = _bounded(nodes, k, cutoff, dims, pieces)
     wide = float((2 - 2 * cutoff + 2 * SLACK) ** 0.5)
     nodes = cut_lineage(nodes.withColumn("level", F.least(
         F.floor(F.log2(F.lit(wide) / F.greatest(F.col("radius"), F.lit(1e-9)))), F.lit(levels - 1)).cast("int")))
@@ -73,22 +74,48 @@ def knn_edges(rows: DataFrame, ident: str, vector: str, k: int = 6, cutoff: floa
         moved = F.array(*[F.col("cell")[j] + (F.col("step") if j == i else F.lit(0)) for j in range(dims)])
         probes = probes.withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("cell", moved).drop("step")
     met = probes.join(targets, ["lv", "cell"]).where(F.col("node") != F.col("other"))
-    met = met.select("node", "other", "bound", dot(F.col("u"), F.col("w")).alias("sim")).where(F.col("sim") >= F.col("bound"))
+    met = met.select("node", "other", "bound", _flat_dot("u", "w", size).alias("sim")).where(F.col("sim") >= F.col("bound"))
     met = met.withColumn("sim", fixed(F.col("sim"), 6)).where(F.col("sim") >= cutoff)
     near = ranking.top_k(met, ["node"], [F.desc("sim"), F.asc("other")], k).select("node", "other", "sim")
     return _expand(units, copies, near, k)
 
 
-def _bounded(nodes: DataFrame, k: int, cutoff: float, pieces: int | None) -> DataFrame:
-    """Lower bound of the k-th similarity from neighbours along a projection."""
-    chunk = scan.value_chunks(nodes, "p0", pieces)
-    w = Window.partitionBy("chunk").orderBy("p0", "node").rowsBetween(-k, k)
-    around = nodes.withColumn("chunk", chunk).withColumn("around", F.collect_list(F.struct("node", "u")).over(w))
-    sims = F.sort_array(F.transform(
-        F.filter("around", lambda a: a["node"] != F.col("node")), lambda a: dot(a["u"], F.col("u"))), asc=False)
-    bound = F.greatest(F.coalesce(F.get(sims, F.lit(k - 1)), F.lit(cutoff)), F.lit(cutoff)) - SLACK
-    out = around.withColumn("bound", bound).drop("around", "chunk", "p0")
-    return out.withColumn("radius", F.sqrt(F.greatest(2 - 2 * F.col("bound"), F.lit(0.0))))
+def _flat_dot(a: str, b: str, size: int) -> Column:
+    """Dot product as one compiled expression; arrays of any size stay right."""
+    if size > 128:
+        return dot(F.col(a), F.col(b))
+    return reduce(lambda s, i: s + F.col(a)[i] * F.col(b)[i], range(size), F.lit(0.0))
+
+
+def _curve(dims: int, shift: float) -> Column:
+    """Place on a space-filling curve: the bits of the projections interleaved."""
+    bits = 60 // dims
+    grid = [F.floor((F.col("p")[j] + 1.0 + shift) / 3.0 * (2**bits - 1)).cast("long") for j in range(dims)]
+    code = F.lit(0).cast("long")
+    for b in range(bits):
+        for j in range(dims):
+            bit = F.shiftright(grid[j], b).bitwiseAND(F.lit(1).cast("long"))
+            code = code.bitwiseOR(F.shiftleft(bit, b * dims + j))
+    return code
+
+
+def _bounded(nodes: DataFrame, k: int, cutoff: float, dims: int, pieces: int | None) -> DataFrame:
+    """Lower bound of the k-th similarity from neighbours along two curves."""
+    near = None
+    for name, shift in (("a", 0.0), ("b", 0.37)):
+        line = nodes.select("node", "u", _curve(dims, shift).cast("double").alias("code"))
+        w = Window.partitionBy("chunk").orderBy("code", "node").rowsBetween(-k, k)
+        around = line.withColumn("chunk", scan.value_chunks(line, "code", pieces)).withColumn(
+            "around", F.collect_list(F.struct("node", "u")).over(w))
+        around = around.select("node", F.explode("around").alias("n"), "u").where(F.col("node") != F.col("n.node"))
+        sims = around.select("node", F.col("n.node").alias("other"), dot(F.col("u"), F.col("n.u")).alias("sim"))
+        near = sims if near is None else near.unionByName(sims)
+    best = ranking.top_k(near.distinct(), ["node"], [F.desc("sim"), F.asc("other")], k)
+    kth = best.where(F.col("rank") == k).select("node", F.col("sim").alias("kth"))
+    out = nodes.join(kth, "node", "left")
+    bound = F.greatest(F.coalesce("kth", F.lit(cutoff)), F.lit(cutoff)) - SLACK
+    return out.withColumn("bound", bound).drop("kth").withColumn(
+        "radius", F.sqrt(F.greatest(2 - 2 * F.col("bound"), F.lit(0.0))))
 
 
 def _expand(units, copies, near, k):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contestlake.operators import scan
+from contestlake.session import cut_lineage
 
 KEY = ["entity", "member"]
 
@@ -63,7 +64,8 @@ def build_intervals(actions: DataFrame, order: list[str], at: str,
     the first of which must be the effective time ``at``.
     """
     moves = membership_moves(actions, order)
-    turns = _alternating(moves, order, chunk(F.col(at))).where("in_turn").drop("in_turn")
+    # The kept turns are read four times below; they are written once.
+    turns = cut_lineage(_alternating(moves, order, chunk(F.col(at))).where("in_turn").drop("in_turn"))
     full = [*order, "step"]
     nxt = scan.shifted(turns, KEY, full, chunk(F.col(at)), {at: "to_ts", "action": "ended_by"}, forward=True)
     opens = nxt.where(F.col("kind") == "open").select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contestlake.functions.rates import ratio
 from contestlake.operators.metrics import Metric, component_names, metric_values
+from contestlake.session import cut_lineage
 
 
 def recompute(lineups: DataFrame, lines: DataFrame, metrics: list[Metric]) -> DataFrame:
@@ -75,20 +76,24 @@ def reconcile_capacity(occupants: DataFrame, official: DataFrame, group: list[st
     base = base.join(official, group)
     gap = F.array(*[(F.col(f"t_{c}") - F.col(f"off_{c}")).cast("long") for c in counts])
     need = _needs(occupants, base.withColumn("gap", gap), caps, capacity, group, any_limit)
+    # Only over-full groups go on, and they are read by every step below.
+    need = cut_lineage(need)
     open_ = need.where(F.col("excess") & F.forall("gap", lambda g: g >= 0))
+    occupants = cut_lineage(occupants.join(open_.select(*group), group, "left_semi"))
     goals = open_.select(*group, "gap", F.explode("ks").alias("k"))
     limit = goals.agg(F.max("k")).first()[0] or 0
 
     ones = occupants.select(*group, F.col("idx").alias("last"), F.col("idx").alias("first"), F.array("idx").alias("ids"), vec.alias("v"))
     ones = ones.join(goals.groupBy(*group, "gap").agg(F.max("k").alias("k_max")), group).where(_fits(F.col("v"), F.col("gap")))
-    ones = ones.where(F.col("k_max") >= 1)
+    ones = cut_lineage(ones.where(F.col("k_max") >= 1))
     sets = {1: ones}
     for size in range(2, (limit + 1) // 2 + 1):
         longer = sets[size - 1].where((F.col("k_max") + 1) / 2 >= size)
         step = ones.select(*group, F.col("last").alias("add"), F.col("v").alias("add_v"))
         grown = longer.join(step, group).where(F.col("add") > F.col("last"))
         grown = grown.withColumn("v", _plus(F.col("v"), F.col("add_v"))).where(_fits(F.col("v"), F.col("gap")))
-        sets[size] = grown.select(*group, F.col("add").alias("last"), "first", F.concat("ids", F.array("add")).alias("ids"), "v", "gap", "k_max")
+        sets[size] = cut_lineage(grown.select(
+            *group, F.col("add").alias("last"), "first", F.concat("ids", F.array("add")).alias("ids"), "v", "gap", "k_max"))
     found = [goals.where((F.col("k") == 0) & F.forall("gap", lambda g: g == 0)).select(
         *group, "k", F.array().cast("array<int>").alias("ids"))]
     for k in range(1, limit + 1):

@@ -16,6 +16,7 @@ from contestlake.functions import texts
 from contestlake.functions.rates import fixed
 from contestlake.operators import ranking, scan
 from contestlake.operators.metrics import Metric, component_names
+from contestlake.session import cut_lineage
 
 
 DRAW_BLOCK = 1000
@@ -185,7 +186,8 @@ def rank_distribution(draws: DataFrame, n: int, paid: int = 5) -> DataFrame:
 
     ``rank_best10`` is the good tail: rank one is best.
     """
-    counts = draws.groupBy("entity", F.col("place").alias("place")).agg(F.count(F.lit(1)).alias("count"))
+    # Entities by places: small, and read several times below.
+    counts = cut_lineage(draws.groupBy("entity", "place").agg(F.count(F.lit(1)).alias("count")))
     summary = counts.groupBy("entity").agg(
         (F.sum(F.when(F.col("place") == 1, F.col("count")).otherwise(0)) / n).alias("p_win"),
         (F.sum(F.when(F.col("place") <= paid, F.col("count")).otherwise(0)) / n).alias("p_paid"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from contestlake.functions.calendars import month_number
 from contestlake.functions.rates import cents
 from contestlake.operators.metrics import Metric, component_names, densify
+from contestlake.session import cut_lineage
 
 BASE_YEAR = 1995
 PERIODS = 80
@@ -81,6 +82,15 @@ def dense_components(spark: SparkSession, sf: str, last: int = PERIODS) -> DataF
     return densify(components(spark, sf), entities(spark, sf), last, COMPONENTS)
 
 
+def settled_components(spark: SparkSession, sf: str, last: int = PERIODS) -> DataFrame:
+    """The dense components written once, for plans that read them again.
+
+    The table has entities times periods rows, so reading it back is free next
+    to a second pass over the facts.
+    """
+    return cut_lineage(dense_components(spark, sf, last))
+
+
 SQL_COMPONENTS = """
 ol AS (
   SELECT l_orderkey, cast(sum(cast(l_quantity AS bigint)) AS bigint) AS qty,

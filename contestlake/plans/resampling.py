@@ -17,13 +17,10 @@ SEED = 2026
 LEFT = L.PERIODS - L.AS_OF
 
 
-def history(spark, sf):
-    values = P.S.period_values(L.dense_components(spark, sf, L.AS_OF), L.METRICS)
-    return values.select("entity", "period", "metric", "value")
-
-
-def correlation(spark, sf):
-    return R.metric_correlation(history(spark, sf), CODES)
+def correlation(comps):
+    past = comps.where(F.col("period") <= L.AS_OF)
+    values = P.S.period_values(past, L.METRICS).select("entity", "period", "metric", "value")
+    return R.metric_correlation(values, CODES)
 
 
 CORR = P.RACE + f""",
@@ -82,15 +79,16 @@ DRAW_SQL = _sql_draws()
 
 
 def draws(spark, sf):
-    comps = L.dense_components(spark, sf)
-    params = R.draw_params(comps, P.race(spark, sf), L.METRICS, L.AS_OF, LEFT)
-    lower = R.factor(correlation(spark, sf), CODES)
+    comps = L.settled_components(spark, sf)
+    race = P.S.project_race(comps, L.METRICS, L.AS_OF, L.PERIODS)
+    params = R.draw_params(comps, race, L.METRICS, L.AS_OF, LEFT)
+    lower = R.factor(correlation(comps), CODES)
     return R.rank_draws(params, CODES, lower, DRAWS, SEED)
 
 
 @query("metric_correlation", CORR + f"SELECT a, b, {rnd('r', 6)} AS r FROM cor")
 def metric_correlation(spark, sf):
-    return correlation(spark, sf).select("a", "b", fixed(F.col("r"), 6).alias("r"))
+    return correlation(L.settled_components(spark, sf)).select("a", "b", fixed(F.col("r"), 6).alias("r"))
 
 
 @query("rank_pmf", DRAW_SQL + f"SELECT entity, place, cast(count(*) AS double)/{DRAWS} AS p FROM dr GROUP BY 1,2")

@@ -190,7 +190,7 @@ BT = _sql_backtest()
 
 
 def results(spark, sf):
-    return S.backtest(L.dense_components(spark, sf), L.METRICS, STANDS, L.PERIODS)
+    return S.backtest(L.settled_components(spark, sf), L.METRICS, STANDS, L.PERIODS)
 
 
 @query("backtest_projection", BT + """
@@ -241,14 +241,16 @@ needs AS (SELECT entity, metric,
 """
 
 
-def norms(spark, sf):
-    values = S.period_values(L.dense_components(spark, sf, L.AS_OF), L.METRICS)
+def norms(comps):
+    values = S.period_values(comps.where(F.col("period") <= L.AS_OF), L.METRICS)
     weekly = values.where(F.col("kind") == "counting").groupBy("metric")
     return weekly.agg((F.avg("value") * (L.PERIODS - L.AS_OF)).alias("norm"))
 
 
 def profiles(spark, sf):
-    return S.needs_surplus(race(spark, sf), norms(spark, sf), L.METRICS)
+    comps = L.settled_components(spark, sf)
+    projected = S.project_race(comps, L.METRICS, L.AS_OF, L.PERIODS)
+    return S.needs_surplus(projected, norms(comps), L.METRICS)
 
 
 @query("rival_needs", NEEDS + "SELECT * FROM needs")

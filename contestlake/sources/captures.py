@@ -68,14 +68,28 @@ def _kind(action: Column) -> Column:
     return F.try_element_at(pairs, F.when(action.startswith("Traded"), "Traded").otherwise(action))
 
 
+def _fields(text: Column, pattern: str, count: int) -> Column:
+    """Capture groups of one match as an array, null without a match.
+
+    The text is rewritten to its groups once; separate extracts would run the
+    pattern once per group.
+    """
+    mark = "\u0001"
+    parts = F.split(F.regexp_replace(text, pattern, mark.join(f"${i}" for i in range(1, count + 1))), mark)
+    return F.transform(F.array(parts), lambda p: F.when(F.size(p) == count, F.transform(p, lambda x: F.trim(x))))[0]
+
+
+def _once(*columns: Column) -> Column:
+    """Compute columns in a generator, so a filter on them does not repeat them."""
+    return F.inline(F.array(F.struct(*columns)))
+
+
 def _segment(text: Column) -> Column:
     """One ``Name POS • TEAM - Action`` segment as a struct, null if malformed."""
-    part = lambda i: F.trim(F.regexp_extract(text, SEGMENT, i))
-    action = part(4)
-    counter = F.regexp_extract(action, r"^Traded (?:from|to) (.+)$", 1)
-    return F.when(text.rlike(SEGMENT), F.struct(
-        part(1).alias("player"), part(2).alias("positions"), part(3).alias("mlb_team"),
-        _kind(action).alias("action"), F.when(counter != "", F.trim(counter)).alias("counterparty")))
+    found = F.transform(F.array(_fields(text, SEGMENT, 4)), lambda g: F.when(g.isNotNull(), F.struct(
+        g[0].alias("player"), g[1].alias("positions"), g[2].alias("mlb_team"), _kind(g[3]).alias("action"),
+        F.when(g[3].startswith("Traded"), F.trim(F.regexp_replace(g[3], r"^Traded (?:from|to) ", ""))).alias("counterparty"))))
+    return found[0]
 
 
 def _known(teams: list[str] | None, team: Column) -> Column:
@@ -92,13 +106,12 @@ def transactions(lines: DataFrame, teams: list[str] | None = None) -> tuple[Data
         F.array_join(F.slice("c", F.lit(3), F.greatest(n - 4, F.lit(0))), "|").alias("players"),
         F.element_at("c", -2).alias("effective"), F.element_at("c", -1).alias("paid"))
     posted = calendars.posted_at(F.regexp_extract("stamp", r"^(\d{1,2}/\d{1,2}/\d{2} \d{1,2}:\d{2} [AP]M) ET$", 1))
-    rows = rows.select(
-        *lines.columns, posted.alias("posted_at"), "team",
-        F.transform(F.split("players", "; "), lambda s: _segment(F.trim(s))).alias("actions"),
+    rows = rows.select(*lines.columns, "team", _once(
+        posted.alias("posted_at"), F.transform(F.split("players", "; "), lambda s: _segment(F.trim(s))).alias("actions"),
         calendars.short_date(F.col("effective")).alias("effective_date"),
-        F.when(F.col("paid").startswith("$"), F.ltrim(F.translate("paid", "$", "")).try_cast("decimal(9,2)")).alias("cost"))
+        F.when(F.col("paid").startswith("$"), F.ltrim(F.translate("paid", "$", "")).try_cast("decimal(9,2)")).alias("cost")))
     fine = F.col("posted_at").isNotNull() & _known(teams, F.col("team")) & F.forall("actions", lambda a: a.isNotNull())
-    return rows.where(fine), lines.join(rows.where(~F.coalesce(fine, F.lit(False))).select("path", *ORDER), ["path", *ORDER], "left_semi")
+    return rows.where(fine), rows.where(~F.coalesce(fine, F.lit(False))).select(*lines.columns)
 
 
 # Old layout: segments follow each other without a separator.
@@ -169,6 +182,11 @@ def sniffed_transactions(lines: DataFrame, teams: list[str]) -> tuple[DataFrame,
     return new.select(*columns).unionByName(old.select(*columns)), bad_new.unionByName(bad_old)
 
 
+def _is_player(text: Column) -> Column:
+    """Player cell test; lines without a bullet never reach the pattern."""
+    return (F.contains(text, F.lit("•")) | F.contains(text, F.lit("\ufffd"))) & text.rlike(PLAYER_CELL)
+
+
 def _player(cell: Column) -> list[Column]:
     part = lambda i: F.trim(F.regexp_extract(cell, PLAYER_CELL, i))
     return [part(1).alias("player"), F.split(part(2), ",").alias("positions"), part(3).alias("mlb_team")]
@@ -332,8 +350,7 @@ def news(lines: DataFrame, body_limit: int = 2000) -> tuple[DataFrame, DataFrame
     leave room for headline, byline and age.
     """
     text = F.trim("line")
-    is_player = text.rlike(PLAYER_CELL)
-    rows = lines.select(*lines.columns, text.alias("text"), F.when(is_player, F.struct(*ORDER)).alias("p"))
+    rows = lines.select(*lines.columns, text.alias("text"), F.when(_is_player(text), F.struct(*ORDER)).alias("p"))
     rows = scan.fill_forward(rows, ["path"], ORDER, F.col("blk"), {"p": "head"}).where(F.col("head").isNotNull())
     # Only lines that can still reach the stored body are gathered, so a block
     # without a next header never piles up in one row.
