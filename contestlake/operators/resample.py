@@ -20,6 +20,7 @@ from contestlake.session import cut_lineage
 
 
 DRAW_BLOCK = 1000
+RIDGE = 1.000001
 
 
 def sample_sd(n: Column, total: Column, squares: Column) -> Column:
@@ -38,9 +39,9 @@ def history_spread(values: DataFrame) -> DataFrame:
 
 
 def zscores(values: DataFrame) -> DataFrame:
-    """Value against its own (entity, metric) history."""
-    spread = history_spread(values).where(F.col("sd") > 0)
-    return values.join(spread, ["entity", "metric"]).withColumn("z", (F.col("value") - F.col("mean")) / F.col("sd"))
+    """Value against its own (entity, metric) history; a constant history is 0."""
+    z = F.when(F.col("sd") > 0, (F.col("value") - F.col("mean")) / F.col("sd")).otherwise(0.0)
+    return values.join(history_spread(values), ["entity", "metric"]).withColumn("z", z)
 
 
 def metric_correlation(values: DataFrame, metrics: list[str]) -> DataFrame:
@@ -52,25 +53,38 @@ def metric_correlation(values: DataFrame, metrics: list[str]) -> DataFrame:
     z = zscores(values).groupBy("entity", "period").pivot("metric", metrics).agg(F.first("z"))
     whole = z.dropna(subset=metrics)
     pairs = F.inline(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(a) * F.col(b)).alias("product"))
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y"))
         for a in metrics for b in metrics
     ]))
+    x, y = F.col("x"), F.col("y")
     sums = whole.select(pairs).groupBy("a", "b").agg(
-        F.sum("product").alias("s"), F.count(F.lit(1)).alias("n"))
-    ridge = F.when(F.col("a") == F.col("b"), 1.000001)
-    return sums.select("a", "b", F.coalesce(ridge, F.col("s") / (F.col("n") - 1)).alias("r"))
+        F.sum(x * y).alias("s"), F.sum(x * x).alias("sx"), F.sum(y * y).alias("sy"), F.count(F.lit(1)).alias("n"))
+    ridge = F.when(F.col("a") == F.col("b"), RIDGE)
+    size = F.sqrt(F.col("sx") * F.col("sy"))
+    scaled = F.when(size > 0, F.col("s") / size).otherwise(0.0)
+    return sums.select("a", "b", F.coalesce(ridge, F.col("s") / (F.col("n") - 1)).alias("r"),
+                       F.coalesce(ridge, scaled).alias("scaled"))
 
 
 def factor(correlation: DataFrame, metrics: list[str]) -> list[list[float]]:
     """Lower triangular factor of the metric-by-metric correlation matrix.
 
-    Only this k by k table comes to the driver; it is a job parameter.
+    Only this k by k table comes to the driver; it is a job parameter.  When
+    few vectors are complete, ``r`` need not be positive definite; then the
+    factor is taken of ``scaled``, which always is.
     """
     import numpy as np
 
-    cells = {(r["a"], r["b"]): r["r"] for r in correlation.collect()}
-    matrix = np.array([[cells.get((a, b), 1.000001 if a == b else 0.0) for b in metrics] for a in metrics])
-    return np.linalg.cholesky(matrix).tolist()
+    rows = correlation.collect()
+
+    def lower(column):
+        cells = {(c["a"], c["b"]): c[column] for c in rows}
+        return np.linalg.cholesky(np.array([[cells.get((a, b), RIDGE if a == b else 0.0) for b in metrics] for a in metrics]))
+
+    try:
+        return lower("r").tolist()
+    except np.linalg.LinAlgError:
+        return lower("scaled").tolist()
 
 
 def uniform(*parts: Column) -> Column:

@@ -26,22 +26,31 @@ def correlation(comps):
 CORR = P.RACE + f""",
 hv AS ({L.sql_metrics("(SELECT * FROM dense WHERE period<=60)", "entity, period")}),
 hm AS (SELECT entity, metric, cast(count(*) AS double) AS n, sum(value) AS s1, sum(value*value) AS s2 FROM hv GROUP BY 1,2),
-hs AS (SELECT entity, metric, n, s1/n AS mean, sqrt(greatest((n*s2-s1*s1)/(n*(n-1)),0)) AS sd FROM hm WHERE n>=2),
-z AS (SELECT hv.entity, hv.period, hv.metric, (value-mean)/sd AS z FROM hv JOIN hs ON hv.entity=hs.entity AND hv.metric=hs.metric WHERE sd>0),
+hs AS (SELECT entity, metric, n, s1/n AS mean, CASE WHEN n<2 THEN 0 ELSE sqrt(greatest((n*s2-s1*s1)/(n*(n-1)),0)) END AS sd FROM hm),
+z AS (SELECT hv.entity, hv.period, hv.metric, CASE WHEN sd>0 THEN (value-mean)/sd ELSE 0 END AS z FROM hv JOIN hs ON hv.entity=hs.entity AND hv.metric=hs.metric),
 whole AS (SELECT entity, period FROM z GROUP BY 1,2 HAVING count(*)=6),
-cor AS (SELECT x.metric AS a, y.metric AS b, CASE WHEN x.metric=y.metric THEN 1.000001 ELSE sum(x.z*y.z)/(count(*)-1) END AS r
+cor AS (SELECT x.metric AS a, y.metric AS b, CASE WHEN x.metric=y.metric THEN 1.000001 ELSE sum(x.z*y.z)/(count(*)-1) END AS r,
+  CASE WHEN x.metric=y.metric THEN 1.000001 ELSE coalesce(sum(x.z*y.z)/nullif(sqrt(sum(x.z*x.z)*sum(y.z*y.z)),0),0) END AS scaled
   FROM z x JOIN z y ON x.entity=y.entity AND x.period=y.period JOIN whole w ON w.entity=x.entity AND w.period=x.period GROUP BY 1,2)
 """
 
 
 def _sql_draws() -> str:
     k = len(CODES)
-    a = ", ".join(f"max(CASE WHEN a='{CODES[i]}' AND b='{CODES[j]}' THEN r END) AS a{i}{j}" for i in range(k) for j in range(i + 1))
+    def cells(column):
+        return ", ".join(f"max(CASE WHEN a='{CODES[i]}' AND b='{CODES[j]}' THEN {column} END) AS a{i}{j}"
+                         for i in range(k) for j in range(i + 1))
+
     low = []
     for i in range(k):
         for j in range(i + 1):
             done = "".join(f" - l{i}{m}*l{j}{m}" for m in range(j))
-            low.append(f"sqrt(a{i}{i}{done}) AS l{i}{i}" if i == j else f"(a{i}{j}{done})/l{j}{j} AS l{i}{j}")
+            if i == j:
+                low += [f"a{i}{i}{done} AS p{i}", f"sqrt(greatest(p{i},cast(1e-9 AS double))) AS l{i}{i}"]
+            else:
+                low.append(f"(a{i}{j}{done})/l{j}{j} AS l{i}{j}")
+    ok = "least(" + ",".join(f"r.p{i}" for i in range(k)) + ")>0"
+    pick = ", ".join(f"CASE WHEN {ok} THEN r.l{i}{j} ELSE s.l{i}{j} END AS l{i}{j}" for i in range(k) for j in range(i + 1))
     uni = "(cast(('0x'||substr(md5({k}),1,13)) AS bigint)+cast(0.5 AS double))/cast(4503599627370496 AS double)"
 
     def norm(tail):
@@ -66,7 +75,9 @@ def _sql_draws() -> str:
             val = f"mean+{m.num}_sd*{shock}"
         parts.append(f"SELECT draw, e.entity, '{m.code}' AS metric, '{m.direction}' AS direction, {rnd(val, 4)} AS value "
                      f"FROM (SELECT zz.*, proj_value AS mean FROM zz JOIN proj ON proj.entity=zz.entity AND metric='{m.code}') e")
-    return (CORR + f", am AS (SELECT {a} FROM cor),\nlm AS (SELECT {', '.join(low)} FROM am),\n"
+    return (CORR + f", ar AS (SELECT {cells('r')} FROM cor),\nas_ AS (SELECT {cells('scaled')} FROM cor),\n"
+            f"lr AS (SELECT {', '.join(low)} FROM ar),\nls AS (SELECT {', '.join(low)} FROM as_),\n"
+            f"lm AS (SELECT {pick} FROM lr r, ls s),\n"
             f"st AS (SELECT entity, {', '.join(comps)} FROM dense WHERE period<=60 GROUP BY entity),\n"
             f"zz AS (SELECT st.*, draw, lm.*, {zs} FROM st, range(0,{DRAWS}) t(draw), lm),\n"
             f"dv AS ({' UNION ALL '.join(parts)}),\n"

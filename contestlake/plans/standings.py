@@ -291,7 +291,7 @@ def member_rank_points(spark, sf):
 , v AS (SELECT entity, period, qty FROM dense WHERE period<=60),
 s AS (SELECT entity, cast(count(*) AS double) AS n, cast(sum(qty) AS double) AS s1, cast(sum(qty*qty) AS double) AS s2 FROM v GROUP BY 1),
 p AS (SELECT *, sqrt((n*s2-s1*s1)/(n*(n-1))) AS sd FROM s)
-SELECT v.entity, v.period, {rnd("(qty-s1/n)/sd", 5)} AS z FROM v JOIN p ON v.entity=p.entity WHERE sd>0""")
+SELECT v.entity, v.period, {rnd("CASE WHEN sd>0 THEN (qty-s1/n)/sd ELSE 0 END", 5)} AS z FROM v JOIN p ON v.entity=p.entity""")
 def zscores_by_entity(spark, sf):
     from contestlake.operators.resample import zscores
 

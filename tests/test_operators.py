@@ -321,6 +321,10 @@ def test_factor_reconstructs(spark):
     assert low[0][1] == 0.0
     assert abs(low[1][0] * low[0][0] - 0.4) < 1e-12
     assert abs(low[1][0] ** 2 + low[1][1] ** 2 - 1.0) < 1e-12
+    # Not positive definite: the scaled matrix takes its place.
+    bad = [("a", "a", 1.0, 1.0), ("a", "b", 1.3, 0.9), ("b", "a", 1.3, 0.9), ("b", "b", 1.0, 1.0)]
+    low = resample.factor(spark.createDataFrame(bad, "a string, b string, r double, scaled double"), ["a", "b"])
+    assert abs(low[1][0] - 0.9) < 1e-12
 
 
 def test_gate_never_drops(spark):
