@@ -16,6 +16,11 @@ def fixed(value: Column, places: int) -> Column:
     return F.floor(value * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
 
 
+def whole_units(value: Column, places: int) -> Column:
+    """A measure as whole units of its last place, for sums in any order."""
+    return F.floor(value * F.lit(float(10**places)) + F.lit(0.5)).cast("long")
+
+
 def cents(value: Column) -> Column:
     """Money as whole cents, so sums are exact and order free."""
     return F.round(value * 100).cast("long")

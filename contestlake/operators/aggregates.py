@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contestlake.functions.rates import fixed, ratio
+from contestlake.functions.rates import fixed, ratio, whole_units
 
 
 def accuracy_bucket(ours: Column, official: Column, tolerance: Column) -> Column:
@@ -68,7 +68,8 @@ def source_error(projected: DataFrame, realised: DataFrame, keys: list[str], sta
     """Mean absolute error of a source's projection against what happened."""
     joined = projected.join(realised, keys, "left")
     err = F.abs(F.col("projected") - F.coalesce(F.col("realised"), F.lit(0.0)))
-    return joined.groupBy(stat).agg(F.count(F.lit(1)).alias("n"), fixed(F.avg(err), 4).alias("mae"))
+    n = F.count(F.lit(1))
+    return joined.groupBy(stat).agg(n.alias("n"), fixed(ratio(F.sum(whole_units(err, 4)), n, 1e-4), 4).alias("mae"))
 
 
 def profile_table(df: DataFrame, name: str) -> DataFrame:

@@ -35,15 +35,16 @@ def roster_extract(members: DataFrame, signals: DataFrame, starts: DataFrame) ->
     return out.select(*members.columns, F.coalesce("signals", F.lit(0)).alias("signals"), F.coalesce("starts", F.lit(0)).alias("starts"))
 
 
-def rolling_error(errors: DataFrame, periods: int = 4) -> DataFrame:
+def rolling_error(errors: DataFrame, periods: int = 4, unit: float = 1e-4) -> DataFrame:
     """Error per source and stat, and its mean over the trailing periods.
 
-    ``errors``: stat, period, n, total (sum of absolute errors).
+    ``errors``: stat, period, n, total (sum of absolute errors in whole units
+    of ``unit``, so the sum does not depend on its order).
     """
     w = Window.partitionBy("stat").orderBy("period").rangeBetween(-(periods - 1), 0)
     return errors.select(
-        "stat", "period", "n", fixed(ratio(F.col("total"), F.col("n")), 4).alias("mae"),
-        fixed(ratio(F.sum("total").over(w), F.sum("n").over(w)), 4).alias("rolling_mae"))
+        "stat", "period", "n", fixed(ratio(F.col("total"), F.col("n"), unit), 4).alias("mae"),
+        fixed(ratio(F.sum("total").over(w), F.sum("n").over(w), unit), 4).alias("rolling_mae"))
 
 
 def claim_chance(needs: DataFrame, pushy: DataFrame, order: DataFrame, offers: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from contestlake.functions.rates import fixed, ratio
+from contestlake.functions.rates import fixed, ratio, whole_units
 from contestlake.operators import joins as J
 from contestlake.operators import marts as M
 from contestlake.operators import ranking
@@ -181,15 +181,15 @@ def recommendation_audit(spark, sf):
 @query("rolling_scoreboard", f"""
 WITH x AS (SELECT user_id AS member, cast((cast(ts AS date)-DATE '2024-01-01')//7+1 AS integer) AS period, event_type, cast(json_extract_string(props,'$.k') AS bigint) AS k FROM events),
 p AS (SELECT member, period, cast(sum(k) AS double)/count(*) AS v FROM x WHERE event_type='view' GROUP BY 1,2), r AS (SELECT member, period, cast(sum(k) AS double)/count(*) AS v FROM x WHERE event_type='purchase' GROUP BY 1,2),
-e AS (SELECT 'K'||(p.member%3) AS stat, p.period, count(*) AS n, sum({rnd("abs(p.v-coalesce(r.v,0))", 4)}) AS total FROM p LEFT JOIN r ON r.member=p.member AND r.period=p.period GROUP BY 1,2)
-SELECT stat, period, n, {rnd("total/n", 4)} AS mae, {rnd("sum(total) OVER w/sum(n) OVER w", 4)} AS rolling_mae FROM e WINDOW w AS (PARTITION BY stat ORDER BY period RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)""")
+e AS (SELECT 'K'||(p.member%3) AS stat, p.period, count(*) AS n, cast(sum(cast(floor(abs(p.v-coalesce(r.v,0))*cast(10000 AS double)+cast(0.5 AS double)) AS bigint)) AS double) AS total FROM p LEFT JOIN r ON r.member=p.member AND r.period=p.period GROUP BY 1,2)
+SELECT stat, period, n, {rnd("total*cast(0.0001 AS double)/n", 4)} AS mae, {rnd("sum(total) OVER w*cast(0.0001 AS double)/sum(n) OVER w", 4)} AS rolling_mae FROM e WINDOW w AS (PARTITION BY stat ORDER BY period RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)""")
 def rolling_scoreboard(spark, sf):
     rows = R.events(spark, sf).select(F.col("user_id").alias("member"), R.WEEKS.number(F.to_date("ts")).alias("period"), "event_type",
                                       F.get_json_object("props", "$.k").cast("long").alias("k"))
     mean = ratio(F.sum("k"), F.count("k"))
     p = rows.where(F.col("event_type") == "view").groupBy("member", "period").agg(mean.alias("p"))
     r = rows.where(F.col("event_type") == "purchase").groupBy("member", "period").agg(mean.alias("r"))
-    err = fixed(F.abs(F.col("p") - F.coalesce("r", F.lit(0.0))), 4)
+    err = whole_units(F.abs(F.col("p") - F.coalesce("r", F.lit(0.0))), 4)
     errors = p.join(r, ["member", "period"], "left").groupBy(
         F.concat(F.lit("K"), (F.col("member") % 3).cast("string")).alias("stat"), "period").agg(F.count(F.lit(1)).alias("n"), F.sum(err).alias("total"))
     return M.rolling_error(errors)

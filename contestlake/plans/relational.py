@@ -256,7 +256,7 @@ def freshness(spark, sf):
 @query("source_scoreboard", f"""
 WITH p AS (SELECT user_id AS member, cast((cast(ts AS date)-DATE '2024-01-01')//7+1 AS integer) AS period, 'K'||(user_id%3) AS stat, avg(cast(json_extract_string(props,'$.k') AS bigint)) AS projected FROM events WHERE event_type='view' GROUP BY 1,2,3),
 r AS (SELECT user_id AS member, cast((cast(ts AS date)-DATE '2024-01-01')//7+1 AS integer) AS period, avg(cast(json_extract_string(props,'$.k') AS bigint)) AS realised FROM events WHERE event_type='purchase' GROUP BY 1,2)
-SELECT stat, count(*) AS n, {rnd("avg(abs(projected-coalesce(realised,0)))", 4)} AS mae FROM p LEFT JOIN r ON r.member=p.member AND r.period=p.period GROUP BY 1""")
+SELECT stat, count(*) AS n, {rnd("cast(sum(cast(floor(abs(projected-coalesce(realised,0))*cast(10000 AS double)+cast(0.5 AS double)) AS bigint)) AS double)*cast(0.0001 AS double)/count(*)", 4)} AS mae FROM p LEFT JOIN r ON r.member=p.member AND r.period=p.period GROUP BY 1""")
 def source_scoreboard(spark, sf):
     rows = events(spark, sf).select(
         F.col("user_id").alias("member"), WEEKS.number(F.to_date("ts")).alias("period"), "event_type",
