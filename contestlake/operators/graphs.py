@@ -159,6 +159,3 @@ def feature_vectors(totals: DataFrame, weeks: int, scales: dict[str, float]) ->
     """Scaled production per week as one array per member."""
     return totals.select("member", F.array(*[F.col(c) / weeks / s for c, s in scales.items()]).alias("features"))
 
-
-def edge_union(*edges: DataFrame) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), edges)

@@ -3,8 +3,6 @@ everything the watermark has closed."""
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,5 +130,3 @@ def stream_follow_counts(spark, sf):
     return state.where((F.col("kind") == "count") & (F.col("n") > 0)).select(
         F.col("entity").alias("victim"), F.col("other").alias("sniper"), "n")
 
-
-STREAM_AS_OF = date(2024, 1, 30)

@@ -17,8 +17,11 @@ from contestlake.functions.calendars import Calendar
 from contestlake.sources import captures, sinks
 
 
-def member_uid(player, aliases: DataFrame | None = None):
-    """Default member key: a hash of the normalised name."""
+def member_uid(player):
+    """Default member key: a hash of the normalised name.
+
+    Merged members are redirected afterwards with ``identity.rewrite``.
+    """
     return names.content_uid(names.normalize_name(player))
 
 

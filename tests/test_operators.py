@@ -349,3 +349,26 @@ def test_top_k_limits_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("member"), F.col("id").alias("at"), F.col("id").alias("seq"))
     plan = SG.newest_rows(df, 7)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_shadow_portfolio_against_loop(spark):
+    from contestlake.operators import advice
+
+    rng = random.Random(21)
+    start = [(e, e * 100 + i, rng.randint(0, 40) / 2) for e in range(3) for i in range(8)]
+    adds = [(rng.randint(0, 2), rng.choice([5, 105, 205, 900 + rng.randint(0, 6)]), p) for p in (1, 2, 3) for _ in range(4)]
+    out = advice.shadow_portfolio(
+        spark.createDataFrame(start, "entity int, member int, quality double"),
+        spark.createDataFrame(adds, "entity int, member int, period int"), [1, 2, 3])
+    got = {(r.period, r.entity, r.member) for r in out.collect()}
+    want = set()
+    for e in range(3):
+        roster = {m: q for x, m, q in start if x == e}
+        for p in (1, 2, 3):
+            new = {m for x, m, n in adds if (x, n) == (e, p) and m not in roster}
+            weak = sorted((q, m) for m, q in roster.items() if q is not None)
+            for _, m in weak[:len(new)]:
+                del roster[m]
+            roster.update({m: None for m in new})
+            want |= {(p, e, m) for m in roster}
+    assert got == want
