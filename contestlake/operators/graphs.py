@@ -81,8 +81,8 @@ def knn_edges(rows: DataFrame, ident: str, vector: str, k: int = 6, cutoff: floa
 
 
 def _flat_dot(a: str, b: str, size: int) -> Column:
-    """Dot product as one compiled expression; arrays of any size stay right."""
-    if size > 128:
+    """Dot product: compiled term by term for short vectors, a fold for long."""
+    if size > 16:
         return dot(F.col(a), F.col(b))
     return reduce(lambda s, i: s + F.col(a)[i] * F.col(b)[i], range(size), F.lit(0.0))
 

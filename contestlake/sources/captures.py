@@ -144,11 +144,11 @@ def transactions_old(lines: DataFrame, teams: list[str]) -> tuple[DataFrame, Dat
     rows = rows.withColumn("payload", F.when(F.col("rest").isNull(), F.col("text")).otherwise(
         F.trim(F.expr("substring(rest, length(team) + 1)"))))
     tail = lambda i: F.regexp_extract("payload", OLD_TAIL, i)
-    rows = rows.withColumn("effective", calendars.short_date(tail(1))).withColumn("paid", tail(2).try_cast("decimal(9,2)"))
-    whole = F.regexp_extract_all("payload_body", F.lit(OLD_SEGMENT), F.lit(0))
-    rows = rows.withColumn("payload_body", F.regexp_replace("payload", OLD_TAIL, ""))
-    rows = rows.withColumn("segments", F.transform(whole, lambda s: _segment(F.regexp_replace(F.trim(s), r"\s+", " "))))
-    rows = rows.withColumn("segments", F.filter("segments", lambda s: s.isNotNull()))
+    whole = F.regexp_extract_all(F.regexp_replace("payload", OLD_TAIL, ""), F.lit(OLD_SEGMENT), F.lit(0))
+    found = F.transform(whole, lambda s: _segment(F.regexp_replace(F.trim(s), r"\s+", " ")))
+    rows = rows.select(*lines.columns, "text", "rest", "team", _once(
+        calendars.short_date(tail(1)).alias("effective"), tail(2).try_cast("decimal(9,2)").alias("paid"),
+        F.filter(found, lambda s: s.isNotNull()).alias("segments")))
     rows = rows.withColumn("segments", F.transform("segments", lambda s: s.withField("counterparty", _full_team(s["counterparty"], teams))))
     header = F.col("rest").isNotNull()
     good = header & (F.col("team") != "") & (F.size("segments") > 0)
