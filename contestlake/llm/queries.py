@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestlake.llm import decontaminate, quality, secrets, urls
+from contestlake.llm import decontaminate, quality, secrets, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,11 +103,42 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM flags f
 """
 
+def op7_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return warc.read_archives(warc.files_in(spark, folder)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+OP7_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+hexed AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x FROM p),
+digits AS (
+  SELECT page_id, n, x, list_transform(range(0, 8), lambda i: list_reduce(
+           list_transform(range(1, 6), lambda j: strpos('0123456789abcdef', substr(x, (i * 5 + j)::INT, 1)) - 1),
+           lambda a, b: a * 16 + b)) AS v
+  FROM hexed),
+coded AS (
+  SELECT page_id, n, array_to_string(list_transform(v, lambda d:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((d // 32768) % 32 + 1)::INT, 1)
+           || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((d // 1024) % 32 + 1)::INT, 1)
+           || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((d // 32) % 32 + 1)::INT, 1)
+           || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (d % 32 + 1)::INT, 1)), '') AS b
+  FROM digits),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY b, n) AS f FROM coded)
+SELECT page_id, n::BIGINT AS payload_bytes, b AS payload_digest,
+       CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = f THEN NULL ELSE f END AS refers_to
+FROM firsts
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_url_filter": op2_url_filter,
     "op3_decontamination": op3_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op7_legacy_archives": op7_legacy_archives,
 }
 
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op6_quality_rules": OP6_SQL}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op6_quality_rules": OP6_SQL, "op7_legacy_archives": OP7_SQL}
