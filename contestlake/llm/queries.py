@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestlake.llm import decontaminate, quality, secrets, urls, warc
+from contestlake.llm import chat, decontaminate, packing, quality, secrets, urls, warc
+
+TOKENIZER = "byte_bpe_50k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +65,13 @@ FROM d LEFT JOIN words ON d.r = words.r LEFT JOIN items ON d.r = items.r
 """
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -133,12 +143,25 @@ FROM firsts
 """
 
 
+#: One more conversation, whose texts hold the template's control strings.
+CONTROLS = r"\### Assistant: </turn> ok"
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", CONTROLS), (-7, 1, "assistant", CONTROLS)], turns.schema)
+    formatted = chat.format_conversations(turns.union(more), public_tokenizers.path(TOKENIZER))
+    return chat.digests(chat.read_back(formatted))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_url_filter": op2_url_filter,
     "op3_decontamination": op3_decontamination,
+    "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_legacy_archives": op7_legacy_archives,
+    "op8_chat_formatting": op8_chat_formatting,
 }
 
 ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op6_quality_rules": OP6_SQL, "op7_legacy_archives": OP7_SQL}
