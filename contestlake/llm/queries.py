@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestlake.llm import chat, decontaminate, packing, quality, secrets, urls, warc
+from contestlake.llm import chat, decontaminate, jaccard, packing, quality, secrets, urls, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -154,6 +154,34 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(formatted))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 4), ' ') AS t
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+sized AS (SELECT r, t, count(*) OVER (PARTITION BY r) AS n FROM s),
+pairs AS (
+  SELECT a.r AS x, b.r AS y FROM sized a JOIN sized b ON a.t = b.t AND a.r != b.r
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT r, doc_id AS c FROM d
+  UNION
+  SELECT p.y, reach.c FROM reach JOIN pairs p ON p.x = reach.r),
+least_id AS (SELECT r, min(c) AS c FROM reach GROUP BY r),
+counted AS (SELECT r, count(*) AS n FROM s GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id
+FROM d JOIN least_id USING (r) LEFT JOIN counted USING (r)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_url_filter": op2_url_filter,
@@ -162,6 +190,7 @@ QUERIES: dict[str, Query] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_legacy_archives": op7_legacy_archives,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op6_quality_rules": OP6_SQL, "op7_legacy_archives": OP7_SQL}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op6_quality_rules": OP6_SQL, "op7_legacy_archives": OP7_SQL, "op9_jaccard_join": OP9_SQL}
