@@ -232,10 +232,10 @@ def candidate_edges(columns: DataFrame, percent: int = PERCENT) -> DataFrame:
     return pairs.union(parts.join(head, "column").select("a", "b"))
 
 
-def _product(percent: int):
+def _product(percent: int, kind: pa.DataType):
     """Links within (cluster, i, j): rows of block i against rows of block j, as they stream in sorted."""
 
-    def links(rows: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+    def links(rows: list[tuple]) -> list[tuple]:
         m = len(rows)
         node = [r[1] for r in rows]
         side = np.array([r[0] for r in rows])
@@ -292,7 +292,7 @@ def _product(percent: int):
                 held.append((side, node, np.frombuffer(grams, dtype=np.uint64)))
         if len(held) > 1:
             out += links(held)
-        yield pa.record_batch([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+        yield pa.record_batch([pa.array([a for a, _ in out], kind), pa.array([b for _, b in out], kind)], names=["a", "b"])
 
     return rows
 
@@ -300,7 +300,8 @@ def _product(percent: int):
 def verified_links(sets: DataFrame, plan: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): links that span the similar rows of every cluster.
 
-    ``sets`` has (node, sig_a, sig_b, grams: sorted 64-bit hashes as bytes),
+    ``sets`` has (node, sig_a, sig_b, grams: sorted 64-bit hashes as bytes; a
+    node is a long or a string),
     ``plan`` (node, sig_a, sig_b, cluster, n).  A cluster of several blocks
     sends each row to every pair that its block is in; both halves of a pair
     are in one task, which holds two blocks.
@@ -316,7 +317,9 @@ def verified_links(sets: DataFrame, plan: DataFrame, percent: int = PERCENT) ->
     )
     rows = sets.join(placed, key).select("cluster", "i", "j", "side", "node", "grams")
     dealt = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    return dealt.mapInArrow(_product(percent), "a long, b long")
+    kind = sets.schema["node"].dataType.simpleString()
+    arrow = pa.string() if kind == "string" else pa.int64()
+    return dealt.mapInArrow(_product(percent, arrow), f"a {kind}, b {kind}")
 
 
 def _grams(wanted: np.ndarray):

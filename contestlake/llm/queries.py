@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestlake.llm import chat, decontaminate, jaccard, packing, quality, secrets, urls, warc
+from contestlake.llm import chat, decontaminate, jaccard, packing, paragraphs, quality, secrets, urls, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -182,6 +182,10 @@ FROM d JOIN least_id USING (r) LEFT JOIN counted USING (r)
 """
 
 
+def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.per_document(paragraphs.copies(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_url_filter": op2_url_filter,
@@ -191,6 +195,7 @@ QUERIES: dict[str, Query] = {
     "op7_legacy_archives": op7_legacy_archives,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_paragraph_dedup": op10_paragraph_dedup,
 }
 
 ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op6_quality_rules": OP6_SQL, "op7_legacy_archives": OP7_SQL, "op9_jaccard_join": OP9_SQL}
