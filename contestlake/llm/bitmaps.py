@@ -14,20 +14,22 @@ from pyspark.sql import functions as F
 BITS = 22
 
 
-def bitmap_of(df: DataFrame, hashed: Column, bits: int = BITS) -> np.ndarray:
-    """Words of 64 bits with the bit of every (well mixed) 64-bit hash set; at most ``1 << bits - 6`` of them are collected."""
+def bitmap_of(df: DataFrame, hashed: Column, bits: int = BITS, counted: bool = False):
+    """Words of 64 bits with the bit of every (well mixed) 64-bit hash set; at most ``1 << bits - 6`` of them are collected.
+
+    With ``counted``, the pair of those words and the number of rows.
+    """
     slot = F.shiftrightunsigned(hashed, 64 - bits)
-    rows = (
+    words = (
         df.select(slot.alias("slot"))
         .where("slot is not null")
         .groupBy(F.shiftright("slot", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-        .collect()
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"), F.count(F.lit(1)).alias("n"))
+        .toArrow()
     )
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    for row in rows:
-        out[row["word"]] = row["bits"] & 0xFFFFFFFFFFFFFFFF
-    return out
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return (out, int(words["n"].to_numpy().sum())) if counted else out
 
 
 def contains(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:

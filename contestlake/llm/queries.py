@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestlake.llm import chat, decontaminate, jaccard, packing, paragraphs, quality, secrets, urls, warc
+from contestlake.llm import chat, decontaminate, jaccard, packing, paragraphs, quality, secrets, suffixes, urls, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -65,6 +65,10 @@ FROM d LEFT JOIN words ON d.r = words.r LEFT JOIN items ON d.r = items.r
 """
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return pieces.select(
@@ -190,6 +194,7 @@ QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_url_filter": op2_url_filter,
     "op3_decontamination": op3_decontamination,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_legacy_archives": op7_legacy_archives,
