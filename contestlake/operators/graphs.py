@@ -56,7 +56,11 @@ def knn_edges(rows: DataFrame, ident: str, vector: str, k: int = 6, cutoff: floa
     copies = ranking.top_k(units.withColumn("g", F.xxhash64("u")), ["u", "g"], [F.asc("id")], k + 1, "c")
     copies = cut_lineage(copies.drop("g").join(units.groupBy("u").agg(F.min("id").alias("node")), "u"))
     nodes = copies.where(F.col("id") == F.col("node")).select("node", "u")
-    size = len(nodes.select("u").first()[0])
+    sample = nodes.select("u").first()
+    if sample is None:  # no rows, or only zero vectors
+        none = units.select(F.col("id").alias("source"), F.col("id").alias("target"))
+        return none.select("source", "target", F.lit(0.0).alias("sim"), F.lit(0).alias("rank")).limit(0)
+    size = len(sample[0])
     dims = min(dims, size)
     nodes = cut_lineage(nodes.withColumn("p", _projections(_directions(nodes, dims))))
     nodes = _bounded(nodes, k, cutoff, dims, pieces)

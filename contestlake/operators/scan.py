@@ -9,11 +9,15 @@ each key is cut into chunks along its own order (a day, a block of positions):
 3. rows are scanned inside their own chunk and start from that carry.
 
 The largest group any task sees is one chunk.  ``chunk`` must not decrease
-along ``order``, and ``order`` must be unique within a key.
+along ``order`` (a chunk that begins before the one ahead of it ends is an
+error), and ``order`` must be unique within a key.  Null keys are a key of
+their own, and a null chunk comes first, as null orders do.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,13 +28,24 @@ def _order_key(order: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
 
-def _carry(df, keys, chunk, summary, carried):
+def _carry(df, keys, chunk, order, summary, carried):
     """Attach to every row the values its chunk receives from its neighbours."""
     rows = df.withColumn(_CHUNK, chunk)
-    chunks = rows.groupBy(*keys, _CHUNK).agg(*summary)
+    ends = [F.min(order[0]).alias("__low"), F.max(order[0]).alias("__high")]
+    chunks = rows.groupBy(*keys, _CHUNK).agg(*summary, *ends)
     by_chunk = Window.partitionBy(*keys).orderBy(_CHUNK)
-    received = chunks.select(*keys, _CHUNK, *carried(by_chunk))
-    return rows.join(received, [*keys, _CHUNK])
+    late = F.lag("__high").over(by_chunk) > F.col("__low")
+    received = chunks.select(*keys, _CHUNK, *carried(by_chunk), late.alias("__late"))
+    message = F.lit(f"the chunks decrease along {order[0]}")
+    received = received.where(F.when(F.col("__late"), F.raise_error(message).cast("boolean")).otherwise(True)).drop("__late")
+    return _joined(rows, received, [*keys, _CHUNK])
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which null meets null."""
+    right = right.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys])
+    return left.join(right, same).drop(*[f"__of_{k}" for k in keys])
 
 
 def _local(keys, order) -> Window:
@@ -47,7 +62,7 @@ def shifted(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     names = list(columns)
     edge = F.struct(*names)
     out = _carry(
-        df, keys, chunk,
+        df, keys, chunk, order,
         [pick(edge, _order_key(order)).alias("__edge")],
         lambda w: [(F.lead if forward else F.lag)("__edge").over(w).alias("__edge")],
     )
@@ -69,7 +84,7 @@ def fill_forward(df: DataFrame, keys: list[str], order: list[str], chunk: Column
         before = w.rowsBetween(Window.unboundedPreceding, -1)
         return [F.last(f"__in_{t}", ignorenulls=True).over(before).alias(f"__in_{t}") for t in columns.values()]
 
-    out = _carry(df, keys, chunk, summary, carried)
+    out = _carry(df, keys, chunk, order, summary, carried)
     w = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     for c, t in columns.items():
         out = out.withColumn(t, F.coalesce(F.last(c, ignorenulls=True).over(w), F.col(f"__in_{t}")))
@@ -85,7 +100,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
         before = w.rowsBetween(Window.unboundedPreceding, -1)
         return [F.coalesce(F.sum(f"__in_{t}").over(before), F.lit(0)).alias(f"__in_{t}") for t in columns.values()]
 
-    out = _carry(df, keys, chunk, summary, carried)
+    out = _carry(df, keys, chunk, order, summary, carried)
     w = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     for c, t in columns.items():
         out = out.withColumn(t, F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"__in_{t}"))

@@ -305,7 +305,7 @@ def expanding_sum(spark, sf):
     from contestlake.operators import scan
 
     d = events(spark, sf).groupBy(F.col("user_id").alias("member"), F.to_date("ts").alias("day")).agg(F.sum(cents(F.col("value"))).alias("cents"))
-    return scan.running_sum(d, ["member"], ["day"], F.month("day"), {"cents": "so_far"})
+    return scan.running_sum(d, ["member"], ["day"], F.year("day") * 12 + F.month("day"), {"cents": "so_far"})
 
 
 @query("upsert_idempotent", """

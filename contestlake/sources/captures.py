@@ -343,22 +343,13 @@ def draft(lines: DataFrame, teams: list[str]) -> tuple[DataFrame, DataFrame]:
     return picks, rows.where(~fine).select(*lines.columns)
 
 
-def news(lines: DataFrame, body_limit: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """Blocks of player line, headline, byline and ``(age) body`` lines.
-
-    ``body_limit`` is the width of the stored body; the 4000 characters on top
-    leave room for headline, byline and age.
-    """
+def news(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of player line, headline, byline and ``(age) body`` lines; bodies are kept whole."""
     text = F.trim("line")
     rows = lines.select(*lines.columns, text.alias("text"), F.when(_is_player(text), F.struct(*ORDER)).alias("p"))
     rows = scan.fill_forward(rows, ["path"], ORDER, F.col("blk"), {"p": "head"}).where(F.col("head").isNotNull())
-    # Only lines that can still reach the stored body are gathered, so a block
-    # without a next header never piles up in one row.
-    rows = rows.withColumn("size", F.length("text").cast("long")).withColumn("hb", F.col("head.blk")).withColumn("hp", F.col("head.pos"))
-    rows = scan.running_sum(rows, ["path", "hb", "hp"], ORDER, F.col("blk"), {"size": "before"}, inclusive=False)
     at = F.struct(*ORDER)
-    blocks = rows.where(F.col("before") <= body_limit + 4000).groupBy("path", "head").agg(
-        F.array_sort(F.collect_list(F.struct(at.alias("at"), "text"))).alias("l"))
+    blocks = rows.groupBy("path", "head").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), "text"))).alias("l"))
     line = lambda i: F.get("l", F.lit(i))["text"]
     by = F.lower(F.coalesce(line(2), F.lit(""))).startswith("by ")
     rest = F.transform(F.slice("l", F.when(by, 4).otherwise(3), F.size("l")), lambda x: x["text"])
@@ -368,6 +359,6 @@ def news(lines: DataFrame, body_limit: int = 2000) -> tuple[DataFrame, DataFrame
     aged = r"^\(([^)]+)\)\s*"
     out = blocks.select(
         "path", *ORDER, "line", *_player(F.col("line")), "headline", F.regexp_extract("b", aged, 1).alias("age_text"),
-        F.substring(F.regexp_replace("b", aged, ""), 1, body_limit).alias("body"))
+        F.regexp_replace("b", aged, "").alias("body"))
     fine = F.contains("headline", F.lit(":"))
     return out.where(fine).drop("line"), out.where(~fine).select("path", *ORDER, "line")

@@ -372,3 +372,31 @@ def test_shadow_portfolio_against_loop(spark):
             roster.update({m: None for m in new})
             want |= {(p, e, m) for m in roster}
     assert got == want
+
+
+def test_running_sum_keeps_null_keys_and_goes_on_across_a_year_end(spark):
+    from contestlake.operators import scan
+
+    days = [("m", date(2023, 12, 30)), ("m", date(2023, 12, 31)), ("m", date(2024, 1, 1)), (None, date(2024, 1, 1)), (None, date(2024, 1, 2)), ("m", None)]
+    rows = spark.createDataFrame([(k, d, 1) for k, d in days], "k string, day date, n long")
+    chunk = F.year("day") * 12 + F.month("day")
+    got = scan.running_sum(rows, ["k"], ["day"], chunk, {"n": "so_far"}).collect()
+    assert {(r.k, r.day, r.so_far) for r in got} == {
+        ("m", None, 1), ("m", date(2023, 12, 30), 2), ("m", date(2023, 12, 31), 3), ("m", date(2024, 1, 1), 4),
+        (None, date(2024, 1, 1), 1), (None, date(2024, 1, 2), 2)}
+
+
+def test_scans_refuse_chunks_that_go_back(spark):
+    from contestlake.operators import scan
+
+    rows = spark.createDataFrame([("m", date(2023, 12, 30), 1), ("m", date(2024, 1, 1), 1)], "k string, day date, n long")
+    with pytest.raises(Exception, match="chunks decrease"):
+        scan.running_sum(rows, ["k"], ["day"], F.month("day"), {"n": "so_far"}).collect()
+
+
+def test_neighbours_of_nothing(spark):
+    from contestlake.operators import graphs
+
+    rows = spark.createDataFrame([(1, [0.0, 0.0])], "id long, v array<double>")
+    assert graphs.knn_edges(rows, "id", "v").count() == 0
+    assert graphs.knn_edges(rows.limit(0), "id", "v").columns == ["source", "target", "sim", "rank"]
