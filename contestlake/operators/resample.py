@@ -87,16 +87,15 @@ def factor(correlation: DataFrame, metrics: list[str]) -> list[list[float]]:
         return lower("scaled").tolist()
 
 
-def uniform(*parts: Column) -> Column:
-    """Uniform number in (0, 1) from the first 52 bits of a hash."""
-    digits = F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 13)
-    return (F.conv(digits, 16, 10).cast("long").cast("double") + 0.5) / float(2**52)
+def uniform(digest: Column, start: int) -> Column:
+    """Number in (0, 1) from 13 hex digits of a digest."""
+    return (F.conv(F.substring(digest, start, 13), 16, 10).cast("double") + 0.5) / 2.0**52
 
 
 def normal(*parts: Column) -> Column:
-    """Standard normal by Box-Muller on two hashed uniforms."""
-    radius = F.sqrt(-2.0 * F.log(uniform(*parts, F.lit("u"))))
-    return radius * F.cos(2.0 * math.pi * uniform(*parts, F.lit("v")))
+    """Standard normal by Box-Muller; both uniforms come from one hash of the parts."""
+    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    return F.sqrt(-2.0 * F.log(uniform(digest, 1))) * F.cos(2.0 * math.pi * uniform(digest, 17))
 
 
 def draw_params(components: DataFrame, projected: DataFrame, metrics: list[Metric], as_of: int, left: int,

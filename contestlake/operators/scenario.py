@@ -1,10 +1,9 @@
 """What-if valuation: re-rank the field under roster changes.
 
 A scenario touches one or a few entities; everyone else keeps the values of
-the base board, which has the size entities by metrics.  Every touched value
-is compared with the board by a broadcast join on the metric and the scores
-are summed per scenario, so all scenarios are one job and nothing but the
-summed scores is shuffled.
+the base board, which has the size entities by metrics.  The board travels as
+one array, and every touched value counts inside its row whom it beats, so all
+scenarios are one job without a shuffle of their own.
 
 Inputs come from ``standings.rate_inputs``: entity with ``x_ytd`` and
 ``x_recent`` per component.  Deltas are weekly component flows.
@@ -42,7 +41,7 @@ def signed_values(metrics: list[Metric], ytd, recent, delta, played: int, left:
 
 def settled(df: DataFrame) -> DataFrame:
     """Write a small shared input once; every valuation step reads it again."""
-    return cut_lineage(df.coalesce(1))
+    return cut_lineage(df)
 
 
 def base_board(inputs: DataFrame, metrics: list[Metric], played: int, left: int, weight: float) -> DataFrame:
@@ -59,30 +58,40 @@ def _versus(mine: Column, other: Column) -> Column:
     return F.when(mine > other, 1.0).when(mine == other, 0.5).otherwise(0.0)
 
 
-def _among_touched(touched: Column, me: Column, count: int) -> Column:
-    """Scores of one touched entity against the other touched ones."""
-    rivals = F.filter(touched, lambda t: t["entity"] != me["entity"])
+def _score(mine: Column, rivals: Column, count: int) -> Column:
+    """Rivals that one entity beats (ties count half), over all metrics."""
     return F.aggregate(rivals, F.lit(0.0), lambda acc, t: acc + reduce(
-        lambda x, i: x + _versus(me["v"][i], t["v"][i]), range(count), F.lit(0.0)))
+        lambda x, i: x + _versus(mine[i], t["v"][i]), range(count), F.lit(0.0)))
+
+
+def field_of(board: DataFrame) -> Column:
+    """The board as one array, an entry per entity; a row then finds its points without a join."""
+    return board.agg(F.array_sort(F.collect_list(F.struct("entity", "points", "v")))).scalar()
+
+
+def changes(touched: Column, field: Column, count: int) -> Column:
+    """Per touched entity (entity, before, after, change); entities that the board lacks are left out."""
+    ids = F.transform(touched, lambda t: t["entity"])
+    still = F.filter(field, lambda f: ~F.array_contains(ids, f["entity"]))
+
+    def one(t):
+        others = F.filter(touched, lambda o: o["entity"] != t["entity"])
+        after = _score(t["v"], still, count) + _score(t["v"], others, count) + float(count)
+        before = F.get(F.filter(field, lambda f: f["entity"] == t["entity"]), F.lit(0))["points"]
+        return F.struct(t["entity"].alias("entity"), before.alias("before"), after.alias("after"), (after - before).alias("change"))
+
+    return F.filter(F.transform(touched, one), lambda c: c["before"].isNotNull())
 
 
 def value_touched(rows: DataFrame, board: DataFrame, count: int) -> DataFrame:
     """Points of every entity in ``touched``: entity, before, after, change.
 
-    All other columns of ``rows`` together name the scenario.
+    All other columns of ``rows`` together name the scenario.  Nothing is
+    shuffled: the board is as long as there are entities.
     """
     keys = [c for c in rows.columns if c != "touched"]
-    cores = max(8, rows.sparkSession.sparkContext.defaultParallelism)
-    rows = rows.repartition(cores, *keys)
-    each = rows.select(*keys, "touched", F.explode("touched").alias("t"))
-    each = each.select(*keys, F.transform("touched", lambda t: t["entity"]).alias("ids"), F.col("t.entity").alias("entity"),
-                       _among_touched(F.col("touched"), F.col("t"), count).alias("inside"), F.posexplode("t.v").alias("i", "value"))
-    field = board.select(F.col("entity").alias("other"), F.posexplode("v").alias("i", "other_value"))
-    met = each.join(F.broadcast(field), "i")
-    score = F.when(F.array_contains("ids", F.col("other")), 0.0).otherwise(_versus(F.col("value"), F.col("other_value")))
-    after = met.groupBy(*keys, "entity").agg((F.sum(score) + F.first("inside") + float(count)).alias("after"))
-    out = after.join(F.broadcast(board.select("entity", F.col("points").alias("before"))), "entity")
-    return out.select(*keys, "entity", "before", "after", (F.col("after") - F.col("before")).alias("change"))
+    rows = rows.withColumn("__field", field_of(board))
+    return rows.select(*keys, F.explode(changes(F.col("touched"), F.col("__field"), count)).alias("c")).select(*keys, "c.*")
 
 
 def evaluate_scenarios(inputs: DataFrame, deltas: DataFrame, metrics: list[Metric], played: int, left: int,
@@ -97,7 +106,7 @@ def evaluate_scenarios(inputs: DataFrame, deltas: DataFrame, metrics: list[Metri
     flows = deltas.groupBy("scenario", "entity").agg(*[F.sum(c).alias(c) for c in names])
     board = base_board(inputs, metrics, played, left, weight)
     v = signed_values(metrics, lambda c: F.col(f"{c}_ytd"), lambda c: F.col(f"{c}_recent"), F.col, played, left, weight)
-    rows = flows.join(F.broadcast(inputs), "entity").select("scenario", "entity", v.alias("v"))
+    rows = flows.join(inputs, "entity").select("scenario", "entity", v.alias("v"))
     touched = rows.groupBy("scenario").agg(F.array_sort(F.collect_list(F.struct("entity", "v"))).alias("touched"))
     return value_touched(touched, board, len(metrics))
 
@@ -111,7 +120,7 @@ def member_marginal(inputs: DataFrame, flows: DataFrame, metrics: list[Metric],
     names = component_names(metrics)
     inputs = settled(inputs)
     board = base_board(inputs, metrics, played, left, weight)
-    rows = flows.join(F.broadcast(inputs), "entity")
+    rows = flows.join(inputs, "entity")
     v = signed_values(metrics, lambda c: F.col(f"{c}_ytd"), lambda c: F.col(f"{c}_recent"), lambda c: -F.col(c), played, left, weight)
     touched = rows.select("member", *[c for c in flows.columns if c not in ("member", "entity", *names)],
                           F.array(F.struct("entity", v.alias("v"))).alias("touched"))
@@ -128,7 +137,7 @@ def quality(weights: dict[str, float]) -> Column:
 
 
 def _ours(rosters: DataFrame, us, names: list[str]) -> Column:
-    """Our roster as one array; a roster has a fixed number of places."""
+    """Our roster as one array: the members of one entity."""
     item = F.struct("member", "quality", *names)
     return rosters.where(F.col("entity") == us).agg(F.array_sort(F.collect_list(item))).scalar()
 
@@ -137,7 +146,7 @@ def _swap_rows(rows: DataFrame, inputs: DataFrame, us, metrics, played, left, we
     """New values of both sides per variant; a variant maps to (send, receive)."""
     mine = inputs.select([F.col(c).alias(f"us_{c}") for c in inputs.columns])
     kind = inputs.schema["entity"].dataType
-    rows = rows.withColumn("us_entity", F.lit(us).cast(kind)).join(F.broadcast(mine), "us_entity").join(F.broadcast(inputs), "entity")
+    rows = rows.withColumn("us_entity", F.lit(us).cast(kind)).join(mine, "us_entity").join(inputs, "entity")
 
     def vals(prefix, delta):
         return signed_values(metrics, lambda c: F.col(f"{prefix}{c}_ytd"), lambda c: F.col(f"{prefix}{c}_recent"), delta,
@@ -149,23 +158,28 @@ def _swap_rows(rows: DataFrame, inputs: DataFrame, us, metrics, played, left, we
             F.struct(F.col("entity"), vals("", lambda c, s=send, r=receive: s(c) - r(c)).alias("v"))).alias("touched"))
         for name, (send, receive) in flows.items()
     ]
-    return rows.withColumn("s", F.explode(F.array(*sides)))
+    return rows.withColumn("sides", F.array(*sides))
+
+
+def _gains(rows: DataFrame, board: DataFrame, us, variants: list[str], count: int) -> DataFrame:
+    """Change of our and their points per swap and variant, inside the row."""
+    rows = rows.withColumn("__field", field_of(board))
+    for k, name in enumerate(variants):
+        rows = rows.withColumn(f"__{name}", changes(F.col("sides")[k]["touched"], F.col("__field"), count))
 
+    def gain(name, ours):
+        side = F.filter(f"__{name}", lambda c: c["entity"] == us if ours else c["entity"] != us)
+        return F.get(side, F.lit(0))["change"].alias(("ours" if ours else "theirs") + ("" if name == "full" else f"_{name}"))
 
-def _gains(rows: DataFrame, us, keys: list[str]) -> DataFrame:
-    """Change of our and their points per swap and variant."""
-    mine = F.col("entity") == us
-    gain = lambda side, v: F.max(F.when(side & (F.col("variant") == v), F.col("change")))
-    return rows.groupBy(*keys).agg(
-        gain(mine, "full").alias("ours"), gain(~mine, "full").alias("theirs"), gain(mine, "damped").alias("ours_damped"))
+    named = [gain(name, ours) for name in variants for ours in (True, False)]
+    return rows.select("*", *named).drop("sides", "__field", *[f"__{name}" for name in variants])
 
 
 def scan_swaps(inputs: DataFrame, rosters: DataFrame, us, metrics: list[Metric], played: int, left: int,
                weight: float = 0.35, damp: float = 0.8, per_target: int = 2, top: int = 12) -> DataFrame:
     """One-for-one swaps with every rival, graded and capped per target.
 
-    ``rosters``: entity, member, quality and weekly components, at most a
-    roster's places per entity.  A win that dies when the target produces
+    ``rosters``: entity, member, quality and weekly components, whole.  A win that dies when the target produces
     ``damp`` of its rate is marked fragile.
     """
     names = component_names(metrics)
@@ -175,11 +189,10 @@ def scan_swaps(inputs: DataFrame, rosters: DataFrame, us, metrics: list[Metric],
     send = lambda c: F.col("give")[c]
     rows = _swap_rows(pairs, inputs, us, metrics, played, left, weight, {
         "full": (send, F.col), "damped": (send, lambda c: F.col(c) * damp)})
-    keys = ["rival", "give", "get", "q_give", "q_get"]
     rows = rows.select(
         F.col("entity").alias("rival"), F.col("give.member").alias("give"), F.col("member").alias("get"),
-        F.col("give.quality").alias("q_give"), F.col("quality").alias("q_get"), "s.variant", "s.touched")
-    valued = _gains(value_touched(rows, board, len(metrics)), us, keys)
+        F.col("give.quality").alias("q_give"), F.col("quality").alias("q_get"), "sides")
+    valued = _gains(rows, board, us, ["full", "damped"], len(metrics)).drop("theirs_damped")
     tier = acceptance_tier(F.col("ours"), F.col("theirs"), F.col("q_give"), F.col("q_get"))
     out = valued.withColumn("tier", tier).where(F.col("tier").isNotNull())
     out = out.withColumn("fragile", F.col("ours_damped") <= 0).drop("ours_damped")
@@ -200,10 +213,9 @@ def scan_two_for_one(inputs: DataFrame, rosters: DataFrame, us, metrics: list[Me
     rows = rows.where(F.col("g1.quality") + F.col("g2.quality") >= F.col("quality") * floor)
     send = lambda c: F.col("g1")[c] + F.col("g2")[c]
     rows = _swap_rows(rows, inputs, us, metrics, played, left, weight, {"full": (send, F.col)})
-    keys = ["rival", "give1", "give2", "get"]
     rows = rows.select(F.col("entity").alias("rival"), F.col("g1.member").alias("give1"), F.col("g2.member").alias("give2"),
-                       F.col("member").alias("get"), "s.variant", "s.touched")
-    valued = _gains(value_touched(rows, board, len(metrics)), us, keys).drop("ours_damped")
+                       F.col("member").alias("get"), "sides")
+    valued = _gains(rows, board, us, ["full"], len(metrics))
     out = valued.where((F.col("ours") > 0) & (F.col("theirs") >= -0.5))
     order = [(F.col("ours") + F.least(F.col("theirs"), F.lit(0.0))).desc(), F.asc("get"), F.asc("give1"), F.asc("give2")]
     return ranking.top_k(out, ["get"], order, per_target).drop("rank").orderBy(*order).limit(top)

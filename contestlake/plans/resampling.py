@@ -12,7 +12,7 @@ from contestlake.plans import standings as P
 from contestlake.plans.registry import query, rnd
 
 CODES = [m.code for m in L.METRICS]
-DRAWS = 400
+DRAWS = 5000
 SEED = 2026
 LEFT = L.PERIODS - L.AS_OF
 
@@ -51,12 +51,13 @@ def _sql_draws() -> str:
                 low.append(f"(a{i}{j}{done})/l{j}{j} AS l{i}{j}")
     ok = "least(" + ",".join(f"r.p{i}" for i in range(k)) + ")>0"
     pick = ", ".join(f"CASE WHEN {ok} THEN r.l{i}{j} ELSE s.l{i}{j} END AS l{i}{j}" for i in range(k) for j in range(i + 1))
-    uni = "(cast(('0x'||substr(md5({k}),1,13)) AS bigint)+cast(0.5 AS double))/cast(4503599627370496 AS double)"
+    def uni(key, start):
+        return (f"(cast(('0x'||substr(md5({key}),{start},13)) AS bigint)+cast(0.5 AS double))"
+                "/cast(4503599627370496 AS double)")
 
     def norm(tail):
-        key = f"'{SEED}:'||draw||':'||entity||':{tail}"
-        return (f"sqrt(-2.0*ln({uni.format(k=key + chr(58) + 'u' + chr(39))}))"
-                f"*cos(2.0*pi()*{uni.format(k=key + chr(58) + 'v' + chr(39))})")
+        key = f"'{SEED}:'||draw||':'||entity||':{tail}'"
+        return f"sqrt(-2.0*ln({uni(key, 1)}))*cos(2.0*pi()*{uni(key, 17)})"
 
     comps = []
     for c in L.COMPONENTS:

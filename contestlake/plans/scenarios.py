@@ -13,7 +13,6 @@ from contestlake.plans import standings as P
 from contestlake.plans.registry import query, rnd
 
 LEFT = L.PERIODS - L.AS_OF
-ROSTER = 10  # places on a roster
 QUALITY = {"ord": 1.0, "qty": 0.05, "rev": 2e-7, "ret": -0.5}
 N = L.COMPONENTS
 
@@ -30,14 +29,15 @@ def flows(spark, sf):
 
 
 def rosters(spark, sf):
-    return ranking.top_k(flows(spark, sf), ["entity"], [F.desc("quality"), F.asc("member")], ROSTER).drop("rank")
+    """Whole rosters: every customer of a nation."""
+    return flows(spark, sf)
 
 
 _Q = rnd("+".join(["cast(0 AS double)"] + [f"{c}*cast({w} AS double)" for c, w in QUALITY.items()]), 2)
 BASE = P.WITH + ",\ninp AS (" + P._sql_inputs() + "),\nfl0 AS (SELECT c_nationkey AS entity, member, " + ", ".join(
     f"cast(sum({c}) AS double)/60 AS {c}" for c in N) + f""" FROM mp JOIN customer ON c_custkey=member WHERE period<=60 GROUP BY 1,2),
 fl AS (SELECT *, {_Q} AS quality FROM fl0),
-ro AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY quality DESC, member) AS r FROM fl) WHERE r<={ROSTER})
+ro AS (SELECT * FROM fl)
 """
 
 
