@@ -16,7 +16,7 @@ from contestlake.session import cut_lineage
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step: edges (a, b) with a > b."""
+    """One step: edges (a, b) with a > b, some of them twice."""
     if large:
         around = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
     else:
@@ -27,7 +27,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = hung.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = hung.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("c").alias("a"), F.col("m").alias("b")))
-    return out.where("a != b").distinct()
+    return out.where("a != b")
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -45,5 +45,5 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while (state := _state(now)) != before:
         before = state
-        now = cut_lineage(_star(_star(now, True), False))
+        now = cut_lineage(_star(_star(now, True), False).distinct())
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -8,7 +8,7 @@ that can reach the threshold enter the product:
 * a set of ``n`` shingles enters its first ``n - need(n) + extra(n)`` columns;
   two sets over the threshold share ``extra`` of them at least, so pairs with
   fewer are discarded, as are pairs whose sizes alone rule them out;
-* columns with many sets do not list pairs: their sets, sorted by size, are
+* columns with many similar sizes do not list pairs: their sets, sorted by size, are
   chained, which keeps any two that may be similar in one cluster.
 
 Each cluster then multiplies its full rows block by block, and hands on only
@@ -17,6 +17,7 @@ links that connect what was not connected yet.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,16 +27,18 @@ from pyspark.sql import functions as F
 
 from contestlake.llm.bitmaps import bitmap_of, contains
 from contestlake.llm.components import components
-from contestlake.llm.shingles import Words, batches, mix, shingle_sets
+from contestlake.llm.shingles import Words, batches, mix, shingle_sets, spread
 from contestlake.session import cut_lineage
 
 SHINGLE = 5
 PERCENT = 80
 #: Cells of the sketch of shingle counts, and cells sent as one row.
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 SLICE = 1 << 12
-#: A column with more sets than this is chained; pairs are listed below.
-LISTED = 24
+#: A column with more pairs of similar size than this is chained; pairs are listed below.
+LISTED = 600
+#: Rows of an unfinished column that a task keeps before it chains them.
+HELD = 20_000
 #: Bytes of one block of rows in the product.
 BLOCK_BYTES = 16 << 20
 #: Low bits of a column key: whether it is frequent, and part of a frequent one.
@@ -89,7 +92,7 @@ def _profiles(arrow: Arrow) -> Arrow:
         cells = np.minimum(sketch, np.iinfo(np.int32).max).astype(np.int32).reshape(k, SLICE)
         yield pa.record_batch(
             [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-             pa.array(range(k), pa.int32()), pa.array([c.tobytes() for c in cells], pa.binary())],
+             pa.array(range(k), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in cells], pa.binary())],
             names=PROFILE_NAMES)
 
 
@@ -98,7 +101,7 @@ def _frequent(arrow: Arrow) -> Arrow:
     out: dict[int, np.ndarray] = {}
     for b in arrow:
         for s, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            cells = np.frombuffer(counts, dtype=np.int32)
+            cells = np.frombuffer(zlib.decompress(counts), dtype=np.int32)
             out[s] = out[s] + cells if s in out else cells.astype(np.int64)
     bits = []
     for cells in out.values():
@@ -161,14 +164,19 @@ def _pairs(percent: int):
         if not len(key):
             return
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[first, len(key)])
-        each = np.repeat(size, size)
+        column = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+        # Rows are sorted by column and size: similar sizes are a run behind each row.
+        scale = int(n.max()) * 100 + 1
+        last = np.searchsorted(column * scale + n, column * scale + n.astype(np.int64) * 100 // percent, side="right")
+        behind = last - np.arange(len(key)) - 1
+        pairs = np.add.reduceat(behind, first)[column]
         salted = (key & 32) != 0
-        chained = salted | (each > LISTED) | big
-        for d in range(1, min(LISTED, int(size.max())) if len(size) else 1):
-            i = np.flatnonzero(~chained[:-d] & (key[d:] == key[:-d]) & (n[:-d] * 100 >= percent * n[d:]))
-            if len(i):
-                out.append((node[i], node[i + d], n[i], np.ones(len(i), dtype=np.int32)))
+        chained = salted | (pairs > LISTED) | big
+        i = np.flatnonzero(~chained & (behind > 0))
+        if len(i):
+            x = np.repeat(i, behind[i])
+            y = x + 1 + spread(np.zeros(len(i), dtype=np.int64), behind[i])
+            out.append((node[x], node[y], n[x], np.ones(len(x), dtype=np.int32)))
         i = np.flatnonzero(chained[:-1] & (key[1:] == key[:-1]) & (salted[:-1] | (n[:-1] * 100 >= percent * n[1:])))
         if len(i):
             out.append((node[i], node[i + 1], n[i], np.full(len(i), enough, dtype=np.int32)))
@@ -205,7 +213,7 @@ def _pairs(percent: int):
                 key, n, node, last, inside = key[end:], n[end:], node[end:], max(last - end, 0), False
             close(key[:last], n[:last], node[:last], False, out)
             key, n, node = key[last:], n[last:], node[last:]
-            if len(key) > 4 * LISTED:
+            if len(key) > HELD:
                 if key[0] & 32:
                     out.append((key[:1] & ~63, node[:1], np.full(1, -1, np.int32), np.zeros(1, np.int32)))
                 close(key, n, node, True, out)

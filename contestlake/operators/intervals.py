@@ -15,6 +15,7 @@ KEY = ["entity", "member"]
 # What each action does to membership.
 OPENING = ["add", "claim_add", "draft"]
 CLOSING = ["drop"]
+CORRECTED = "trade(corrected)"
 STATUS_MOVES = {"move_to_il": "il", "move_from_il": "active", "move_to_minors": "minors", "move_from_minors": "active"}
 
 
@@ -36,7 +37,7 @@ def membership_moves(actions: DataFrame, order: list[str]) -> DataFrame:
     moves = (
         F.when(kind.isin(*OPENING), F.array(move(F.col("entity"), "open", 0, none)))
         .when(kind.isin(*CLOSING), F.array(move(F.col("entity"), "close", 0, none)))
-        .when(kind == "trade", trade)
+        .when(kind.isin("trade", CORRECTED), trade)
         .when(kind.isin(*STATUS_MOVES), F.array(move(F.col("entity"), "status", 0, F.try_element_at(status, kind))))
         .otherwise(nothing))
     return actions.select("member", "action", *order, F.explode(moves).alias("m")).select(
@@ -44,6 +45,23 @@ def membership_moves(actions: DataFrame, order: list[str]) -> DataFrame:
         F.col("m.step").alias("step"), F.col("m.status").alias("status"))
 
 
+def with_corrections(actions: DataFrame, corrections: DataFrame, order: list[str], at: str) -> DataFrame:
+    """The action log with trades that the log itself lacks.
+
+    ``corrections``: member, from_entity, to_entity, effective (a date) and
+    line, their place in the correction log.  They apply at the start of their
+    day, in the order of the log and ahead of the day's own actions: the second
+    order column must be a number, and theirs are negative.
+    """
+    kinds = dict(actions.dtypes)
+    before = (F.col("line").cast("long") - F.lit(1 << 40)).cast(kinds[order[1]])
+    rest = [F.lit(None).cast(kinds[c]).alias(c) for c in order[2:]]
+    moves = corrections.select(
+        "member", F.col("to_entity").alias("entity"), F.col("from_entity").alias("counterparty"), F.lit(CORRECTED).alias("action"),
+        F.col("effective").cast(kinds[at]).alias(at), before.alias(order[1]), *rest)
+    return actions.unionByName(moves, allowMissingColumns=True)
+
+
 def _alternating(moves: DataFrame, order: list[str], chunk: Column) -> DataFrame:
     """Opens and closes flagged by whether they change the state.
 

@@ -79,6 +79,35 @@ def interval_anomalies(spark, sf):
     return I.interval_anomalies(actions(spark, sf), ORDER, "ts")
 
 
+# Trades above 90 are taken out of the log and come back as the lines of a correction log.
+_FIX = "event_type='purchase' AND value>90"
+SQL_CORRECTED = SQL_ACTIONS.replace(
+    "SELECT event_id, ts, user_id", f"SELECT CASE WHEN {_FIX} THEN event_id-1099511627776 ELSE event_id END AS event_id, "
+    f"CASE WHEN {_FIX} THEN date_trunc('day', ts) ELSE ts END AS ts, user_id").replace(
+    "WHEN 'purchase' THEN 'trade'", "WHEN 'purchase' THEN CASE WHEN value>90 THEN 'trade(corrected)' ELSE 'trade' END").replace(
+    "action='trade'", "action IN ('trade','trade(corrected)')")
+
+
+def corrected_log(spark, sf):
+    from contestlake.sources import captures
+
+    log = actions(spark, sf)
+    unlogged = (F.col("action") == "trade") & (F.col("fee") > 9000)
+    line = F.to_json(F.struct(
+        F.lit("trade_unlogged").alias("type"), F.date_format("ts", "yyyy-MM-dd").alias("effective_date"), F.col("member").cast("string").alias("player"),
+        F.col("counterparty").cast("string").alias("from_team"), F.col("entity").cast("string").alias("to_team")))
+    good, _ = captures.corrections(log.where(unlogged).select(F.col("event_id").alias("pos"), line.alias("line")))
+    fixes = good.select(
+        F.col("player").cast("long").alias("member"), F.col("from_team").cast("long").alias("from_entity"),
+        F.col("to_team").cast("long").alias("to_entity"), "effective", F.col("pos").alias("line"))
+    return I.with_corrections(log.where(~unlogged), fixes, ORDER, "ts")
+
+
+@query("corrected_intervals", "WITH " + SQL_CORRECTED + "SELECT entity, member, from_ts, to_ts, via, ended_by, status FROM iv")
+def corrected_intervals(spark, sf):
+    return I.build_intervals(corrected_log(spark, sf), ORDER, "ts")
+
+
 DATES = [datetime(2024, 1, 8), datetime(2024, 1, 15), datetime(2024, 1, 22), datetime(2024, 1, 29)]
 
 

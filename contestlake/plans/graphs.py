@@ -148,7 +148,27 @@ def advice_funnel(spark, sf):
     return decisions(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("shadow_portfolio")
+def _sql_shadow() -> str:
+    """One step per period: new members in, as many weakest original members out."""
+    sql = SC.BASE + f""",
+ad AS (SELECT DISTINCT c_nationkey AS entity, member, period FROM dl JOIN customer ON c_custkey=member
+  WHERE period>{L.AS_OF} AND period<={L.AS_OF + 4} AND rev>50000000),
+r0 AS (SELECT entity, member, quality FROM ro)"""
+    for i in range(1, 5):
+        sql += f""",
+n{i} AS (SELECT entity, member FROM ad WHERE period={L.AS_OF + i} AND NOT EXISTS (SELECT 1 FROM r{i - 1} r WHERE r.entity=ad.entity AND r.member=ad.member)),
+w{i} AS (SELECT entity, count(*) AS wanted FROM n{i} GROUP BY 1),
+k{i} AS (SELECT entity, member, row_number() OVER (PARTITION BY entity ORDER BY quality, member) AS weak FROM r{i - 1} WHERE quality IS NOT NULL),
+r{i} AS MATERIALIZED (SELECT r.entity, r.member, r.quality FROM r{i - 1} r LEFT JOIN k{i} k ON k.entity=r.entity AND k.member=r.member
+  LEFT JOIN w{i} w ON w.entity=r.entity WHERE coalesce(k.weak>w.wanted, true) UNION ALL SELECT entity, member, NULL FROM n{i})"""
+    every = " UNION ALL ".join(f"SELECT entity, member, {L.AS_OF + i} AS period FROM r{i}" for i in range(1, 5))
+    return sql + f""",
+al AS ({every})
+SELECT al.entity, al.period, count(DISTINCT al.member) AS members, cast(sum(coalesce(qty,0)) AS bigint) AS qty, cast(sum(coalesce(ord,0)) AS bigint) AS ord
+FROM al LEFT JOIN mp ON mp.member=al.member AND mp.period=al.period GROUP BY 1,2"""
+
+
+@query("shadow_portfolio", _sql_shadow())
 def shadow_portfolio(spark, sf):
     """Rosters of every nation that follow each adopted new customer."""
     start = SC.rosters(spark, sf).select("entity", "member", "quality")

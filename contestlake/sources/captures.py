@@ -362,3 +362,19 @@ def news(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.regexp_replace("b", aged, "").alias("body"))
     fine = F.contains("headline", F.lit(":"))
     return out.where(fine).drop("line"), out.where(~fine).select("path", *ORDER, "line")
+
+
+def corrections(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hand-kept JSON lines: trades that the transaction log lacks.
+
+    Returns (effective, player, from_team, to_team, pos) and the lines that are
+    no such correction.  ``pos`` keeps the order of the log.
+    """
+    fields = "type string, effective_date string, player string, from_team string, to_team string"
+    rows = lines.where(F.trim("line") != "").withColumn("c", F.from_json("line", fields))
+    day = F.to_date(F.regexp_extract(F.coalesce("c.effective_date", F.lit("")), r"^\d{4}-\d{2}-\d{2}$", 0).try_cast("date"))
+    rows = rows.withColumn("effective", day)
+    whole = F.col("c.player").isNotNull() & F.col("c.from_team").isNotNull() & F.col("c.to_team").isNotNull()
+    fine = F.coalesce((F.col("c.type") == "trade_unlogged") & F.col("effective").isNotNull() & whole, F.lit(False))
+    good = rows.where(fine).select("pos", "effective", "c.player", "c.from_team", "c.to_team")
+    return good, rows.where(~fine).select(*lines.columns)

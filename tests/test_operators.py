@@ -400,3 +400,27 @@ def test_neighbours_of_nothing(spark):
     rows = spark.createDataFrame([(1, [0.0, 0.0])], "id long, v array<double>")
     assert graphs.knn_edges(rows, "id", "v").count() == 0
     assert graphs.knn_edges(rows.limit(0), "id", "v").columns == ["source", "target", "sim", "rank"]
+
+
+def test_a_correction_changes_an_interval(spark):
+    log = spark.createDataFrame(
+        [(1, datetime(2024, 1, 1, 9), 7, 1, "add", None), (2, datetime(2024, 1, 5, 9), 7, 2, "drop", None)],
+        "event_id long, ts timestamp_ntz, member long, entity long, action string, counterparty long")
+    fixes = spark.createDataFrame([(7, 1, 2, date(2024, 1, 5), 0)], "member long, from_entity long, to_entity long, effective date, line long")
+    found = {(r.entity, r.from_ts, r.to_ts, r.via, r.ended_by) for r in intervals.build_intervals(
+        intervals.with_corrections(log, fixes, ["ts", "event_id"], "ts"), ["ts", "event_id"], "ts").collect()}
+    assert found == {
+        (1, datetime(2024, 1, 1, 9), datetime(2024, 1, 5), "add", "trade(corrected)"),
+        (2, datetime(2024, 1, 5), datetime(2024, 1, 5, 9), "trade(corrected)", "drop")}
+    plain = intervals.build_intervals(log, ["ts", "event_id"], "ts").collect()
+    assert [(r.entity, r.to_ts) for r in plain] == [(1, None)]
+
+
+def test_correction_lines(spark):
+    from contestlake.sources import captures
+
+    good = '{"type":"trade_unlogged","effective_date":"2024-01-05","player":"Al Ruiz","from_team":"Beta","to_team":"Alpha"}'
+    bad = ["no json", '{"type":"other"}', good.replace("2024-01-05", "2024-13-45"), good.replace('"player"', '"who"')]
+    rows, rejects = captures.corrections(spark.createDataFrame(list(enumerate([good, "", *bad])), "pos long, line string"))
+    assert [(r.pos, r.effective, r.player, r.from_team, r.to_team) for r in rows.collect()] == [(0, date(2024, 1, 5), "Al Ruiz", "Beta", "Alpha")]
+    assert rejects.count() == 4
