@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from contestlake.llm.bitmaps import bitmap_of, contains
 from contestlake.llm.components import components
-from contestlake.llm.shingles import Words, batches, mix, shingle_sets, spread
+from contestlake.llm.shingles import Words, batches, mix, shingle_sets, spread, text_bytes
 from contestlake.session import cut_lineage
 
 SHINGLE = 5
@@ -67,7 +67,7 @@ def signature(grams: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(batch: pa.RecordBatch, at: str = "text") -> Iterator[np.ndarray]:
-    for texts in batches(t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()):
+    for texts in batches(text_bytes(batch.column(at))):
         yield from shingle_sets(Words(texts), SHINGLE)
 
 
@@ -76,7 +76,7 @@ def _profiles(arrow: Arrow) -> Arrow:
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     for b in arrow:
         ns, sig = [], []
-        for texts in batches(t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()):
+        for texts in batches(text_bytes(b.column("text"))):
             sets = list(shingle_sets(Words(texts), SHINGLE))
             ns += [len(g) for g in sets]
             sig += [signature(g) for g in sets]

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of text handled at a time; a longer text is handled alone.
 BATCH_BYTES = 1 << 20
@@ -61,6 +62,13 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - total + size, size) + np.arange(total[-1] if len(total) else 0)
 
 
+def text_bytes(column: pa.Array, step: int = 512) -> Iterator[bytes]:
+    """UTF-8 bytes of a string column, some rows at a time; a null is empty."""
+    for at in range(0, len(column), step):
+        for t in column.slice(at, step).cast(pa.binary()).to_pylist():
+            yield t or b""
+
+
 def batches(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
     """Runs of texts of about BATCH_BYTES."""
     some, size = [], 0

@@ -269,7 +269,7 @@ def test_a_large_group_of_near_copies(spark):
     rows = []
     for i in range(150):
         w = list(words)
-        for at in rng.integers(0, len(w), 3):
+        for at in rng.integers(0, len(w), 1 + i % 3):
             w[at] = f"edit{i}x{at}"
         rows.append((i, " ".join(w)))
     rows += [(1000 + i, prose(150) + " " + " ".join(words[:60])) for i in range(100)]  # a shared passage links nothing
