@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from contestlake.llm.bitmaps import bitmap_of, contains
 from contestlake.llm.joins import null_safe
-from contestlake.llm.shingles import ALNUM, Words, batches
+from contestlake.llm.shingles import ALNUM, Words, batches, text_bytes
 from contestlake.session import cut_lineage
 
 WINDOW = 10
@@ -91,7 +91,7 @@ def _doc_rows(lengths: list[int], gram: int, bitmap: np.ndarray) -> Callable[[Ba
         for batch in arrow:
             ids, keys = batch.column(0), batch.column(1)
             at = 0
-            for texts in batches(t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()):
+            for texts in batches(text_bytes(batch.column(2))):
                 words = Words(texts, ALNUM)
                 hits: list[list[dict]] = [[] for _ in texts]
                 for length in lengths:

@@ -20,7 +20,7 @@ from contestlake.llm.bitmaps import bitmap_of, contains
 from contestlake.llm.components import components
 from contestlake.llm.jaccard import PERCENT, SHINGLE, signature, verified_links
 from contestlake.llm.joins import null_safe
-from contestlake.llm.shingles import Words, batches, mix
+from contestlake.llm.shingles import Words, batches, mix, text_bytes
 from contestlake.session import cut_lineage
 
 MIN_WORDS = 10
@@ -80,7 +80,7 @@ def _sets(lines: list[bytes], min_words: int) -> Iterator[tuple[int, int, np.nda
 def _rows(batch: pa.RecordBatch, min_words: int) -> Iterator[list[tuple]]:
     """Per run of documents: (row in the batch, paragraph, its shingles); a document opens with (row, None, None)."""
     at = 0
-    for texts in batches(t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()):
+    for texts in batches(text_bytes(batch.column("text"))):
         lines, owner, out = [], [], []
         for k, text in enumerate(texts):
             some = _paragraphs(text.decode("utf-8"))
