@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from contestlake.functions import names
 from contestlake.functions.calendars import Calendar
+from contestlake.operators import joins
 from contestlake.sources import captures, sinks
 
 
@@ -51,55 +52,115 @@ def standing_lines(rows: DataFrame, scope: str, as_of, period=None) -> DataFrame
     return ranking.row_rank(out, ["scope", "period", "metric"], [F.desc("points"), F.asc("team")], "row_rank")
 
 
+def pool_entries(rows: DataFrame, side: str, target, as_of: datetime, identities: DataFrame | None = None) -> DataFrame:
+    """Pool lines with their stats, sent to the member they stand for.
+
+    ``identities`` (uid, strong_id, name, side) routes by strong id, else by
+    name and side; without a hit the member is a hash of the name.
+    """
+    rows = rows.withColumn("side", F.lit(side)).withColumn("name", names.normalize_name(F.col("player")))
+    default = member_uid(F.col("player"))
+    if identities is None:
+        rows = rows.withColumn("uid", default)
+    else:
+        strong = identities.where("strong_id is not null").groupBy("strong_id").agg(F.min("uid").alias("strong_uid"))
+        named = identities.groupBy("name", "side").agg(F.min("uid").alias("named_uid"))
+        rows = joins.routed(rows, strong, named, default)
+    day = str(as_of.date())
+    return rows.select(
+        F.coalesce("strong_id", default).alias("entry"), "side", F.col("uid").alias("member"), "strong_id", "player",
+        F.array_join("positions", ",").alias("positions"), "mlb_team", "avail", "waiver_clear", "rank",
+        F.array_sort(F.map_entries("stats")).alias("stats"), target.alias("period"),
+        F.lit(as_of).alias("observed_at"), F.lit(day).alias("as_of"), F.lit(day).alias("day"))
+
+
+def overall_lines(rows: DataFrame, as_of: datetime) -> DataFrame:
+    """The official overall table, with the rank it states."""
+    return rows.select("rank", "team", "batting", "pitching", "total", F.lit(as_of).alias("as_of"), F.lit(as_of).alias("observed_at"),
+                       F.date_format(F.lit(as_of), "yyyy-MM").alias("month"))
+
+
 def run_ingest(spark: SparkSession, folder: str, warehouse: str, as_of: datetime, teams: list[str], calendar: Calendar,
-               present: set[str]) -> None:
-    """Ingest the files of ``folder`` named in ``present``."""
+               present: set[str], identities: DataFrame | None = None) -> None:
+    """Ingest the files of ``folder`` named in ``present``; a run that fails is recorded as failed."""
     run = f"{folder.rstrip('/').rsplit('/', 1)[-1]}"
     runs = f"{warehouse}/ops_runs"
     sinks.record_run(spark, runs, run, "ingest", "running", as_of)
+    try:
+        _ingest_files(spark, folder, warehouse, as_of, teams, calendar, present, identities, run)
+    except Exception:
+        sinks.record_run(spark, runs, run, "ingest", "failed", as_of)
+        raise
+    sinks.record_run(spark, runs, run, "ingest", "complete", as_of)
+
 
+def _ingest_files(spark, folder, warehouse, as_of, teams, calendar, present, identities, run) -> None:
     def put(name, rows, key, partition):
         sinks.write_upsert(spark, f"{warehouse}/{name}", rows, key, "observed_at", partition)
 
+    def refuse(artifact, rejects):
+        """Lines that were not understood, under the run and file they came from; a second run replaces its own."""
+        rows = rejects.select(F.lit(run).alias("run_id"), F.lit(artifact).alias("artifact"), "line", F.lit(as_of).alias("observed_at"))
+        put("ops_rejects", rows.distinct(), ["run_id", "artifact", "line"], "run_id")
+
     if "transactions_all_raw.txt" in present:
         rows, rejects = captures.sniffed_transactions(lines(spark, folder, "transactions_all_raw.txt"), teams)
         txn, acts = transaction_tables(rows)
         put("ev_txn", txn, ["uid"], "month")
         put("ev_txn_action", acts, ["uid", "idx"], "month")
-        rejects.select(F.lit(run).alias("run_id"), "line").write.mode("append").parquet(f"{warehouse}/ops_rejects")
+        refuse("transactions_all_raw.txt", rejects)
     for kind, file in (("bat", "fa_pool_batters.psv"), ("pit", "fa_pool_pitchers.psv")):
         if file in present:
-            rows, _ = captures.pool(lines(spark, folder, file), kind)
+            rows, rejects = captures.pool(lines(spark, folder, file), kind)
             target = calendar.pool_target(F.lit(as_of.date()))
-            put("snap_pool_entry", rows.select(
-                F.coalesce("strong_id", member_uid(F.col("player"))).alias("entry"), F.lit(kind).alias("side"), member_uid(F.col("player")).alias("member"),
-                "player", F.array_join("positions", ",").alias("positions"), "mlb_team", "avail", "waiver_clear", "rank", "stats", target.alias("period"),
-                F.lit(as_of).alias("observed_at"), F.lit(str(as_of.date())).alias("as_of")).drop("stats").withColumn("day", F.col("as_of")),
-                ["entry", "side", "as_of"], "day")
+            put("snap_pool_entry", pool_entries(rows, kind, target, as_of, identities), ["entry", "side", "as_of"], "day")
+            refuse(file, rejects)
     if "standings_overall.txt" in present:
         rows = captures.standings_text(lines(spark, folder, "standings_overall.txt"))
         put("snap_standing_line", standing_lines(rows, "ytd", as_of).withColumn("month", F.date_format("as_of", "yyyy-MM")),
             ["scope", "as_of", "metric", "team"], "month")
+    if "standings_overall_raw.txt" in present:
+        rows = captures.overall_page(captures.read_lines(spark, f"{folder}/standings_overall_raw.txt"))
+        put("snap_overall_line", overall_lines(rows, as_of), ["as_of", "team"], "month")
     if "standings_byperiod_all.txt" in present:
         rows = captures.by_period(captures.read_lines(spark, f"{folder}/standings_byperiod_all.txt"), teams)
         closed = sinks.closed_only(rows, calendar.end(F.col("period")), as_of.date())
         put("snap_period_line", standing_lines(closed, "period", as_of), ["scope", "period", "metric", "team"], "period")
     if "lineups_all.psv" in present:
-        rows, _ = captures.lineups(lines(spark, folder, "lineups_all.psv"), teams)
+        rows, rejects = captures.lineups(lines(spark, folder, "lineups_all.psv"), teams)
         put("snap_lineup", rows.select("team", "period", "section", "slot", "player", member_uid(F.col("player")).alias("member"),
                                        "strong_id", F.lit(as_of).alias("observed_at")), ["team", "period", "section", "slot", "member"], "period")
+        refuse("lineups_all.psv", rejects)
     if "roster_grid.txt" in present:
         rows = captures.roster_grid(lines(spark, folder, "roster_grid.txt"), teams)
         put("snap_grid_entry", rows.select("team", "slot_group", "label", "status", F.lit(as_of).alias("observed_at"),
                                            F.lit(str(as_of.date())).alias("day")), ["team", "slot_group", "label", "day"], "day")
     if "draft_results.txt" in present:
-        rows, _ = captures.draft(lines(spark, folder, "draft_results.txt"), teams)
+        rows, rejects = captures.draft(lines(spark, folder, "draft_results.txt"), teams)
         put("ev_pick", rows.select("overall", "pick_in_round", "team", "player", member_uid(F.col("player")).alias("member"), "auto", "queued",
                                    F.lit(as_of).alias("observed_at"), "round"), ["round", "overall"], "round")
+        refuse("draft_results.txt", rejects)
     if "player_news_raw.txt" in present:
-        rows, _ = captures.news(lines(spark, folder, "player_news_raw.txt"))
-        put("ev_news", news_items(rows, as_of), ["uid"], "bucket")
-    sinks.record_run(spark, runs, run, "ingest", "complete", as_of)
+        rows, rejects = captures.news(lines(spark, folder, "player_news_raw.txt"))
+        put("ev_news", seen_news(spark, f"{warehouse}/ev_news", news_items(rows, as_of), as_of), ["uid"], "bucket")
+        refuse("player_news_raw.txt", rejects)
+
+
+def seen_news(spark: SparkSession, path: str, items: DataFrame, as_of: datetime) -> DataFrame:
+    """Items with the time they were first seen; ``is_new`` if this capture brought them."""
+    if sinks.exists(spark, path):
+        old = spark.read.schema(items.withColumn("first_seen", F.lit(as_of)).schema).parquet(path)
+        known = old.groupBy("uid").agg(F.min("first_seen").alias("seen_before"))
+        items = items.join(known, "uid", "left")
+    else:
+        items = items.withColumn("seen_before", F.lit(None).cast("timestamp"))
+    first = F.coalesce("seen_before", "observed_at")
+    return items.withColumn("first_seen", first).withColumn("is_new", F.col("first_seen") == F.lit(as_of)).drop("seen_before")
+
+
+def fresh_news(news: DataFrame, as_of: datetime, roster: DataFrame) -> DataFrame:
+    """New items about members of a roster (column ``member``)."""
+    return news.where(F.col("is_new") & (F.col("first_seen") == F.lit(as_of))).join(roster.select("member").distinct(), "member", "left_semi")
 
 
 def news_items(rows: DataFrame, as_of) -> DataFrame:

@@ -70,7 +70,7 @@ def write_upsert(spark: SparkSession, path: str, new: DataFrame, key: list[str],
     """
     from contestlake.session import cut_lineage
 
-    if _exists(spark, path):
+    if exists(spark, path):
         touched = new.select(partition).distinct()
         old = spark.read.schema(new.schema).parquet(path).join(touched, partition, "left_semi")
         new = cut_lineage(merged(old, new, key, stamp))
@@ -80,7 +80,8 @@ def write_upsert(spark: SparkSession, path: str, new: DataFrame, key: list[str],
     new.hint("rebalance", F.col(partition)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written at ``path``."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
@@ -92,7 +93,7 @@ def record_run(spark: SparkSession, path: str, run_id: str, job: str, status: st
 
 def last_runs(runs: DataFrame) -> DataFrame:
     """Latest status of every run; a run left at ``running`` never finished."""
-    order = F.struct("at", (F.col("status") == "complete").cast("int"))
+    order = F.struct("at", (F.col("status") != "running").cast("int"))
     return runs.groupBy("run_id").agg(F.max_by("status", order).alias("status"), F.max("at").alias("at"))
 
 

@@ -4,6 +4,7 @@ import json
 import os
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from contestlake.functions.calendars import Calendar
@@ -219,3 +220,42 @@ def test_ingest_twice_is_once(spark, folder):
     # Fees are not multiplied by the actions of a transaction.
     fees = spark.read.parquet(f"{lake}/ev_txn").groupBy("team").agg(F.sum("cost").alias("c"))
     assert {r.team: r.c for r in fees.collect()}["Beta"] == 2.5
+
+
+def test_ingest_keeps_what_the_files_say(spark, folder):
+    """Stats, stated ranks, rejects by file, first sightings, routed members; read back from the tables."""
+    lake = f"{folder}/lake"
+    cal = Calendar(date(2026, 3, 25), date(2026, 3, 30), 27)
+    stats = "|".join(str(i) for i in range(15))
+    news = "Al Ruiz OF • NYY\nClub's Al: Hurt\nby Staff\n(2 hrs ago) out 4-to-6 weeks\n"
+    more = news + "Bo Diaz C • LAD\nClub's Bo: Back\nby Staff\n(1 hr ago) plays\n"
+    top = "1\tBeta\t40\t30\t70\t0\tx\n2\tAlpha Dogs\t30\t20.5\t50.5\t0\tx\nBatting Breakdown\n"
+    ids = spark.createDataFrame([("M1", "77", "x", "bat"), ("M2", None, "bo diaz", "bat")], "uid string, strong_id string, name string, side string")
+    for day, text in ((2, news), (3, more), (3, more)):
+        at = f"{folder}/2026-08-0{day}"
+        os.makedirs(at, exist_ok=True)
+        put(at, "player_news_raw.txt", text)
+        put(at, "fa_pool_batters.psv", f"77||FA|Al Ruiz OF • NYY|{stats}|12\n||FA|Bo Diaz OF • NYY|{stats}|13\nbroken line\n")
+        put(at, "standings_overall_raw.txt", top, False)
+        ingest.run_ingest(spark, at, lake, datetime(2026, 8, day, 12), TEAMS, cal, set(os.listdir(at)), ids)
+    table = lambda t: spark.read.parquet(f"{lake}/{t}")
+    pool = {(r.player, str(r.day)): r for r in table("snap_pool_entry").collect()}
+    assert len(pool) == 4
+    assert {pool["Al Ruiz", "2026-08-03"].member, pool["Bo Diaz", "2026-08-03"].member} == {"M1", "M2"}
+    assert sorted(e.value for e in pool["Al Ruiz", "2026-08-02"].stats) == [float(i) for i in range(15)]
+    assert {(r.rank, r.team, r.total) for r in table("snap_overall_line").where("day(as_of) = 3").collect()} == {(1, "Beta", 70.0), (2, "Alpha Dogs", 50.5)}
+    found = {r.headline: r for r in table("ev_news").collect()}
+    assert [(found[h].first_seen.day, found[h].is_new) for h in ("Club's Al: Hurt", "Club's Bo: Back")] == [(2, False), (3, True)]
+    roster = table("ev_news").select("member").distinct()
+    assert [r.headline for r in ingest.fresh_news(table("ev_news"), datetime(2026, 8, 3, 12), roster).collect()] == ["Club's Bo: Back"]
+    assert {(str(r.run_id), r.artifact, r.line) for r in table("ops_rejects").collect()} == {
+        (f"2026-08-0{d}", "fa_pool_batters.psv", "broken line") for d in (2, 3)}
+
+
+def test_a_failed_run_is_recorded(spark, folder):
+    day, lake = f"{folder}/2026-08-02", f"{folder}/lake"
+    os.makedirs(day)
+    cal = Calendar(date(2026, 3, 25), date(2026, 3, 30), 27)
+    with pytest.raises(Exception):
+        ingest.run_ingest(spark, day, lake, datetime(2026, 8, 2, 12), TEAMS, cal, {"roster_grid.txt"})
+    assert [r.status for r in sinks.last_runs(spark.read.parquet(f"{lake}/ops_runs")).collect()] == ["failed"]
