@@ -96,23 +96,34 @@ def manager_mart(spark, sf):
         "injured": now.where(F.col("status") == "il").groupBy(key).agg(count)})
 
 
-@query("ops_mart", """
-SELECT 'rows' AS section, 'orders' AS key, cast(count(*) AS double) AS value FROM orders UNION ALL SELECT 'rows','lineitem',cast(count(*) AS double) FROM lineitem UNION ALL SELECT 'rows','events',cast(count(*) AS double) FROM events
-UNION ALL SELECT 'rows','documents',cast(count(*) AS double) FROM documents
+# Relation: child table and key, parent table and key; children without a parent are counted.
+ORPHANS = {
+    "orders_without_lines": ("orders", "o_orderkey", "lineitem", "l_orderkey"),
+    "lines_without_order": ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+    "orders_without_customer": ("orders", "o_custkey", "customer", "c_custkey"),
+    "lines_without_part": ("lineitem", "l_partkey", "part", "p_partkey"),
+    "labels_without_document": ("labels", "doc_id", "documents", "doc_id"),
+}
+
+_OPS = [f"SELECT 'rows' AS section, '{t}' AS key, cast(count(*) AS double) AS value FROM {t}" for t in R.TABLES]
+_OPS += [f"SELECT 'orphans','{name}',cast(count(*) AS double) FROM {a} x WHERE NOT EXISTS (SELECT 1 FROM {b} y WHERE y.{kb}=x.{ka})"
+         for name, (a, ka, b, kb) in ORPHANS.items()]
+
+
+@query("ops_mart", "\nUNION ALL ".join(_OPS) + """
 UNION ALL SELECT 'age_minutes', event_type, cast(date_sub('second', max(ts), TIMESTAMP '2024-01-31 00:10:00') AS double)/60.0 FROM events GROUP BY event_type
-UNION ALL SELECT 'orphans','orders_without_lines',cast(count(*) AS double) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
 UNION ALL SELECT 'labels', 'toxic', cast(sum(toxic) AS double) FROM labels""")
 def ops_mart(spark, sf):
     t = lambda n: L.table(spark, sf, n)
     rows = None
-    for name in ("orders", "lineitem", "events", "documents"):
+    for name in R.TABLES:
         one = t(name).agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("key"), "value")
         rows = one if rows is None else rows.unionByName(one)
     now = F.lit(datetime(2024, 1, 31, 0, 10)).cast("timestamp_ntz")
     age = t("events").groupBy(F.col("event_type").alias("key")).agg(F.max("ts").alias("seen")).select(
         "key", (F.timestamp_diff("SECOND", "seen", now) / 60.0).alias("value"))
-    lost = J.orphan_counts({"orders_without_lines": (
-        t("orders").select(F.col("o_orderkey").alias("k")), t("lineitem").select(F.col("l_orderkey").alias("k")), ["k"])})
+    lost = J.orphan_counts({name: (t(a).select(F.col(ka).alias("k")), t(b).select(F.col(kb).alias("k")), ["k"])
+                            for name, (a, ka, b, kb) in ORPHANS.items()})
     toxic = t("labels").agg(F.sum("toxic").alias("value")).select(F.lit("toxic").alias("key"), "value")
     return M.labelled({"rows": rows, "age_minutes": age, "orphans": lost.select(F.col("relation").alias("key"), F.col("orphans").alias("value")), "labels": toxic})
 

@@ -167,18 +167,20 @@ def parse_by_period(spark, sf):
 
 @query("parse_standings_page", P.WITH + """
 , v AS (""" + L.sql_metrics("comp", "entity, period") + """), b AS (SELECT *, """ + L.sql_points("period, metric") + """ AS points FROM v)
-SELECT CASE WHEN metric IN ('DISC','PPU') THEN 'PITCHING' ELSE 'BATTING' END AS side, metric, 'T'||entity AS team, value, points FROM b WHERE period=60""")
+SELECT period, CASE WHEN metric IN ('DISC','PPU') THEN 'PITCHING' ELSE 'BATTING' END AS side, metric, 'T'||entity AS team, value, points FROM b""")
 def parse_standings_page(spark, sf):
-    body = _board(spark, sf).where(F.col("period") == 60)
+    """One page per period."""
+    body = _board(spark, sf)
     order = F.array_position(F.array(*[F.lit(m.code) for m in L.METRICS]), F.col("metric"))
-    rows = body.select((order * 100 + 10 + F.col("entity")).alias("pos"), F.concat_ws(
+    rows = body.select("period", (order * 100 + 10 + F.col("entity")).alias("pos"), F.concat_ws(
         "\t", F.concat(F.lit("T"), F.col("entity").cast("string")), "value", "points", F.lit("0")).alias("line"))
-    heads = body.select((order * 100).alias("pos"), F.concat_ws("\t", F.lit("TEAM"), "metric", F.lit("PTS"), F.lit("DIF")).alias("line")).distinct()
-    sides = body.select(F.when(F.col("metric").isin("DISC", "PPU"), 499).otherwise(1).cast("long").alias("pos"), F.when(
+    heads = body.select("period", (order * 100).alias("pos"), F.concat_ws("\t", F.lit("TEAM"), "metric", F.lit("PTS"), F.lit("DIF")).alias("line")).distinct()
+    sides = body.select("period", F.when(F.col("metric").isin("DISC", "PPU"), 499).otherwise(1).cast("long").alias("pos"), F.when(
         F.col("metric").isin("DISC", "PPU"), "Pitching Breakdown").otherwise("Batting Breakdown").alias("line")).distinct()
     lines = rows.unionByName(heads).unionByName(sides).select(
-        F.lit("page").alias("path"), F.floor(F.col("pos") / 100).alias("blk"), "pos", "line")
-    return C.standings_page(lines).drop("path")
+        F.concat(F.lit("page-"), F.col("period").cast("string")).alias("path"), F.floor(F.col("pos") / 100).alias("blk"), "pos", "line")
+    out = C.standings_page(lines)
+    return out.select(F.substring_index("path", "-", -1).cast("int").alias("period"), "side", "metric", "team", "value", "points")
 
 
 @query("parse_lineups", f"""

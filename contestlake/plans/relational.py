@@ -210,13 +210,14 @@ def return_time_text(spark, sf):
 
 
 @query("resource_pace", """
-SELECT c_custkey AS member, CASE WHEN c_custkey%5<>0 THEN c_acctbal END AS used, CASE WHEN c_custkey%5<>0 THEN cast(c_custkey%1500 AS double) END AS pace_final,
- CASE WHEN c_custkey%5<>0 THEN 1300.0-c_custkey%1500 END AS headroom, CASE WHEN c_custkey%5<>0 THEN c_custkey%1500>=1000 END AS reaches_floor FROM customer WHERE c_acctbal>=0""")
+SELECT c_custkey AS member, CASE WHEN ok THEN c_acctbal END AS used, CASE WHEN ok THEN cast(c_custkey%1500 AS double) END AS pace_final,
+ CASE WHEN ok THEN 1300.0-c_custkey%1500 END AS headroom, CASE WHEN ok THEN c_custkey%1500>=1000 END AS reaches_floor
+FROM (SELECT *, c_custkey%5<>0 AND c_acctbal>=0 AS ok FROM customer)""")
 def resource_pace(spark, sf):
     k = F.col("c_custkey")
     bal = F.format_string("%.2f", "c_acctbal")
     page = F.concat(F.lit("Min/Max Info\nYear to Date\t"), F.when(k % 5 == 0, "??").otherwise(bal), F.lit("\nOn Pace\t"), (k % 1500).cast("string"), F.lit(".0\n"))
-    rows = L.table(spark, sf, "customer").where(F.col("c_acctbal") >= 0)
+    rows = L.table(spark, sf, "customer")  # a negative balance is no number on the page
     return rows.select(k.alias("member"), T.pace(page, 1300, 1000).alias("p")).select("member", "p.*")
 
 
@@ -268,15 +269,17 @@ def source_scoreboard(spark, sf):
     return A.source_error(projected, realised, ["member", "period"], "stat")
 
 
-@query("profile_tables", """
-SELECT 'lineitem' AS table_name, 'l_quantity' AS column_name, count(*) AS row_count, count(l_quantity) AS non_null FROM lineitem
-UNION ALL SELECT 'lineitem','l_returnflag',count(*),count(l_returnflag) FROM lineitem UNION ALL SELECT 'labels','quality',count(*),count(quality) FROM labels
-UNION ALL SELECT 'events','props',count(*),count(props) FROM events UNION ALL SELECT 'documents','text',count(*),count(text) FROM documents""")
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
+
+
+@query("profile_tables", "\nUNION ALL ".join(
+    f"""SELECT '{t}' AS table_name, column_name, (SELECT count(*) FROM {t}) AS row_count, non_null
+FROM (UNPIVOT (SELECT count(COLUMNS('(.+)')) AS "\\1" FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE non_null)""" for t in TABLES))
 def profile_tables(spark, sf):
-    wanted = {"lineitem": ["l_quantity", "l_returnflag"], "labels": ["quality"], "events": ["props"], "documents": ["text"]}
+    """Every column of every table."""
     out = None
-    for name, columns in wanted.items():
-        rows = A.profile_table(L.table(spark, sf, name).select(*columns), name)
+    for name in TABLES:
+        rows = A.profile_table(L.table(spark, sf, name), name)
         out = rows if out is None else out.unionByName(rows)
     return out.select("table_name", "column_name", "row_count", "non_null")
 
