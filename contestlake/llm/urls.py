@@ -31,24 +31,23 @@ BITS = 14
 GRAMS = (3, 4, 5)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# The labelled urls of the registered query, made from these words.
-BLOCK_HOSTS = ("spam-farm casino-bonus cheap-pills free-prizes click-farm win-money adult-cams payday-loans link-farm "
-               "spam-mail fake-watches ad-tracker").split()
-BLOCK_PATHS = "/casino/win /free-money /buy-pills-now /click/track /xxx/cams /spam/728".split()
-ALLOW_HOSTS = ("blog.morning news.harbour docs.library m.river wiki.garden www.school forum.mountain archive.city "
-               "shop.bakery data.weather blog.there m.than erthe ouent anreti thandher").split()
-ALLOW_PATHS = "/en/123 /fr/825 /de/474.html /es/533/ /about /articles/2020/spring".split()
-SUFFIXES = "example.com example.org example.net".split()
+# The labelled urls of the registered query are made of these words.
+BLOCK_WORDS = "casino win free bets cheap pills ads track spam farm poker loans".split()
+ALLOW_WORDS = "morning harbour library river garden school mountain archive bakery weather the there tion ent and ing".split()
+PREFIXES = ["", "www.", "m.", "blog."]
+SUFFIXES = ["example.com", "example.org", "example.net"]
+PATHS = ["/en/123", "/fr/825", "/de/474.html", "/es/533/", "/about", "/articles/2020/spring", "/"]
 
 
 def default_labels() -> list[tuple[str, int]]:
-    """(url, 1 to block or 0 to allow): every host word with every suffix, paths in turn."""
+    """(url, 1 to block or 0 to allow) for every pair of words; prefixes, suffixes and paths go round and tell nothing."""
+    blocked = [f"{a}-{b}" for a in BLOCK_WORDS for b in BLOCK_WORDS if a != b]
+    allowed = [f"{a}{b}" for a in ALLOW_WORDS for b in ALLOW_WORDS if a != b]
     out = []
-    for label, hosts, paths in ((1, BLOCK_HOSTS, BLOCK_PATHS), (0, ALLOW_HOSTS, ALLOW_PATHS)):
-        urls = [f"{host}.{suffix}" for host in hosts for suffix in SUFFIXES]
-        other = ALLOW_PATHS if label else paths
-        out += [(f"https://{u}{paths[i % len(paths)]}", label) for i, u in enumerate(urls)]
-        out += [(f"https://{u}{other[i % len(other)]}", label) for i, u in enumerate(urls)]
+    for label, hosts in ((1, blocked), (0, allowed)):
+        for i, host in enumerate(hosts):
+            url = f"https://{PREFIXES[i % len(PREFIXES)]}{host}.{SUFFIXES[i % len(SUFFIXES)]}{PATHS[i % len(PATHS)]}"
+            out.append((url, label))
     return out
 
 
