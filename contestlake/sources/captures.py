@@ -114,7 +114,7 @@ def transactions(lines: DataFrame, teams: list[str] | None = None) -> tuple[Data
     return rows.where(fine), rows.where(~F.coalesce(fine, F.lit(False))).select(*lines.columns)
 
 
-# Old layout: segments follow each other without a separator.
+# The old page dictates these patterns; its segments follow each other without a separator.
 OLD_SEGMENT = (
     r"([A-Z][^|•�]*?)\s+([A-Z0-9]{1,2}(?:,[A-Z0-9]{1,2})*)\s*[•�|]\s*([A-Z]{2,3})\s*-?\s*"
     r"(Added off Waivers|Added|Dropped|Moved to IR|Move to Injured|Moved to Minors|Sent to Minors|"
@@ -317,6 +317,7 @@ def roster_grid_old(lines: DataFrame, teams: list[str]) -> DataFrame:
     return named.select("path", "team", "slot_group", "e.*")
 
 
+# Fixed value: a line of the draft page.
 DRAFT_LINE = r"^(\d{1,2}) (.+?) ([A-Z0-9]{1,3}(?:,[A-Z0-9]{1,3})*) [•�] ([A-Z]{2,3})\b"
 
 

@@ -28,6 +28,7 @@ SWINGS = ["S", "W", "F", "T", "L", "X", "D", "E"]
 WHIFFS = ["S", "W"]
 CALLED = "C"
 HARD_HIT = 95
+# Game states that count, and words of a status event that raise an alert.
 LIVE_STATES = ["S", "P", "F", "I"]
 ALERT_WORDS = "injured|paternity|bereavement|designated|optioned|recalled|trade|claimed|released"
 
