@@ -78,9 +78,10 @@ def changes(touched: Column, field: Column, count: int) -> Column:
         others = F.filter(touched, lambda o: o["entity"] != t["entity"])
         after = _score(t["v"], still, count) + _score(t["v"], others, count) + float(count)
         before = F.get(F.filter(field, lambda f: f["entity"] == t["entity"]), F.lit(0))["points"]
-        return F.struct(t["entity"].alias("entity"), before.alias("before"), after.alias("after"), (after - before).alias("change"))
+        return F.struct(t["entity"].alias("entity"), before.alias("before"), after.alias("after"))
 
-    return F.filter(F.transform(touched, one), lambda c: c["before"].isNotNull())
+    known = F.filter(F.transform(touched, one), lambda c: c["before"].isNotNull())
+    return F.transform(known, lambda c: F.struct(c["entity"], c["before"], c["after"], (c["after"] - c["before"]).alias("change")))
 
 
 def value_touched(rows: DataFrame, board: DataFrame, count: int) -> DataFrame:
