@@ -14,22 +14,24 @@ from pyspark.sql import functions as F
 BITS = 22
 
 
-def bitmap_of(df: DataFrame, hashed: Column, bits: int = BITS, counted: bool = False):
-    """Words of 64 bits with the bit of every (well mixed) 64-bit hash set; at most ``1 << bits - 6`` of them are collected.
-
-    With ``counted``, the pair of those words and the number of rows.
-    """
-    slot = F.shiftrightunsigned(hashed, 64 - bits)
-    words = (
-        df.select(slot.alias("slot"))
-        .where("slot is not null")
-        .groupBy(F.shiftright("slot", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"), F.count(F.lit(1)).alias("n"))
-        .toArrow()
-    )
-    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    return (out, int(words["n"].to_numpy().sum())) if counted else out
+def bitmap_of(df: DataFrame, hashed: Column, bits: int = BITS) -> np.ndarray:
+    """Words of 64 bits with the bit of every (well mixed) 64-bit hash set; at most ``1 << bits - 6`` of them are collected."""
+    return bitmaps_of(df, hashed, F.lit(True), bits)[0][0]
+
+
+def bitmaps_of(df: DataFrame, hashed: Column, flag: Column, bits: int = BITS) -> tuple[tuple[np.ndarray, int], ...]:
+    """Bitmap and number of the rows with the flag, and of those without, in one pass."""
+    rows = df.select(F.shiftrightunsigned(hashed, 64 - bits).alias("slot"), flag.alias("flag")).where("slot is not null")
+    bit, sides = F.expr("shiftleft(1L, cast(slot & 63 as int))"), []
+    for name, on in (("a", F.col("flag")), ("b", ~F.col("flag"))):
+        sides += [F.bit_or(F.when(on, bit).otherwise(0)).alias(name), F.sum(on.cast("long")).alias(f"n_{name}")]
+    words = rows.groupBy(F.shiftright("slot", 6).alias("word")).agg(*sides).toArrow()
+    at, out = words["word"].to_numpy(), []
+    for name in ("a", "b"):
+        bitmap = np.zeros(1 << (bits - 6), dtype=np.uint64)
+        bitmap[at] = words[name].to_numpy().view(np.uint64)
+        out.append((bitmap, int(words[f"n_{name}"].to_numpy().sum())))
+    return tuple(out)
 
 
 def contains(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
