@@ -9,7 +9,9 @@ of which is cut and goes on as the seed of the next window.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from contestlake.llm.shingles import ALNUM, Words, batches
+from contestlake.llm.shingles import ALNUM, Words, batches, spread, text_bytes
 
 WINDOW = 1024
 END_ID = 0
@@ -33,7 +35,7 @@ SLICE = 1 << 12
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 #: Encoded words that a task remembers before it starts again.
-REMEMBER = 400_000
+REMEMBER = 500_000
 
 
 @cache
@@ -44,59 +46,135 @@ def tokenizer(path: str) -> Tokenizer:
     return t
 
 
+# Bytes that byte-level BPE writes as the character of the same number; the others follow from 256 on.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_OTHERS = [b for b in range(256) if b not in set(_PLAIN)]
+_AS_CHARACTER = {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
+#: Marks that may end a word; no apostrophe, which can begin a contraction.
+_MARKS = ".,;:!?|*#%$&<>()/"
+#: White space other than the space and the line feed.
+_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def uneven(text: str) -> bool:
+    """Whether white space other than single spaces and line feeds between words is about."""
+    return (
+        not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+        or _OTHER_SPACE.search(text) is not None
+    )
+
+
+class Numbered(dict):
+    """Numbers words as they are first asked for, and remembers which are new."""
+
+    def __init__(self, count: Iterator[int]):
+        self.count, self.new = count, []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = next(self.count)
+        self.new.append(word)
+        return n
+
+
 class Encoder:
     """Ids of byte-level BPE texts, word by word.
 
-    The pre-tokenizer never joins what lies on both sides of a space that
-    stands between two characters that are no white space, so a text may be
-    cut in front of every such space.  Words are encoded once and remembered.
+    The pre-tokenizer never joins what lies on both sides of a space, or of a
+    line feed, that stands between two characters that are no white space.  A
+    text may be cut in front of every such space, and around every such line
+    feed.  Words are encoded once and remembered; a word of letters and
+    closing marks goes to the model as those two, anything else through the
+    whole tokenizer.
     """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
+        self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.count = itertools.count()
+        # Words behind a space are known without it, all other pieces as they are.
+        self.spaced, self.whole = Numbered(self.count), Numbered(self.count)
+        self.marks: dict[str, list[int]] = {}
         self.ids = np.zeros(1 << 16, dtype=np.uint16)
-        self.start = np.zeros(1 << 16, dtype=np.int64)
+        self.start = self.size = np.zeros(0, dtype=np.int64)
         self.used = 0
 
-    def _learn(self, new: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        for word, e in zip(new, encoded):
-            n, k = len(self.number), len(e.ids)
-            while self.used + k > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if n + 2 > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.ids[self.used : self.used + k] = e.ids
-            self.used += k
-            self.start[n + 1] = self.used
-            self.number[word] = n
+    def _letters(self, piece: str) -> list[int]:
+        """Ids of one pre-token of letters, with or without a space in front."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(_AS_CHARACTER)
+        elif piece[0] == " ":
+            piece = _AS_CHARACTER[32] + piece[1:]
+        return [t.id for t in self.model.tokenize(piece)]
+
+    def _learn(self) -> None:
+        numbers, found, hard = [], [], []
+        for known, space in ((self.spaced, " "), (self.whole, "")):
+            for word in known.new:
+                core = word.rstrip(_MARKS)
+                numbers.append(known[word])
+                if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
+                    ids = self._letters(space + core)
+                    if len(core) < len(word):
+                        marks = word[len(core) :]
+                        if marks not in self.marks:
+                            self.marks[marks] = [t.id for t in self.model.tokenize(marks)]
+                        ids += self.marks[marks]
+                    found.append(ids)
+                else:
+                    hard.append((len(found), space + word))
+                    found.append([])
+            known.new.clear()
+        if hard:
+            encoded = self.tokenizer.encode_batch_fast([w for _, w in hard], add_special_tokens=False)
+            for (at, _), e in zip(hard, encoded):
+                found[at] = e.ids
+        if not numbers:
+            return
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint16, int(size.sum()))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        order = np.argsort(numbers)
+        self.start = np.concatenate([self.start, (self.used + np.cumsum(size) - size)[order]])
+        self.size = np.concatenate([self.size, size[order]])
+        self.used += len(flat)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        pieces = [cuts(t) for t in texts]
-        if len(self.number) > REMEMBER:
+        if len(self.start) > REMEMBER:
             self.clear()
-        known = self.number
-        new = list(dict.fromkeys(w for p in pieces for w in p if w not in known))
-        if new:
-            self._learn(new)
+        spaced, whole = self.spaced.__getitem__, self.whole.__getitem__
+        feed = whole("\n")
+        numbered = []
+        for t in texts:
+            if uneven(t):
+                numbered.append([whole(w) for w in cuts(t)])
+                continue
+            numbers: list[int] = []
+            for line in t.split("\n"):
+                words = line.split(" ")
+                numbers.append(whole(words[0]))
+                numbers += map(spaced, words[1:])
+                numbers.append(feed)
+            numbered.append(numbers[:-1])
+        self._learn()
         out = []
-        for p in pieces:
-            at = np.fromiter(map(known.__getitem__, p), np.int64, len(p))
-            length = self.start[at + 1] - self.start[at]
-            total = np.cumsum(length)
-            if len(total):
-                from_ = np.repeat(self.start[at] - total + length, length) + np.arange(total[-1])
-                out.append(self.ids[from_])
-            else:
-                out.append(self.ids[:0])
+        for numbers in numbered:
+            at = np.array(numbers, dtype=np.int64)
+            out.append(self.ids[spread(self.start[at], self.size[at])])
         return out
 
 
+@cache
+def encoder_of(path: str) -> Encoder:
+    """One encoder per worker process; what it has learnt serves all its tasks."""
+    return Encoder(path)
+
+
 def cuts(text: str) -> list[str]:
     """The text cut in front of each space between two characters that are no white space."""
     if not text:
@@ -130,7 +208,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, float]:
     def rows(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, length = np.zeros(1 << SLOT_BITS, dtype=np.int64), 0, 0
         for b in arrow:
-            for texts in batches(t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()):
+            for texts in batches(text_bytes(b.column(0))):
                 for slots in _slots(texts):
                     df[np.unique(slots)] += 1
                     n, length = n + 1, length + len(slots)
@@ -237,7 +315,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
 
     def rows(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sequence = Encoder(tokenizer_path), TaskContext.get().partitionId() << 36
+        encoder, sequence = encoder_of(tokenizer_path), TaskContext.get().partitionId() << 36
         ids: list[np.ndarray] = []
         held: list[tuple[int | None, np.ndarray]] = []
         tokens = 0
@@ -260,7 +338,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
 
         for b in arrow:
             at, numbers = 0, b.column(0).to_pylist()
-            for texts in batches(t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()):
+            for texts in batches(text_bytes(b.column(1))):
                 encoded = encoder.encode([t.decode("utf-8") for t in texts])
                 for doc, one, slots in zip(numbers[at:], encoded, _slots(texts)):
                     one = np.append(one, np.uint16(end_id))
