@@ -1,10 +1,10 @@
 """Lexical retrieval packing.
 
-Every partition is cut into shards of at most ``SHARD_TOKENS`` tokens, and each
-shard gets a BM25 index over hashed words, with document frequencies of the
-whole corpus.  Full windows are cut from long documents at once; what remains
-is packed: a seed fills the window with its best unused neighbours, the last
-of which is cut and goes on as the seed of the next window.
+Every document is dealt to a shard, and each shard gets a BM25 index over all words (64-bit hashes)
+with document frequencies of the whole corpus.  Full windows are cut from long
+documents at once; what remains is packed: a seed fills the window with its
+best unused neighbours, the last of which is cut and goes on as the seed of
+the next window.
 """
 
 from __future__ import annotations
@@ -17,22 +17,22 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from contestlake.llm.shingles import ALNUM, Words, batches, spread, text_bytes
+from contestlake.session import run_dir
 
 WINDOW = 1024
 END_ID = 0
-#: Bound on the tokens of one shard; a document with more is a shard of its own.
-SHARD_TOKENS = 2_000_000
-#: Words are hashed to so many slots for document frequencies.
+#: Bound on the text of one shard; a longer document is a shard of its own.
+SHARD_BYTES = 5 << 20
+#: Routing (and only routing) knows words by so many slots for document frequencies.
 SLOT_BITS = 17
 SLICE = 1 << 12
-#: Terms of a seed that are looked up, rarest first.
-QUERY_TERMS = 24
+#: Bits of a route from a common and from a rarer word.
+COARSE_BITS, FINE_BITS = 6, 12
 K1, B = 1.2, 0.75
 #: Encoded words that a task remembers before it starts again.
 REMEMBER = 500_000
@@ -191,15 +191,18 @@ def cuts(text: str) -> list[str]:
     return out
 
 
-def _slots(texts: list[bytes]) -> list[np.ndarray]:
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _hashes(texts: list[bytes]) -> list[np.ndarray]:
     """Hashed words of each text, in order."""
     words = Words(texts, ALNUM)
-    slots = (words.hash >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-    return [slots[a:b] for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist())]
+    return [words.hash[a:b] for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist())]
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, float]:
-    """(documents per slot, documents, mean words) of the whole table.
+    """(documents per slot, documents, mean words) of the whole table; only routing takes the slots.
 
     A task sends one row per slice of ``SLICE`` slots and the sums are made by
     Spark; the driver gets ``1 << SLOT_BITS`` numbers, whatever the input.
@@ -209,9 +212,9 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, float]:
         df, n, length = np.zeros(1 << SLOT_BITS, dtype=np.int64), 0, 0
         for b in arrow:
             for texts in batches(text_bytes(b.column(0))):
-                for slots in _slots(texts):
-                    df[np.unique(slots)] += 1
-                    n, length = n + 1, length + len(slots)
+                for hashes in _hashes(texts):
+                    df[np.unique(_slot(hashes))] += 1
+                    n, length = n + 1, length + len(hashes)
         some = range(0, len(df), SLICE)
         yield pa.record_batch(
             [pa.array([*(i // SLICE for i in some), -1], pa.int32()),
@@ -230,15 +233,141 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, float]:
     return df, totals[0], totals[1] / max(totals[0], 1)
 
 
+def routes(texts: list[bytes], df: np.ndarray, n: int) -> np.ndarray:
+    """The route of each text; all have the same as yet, and shards are dealt by salt."""
+    return np.zeros(len(texts), dtype=np.int64)
+
+
+def shard_plan(size: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first shard, shards) of each route, given its bytes: runs of routes up to the limit; a larger route is salted over several."""
+    first, parts = np.zeros(len(size), dtype=np.int32), np.ones(len(size), dtype=np.int32)
+    shard, held = 0, 0
+    for i in np.flatnonzero(size).tolist():
+        n = int(size[i])
+        if held and held + n > limit:
+            shard, held = shard + 1, 0
+        first[i], parts[i] = shard, -(-n // limit)
+        if n > limit:
+            shard += int(parts[i])
+        else:
+            held += n
+    return first, parts
+
+
+def deal(docs: DataFrame, limit: int = SHARD_BYTES) -> tuple[DataFrame, int, float]:
+    """(shard, doc_id, text) of every document, and documents and mean words of the whole table.
+
+    The texts are written once with their routes; the driver gets the bytes of
+    ``1 << COARSE_BITS + FINE_BITS`` routes.  A shard depends on the documents
+    alone, not on the splits of the input.
+    """
+    spark = docs.sparkSession
+    df, n, mean = document_frequencies(docs)
+
+    def routed(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in arrow:
+            found = [routes(texts, df, n) for texts in batches(text_bytes(b.column(1)))]
+            yield pa.record_batch([*b.columns, pa.array(np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int32))], names=["doc_id", "text", "route"])
+
+    path = run_dir(spark, "routed")
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+        routed, "doc_id long, text string, route int"
+    ).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)) + 16).write.option("compression", "zstd").parquet(path)
+    kept = spark.read.parquet(path)
+    sums = kept.groupBy("route").agg(F.sum("bytes").alias("n")).toArrow()
+    size = np.zeros(1 << (COARSE_BITS + FINE_BITS), dtype=np.int64)
+    size[sums["route"].to_numpy()] = sums["n"].to_numpy()
+    first, parts = shard_plan(size, limit)
+
+    def sharded(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in arrow:
+            route, salt = b.column(2).to_numpy(), b.column(3).to_numpy()
+            shard = first[route] + np.mod(salt, parts[route])
+            yield pa.record_batch([pa.array(shard.astype(np.int32)), b.column(0), b.column(1)], names=["shard", "doc_id", "text"])
+
+    dealt = kept.select("doc_id", "text", "route", F.xxhash64("doc_id", "text").alias("salt"))
+    return dealt.mapInArrow(sharded, "shard int, doc_id long, text string").repartition("shard"), n, mean
+
+
+def word_frequencies(dealt: DataFrame, slices: int) -> DataFrame:
+    """(shard, hashes, df): words that several documents of a shard have, with the documents of the whole corpus that have them.
+
+    Shards send their words as arrays by slice of the hash; a slice adds up
+    those of all shards.  A word that a shard has only once matches nothing
+    there; it is counted, but not sent back.
+    """
+    width = np.uint64((1 << 64) // slices + 1)
+
+    def count(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, []
+        for b in arrow:
+            numbers = b.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for a, z in zip(edges, edges[1:]):
+                if a < z:
+                    if numbers[a] != shard and held:
+                        yield sliced(shard, held)
+                        held = []
+                    shard = int(numbers[a])
+                    for texts in batches(text_bytes(b.column("text").slice(a, z - a))):
+                        held += [np.unique(h) for h in _hashes(texts)]
+        if held:
+            yield sliced(shard, held)
+
+    def sliced(shard: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        words, n = np.unique(np.concatenate(held), return_counts=True)
+        at = (words // width).astype(np.int64)
+        cut = np.flatnonzero(np.diff(at, prepend=-1)).tolist()
+        ends = [*cut[1:], len(words)]
+        return pa.record_batch(
+            [pa.array(at[cut], pa.int32()), pa.array([shard] * len(cut), pa.int32()),
+             pa.array([words[a:z].tobytes() for a, z in zip(cut, ends)], pa.binary()),
+             pa.array([n[a:z].astype(np.int32).tobytes() for a, z in zip(cut, ends)], pa.binary())],
+            names=["slice", "shard", "hashes", "n"],
+        )
+
+    def added(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in arrow:
+            for s, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if s != now and held:
+                    yield summed(held)
+                    held = []
+                now = s
+                held.append(row)
+        if held:
+            yield summed(held)
+
+    def summed(held: list[list]) -> pa.RecordBatch:
+        words = [np.frombuffer(h, dtype=np.uint64) for _, h, _ in held]
+        n = [np.frombuffer(c, dtype=np.int32) for _, _, c in held]
+        _, at = np.unique(np.concatenate(words), return_inverse=True)
+        df = np.bincount(at, np.concatenate(n)).astype(np.int64)[at]
+        out, start = [], 0
+        for (shard, _, _), w, c in zip(held, words, n):
+            wanted = c > 1
+            if wanted.any():
+                out.append((shard, w[wanted].tobytes(), df[start : start + len(w)][wanted].tobytes()))
+            start += len(w)
+        shards, hashes, counts = zip(*out) if out else ((), (), ())
+        return pa.record_batch([pa.array(shards, pa.int32()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], names=["shard", "hashes", "df"])
+
+    # All columns are taken, so that packing reads the same shuffle of the texts again.
+    sent = dealt.sortWithinPartitions("shard").mapInArrow(count, "slice int, shard int, hashes binary, n binary")
+    return sent.repartition("slice").sortWithinPartitions("slice").mapInArrow(added, "shard int, hashes binary, df binary")
+
+
 class Shard:
-    """BM25 over the documents of one shard: postings by slot, and which documents are still unused."""
+    """BM25 over the documents of one shard: postings by numbered word, and which documents are still unused.
 
-    def __init__(self, slots: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.idf = idf
+    ``lengths`` are those of the documents with all their words; by default that of ``slots``.
+    """
+
+    def __init__(self, slots: list[np.ndarray], idf: np.ndarray, mean: float, lengths: list[int] | None = None):
         docs, terms, weights = [], [], []
         for i, s in enumerate(slots):
             term, tf = np.unique(s, return_counts=True)
-            norm = K1 * (1 - B + B * len(s) / max(mean, 1.0))
+            norm = K1 * (1 - B + B * (len(s) if lengths is None else lengths[i]) / max(mean, 1.0))
             docs.append(np.full(len(term), i, dtype=np.int32))
             terms.append(term)
             weights.append((tf * (K1 + 1) / (tf + norm) * idf[term]).astype(np.float32))
@@ -251,18 +380,14 @@ class Shard:
         self.unused = np.ones(len(slots), dtype=bool)
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that share one of the seed's rarest terms, best first; ties by position."""
+        """Unused documents that share a word with the seed, best first by the score over all its words; ties by position."""
         term = self.terms[seed]
-        term = term[np.argsort(-self.idf[term], kind="stable")[:QUERY_TERMS]]
-        spans = [(self.first[t], self.first[t + 1]) for t in term.tolist()]
-        if not spans:
+        if not len(term):
             return np.zeros(0, dtype=np.int64)
-        doc = np.concatenate([self.doc[a:b] for a, b in spans])
-        weight = np.concatenate([self.weight[a:b] for a, b in spans])
-        on = self.unused[doc]
-        found, at = np.unique(doc[on], return_inverse=True)
-        score = np.bincount(at, weight[on], minlength=len(found))
-        return found[np.argsort(-score, kind="stable")]
+        at = spread(self.first[term], self.first[term + 1] - self.first[term])
+        score = np.bincount(self.doc[at], self.weight[at], minlength=len(self.unused))
+        found = np.flatnonzero(self.unused & (score > 0))
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def pack(lengths: list[int], shard: Shard, window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
@@ -304,54 +429,49 @@ PIECES = pa.schema(
 PIECES_SQL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, limit: int = SHARD_BYTES) -> DataFrame:
     """Pieces of every document: ids (little-endian unsigned 32 bit), place in the document and in a sequence.
 
     A null text is empty and leaves its end id.  Repeated rows are packed
-    each.  Sequence ids carry the partition in their high bits; nothing is
-    shuffled, and a task that runs again makes the same pieces.
+    each.  Sequence ids carry the shard in their high bits; shards and the
+    order in them follow from the documents, so a task that runs again makes
+    the same pieces.
     """
-    df, n, mean = document_frequencies(docs)
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-
-    def rows(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sequence = encoder_of(tokenizer_path), TaskContext.get().partitionId() << 36
-        ids: list[np.ndarray] = []
-        held: list[tuple[int | None, np.ndarray]] = []
-        tokens = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal sequence, ids, held, tokens
-            shard = Shard([s for _, s in held], idf, mean)
-            out = []
-            for pieces in pack([len(x) for x in ids], shard, window):
-                offset = 0
-                for i, start, length in pieces:
-                    out.append((held[i][0], start, length, ids[i][start : start + length].astype("<u4").tobytes(), len(ids[i]), sequence, offset))
-                    offset += length
-                sequence += 1
-                if len(out) > 2_000:
-                    yield _arrow(out)
-                    out = []
-            yield _arrow(out)
-            ids, held, tokens = [], [], 0
-
-        for b in arrow:
-            at, numbers = 0, b.column(0).to_pylist()
-            for texts in batches(text_bytes(b.column(1))):
-                encoded = encoder.encode([t.decode("utf-8") for t in texts])
-                for doc, one, slots in zip(numbers[at:], encoded, _slots(texts)):
-                    one = np.append(one, np.uint16(end_id))
-                    if held and tokens + len(one) > SHARD_TOKENS:
-                        yield from flush()
-                    ids.append(one)
-                    held.append((doc, slots.astype(np.int32)))
-                    tokens += len(one)
-                at += len(texts)
-        if held:
-            yield from flush()
-
-    return docs.select("doc_id", "text").mapInArrow(rows, PIECES_SQL)
+    dealt, n, mean = deal(docs, limit)
+    slices = max(16, int(n * mean) >> 21)
+    words = word_frequencies(dealt, slices)
+
+    def packed(rows: pa.Table, sent: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.Table.from_batches([], PIECES)
+        rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        encoder, numbers = encoder_of(tokenizer_path), rows.column("doc_id").to_pylist()
+        known = np.frombuffer(b"".join(sent.column("hashes").to_pylist()), dtype=np.uint64)
+        df = np.frombuffer(b"".join(sent.column("df").to_pylist()), dtype=np.int64)
+        order = np.argsort(known)
+        known, df = known[order], df[order]
+        ids, terms, lengths = [], [], []
+        for texts in batches(t for c in rows.column("text").chunks for t in text_bytes(c)):
+            ids += [np.append(x, np.uint16(end_id)) for x in encoder.encode([t.decode("utf-8") for t in texts])]
+            for h in _hashes(texts):
+                at = np.searchsorted(known, h)
+                terms.append(at[known[np.minimum(at, len(known) - 1)] == h].astype(np.int32) if len(known) else np.zeros(0, np.int32))
+                lengths.append(len(h))
+        shard = Shard(terms, np.log(1 + (n - df + 0.5) / (df + 0.5)), mean, lengths)
+        sequence = rows.column("shard")[0].as_py() << 36
+        out, done = [], []
+        for pieces in pack([len(x) for x in ids], shard, window):
+            offset = 0
+            for i, start, length in pieces:
+                out.append((numbers[i], start, length, ids[i][start : start + length].astype("<u4").tobytes(), len(ids[i]), sequence, offset))
+                offset += length
+            sequence += 1
+            if len(out) > 2_000:
+                done.append(_arrow(out))
+                out = []
+        return pa.Table.from_batches([*done, _arrow(out)], PIECES)
+
+    return dealt.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(packed, PIECES_SQL)
 
 
 def _arrow(rows: list[tuple]) -> pa.RecordBatch:

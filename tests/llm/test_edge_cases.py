@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names, for every operator."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 import public_tokenizers
@@ -178,6 +180,27 @@ def test_packing_prefers_lexical_neighbours():
     assert [[i for i, _, _ in s] for s in sequences] == [[0, 2], [1, 3]]
 
 
+def test_packing_scores_every_word_of_a_seed():
+    rare = [np.append(np.arange(40) + 40 * i, 200) for i in range(3)]  # 40 words of its own each, and a common one
+    shard = packing.Shard([rare[0], rare[1] + np.append(np.zeros(40, int), 1), rare[2]], np.append(np.full(200, 5.0), [1.0, 1.0]), 41.0)
+    assert shard.neighbours(0).tolist() == [0, 2]
+
+
+def test_words_are_told_apart_and_counted_over_the_corpus(spark):
+    texts = [" ".join(f"w{j}" for j in range(i, 60_000, 40)) + " both" for i in range(40)] * 2  # 60,000 words, each in two documents
+    frame = spark.createDataFrame([(i % 3, i, t) for i, t in enumerate(texts)], "shard int, doc_id long, text string").repartition(5, "shard")
+    found = {}
+    for r in packing.word_frequencies(frame, 16).collect():
+        found.update(((r["shard"], h), n) for h, n in zip(np.frombuffer(r["hashes"], np.uint64).tolist(), np.frombuffer(r["df"], np.int64).tolist()))
+    hashed = lambda word: int(packing._hashes([word.encode()])[0][0])
+    held = [{w for w in t.split()} for t in texts]
+    truth = {}
+    for shard in range(3):
+        inside = Counter(w for i, h in enumerate(held) if i % 3 == shard for w in h)
+        truth |= {(shard, hashed(w)): 80 if w == "both" else 2 for w, n in inside.items() if n > 1}
+    assert found == truth
+
+
 def test_quality(docs, empty):
     rows = quality.judge(docs).collect()
     assert len(rows) == len(ROWS)
