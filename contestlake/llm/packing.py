@@ -1,6 +1,7 @@
 """Lexical retrieval packing.
 
-Every document is dealt to a shard, and each shard gets a BM25 index over all words (64-bit hashes)
+Every document is routed to a shard by words it is likely to share with its
+neighbours, and each shard gets a BM25 index over all words (64-bit hashes)
 with document frequencies of the whole corpus.  Full windows are cut from long
 documents at once; what remains is packed: a seed fills the window with its
 best unused neighbours, the last of which is cut and goes on as the seed of
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from contestlake.llm.shingles import ALNUM, Words, batches, spread, text_bytes
+from contestlake.llm.shingles import ALNUM, Words, batches, mix, spread, text_bytes
 from contestlake.session import run_dir
 
 WINDOW = 1024
@@ -33,6 +34,8 @@ SLOT_BITS = 17
 SLICE = 1 << 12
 #: Bits of a route from a common and from a rarer word.
 COARSE_BITS, FINE_BITS = 6, 12
+#: A word is common enough to split the corpus only if less than this share of the documents has it.
+COMMON = 1 / 8
 K1, B = 1.2, 0.75
 #: Encoded words that a task remembers before it starts again.
 REMEMBER = 500_000
@@ -234,8 +237,26 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, float]:
 
 
 def routes(texts: list[bytes], df: np.ndarray, n: int) -> np.ndarray:
-    """The route of each text; all have the same as yet, and shards are dealt by salt."""
-    return np.zeros(len(texts), dtype=np.int64)
+    """The route of each text: bits of its most common word that still tells documents apart, then of a weighted min-hash.
+
+    The min-hash prefers rare words that more than one document has; two texts
+    agree on it with about the chance of their weighted Jaccard similarity.
+    """
+    words = Words(texts, ALNUM)
+    some = words.count > 0
+    out = np.zeros(len(texts), dtype=np.int64)
+    if not some.any():
+        return out
+    first, seen = words.first[:-1][some], df[_slot(words.hash)]
+    common = np.where((seen > 1) & (seen < COMMON * n), (seen << 20) | (words.hash >> np.uint64(44)).astype(np.int64), 0)
+    weight = np.where(seen > 1, np.log(1 + (n - seen + 0.5) / (seen + 0.5)) ** 2, 0.0)
+    u = ((mix(words.hash ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(11)).astype(np.float64) + 1) / (1 << 53)
+    draw = np.full(len(u), np.inf)
+    np.divide(-np.log(u), weight, out=draw, where=weight > 0)
+    coarse = mix(np.maximum.reduceat(common, first).astype(np.uint64)) >> np.uint64(64 - COARSE_BITS)
+    fine = mix(np.minimum.reduceat(draw, first).view(np.uint64)) >> np.uint64(64 - FINE_BITS)
+    out[some] = ((coarse << np.uint64(FINE_BITS)) | fine).astype(np.int64)
+    return out
 
 
 def shard_plan(size: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:

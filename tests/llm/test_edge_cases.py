@@ -201,6 +201,32 @@ def test_words_are_told_apart_and_counted_over_the_corpus(spark):
     assert found == truth
 
 
+def test_packing_routes_neighbours_to_one_shard(spark):
+    some = np.random.default_rng(11)
+    topics = [[f"t{k}x{j}" for j in range(30)] for k in range(100)]
+    texts = [" ".join([*some.choice(topics[i % 100], 60), *some.choice(["the", "of", "and", "to"], 40)]) for i in range(400)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6, "doc_id")
+    dealt, n, _ = packing.deal(frame, sum(map(len, texts)) // 20)
+    shard = {r.doc_id: r.shard for r in dealt.collect()}
+    assert n == 400 and sorted(shard) == list(range(400)) and len(set(shard.values())) >= 20
+    again, _, _ = packing.deal(frame.repartition(1), sum(map(len, texts)) // 20)
+    assert {r.doc_id: r.shard for r in again.collect()} == shard  # whatever the splits of the input
+    held = [Counter(t.split()) for t in texts]
+    df = Counter(w for h in held for w in h)
+
+    def bm25(a: int, b: int) -> float:
+        return sum(np.log(1 + (400 - df[w] + 0.5) / (df[w] + 0.5)) * held[b][w] * 2.2 / (held[b][w] + 1.2) for w in held[a] if w in held[b])
+
+    best = [max((j for j in range(400) if j != i), key=lambda j: bm25(i, j)) for i in range(0, 400, 4)]
+    met = sum(shard[i] == shard[j] for i, j in zip(range(0, 400, 4), best))
+    assert met >= 35  # of 100; 20 shards dealt blindly would give about 5
+
+
+def test_a_hot_route_is_salted():
+    first, parts = packing.shard_plan(np.array([10, 0, 250, 60, 30, 40]), 100)
+    assert first.tolist() == [0, 0, 1, 4, 4, 5] and parts.tolist() == [1, 1, 3, 1, 1, 1]
+
+
 def test_quality(docs, empty):
     rows = quality.judge(docs).collect()
     assert len(rows) == len(ROWS)
