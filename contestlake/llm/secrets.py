@@ -1,10 +1,10 @@
 """Secret scans with structural confirmation.
 
-Three patterns give the base findings.  Long base64 and hex runs are then
-decoded, and reported as keys or tokens only if their inside has the structure
-of one: DER private keys with consistent nested lengths, OpenSSH key blobs
-with their length-prefixed fields, or signed tokens whose header names an
-algorithm.
+Three patterns give the base findings.  Base64 and hex are then decoded,
+wherever a key can begin and over line breaks, and reported as keys or tokens
+only if their inside has the structure of one: DER private keys with
+consistent nested lengths, OpenSSH key blobs with their length-prefixed
+fields, or signed tokens whose header names an algorithm.
 """
 
 from __future__ import annotations
@@ -30,11 +30,24 @@ ASSIGN_LETTERS = 6
 #: Order of the kinds where spans start together.
 KINDS = ("assign", "access", "hex", "key", "token")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
+#: What may stand between two lines of a key: white space, escaped line breaks, quotes and joined literals.
+GAP = r"""(?:["']\s*+(?:[+.]\s*+)?["']|\\++[nrt]|\\++(?=\s)|[\s"',])"""
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=]|" + GAP + r")++)-----END \1-----")
+#: Three parts of a token, from each place where one can begin; {"alg":""} has 14 letters.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{14,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*))")
+#: Where a JSON object can begin inside a run.
+OBJECT = re.compile(r"(?=e[w-z0-9_-][A-Za-z0-9_-]{12})")
+GAPS = re.compile(GAP)
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 HEX_RUN = re.compile(r"[0-9A-Fa-f]{64,}")
 OPENSSH = b"openssh-key-v1\x00"
+#: Where a DER sequence or the OpenSSH mark can begin, what follows, and bits of a letter.
+CARRIERS = (
+    (re.compile(r"M(?=[A-I])|b(?=3BlbnNzaC1rZXktdjEA)"), re.compile(r"([A-Za-z0-9+/_-]{1,1024})|" + GAP), 6),
+    (re.compile(r"3(?=0[0-8])|6(?=[fF]70656[eE]7373682[dD]6[bB]65792[dD]763100)"), re.compile(r"([0-9A-Fa-f]{1,1024})|" + GAP), 4),
+)
+#: Letters that are read at first; enough for the head of a DER value.
+HEAD = 24
 
 
 def _der(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
@@ -94,26 +107,26 @@ def is_private_key(data: bytes) -> bool:
 
 
 def _unbase64(text: str) -> bytes | None:
-    text = re.sub(r"\s+", "", text).rstrip("=")
+    text = GAPS.sub("", text).rstrip("=").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
 
 
+def _object(part: str) -> dict | None:
+    data = _unbase64(part)
+    try:
+        value = json.loads(data) if data else None
+    except (ValueError, RecursionError):
+        return None
+    return value if isinstance(value, dict) else None
+
+
 def is_signed_token(head: str, body: str) -> bool:
     """A JSON header that names an algorithm, and a JSON object as body."""
-    parts = []
-    for part in (head, body):
-        data = _unbase64(part.replace("-", "+").replace("_", "/"))
-        try:
-            value = json.loads(data) if data else None
-        except (ValueError, RecursionError):
-            return False
-        if not isinstance(value, dict):
-            return False
-        parts.append(value)
-    return isinstance(parts[0].get("alg"), str)
+    named = _object(head)
+    return named is not None and isinstance(named.get("alg"), str) and _object(body) is not None
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -124,20 +137,129 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=_order)
 
 
+def _declared(data: bytes) -> int | None:
+    """Bytes that a key at the start of ``data`` says it has, 0 if there can be none; None if more bytes must be read to tell."""
+    if data[: len(OPENSSH)] == OPENSSH[: len(data)]:
+        at, keys = len(OPENSSH), None
+        fields = 3
+        while fields:
+            if at + 4 > len(data):
+                return None
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+            fields -= 1
+            if not fields and keys is None:  # the number of keys, then each public key and the private part
+                if at + 4 > len(data):
+                    return None
+                keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+                if not 1 <= keys <= 16:
+                    return 0
+                fields = keys + 1
+        return at
+    top = _der(data, 0, 1 << 40) if len(data) >= 8 else None
+    inner = top and _der(data, top[1], 1 << 40)
+    if inner is None or top[0] != 0x30 or inner[1] >= len(data):
+        return 0
+    version = inner[0] == 0x02 and inner[2] - inner[1] == 1 and data[inner[1]] <= 1
+    return top[2] if version or (inner[0] == 0x30 and data[inner[1]] == 0x06) else 0
+
+
+def _key_at(text: str, start: int, piece: re.Pattern, bits: int) -> int | None:
+    """End of the private key that is encoded from ``start`` on, over line breaks; None if there is none."""
+    letters: list[str] = []  # at most 1,024 at a time, so that a long run is not read again from each start
+    ends: list[tuple[int, int]] = []  # letters so far, and where the last of them ends
+    have, at, want, open_ = 0, start, HEAD, True
+    while True:
+        while open_ and have < want:
+            m = piece.match(text, at)
+            if m is None:
+                open_ = False
+            else:
+                at = m.end()
+                if m[1]:
+                    if have + len(m[1]) > want:  # a long run is read as far as wanted
+                        at = m.start() + want - have
+                    letters.append(text[m.start() : at])
+                    have += at - m.start()
+                    ends.append((have, at))
+        joint = "".join(letters)
+        data = _decoded(joint, bits)
+        total = _declared(data)
+        if total == 0 or (total is None and not open_):
+            return None
+        need = 2 * have if total is None else -(-total * 8 // bits)
+        if total is not None and need <= have:
+            if not is_private_key(data[:total]):
+                return None
+            n, end = next(x for x in ends if x[0] >= need)
+            end -= n - need
+            while bits == 6 and text[end : end + 1] == "=":
+                end += 1
+            return end
+        if not open_:
+            return None
+        want = need if total is None else min(need, 2 * want + have)
+
+
+def _decoded(letters: str, bits: int) -> bytes:
+    """The whole bytes of the letters."""
+    if bits == 4:
+        return _unhex(letters)
+    whole = letters[: len(letters) - (len(letters) % 4 == 1)].replace("-", "+").replace("_", "/")
+    return base64.b64decode(whole + "=" * (-len(whole) % 4))
+
+
+def _header_in(run: str) -> int:
+    """Where a token's header begins that the run ends with; far below zero if there is none."""
+    read: dict[int, str] = {}  # one decoded text for each of four alignments
+    for m in OBJECT.finditer(run):
+        i, r = m.start(), m.start() % 4
+        if r not in read:
+            read[r] = (_unbase64(run[r:]) or b"").decode("latin-1")
+        try:
+            value, end = json.JSONDecoder().raw_decode(read[r], (i - r) // 4 * 3)
+        except (ValueError, RecursionError):
+            continue
+        if isinstance(value, dict) and isinstance(value.get("alg"), str) and not read[r][end:].strip():
+            return i
+    return -(1 << 62)
+
+
+def _tokens(text: str) -> Iterator[tuple[int, int, str]]:
+    done = -1
+    for m in TOKEN.finditer(text):
+        if m.start() < done:
+            continue
+        if is_signed_token(m[1], m[2]):
+            start = m.start(1)
+        else:  # the header may be glued to letters before it
+            start = m.start(1) + _header_in(m[1]) if _object(m[2]) else -1
+        if start >= m.start(1):
+            done = m.end(3)
+            yield start, done, "token"
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Keys and tokens whose decoded structure is that of one."""
-    out, done = [], -1
+    out: list[tuple[int, int, str]] = []
     if "PRIVATE KEY" in text:
         for m in PEM.finditer(text):
             data = _unbase64(m[2])
             if data and is_private_key(data):
                 out.append((m.start(), m.end(), "key"))
-    armoured = [(s, e) for s, e, _ in out]
-    if "eyJ" in text:
-        out += [(m.start(), m.end(), "token") for m in TOKEN.finditer(text) if is_signed_token(m[1], m[2])]
+    taken = [(s, e) for s, e, _ in out]
+    for begin, piece, bits in CARRIERS:
+        done = -1
+        for m in begin.finditer(text):
+            if m.start() >= done and not any(s <= m.start() < e for s, e in taken):
+                end = _key_at(text, m.start(), piece, bits)
+                if end is not None:
+                    out.append((m.start(), end, "key"))
+                    done = end
+    out += _tokens(text)
+    taken, done = [(s, e) for s, e, k in out if k == "key"], -1
     for pattern, decode in ((BASE64_RUN, _unbase64), (HEX_RUN, _unhex)):
         for m in pattern.finditer(text):
-            if any(s <= m.start() < e for s, e in armoured):
+            if any(s < m.end() and m.start() < e for s, e in taken):
                 continue
             data = decode(m[0])
             if data and is_private_key(data) and m.start() >= done:

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names, for every operator."""
 
+import base64
 from collections import Counter
 
 import numpy as np
@@ -222,6 +223,34 @@ def test_packing_routes_neighbours_to_one_shard(spark):
     assert met >= 35  # of 100; 20 shards dealt blindly would give about 5
 
 
+def test_keys_in_all_carriers():
+    size = lambda n: bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82, n >> 8, n & 255])
+    der = lambda tag, body: bytes([tag]) + size(len(body)) + body
+    number = lambda n: der(2, b"\x01" + bytes((37 * i + n) % 256 for i in range(n - 1)))
+    key = der(0x30, b"\x02\x01\x00" + b"".join(number(n) for n in (256, 3, 250, 128, 128, 128, 128, 128)))
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = secrets.OPENSSH + field(b"none") * 2 + field(b"") + b"\0\0\0\x01" + field(b"\x07" * 51) + field(b"\x09" * 140)
+    for data in (key, ssh):
+        plain64, lines = base64.b64encode(data).decode(), base64.encodebytes(data).decode()
+        wrapped = "\n".join(plain64[i : i + 64] for i in range(0, len(plain64), 64))
+        for carrier in (plain64, lines.strip(), wrapped, wrapped.replace("\n", "\\n"), wrapped.replace("\n", "\\r\\n"), wrapped.replace("\n", '\\n" +\n    "'),
+                        wrapped.replace("\n", "\r\n    "), base64.urlsafe_b64encode(data).decode(), base64.urlsafe_b64encode(data).decode().rstrip("="),
+                        data.hex(), data.hex().upper(), "\n".join(data.hex()[i : i + 60] for i in range(0, 2 * len(data), 60)).upper()):
+            for before, after in (("see ", " and so on"), ("/path/", "\n"), ("abcM", ""), ('{"k": "', '"}'), ("", " abcd efgh")):
+                found = [(s, e) for s, e, k in secrets.confirmed_spans(before + carrier + after) if k == "key"]
+                assert found == [(len(before), len(before) + len(carrier))], (before, carrier[:30], after)
+        for feed in ("\\n", "\\\\n", "\n"):
+            pem = f"-----BEGIN PRIVATE KEY-----{feed}{wrapped.replace(chr(10), feed)}{feed}-----END PRIVATE KEY-----"
+            assert secrets.redact('{"key": "' + pem + '"}') == '{"key": "[secret]"}'
+    assert secrets.confirmed_spans(base64.b64encode(key).decode()[:-12] + " and more") == []  # cut short
+    part = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    for head in (b'{ "alg":"HS256"}', b' {"alg":"HS256"}', b'\n{"alg":"none"}', b'{"alg":"HS256"}', b'{\n"alg":"HS256"}'):
+        token = f"{part(head)}.{part(b'{"sub":"1"}')}.{part(b'signature')}"
+        for before in ("a ", "www.", "long-first-part-of-a-name.second.", "Bearer/", *(["xyz"] if head[:1] == b"{" else [])):
+            assert secrets.confirmed_spans(f"{before}{token} b") == [(len(before), len(before) + len(token), "token")]
+    assert secrets.confirmed_spans("documentation-of.example-host.example " + "MAIN MENU MAP " * 50 + "30 31 3082 " * 50) == []
+
+
 def test_a_hot_route_is_salted():
     first, parts = packing.shard_plan(np.array([10, 0, 250, 60, 30, 40]), 100)
     assert first.tolist() == [0, 0, 1, 4, 4, 5] and parts.tolist() == [1, 1, 3, 1, 1, 1]
