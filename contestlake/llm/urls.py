@@ -31,23 +31,84 @@ BITS = 14
 GRAMS = (3, 4, 5)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# The labelled urls of the registered query are made of these words.
-BLOCK_WORDS = "casino win free bets cheap pills ads track spam farm poker loans".split()
-ALLOW_WORDS = "morning harbour library river garden school mountain archive bakery weather the there tion ent and ing".split()
-PREFIXES = ["", "www.", "m.", "blog."]
+# The labelled urls of the registered query are made of these words; none is taken from the tables.
+BLOCK_WORDS = (
+    "casino poker roulette jackpot gambling betting lottery slots wager bingo pharmacy viagra cialis pills steroid porn adult xxx cams escort "
+    "nude erotic payday loans debtfix spam spammer spambot phishing malware trojan keygen warez cracked torrent "
+    "popup clickbait adserver adtracker banner replica counterfeit prizes winner giveaway sweepstake hookup hotgirls getrich quickcash"
+).split()
+ALLOW_WORDS = (
+    "morning harbour library river garden school mountain archive bakery weather museum history science village kitchen travel "
+    "physics chemistry orchestra theatre council hospital university railway bridge forest island football cycling recipes novel "
+    "poetry painting sculpture geology biology climate energy housing transport election parliament economy market farming "
+    "carpentry pottery weaving sailing climbing chess puzzle language grammar dictionary atlas census almanac journal gazette "
+    "chronicle observer tribune festival concert gallery cathedral monastery observatory laboratory workshop software compiler network"
+).split()
+#: Hosts and paths of both labels have these, and hyphens; they tell nothing.
+EITHER_WORDS = "online free best my the world city shop club home new top win cheap live now".split()
+#: Allowed urls with names that mean nothing, so that a name as such does not block.
+MADE_UP = 300
+#: Rounds through the words, each with other partners.
+TURNS = 2
+PREFIXES = ["", "www.", "m.", "blog.", "news."]
 SUFFIXES = ["example.com", "example.org", "example.net"]
-PATHS = ["/en/123", "/fr/825", "/de/474.html", "/es/533/", "/about", "/articles/2020/spring", "/"]
+PLAIN_PATHS = ["/", "/index.html", "/about", "/p/17", "/2020/05/21", "", "/page/3.html", "/contact/"]
 
 
 def default_labels() -> list[tuple[str, int]]:
-    """(url, 1 to block or 0 to allow) for every pair of words; prefixes, suffixes and paths go round and tell nothing."""
-    blocked = [f"{a}-{b}" for a in BLOCK_WORDS for b in BLOCK_WORDS if a != b]
-    allowed = [f"{a}{b}" for a in ALLOW_WORDS for b in ALLOW_WORDS if a != b]
+    """(url, 1 to block or 0 to allow).
+
+    What blocks a url stands in its host or in its path alone.  Hyphenated and
+    plain hosts, prefixes, suffixes and path forms go round in both labels.
+    """
+
+    def turned(forms: list[str], i: int) -> list[str]:
+        return forms[i % len(forms) :] + forms[: i % len(forms)]
+
+    def named(words: list[str], i: int, t: int = 0) -> list[str]:
+        a, b, c = words[i], words[(7 * i + 3 + 10 * t) % len(words)], EITHER_WORDS[(i + 5 * t) % len(EITHER_WORDS)]
+        return turned([a, f"{a}-{b}", f"{a}{b}", f"{c}-{a}", f"{a}{c}", f"{a}-{c}"], i)
+
+    def paths(words: list[str], i: int, t: int = 0) -> list[str]:
+        a, b, c = words[i], words[(11 * i + 5 + 9 * t) % len(words)], EITHER_WORDS[(3 * i + 7 * t) % len(EITHER_WORDS)]
+        return turned([f"/{a}/{c}", f"/{c}-{a}-{b}", f"/{a}.html", f"/{c}/{a}/12", f"/{b}-{a}", f"/{a}/{b}"], i)
+
     out = []
-    for label, hosts in ((1, blocked), (0, allowed)):
-        for i, host in enumerate(hosts):
-            url = f"https://{PREFIXES[i % len(PREFIXES)]}{host}.{SUFFIXES[i % len(SUFFIXES)]}{PATHS[i % len(PATHS)]}"
-            out.append((url, label))
+
+    def add(host: str, path: str, label: int) -> None:
+        k = len(out)
+        out.append((f"https://{PREFIXES[k % len(PREFIXES)]}{host}.{SUFFIXES[k // 2 % len(SUFFIXES)]}{path}", label))
+
+    for i in range(len(BLOCK_WORDS) * TURNS):
+        i, t = i % len(BLOCK_WORDS), i // len(BLOCK_WORDS)
+        for j, host in enumerate(named(BLOCK_WORDS, i, t)):
+            k = (6 * i + j) * 5 + t
+            add(host, PLAIN_PATHS[k % len(PLAIN_PATHS)] if (i + j) % 3 else paths(ALLOW_WORDS, k % len(ALLOW_WORDS))[j], 1)
+        for j, path in enumerate(paths(BLOCK_WORDS, i, t)):
+            k = (6 * i + j) * 5 + t
+            add(made_up(k) if (i + j) % 3 else named(ALLOW_WORDS, k % len(ALLOW_WORDS))[j], path, 1)
+    for i in range(len(ALLOW_WORDS) * TURNS):
+        i, t = i % len(ALLOW_WORDS), i // len(ALLOW_WORDS)
+        for j, host in enumerate(named(ALLOW_WORDS, i, t)):
+            add(host, PLAIN_PATHS[(6 * i + j + t) % len(PLAIN_PATHS)], 0)
+        for j, path in enumerate(paths(ALLOW_WORDS, i, t)):
+            k = 6 * i + j + 600 * t
+            add(made_up(k) if (i + j) % 3 else named(ALLOW_WORDS, (13 * i + 5) % len(ALLOW_WORDS))[j], path, 0)
+    for k in range(MADE_UP):
+        name = EITHER_WORDS[k // 3 % len(EITHER_WORDS)]
+        add([made_up(k), f"{made_up(k)}-{name}", f"{name}-{made_up(k)}"][k % 3], PLAIN_PATHS[k // 2 % len(PLAIN_PATHS)] if k % 5 else f"/{made_up(k + 7)}/{name}", 0)
+    return out
+
+
+def made_up(k: int) -> str:
+    """A name of two or three syllables that means nothing."""
+    letters = int(mix(np.array([k + 1], dtype=np.uint64))[0])
+    out = ""
+    for _ in range(2 + k % 2):
+        letters, a = divmod(letters, 20)
+        letters, b = divmod(letters, 5)
+        letters, c = divmod(letters, 9)
+        out += "bcdfghjklmnpqrstvwxz"[a] + "aeiou"[b] + "lmnrst   "[c].strip()
     return out
 
 

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names, for every operator."""
 
 import base64
+import re
 from collections import Counter
 
 import numpy as np
@@ -105,6 +106,27 @@ def test_url_model_on_held_out_urls():
     assert right >= 0.9 * len(labelled[1::2])
 
 
+def test_url_model_on_words_it_never_saw():
+    model = urls.train([(*host_path(u), y) for u, y in urls.default_labels()])
+    seen = {w for u, _ in urls.default_labels() for w in re.findall(r"[a-z]+", u)}
+    block = "casinos pokerroom gamblers lotteries jackpots pornstar spamming viagras torrents warezsite bettings pharmacies".split()
+    allow = "libraries gardener schools mountains archives historian sciences kitchens bakeries theatres forests climates".split()
+    assert not seen & {*block, *allow}
+    for label, words in ((1, block), (0, allow)):
+        hosts = [h for i, w in enumerate(words) for h in (w, f"{w}-{words[i - 1]}", f"{w}{words[i - 5]}")]
+        right = sum((model.score(f"{h}.example.org", "/q/77") >= 0.5) == label for h in hosts)
+        assert right >= 0.9 * len(hosts), (label, right, len(hosts))
+        paths = [p for i, w in enumerate(words) for p in (f"/{w}/{words[i - 1]}", f"/{w}-{words[i - 5]}-today", f"/{w}")]
+        right = sum((model.score("lindqvist.example.net", p) >= 0.5) == label for p in paths)
+        assert right >= 0.9 * len(paths), (label, right, len(paths))
+    assert all(model.score("lindqvist.example.net", p) >= 0.5 for p in ("/casino/win", "/buy-pills-now"))
+
+
+def host_path(url: str) -> tuple[str, str]:
+    host, slash, path = url.partition("://")[2].partition("/")
+    return host, slash + path
+
+
 def test_decontamination(docs, empty, items):
     got = decontaminate.find(docs, items)
     bench = [(r.item_id, r.text) for r in items.collect()]
