@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestlake.llm import chat, decontaminate, jaccard, packing, paragraphs, quality, secrets, suffixes, urls, warc
+from contestlake.llm import (
+    chat, decontaminate, jaccard, lexical, packing, paragraphs, pii, quality, secrets, suffixes, urls, warc, whitening,
+)
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -190,6 +192,45 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.per_document(paragraphs.copies(table(spark, sf_dir, "documents")))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+q AS (
+  SELECT item_id, t, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t
+        FROM (SELECT DISTINCT item_id, text FROM benchmark))
+  GROUP BY item_id, t),
+lengths AS (SELECT r, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+total AS (SELECT count(*)::HUGEINT AS docs, sum(n)::HUGEINT AS terms FROM lengths),
+normal AS (SELECT r, doc_id, (75 + (25 * n::HUGEINT * docs) // terms)::BIGINT AS m FROM lengths, total),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+weights AS (
+  SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), total),
+scores AS (
+  SELECT item_id, doc_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN tf USING (t) JOIN weights USING (t) JOIN normal USING (r) GROUP BY item_id, doc_id, r),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_url_filter": op2_url_filter,
@@ -201,6 +242,15 @@ QUERIES: dict[str, Query] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_paragraph_dedup": op10_paragraph_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_pii": op12_pii,
+    "op13_whitening": op13_whitening,
 }
 
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op6_quality_rules": OP6_SQL, "op7_legacy_archives": OP7_SQL, "op9_jaccard_join": OP9_SQL}
+ORACLES: dict[str, str] = {
+    "op3_decontamination": OP3_SQL,
+    "op6_quality_rules": OP6_SQL,
+    "op7_legacy_archives": OP7_SQL,
+    "op9_jaccard_join": OP9_SQL,
+    "op11_lexical_search": OP11_SQL,
+}

@@ -37,7 +37,7 @@ def test_sql(spark, sf, name):
 
 
 def test_every_operator_has_one_query():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_secrets(spark, sf, docs):
