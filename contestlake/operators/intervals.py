@@ -81,7 +81,11 @@ def build_intervals(actions: DataFrame, order: list[str], at: str,
     ``actions`` has entity, member, action, counterparty and the order columns,
     the first of which must be the effective time ``at``.
     """
-    moves = membership_moves(actions, order)
+    return intervals_of(membership_moves(actions, order), order, at, chunk)
+
+
+def intervals_of(moves: DataFrame, order: list[str], at: str, chunk: Callable[[Column], Column] = F.to_date) -> DataFrame:
+    """Intervals from membership moves."""
     # The kept turns are read four times below; they are written once.
     turns = cut_lineage(_alternating(moves, order, chunk(F.col(at))).where("in_turn").drop("in_turn"))
     full = [*order, "step"]

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestlake.functions.rates import fixed, ratio
-from contestlake.functions.roles import acceptance_tier, tier_rank
 from contestlake.operators import ranking
 from contestlake.operators.metrics import Metric, component_names
 from contestlake.session import cut_lineage
@@ -137,91 +136,6 @@ def quality(weights: dict[str, float]) -> Column:
     return fixed(sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0)), 2)
 
 
-def _ours(rosters: DataFrame, us, names: list[str]) -> Column:
-    """Our roster as one array: the members of one entity."""
-    item = F.struct("member", "quality", *names)
-    return rosters.where(F.col("entity") == us).agg(F.array_sort(F.collect_list(item))).scalar()
-
-
-def _swap_rows(rows: DataFrame, inputs: DataFrame, us, metrics, played, left, weight, flows: dict) -> DataFrame:
-    """New values of both sides per variant; a variant maps to (send, receive)."""
-    mine = inputs.select([F.col(c).alias(f"us_{c}") for c in inputs.columns])
-    kind = inputs.schema["entity"].dataType
-    rows = rows.withColumn("us_entity", F.lit(us).cast(kind)).join(mine, "us_entity").join(inputs, "entity")
-
-    def vals(prefix, delta):
-        return signed_values(metrics, lambda c: F.col(f"{prefix}{c}_ytd"), lambda c: F.col(f"{prefix}{c}_recent"), delta,
-                             played, left, weight)
-
-    sides = [
-        F.struct(F.lit(name).alias("variant"), F.array(
-            F.struct(F.col("us_entity").alias("entity"), vals("us_", lambda c, s=send, r=receive: r(c) - s(c)).alias("v")),
-            F.struct(F.col("entity"), vals("", lambda c, s=send, r=receive: s(c) - r(c)).alias("v"))).alias("touched"))
-        for name, (send, receive) in flows.items()
-    ]
-    return rows.withColumn("sides", F.array(*sides))
-
-
-def _gains(rows: DataFrame, board: DataFrame, us, variants: list[str], count: int) -> DataFrame:
-    """Change of our and their points per swap and variant, inside the row."""
-    rows = rows.withColumn("__field", field_of(board))
-    for k, name in enumerate(variants):
-        rows = rows.withColumn(f"__{name}", changes(F.col("sides")[k]["touched"], F.col("__field"), count))
-
-    def gain(name, ours):
-        side = F.filter(f"__{name}", lambda c: c["entity"] == us if ours else c["entity"] != us)
-        return F.get(side, F.lit(0))["change"].alias(("ours" if ours else "theirs") + ("" if name == "full" else f"_{name}"))
-
-    named = [gain(name, ours) for name in variants for ours in (True, False)]
-    return rows.select("*", *named).drop("sides", "__field", *[f"__{name}" for name in variants])
-
-
-def scan_swaps(inputs: DataFrame, rosters: DataFrame, us, metrics: list[Metric], played: int, left: int,
-               weight: float = 0.35, damp: float = 0.8, per_target: int = 2, top: int = 12) -> DataFrame:
-    """One-for-one swaps with every rival, graded and capped per target.
-
-    ``rosters``: entity, member, quality and weekly components, whole.  A win that dies when the target produces
-    ``damp`` of its rate is marked fragile.
-    """
-    names = component_names(metrics)
-    inputs, rosters = settled(inputs), settled(rosters)
-    board = settled(base_board(inputs, metrics, played, left, weight))
-    pairs = rosters.where(F.col("entity") != us).withColumn("give", F.explode(_ours(rosters, us, names)))
-    send = lambda c: F.col("give")[c]
-    rows = _swap_rows(pairs, inputs, us, metrics, played, left, weight, {
-        "full": (send, F.col), "damped": (send, lambda c: F.col(c) * damp)})
-    rows = rows.select(
-        F.col("entity").alias("rival"), F.col("give.member").alias("give"), F.col("member").alias("get"),
-        F.col("give.quality").alias("q_give"), F.col("quality").alias("q_get"), "sides")
-    valued = _gains(rows, board, us, ["full", "damped"], len(metrics)).drop("theirs_damped")
-    tier = acceptance_tier(F.col("ours"), F.col("theirs"), F.col("q_give"), F.col("q_get"))
-    out = valued.withColumn("tier", tier).where(F.col("tier").isNotNull())
-    out = out.withColumn("fragile", F.col("ours_damped") <= 0).drop("ours_damped")
-    order = [tier_rank(F.col("tier")).asc(), F.desc("ours"), F.asc("give"), F.asc("get")]
-    return ranking.top_k(out, ["get"], order, per_target).drop("rank").orderBy(*order).limit(top)
-
-
-def scan_two_for_one(inputs: DataFrame, rosters: DataFrame, us, metrics: list[Metric], played: int, left: int,
-                     weight: float = 0.35, stars: int = 8, floor: float = 0.9, per_target: int = 2, top: int = 10) -> DataFrame:
-    """Two of ours for one of a rival's best; the quality floor cuts early."""
-    names = component_names(metrics)
-    inputs, rosters = settled(inputs), settled(rosters)
-    board = settled(base_board(inputs, metrics, played, left, weight))
-    best = ranking.top_k(rosters.where(F.col("entity") != us), ["entity"], [F.desc("quality"), F.asc("member")], stars).drop("rank")
-    rows = best.withColumn("roster", _ours(rosters, us, names))
-    rows = rows.select("*", F.posexplode("roster").alias("i", "g1"))
-    rows = rows.withColumn("g2", F.explode(F.slice("roster", F.col("i") + 2, F.size("roster")))).drop("roster", "i")
-    rows = rows.where(F.col("g1.quality") + F.col("g2.quality") >= F.col("quality") * floor)
-    send = lambda c: F.col("g1")[c] + F.col("g2")[c]
-    rows = _swap_rows(rows, inputs, us, metrics, played, left, weight, {"full": (send, F.col)})
-    rows = rows.select(F.col("entity").alias("rival"), F.col("g1.member").alias("give1"), F.col("g2.member").alias("give2"),
-                       F.col("member").alias("get"), "sides")
-    valued = _gains(rows, board, us, ["full"], len(metrics))
-    out = valued.where((F.col("ours") > 0) & (F.col("theirs") >= -0.5))
-    order = [(F.col("ours") + F.least(F.col("theirs"), F.lit(0.0))).desc(), F.asc("get"), F.asc("give1"), F.asc("give2")]
-    return ranking.top_k(out, ["get"], order, per_target).drop("rank").orderBy(*order).limit(top)
-
-
 # --- lineup ----------------------------------------------------------------
 
 

@@ -16,8 +16,10 @@ from contestlake.operators import aggregates as A
 from contestlake.operators import intervals as I
 from contestlake.operators import joins as J
 from contestlake.operators import ranking
+from contestlake.operators import rederive as R
 from contestlake.plans import league as L
 from contestlake.plans.registry import query, rnd
+from contestlake.session import cut_lineage
 
 # Event types as actions.
 ACTIONS = {"signup": "add", "error": "drop", "purchase": "trade", "view": "move_to_il", "click": "move_from_il"}
@@ -108,6 +110,40 @@ def corrected_intervals(spark, sf):
     return I.build_intervals(corrected_log(spark, sf), ORDER, "ts")
 
 
+# Every 17th event comes late: the stored intervals lack it.
+_LATE = "event_id%17=0"
+_TWO = f"""WITH
+cur AS ({WITH} SELECT * FROM iv),
+sto AS ({WITH.replace("FROM events)", f"FROM events WHERE NOT ({_LATE}))")} SELECT * FROM iv),
+a AS (SELECT *, row_number() OVER (PARTITION BY entity, member, from_ts ORDER BY to_ts NULLS FIRST, via, ended_by NULLS FIRST, status) AS k FROM sto),
+b AS (SELECT *, row_number() OVER (PARTITION BY entity, member, from_ts ORDER BY to_ts NULLS FIRST, via, ended_by NULLS FIRST, status) AS k FROM cur)
+"""
+
+
+def late_changes(spark, sf):
+    log = actions(spark, sf)
+    late = F.expr(_LATE)
+    stored = cut_lineage(I.build_intervals(log.where(~late), ORDER, "ts"))
+    return stored, R.interval_changes(stored, log, log.where(late), ORDER, "ts")
+
+
+@query("late_change_set", _TWO + """
+SELECT CASE WHEN a.k IS NULL THEN 'insert' WHEN b.k IS NULL THEN 'delete' ELSE 'update' END AS op,
+  coalesce(b.entity, a.entity) AS entity, coalesce(b.member, a.member) AS member, coalesce(b.from_ts, a.from_ts) AS from_ts,
+  CASE WHEN b.k IS NULL THEN a.to_ts ELSE b.to_ts END AS to_ts, CASE WHEN b.k IS NULL THEN a.via ELSE b.via END AS via,
+  CASE WHEN b.k IS NULL THEN a.ended_by ELSE b.ended_by END AS ended_by, CASE WHEN b.k IS NULL THEN a.status ELSE b.status END AS status
+FROM a FULL JOIN b ON a.entity=b.entity AND a.member=b.member AND a.from_ts=b.from_ts AND a.k=b.k
+WHERE a.k IS NULL OR b.k IS NULL OR a.to_ts IS DISTINCT FROM b.to_ts OR a.via<>b.via OR a.ended_by IS DISTINCT FROM b.ended_by OR a.status<>b.status""")
+def late_change_set(spark, sf):
+    return late_changes(spark, sf)[1].drop(R.PLACE)
+
+
+@query("late_rederivation", WITH + "SELECT entity, member, from_ts, to_ts, via, ended_by, status FROM iv")
+def late_rederivation(spark, sf):
+    stored, changes = late_changes(spark, sf)
+    return R.applied(stored, changes, [*I.KEY, "from_ts"])
+
+
 DATES = [datetime(2024, 1, 8), datetime(2024, 1, 15), datetime(2024, 1, 22), datetime(2024, 1, 29)]
 
 

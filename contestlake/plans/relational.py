@@ -14,7 +14,8 @@ from contestlake.operators import joins as J
 from contestlake.operators import ranking
 from contestlake.plans import league as L
 from contestlake.plans.registry import query, rnd
-from contestlake.sources import sinks
+from contestlake.session import run_dir
+from contestlake.sources import sinks, versions
 
 WEEKS = Calendar(date(2024, 1, 1), date(2024, 1, 8), 5)
 
@@ -371,3 +372,31 @@ def latency_ledger(spark, sf):
     lag = F.datediff("seen", "done").cast("long")
     return li.join(o, "o_orderkey").groupBy("priority").agg(
         F.count(F.lit(1)).alias("n"), F.min(lag).alias("low"), F.max(lag).alias("high"), fixed(F.sum(lag) / F.count(F.lit(1)), 4).alias("mean"))
+
+
+@query("versioned_payloads", """
+SELECT c_custkey AS uid, CASE WHEN c_acctbal>0 THEN 'v2' ELSE 'v1' END AS model_version, CASE WHEN c_acctbal>0 THEN 'live' ELSE 'stale' END AS status,
+  json_extract_string(to_json({r: CASE WHEN c_acctbal>0 THEN lower(c_mktsegment) ELSE c_mktsegment END}), '$.r') AS role FROM customer""")
+def versioned_payloads(spark, sf):
+    """Payloads of two model versions; what the second no longer derives is stale."""
+    c = L.table(spark, sf, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("role"))
+    table = versions.Table(spark, run_dir(spark, "payloads"))
+    first = versions.payloads(c.select("uid", "role"), "uid", "v1", datetime(2024, 1, 1))
+    table.derive(first, ["uid"], "v1")
+    live = c.where("balance > 0").select("uid", F.lower("role").alias("role"))
+    _, stale = table.derive(versions.payloads(live, "uid", "v2", datetime(2024, 1, 8)), ["uid"], "v2")
+    both = table.read().withColumn("status", F.lit("live")).unionByName(stale.withColumn("status", F.lit("stale")))
+    return both.select("uid", "model_version", "status", F.get_json_object("payload", "$.role").alias("role"))
+
+
+@query("versioned_upsert", """
+SELECT event_id%200 AS uid, max(ts) AS observed_at, arg_max(event_id,(ts,event_id)) AS event_id, max(ts)<TIMESTAMP '2024-01-16' AS unchanged FROM events GROUP BY 1""")
+def versioned_upsert(spark, sf):
+    """Two upserts as two versions; rows equal in both were left alone by the second."""
+    rows = events(spark, sf).select((F.col("event_id") % 200).alias("uid"), F.col("ts").alias("observed_at"), "event_id")
+    cut = F.lit(datetime(2024, 1, 16)).cast("timestamp_ntz")
+    table = versions.Table(spark, run_dir(spark, "upserts"))
+    first = table.upsert(rows.where(F.col("observed_at") < cut), ["uid"], "observed_at")
+    table.upsert(rows.where(F.col("observed_at") >= cut), ["uid"], "observed_at")
+    before = table.read(first.version).withColumn("unchanged", F.lit(True))
+    return table.read().join(before, ["uid", "observed_at", "event_id"], "left").withColumn("unchanged", F.coalesce("unchanged", F.lit(False)))

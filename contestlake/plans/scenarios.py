@@ -8,6 +8,7 @@ from contestlake.functions.rates import fixed
 from contestlake.operators import ranking
 from contestlake.operators import scenario as SC
 from contestlake.operators import standings as S
+from contestlake.operators import swaps as SW
 from contestlake.plans import league as L
 from contestlake.plans import standings as P
 from contestlake.plans.registry import query, rnd
@@ -117,12 +118,12 @@ sk AS (SELECT *, row_number() OVER (PARTITION BY get ORDER BY t, ours DESC, give
 
 @query("scenario_swap_scan", SWAP + "SELECT rival, give, get, q_give, q_get, ours, theirs, tier, fragile FROM sk WHERE k<=2 ORDER BY t, ours DESC, give, get LIMIT 12")
 def scenario_swap_scan(spark, sf):
-    return SC.scan_swaps(inputs(spark, sf), rosters(spark, sf), L.US, L.METRICS, L.AS_OF, LEFT)
+    return SW.scan_swaps(inputs(spark, sf), rosters(spark, sf), L.US, L.METRICS, L.AS_OF, LEFT)
 
 
 @query("cap_per_target", SWAP + "SELECT rival, give, get, ours, theirs, tier FROM sk WHERE k<=1 ORDER BY t, ours DESC, give, get LIMIT 1000")
 def cap_per_target(spark, sf):
-    out = SC.scan_swaps(inputs(spark, sf), rosters(spark, sf), L.US, L.METRICS, L.AS_OF, LEFT, per_target=1, top=1000)
+    out = SW.scan_swaps(inputs(spark, sf), rosters(spark, sf), L.US, L.METRICS, L.AS_OF, LEFT, per_target=1, top=1000)
     return out.select("rival", "give", "get", "ours", "theirs", "tier")
 
 
@@ -140,7 +141,7 @@ SELECT rival, give1, give2, get, ours, theirs FROM dk WHERE k<=2 ORDER BY ours+l
 
 @query("two_for_one_scan", DUO)
 def two_for_one_scan(spark, sf):
-    return SC.scan_two_for_one(inputs(spark, sf), rosters(spark, sf), L.US, L.METRICS, L.AS_OF, LEFT)
+    return SW.scan_two_for_one(inputs(spark, sf), rosters(spark, sf), L.US, L.METRICS, L.AS_OF, LEFT)
 
 
 # --- lineup ----------------------------------------------------------------

@@ -4,7 +4,6 @@ everything the watermark has closed."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from contestlake.functions.rates import cents
 from contestlake.operators import signals as SG
@@ -12,8 +11,12 @@ from contestlake.plans import actions as ACT
 from contestlake.plans import league as L
 from contestlake.plans import signals as SIG
 from contestlake.plans.registry import query
+from contestlake.streaming import keyed as K
 from contestlake.streaming import pipelines as P
 
+#: Parts in which the event table lands, each a run of the query.
+PARTS = 3
+
 
 def stream(spark, sf):
     return P.parquet_stream(spark, f"{sf}/events.parquet", P.EVENTS)
@@ -92,41 +95,63 @@ def stream_late_rows(spark, sf):
     return P.drain(late.select(F.col("l_orderkey").alias("o_orderkey")), "late").distinct()
 
 
-SERIES = T.StructType([
-    T.StructField("member", T.LongType()), T.StructField("at", T.TimestampNTZType()), T.StructField("seq", T.LongType()),
-    T.StructField("cents", T.LongType())])
-
-
 @query("stream_trend_state", """
 WITH r AS (SELECT user_id AS member, ts, cast(round(value*100) AS bigint) AS cents, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_type='purchase'),
 a AS (SELECT member, count(*) AS games, max(ts) AS newest, cast(sum(CASE WHEN rn<=2 THEN cents END) AS double)/count(CASE WHEN rn<=2 THEN 1 END) AS r, cast(sum(CASE WHEN rn>2 THEN cents END) AS double)/count(CASE WHEN rn>2 THEN 1 END) AS p FROM r WHERE rn<=7 GROUP BY 1),
 d AS (SELECT *, """ + SIG.rnd("r-p", 2) + """ AS delta FROM a WHERE games>=4)
 SELECT member, newest, CASE WHEN delta>0 THEN 'spend_up' ELSE 'spend_down' END AS kind, delta, """ + SIG.rnd("least(1.0,abs(delta)/20000.0)", 4) + """ AS strength FROM d WHERE abs(delta)>=2000""")
 def stream_trend_state(spark, sf):
-    rows = stream(spark, sf).where(F.col("event_type") == "purchase").select(
-        F.col("user_id").alias("member"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), cents(F.col("value")).alias("cents"))
-    newest = P.keep_state(rows, P.newest_step(7), SERIES, "trend")
-    return SG.trend_shift(newest, "cents", 2000.0, unit=20000.0, name="spend")
+    def step(landed, root):
+        rows = landed.where(F.col("event_type") == "purchase").select(
+            F.col("user_id").alias("member"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), cents(F.col("value")).alias("amount"))
+        return K.run(K.newest(rows, 7, 2), root)
+
+    root, _ = K.in_parts(L.table(spark, sf, "events"), "ts", PARTS, step, "trend")
+    return SG.trend_shift(K.newest_rows(spark, root), "amount", 2000.0, unit=20000.0, name="spend")
 
 
-def action_stream(spark, sf):
+def acts(events):
+    """Events as owners' actions."""
     k = F.get_json_object("props", "$.k").cast("long")
     entity = F.floor(k / 10).cast("long")
     action = F.create_map(*[F.lit(x) for kv in ACT.ACTIONS.items() for x in kv])[F.col("event_type")]
-    return stream(spark, sf).select(
+    return events.select(
         "event_id", "ts", F.col("user_id").alias("member"), entity.alias("entity"), action.alias("action"),
         F.when(F.col("event_type") == "purchase", (entity + 1) % 10).alias("counterparty"))
 
 
 @query("stream_membership", "WITH " + ACT.SQL_ACTIONS + "SELECT entity, member, from_ts, to_ts, via, ended_by, status FROM iv")
 def stream_membership(spark, sf):
-    return P.keep_state(action_stream(spark, sf), P.membership_step(ACT.ORDER, "ts"), P.MEMBERSHIP, "membership")
+    root, closed = K.in_parts(
+        L.table(spark, sf, "events"), "ts", PARTS, lambda landed, root: K.run(K.closed_intervals(acts(landed), "ts", "event_id"), root), "membership")
+    return K.all_intervals(spark, closed, root)
+
+
+@query("stream_first_seen", """
+WITH r AS (SELECT event_id, event_id%500 AS uid, ts, min(ts) OVER (PARTITION BY event_id%500) AS f,
+  row_number() OVER (PARTITION BY event_id%500 ORDER BY ts, event_id) AS n FROM events)
+SELECT event_id, uid, ts, f AS first_at, n=1 AS is_new FROM r""")
+def stream_first_seen(spark, sf):
+    rows = L.table(spark, sf, "events").withColumn("uid", F.col("event_id") % 500)
+    _, seen = K.in_parts(rows, "ts", PARTS, lambda landed, root: K.run(K.first_seen(landed, "uid", "ts", "event_id"), root), "sightings")
+    return seen.select(F.col("place").alias("event_id"), "uid", K.stamp(F.col("at")).alias("ts"), K.stamp(F.col("first_at")).alias("first_at"), "is_new")
+
+
+# A uid is new again when it was away for more than two days, and its state is gone by then.
+@query("stream_expiring_dedup", """
+WITH r AS (SELECT event_id, event_id%500 AS uid, ts, lag(ts) OVER (PARTITION BY event_id%500 ORDER BY ts, event_id) AS p FROM events)
+SELECT event_id, uid FROM r WHERE p IS NULL OR ts>p+INTERVAL 2 DAY""")
+def stream_expiring_dedup(spark, sf):
+    rows = L.table(spark, sf, "events").withColumn("uid", F.col("event_id") % 500)
+    _, seen = K.in_parts(rows, "ts", PARTS, lambda landed, root: K.run(K.first_seen(landed, "uid", "ts", "event_id", keep_days=2), root), "expiring")
+    return seen.where("is_new").select(F.col("place").alias("event_id"), "uid")
 
 
 @query("stream_follow_counts", ACT.SNIPE + "SELECT * FROM sn")
 def stream_follow_counts(spark, sf):
-    moves = action_stream(spark, sf).where(F.col("action").isin("drop", "add"))
-    state = P.keep_state(moves, P.follow_step(), P.FOLLOWS, "follow")
-    return state.where((F.col("kind") == "count") & (F.col("n") > 0)).select(
-        F.col("entity").alias("victim"), F.col("other").alias("sniper"), "n")
+    def step(landed, root):
+        moves = acts(landed).select("member", "entity", "ts", "action")
+        return P.drain(P.followed(moves.where(F.col("action") == "drop"), moves.where(F.col("action") == "add")), "follow", root)
 
+    _, pairs = K.in_parts(L.table(spark, sf, "events"), "ts", PARTS, step, "follow")
+    return pairs.groupBy("victim", "sniper").agg(F.count(F.lit(1)).alias("n"))

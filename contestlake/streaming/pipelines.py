@@ -3,11 +3,7 @@
 Sources are landed files; the checkpoint folder holds offsets and state, so a
 restarted query goes on where it stopped.  State is bounded by event time.
 
-Order-sensitive state (a member's newest appearances, open memberships, recent
-leaves) is a small table written once per micro-batch under its batch id.  A
-batch reads the version before it and writes its own, so a replayed batch
-gives the same version, and the batch operators, which split hot keys, do the
-work.
+Order-sensitive state of single keys lives in ``keyed``.
 """
 
 from __future__ import annotations
@@ -17,10 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery
 
 from contestlake.functions.names import normalize_name
-from contestlake.operators import intervals, joins, ranking
 from contestlake.session import run_dir
 
 EVENTS = T.StructType([
@@ -105,25 +100,45 @@ def late_rows(stream: DataFrame, occurred: str, observed: str, days: int) -> Dat
 # --- running ---------------------------------------------------------------
 
 
-class Heartbeat(StreamingQueryListener):
-    """Keeps the last progress of every query for the ops report."""
+HEARTBEAT = T.StructType([
+    T.StructField("job", T.StringType()), T.StructField("batch", T.LongType()), T.StructField("at", T.StringType()),
+    T.StructField("rows", T.LongType()), T.StructField("watermark", T.StringType()), T.StructField("state_rows", T.LongType()),
+    T.StructField("late_rows", T.LongType()), T.StructField("status", T.StringType()),
+])
+
+
+def heartbeat(spark: SparkSession, query: StreamingQuery, job: str, root: str) -> None:
+    """Append the progress of a query's last batches, and how it ended, to the heartbeat table under ``root``.
+
+    Spark keeps the progress of at most ``spark.sql.streaming.numRecentProgressUpdates`` batches.
+    """
+    rows = []
+    for p in query.recentProgress:
+        held = [(s.numRowsTotal, s.numRowsDroppedByWatermark) for s in p.stateOperators]
+        rows.append((job, p.batchId, p.timestamp, p.numInputRows, p.eventTime.get("watermark"), sum(h[0] for h in held), sum(h[1] for h in held), "running"))
+    status = "failed" if query.exception() else "active" if query.isActive else "stopped"
+    last = max((r[1] for r in rows), default=-1)
+    rows.append((job, last, rows[-1][2] if rows else None, 0, None, None, None, status))
+    spark.createDataFrame(rows, HEARTBEAT).write.mode("append").parquet(f"{root}/heartbeat")
 
-    def __init__(self):
-        self.rows = {}
 
-    def onQueryStarted(self, event):
-        self.rows[str(event.id)] = ("started", 0)
+def poll(stream: DataFrame, label: str, root: str, every: str = "180 seconds", write: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Start a query that looks for new files at fixed times; the caller stops it.
 
-    def onQueryProgress(self, event):
-        p = event.progress
-        self.rows[str(p.id)] = ("running", p.batchId)
+    Rows go to a table under ``root``, or to ``write`` batch by batch.
+    """
+    out = stream.writeStream.queryName(label).option("checkpointLocation", f"{root}/checkpoint").trigger(processingTime=every)
+    if write is not None:
+        return out.foreachBatch(write).start()
+    return out.format("parquet").outputMode("append").option("path", f"{root}/out").start()
 
-    def onQueryIdle(self, event):
-        pass
 
-    def onQueryTerminated(self, event):
-        last = self.rows.get(str(event.id), ("", 0))[1]
-        self.rows[str(event.id)] = ("failed" if event.exception else "stopped", last)
+def lanes(fast: Callable[[], None], slow: Callable[[], None], cycles: int, every: int = 10) -> None:
+    """Run the fast lane in every cycle and the slow lane in the first and then every ``every``-th one."""
+    for cycle in range(cycles):
+        fast()
+        if cycle % every == 0:
+            slow()
 
 
 def drain(stream: DataFrame, label: str, root: str | None = None) -> DataFrame:
@@ -134,6 +149,7 @@ def drain(stream: DataFrame, label: str, root: str | None = None) -> DataFrame:
         stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out")
         .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
+    heartbeat(spark, query, label, root)
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
@@ -146,121 +162,52 @@ def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], label
     query.awaitTermination()
 
 
-def _version_before(spark: SparkSession, folder: str, number: int | None) -> int | None:
-    """Newest finished state version below a batch number (None: of all)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    done = [
-        int(s.getPath().getName()) for s in fs.listStatus(path)
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max((v for v in done if number is None or v < number), default=None)
-
-
-def keep_state(stream: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], schema: T.StructType, label: str,
-               root: str | None = None) -> DataFrame:
-    """Fold micro-batches into a versioned state table; return the last version.
-
-    With a fixed ``root`` a later call goes on from the offsets and the state
-    version the last one left.
-    """
-    spark = stream.sparkSession
-    root = root or run_dir(spark, label)
-
-    def version(session: SparkSession, below: int | None) -> DataFrame:
-        found = _version_before(session, f"{root}/state", below)
-        if found is None:
-            return session.createDataFrame([], schema)
-        return session.read.schema(schema).parquet(f"{root}/state/{found}")
-
-    def one(batch: DataFrame, number: int) -> None:
-        old = version(batch.sparkSession, number)
-        step(old, batch).write.mode("overwrite").parquet(f"{root}/state/{number}")
-
-    each_batch(stream, one, label, root)
-    return version(spark, None)
+# --- leave then taken ------------------------------------------------------
 
+DAY = 86_400
 
-# --- state steps -----------------------------------------------------------
 
+def followed(leaves: DataFrame, takes: DataFrame, days: int = 3, delay: str = "1 day") -> DataFrame:
+    """Stream-stream interval join: a take by another entity less than ``days`` after a leave.
 
-def newest_step(k: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """Keep the newest k appearances per member: old ones and the batch's."""
-
-    def step(old: DataFrame, batch: DataFrame) -> DataFrame:
-        both = old.unionByName(batch.select(*old.columns))
-        return ranking.top_k(both, ["member"], [F.desc("at"), F.desc("seq")], k).select(*old.columns)
-
-    return step
-
-
-MEMBERSHIP = T.StructType([
-    T.StructField("entity", T.LongType()), T.StructField("member", T.LongType()), T.StructField("from_ts", T.TimestampNTZType()),
-    T.StructField("to_ts", T.TimestampNTZType()), T.StructField("via", T.StringType()), T.StructField("ended_by", T.StringType()),
-    T.StructField("status", T.StringType()),
-])
-
-
-def membership_step(order: list[str], at: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """Open and closed intervals so far, from the open ones and a batch of actions.
-
-    An open interval re-enters the batch as its opening action, so the batch
-    rules for double opens and lost closes hold across batches.
+    Both sides are member, entity, ts streams with a watermark of ``delay``;
+    state older than the interval and the delay is dropped on both.  A leave is
+    put on each day its interval touches and meets the takes of that day, so a
+    member with very many moves is spread over days.
     """
-
-    def step(old: DataFrame, batch: DataFrame) -> DataFrame:
-        still = old.where(F.col("to_ts").isNull())
-        none = F.lit(None)
-        carried = still.select(
-            "member", "entity", F.lit("add").alias("action"), none.cast("long").alias("counterparty"),
-            F.col("from_ts").alias(at), *[F.lit(-1).cast("long").alias(c) for c in order if c != at])
-        status = {v: k for k, v in intervals.STATUS_MOVES.items() if k != "move_from_minors"}
-        names = F.create_map(*[F.lit(x) for kv in status.items() for x in kv])
-        moved = still.where(F.col("status") != "active").select(
-            "member", "entity", names[F.col("status")].alias("action"), none.cast("long").alias("counterparty"),
-            F.col("from_ts").alias(at), *[F.lit(0).cast("long").alias(c) for c in order if c != at])
-        fresh = batch.select("member", "entity", "action", F.col("counterparty").cast("long").alias("counterparty"), at, *[
-            (F.col(c).cast("long") + 1).alias(c) for c in order if c != at])
-        built = intervals.build_intervals(carried.unionByName(moved).unionByName(fresh), order, at)
-        via = still.select("entity", "member", "from_ts", F.col("via").alias("old_via"))
-        joined = built.join(via, ["entity", "member", "from_ts"], "left").withColumn("via", F.coalesce("old_via", "via")).drop("old_via")
-        return old.where(F.col("to_ts").isNotNull()).unionByName(joined.select(*old.columns))
-
-    return step
-
-
-FOLLOWS = T.StructType([
-    T.StructField("kind", T.StringType()), T.StructField("member", T.LongType()), T.StructField("entity", T.LongType()),
-    T.StructField("other", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("n", T.LongType()),
-])
-
-
-def follow_step(days: int = 3) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """Leave-then-taken counts, kept up to date batch by batch.
-
-    The state holds the moves of the last ``days`` (plus one for stragglers)
-    and the counts so far.  A batch adds what the kept and new moves give
-    together minus what the kept ones gave alone; no pair is ever written.
+    day = lambda ts: F.floor(F.unix_seconds(ts) / DAY)
+    left = leaves.select("member", F.col("entity").alias("victim"), F.col("ts").cast("timestamp").alias("left_at"))
+    left = left.withWatermark("left_at", delay).withColumn(
+        "day", F.explode(F.sequence(day(F.col("left_at")), day(F.col("left_at") + F.expr(f"INTERVAL {days} DAYS")))))
+    took = takes.select(F.col("member").alias("taken"), F.col("entity").alias("sniper"), F.col("ts").cast("timestamp").alias("taken_at"))
+    took = took.withWatermark("taken_at", delay).withColumn("taken_day", day(F.col("taken_at")))
+    within = F.expr(f"taken_at > left_at AND taken_at < left_at + INTERVAL {days} DAYS")
+    same = (F.col("member") == F.col("taken")) & (F.col("day") == F.col("taken_day")) & (F.col("victim") != F.col("sniper"))
+    return left.join(took, same & within).select("member", "victim", "sniper", "left_at", "taken_at")
+
+
+def late_table(stream: DataFrame, side: Column, sides: int, ts: str, delay_seconds: int, label: str, root: str) -> DataFrame:
+    """The rows that a watermark over several sides has passed by, kept in a table of their own.
+
+    The watermark of a batch is the least over the sides of the newest time in
+    the batches before it, less the delay, as the join has it; it moves once
+    every side was seen.  A repeated batch writes the same files again.
     """
-
-    def step(old: DataFrame, batch: DataFrame) -> DataFrame:
-        kept = old.where(F.col("kind") != "count")
-        fresh = batch.select(
-            F.when(F.col("action") == "drop", "leave").otherwise("take").alias("kind"), "member", "entity",
-            F.lit(None).cast("long").alias("other"), "ts", F.lit(1).cast("long").alias("n"))
-        every = kept.unionByName(fresh)
-
-        def counts(moves, sign):
-            pairs = joins.follow_counts(moves.where(F.col("kind") == "leave"), moves.where(F.col("kind") == "take"), days)
-            return pairs.select(F.col("victim").alias("entity"), F.col("sniper").alias("other"), (F.col("n") * sign).alias("n"))
-
-        before = old.where(F.col("kind") == "count").select("entity", "other", "n")
-        total = before.unionByName(counts(every, 1)).unionByName(counts(kept, -1)).groupBy("entity", "other").agg(F.sum("n").alias("n"))
-        none = F.lit(None)
-        rows = total.select(F.lit("count").alias("kind"), none.cast("long").alias("member"), "entity", "other",
-                            none.cast("timestamp_ntz").alias("ts"), "n")
-        horizon = every.agg(F.max("ts")).scalar() - F.expr(f"INTERVAL {days + 1} DAYS")
-        return rows.unionByName(every.where(F.col("ts") >= horizon))
-
-    return step
+    spark = stream.sparkSession
+    kinds = stream.schema
+    marks = T.StructType([T.StructField("side", T.StringType()), T.StructField("high", T.LongType()), T.StructField("batch", T.LongType())])
+    at = F.unix_millis(F.col(ts).cast("timestamp"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        known = session.createDataFrame([], marks)
+        if number:
+            known = session.read.schema(marks).option("recursiveFileLookup", "true").parquet(f"{root}/marks").where(F.col("batch") < number)
+        newest = known.groupBy("side").agg(F.max("high").alias("high"))
+        low, seen = newest.agg(F.min("high"), F.count(F.lit(1))).first()
+        late = batch.where(at <= low - delay_seconds * 1000) if seen == sides else batch.limit(0)
+        late.write.mode("overwrite").parquet(f"{root}/late/{number}")
+        batch.groupBy(side.alias("side")).agg(F.max(at).alias("high")).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{root}/marks/{number}")
+
+    each_batch(stream, write, label, f"{root}/late-run")
+    return spark.read.schema(kinds).option("recursiveFileLookup", "true").parquet(f"{root}/late")
