@@ -5,6 +5,11 @@ collide in a band are chained into clusters, clusters are verified by the exact
 Jaccard similarity of their 5-word shingles, and the connected components of
 the verified links are the groups of copies.  A paragraph goes if its group has
 one in a document with a smaller id.
+
+Passages also repeat inside lines, or over short ones.  Lines are therefore cut
+behind closing marks into sentences: one of ``MIN_WORDS`` words that stands
+word for word in a document with a smaller id goes as well, and a shorter one
+goes with a neighbour that does.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestlake.llm.bitmaps import bitmap_of, contains
@@ -25,6 +30,8 @@ from contestlake.session import cut_lineage
 
 MIN_WORDS = 10
 RECALL = 0.9999
+#: Signatures that a task remembers while it sends bands.
+HELD_NODES = 500_000
 #: Share of pairs at ``FAR`` similarity that may collide.
 NOISE, FAR = 0.15, 0.2
 
@@ -112,16 +119,29 @@ def _listing(min_words: int):
 
 
 def _bands(min_words: int, bands: int, rows: int):
-    """(key, n, node) of each paragraph and band; the node is the first half of its signature."""
+    """(key, n, node) of each paragraph and band; the node is the first half of its signature.
+
+    A task sends the copies of a paragraph once, so a line that very many
+    documents repeat makes as many rows as there are tasks.  It remembers
+    ``HELD_NODES`` signatures before it starts again.
+    """
 
     def run(arrow: Arrow) -> Arrow:
+        known: set[int] = set()
         for b in arrow:
             for some in _rows(b, min_words):
-                sets = [g for _, _, g in some if g is not None]
-                if sets:
+                fresh = {}
+                for _, _, g in some:
+                    if g is not None and (node := signature(g)[0]) not in known:
+                        fresh.setdefault(node, g)
+                if len(known) > HELD_NODES:
+                    known = set()
+                known.update(fresh)
+                if fresh:
+                    sets = list(fresh.values())
                     keys = band_keys(sets, bands, rows).astype(np.int64).reshape(-1)
                     n = np.repeat(np.array([len(g) for g in sets], dtype=np.int32), bands)
-                    node = np.repeat(np.array([signature(g)[0] for g in sets], dtype=np.int64), bands)
+                    node = np.repeat(np.fromiter(fresh, np.int64, len(fresh)), bands)
                     yield pa.record_batch([pa.array(keys), pa.array(n), pa.array(node)], names=["key", "n", "node"])
 
     return run
@@ -168,12 +188,107 @@ def _grams(min_words: int, wanted_docs: np.ndarray, wanted: np.ndarray):
     return run
 
 
+# ---------------------------------------------------------------- sentences
+
+_END = np.zeros(256, dtype=bool)
+_END[[0x21, 0x2E, 0x3F]] = True
+_PLACE = np.uint64(0xD1342543DE82EF95)
+
+
+class Sentences:
+    """Sentences of some texts: runs of words up to a closing mark or the end of the line.
+
+    ``owner`` is the text, ``number`` the place among its sentences, ``count``
+    the words, ``key`` and ``other`` two hashes of the lower-cased words in
+    order, ``start`` and ``stop`` code points.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        words = Words(texts)
+        n = len(words.hash)
+        line = np.cumsum(words.data == 0x0A)[words.start] if n else np.zeros(0, dtype=np.int64)
+        new = np.ones(n, dtype=bool)
+        new[1:] = (line[1:] != line[:-1]) | _END[words.data[words.end[:-1] - 1]]
+        first = np.flatnonzero(new)
+        self.count = np.diff(np.r_[first, n])
+        place = np.arange(n) - np.repeat(first, self.count)
+        at = words.hash + place.astype(np.uint64) * _PLACE
+        total = lambda x: np.add.reduceat(mix(x), first) if n else x
+        self.key, self.other = mix(total(at) + self.count.astype(np.uint64)), total(at ^ _PLACE)
+        self.owner = np.searchsorted(words.first, first, side="right") - 1
+        opens = np.searchsorted(self.owner, np.arange(len(texts)))
+        self.number = np.arange(len(first)) - opens[self.owner]
+        points = np.r_[0, np.cumsum((words.data & 0xC0) != 0x80)]
+        base = points[words.text_start[self.owner]]
+        self.start = points[words.start[first]] - base
+        self.stop = points[words.end[first + self.count - 1]] - base
+
+
+def _sentence_keys(arrow: Arrow) -> Arrow:
+    """Hash of each sentence, twice if the run of texts has it in two of them."""
+    for b in arrow:
+        for texts in batches(text_bytes(b.column(0))):
+            s = Sentences(texts)
+            order = np.lexsort((s.owner, s.key))
+            key, owner = s.key[order], s.owner[order]
+            once = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])][: len(key)]
+            found, n = np.unique(key[once], return_counts=True)
+            yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["key", "n"])
+
+
+SENTENCES = "doc_id long, text_key long, number int, start int, stop int, words int, sig_a long, sig_b long"
+
+
+def _shared_sentences(shared: np.ndarray):
+    """The sentences whose hash is in the bitmap."""
+
+    def run(arrow: Arrow) -> Arrow:
+        for b in arrow:
+            at = 0
+            for texts in batches(text_bytes(b.column("text"))):
+                s = Sentences(texts)
+                some = np.flatnonzero(contains(shared, s.key))
+                rows = pa.array(at + s.owner[some])
+                numbers = [pa.array(x[some].astype(np.int32)) for x in (s.number, s.start, s.stop, s.count)]
+                hashes = [pa.array(x[some].view(np.int64)) for x in (s.key, s.other)]
+                yield pa.record_batch([b.column("doc_id").take(rows), b.column("text_key").take(rows), *numbers, *hashes],
+                                      names=["doc_id", "text_key", "number", "start", "stop", "words", "sig_a", "sig_b"])
+                at += len(texts)
+
+    return run
+
+
+def repeated_sentences(named: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, text_key, start, stop, first_doc of sentences that go.
+
+    ``lines`` are the paragraphs that go; they count as neighbours.  Runs of
+    repeated sentences are told by their numbers, so only those travel.
+    """
+    keys = named.select("text").mapInArrow(_sentence_keys, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
+    shared = bitmap_of(keys.where("n > 1"), F.col("key"), 24)
+    found = cut_lineage(named.mapInArrow(_shared_sentences(shared), SENTENCES))
+    classes = found.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    classes = classes.where("first_doc < last_doc").drop("last_doc")
+    again = found.join(classes, ["sig_a", "sig_b"]).where("doc_id > first_doc").drop("sig_a", "sig_b")
+    key = ["doc_id", "text_key"]
+    again = again.unionByName(lines.select(*key, F.lit(None).cast("int").alias("number"), "start", "stop", F.lit(0).alias("words"), "first_doc"))
+    # A sentence inside a paragraph that goes is as good as one that goes itself.
+    reach = Window.partitionBy(*key).orderBy("start", F.desc("stop"), F.asc_nulls_first("number")).rowsBetween(Window.unboundedPreceding, 0)
+    covered = F.coalesce(F.max(F.when(F.col("number").isNull(), F.col("stop"))).over(reach) >= F.col("stop"), F.lit(False))
+    placed = again.withColumn("covered", covered).where("number is not null").dropDuplicates([*key, "number"])
+    run = F.col("number") - F.row_number().over(Window.partitionBy(*key).orderBy("number"))
+    placed = placed.withColumn("run", run)
+    strong = F.max(F.col("covered") | (F.col("words") >= min_words)).over(Window.partitionBy(*key, "run"))
+    return placed.withColumn("strong", strong).where(F.col("strong") & ~F.col("covered")).select(*key, "start", "stop", "first_doc")
+
+
 def copies(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every paragraph of ``min_words`` words or more, and a row with par = -1 per document.
+    """What goes from every document, and a row without a span per document.
 
-    Columns: doc_id, text_key, par, start, stop (code points), n, first_doc
-    (smallest id with a copy) and removed.  A null text has no paragraphs; a
-    document without an id is listed, but neither removes nor loses any.
+    Columns: doc_id, text_key, start, stop (code points; null in the
+    document's own row) and first_doc (smallest id with a copy).  A null text
+    loses nothing; a document without an id is listed, but neither removes nor
+    loses anything; rows that share an id do not remove each other's words.
     """
     bands, rows = tune(percent / 100)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
@@ -199,27 +314,51 @@ def copies(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS)
     grouped = classes.join(roots, classes["node"] == roots["at"], "left").withColumn("group", F.coalesce("root", "node"))
     firsts = grouped.groupBy("group").agg(F.min("first").alias("first_doc"))
     grouped = grouped.select("sig_a", "sig_b", "group").join(firsts, "group").select("sig_a", "sig_b", "first_doc")
-    out = listed.join(grouped, ["sig_a", "sig_b"], "left")
-    removed = F.coalesce((F.col("par") >= 0) & (F.col("doc_id") > F.col("first_doc")), F.lit(False))
-    return out.select("doc_id", "text_key", "par", "start", "stop", "n", "first_doc", removed.alias("removed"))
+    lines = whole.join(grouped, ["sig_a", "sig_b"]).where("doc_id > first_doc").select("doc_id", "text_key", "start", "stop", "first_doc")
+    lines = cut_lineage(lines)
+    none = F.lit(None)
+    heads = listed.where("par < 0").select(
+        "doc_id", "text_key", none.cast("int").alias("start"), none.cast("int").alias("stop"), none.cast("long").alias("first_doc"))
+    return heads.unionByName(lines).unionByName(repeated_sentences(named, lines, min_words))
 
 
 def per_document(found: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs, n_removed, removed (spans) and duplicate_of; rows that repeat id and text are one."""
-    gone = F.when(F.col("removed"), F.struct("start", "stop"))
-    spans = F.transform(F.array_sort(F.collect_set(gone)), lambda s: F.concat_ws(":", s["start"], s["stop"]))
-    return found.groupBy("doc_id", "text_key").agg(
-        F.max(F.when(F.col("par") < 0, F.col("n"))).cast("long").alias("n_paragraphs"),
-        F.count_distinct(F.when(F.col("removed"), F.col("par"))).alias("n_removed"),
-        F.array_join(spans, ",").alias("removed"),
-        F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("first_doc")))).alias("duplicate_of"),
-    ).drop("text_key")
+    """doc_id, n_removed, removed (spans) and duplicate_of; rows that repeat id and text are one."""
+    gone = F.when(F.col("start").isNotNull(), F.struct("start", "stop"))
+    spans = found.groupBy("doc_id", "text_key").agg(
+        F.array_sort(F.collect_set(gone)).alias("spans"), F.sort_array(F.collect_set("first_doc")).alias("duplicate_of"))
+    joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["stop"])), ",")
+    return spans.select("doc_id", F.size("spans").cast("long").alias("n_removed"), joined.alias("removed"), "duplicate_of")
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without some sorted spans; a line of which nothing but white space stays goes as a whole."""
+    out, begin, i = [], 0, 0
+    for line in text.split("\n"):
+        end, at, kept = begin + len(line), begin, []
+        while i < len(spans) and spans[i][0] < end:
+            kept.append(text[at : max(at, spans[i][0])])
+            at = max(at, spans[i][1])
+            i += 1
+        rest = "".join([*kept, text[at:end]])
+        if not kept or rest.strip():
+            out.append(rest)
+        begin = end + 1
+    return "\n".join(out)
 
 
 def cut_copies(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with removed paragraphs cut out of ``text``, all columns kept."""
-    lines = copies(docs, percent, min_words).where("removed").groupBy("doc_id", "text_key").agg(F.collect_set("par").alias("_gone"))
-    keyed = null_safe(docs.withColumn("text_key", F.xxhash64("text")), lines, ["doc_id", "text_key"])
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return keyed.withColumn("text", text).select(*docs.columns)
+    """The documents with what repeats cut out of ``text``, all columns kept."""
+    gone = copies(docs, percent, min_words).where("start is not null").groupBy("doc_id", F.col("text_key").alias("_text_key"))
+    gone = gone.agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("_gone"))
+    keyed = null_safe(docs.withColumn("_text_key", F.xxhash64("text")), gone, ["doc_id", "_text_key"])
+    names, at = docs.columns, docs.columns.index("text")
+
+    def run(arrow: Arrow) -> Arrow:
+        for b in arrow:
+            columns, spans = list(b.columns[:-1]), b.column(len(names)).to_pylist()
+            texts = [t if not s else without(t, [(x["start"], x["stop"]) for x in s]) for t, s in zip(columns[at].to_pylist(), spans)]
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.record_batch(columns, names=names)
+
+    return keyed.select(*names, "_gone").mapInArrow(run, docs.schema)

@@ -117,14 +117,29 @@ def repeats(docs: dict[int, str | None], length: int = 50) -> dict:
     return out
 
 
-def paragraph_copies(docs: dict[int, str | None], min_words: int = 10) -> dict:
-    """doc_id -> [(start, stop, first document)] of the removed lines."""
+def sentences(text: str) -> list[tuple[int, int, tuple]]:
+    """(start, stop, words): cut at line feeds and behind words that end in a closing mark."""
+    out, now = [], []
+    for line in re.finditer(r"[^\n]+", text):
+        for m in re.finditer(r"[^\x20\x09-\x0D]+", line[0]):
+            now.append((line.start() + m.start(), line.start() + m.end(), m[0].translate(LOWER)))
+            if m[0][-1] in ".!?":
+                out.append(now)
+                now = []
+        if now:
+            out.append(now)
+            now = []
+    return [(s[0][0], s[-1][1], tuple(w for _, _, w in s)) for s in out]
+
+
+def paragraph_copies(docs: list[tuple[int, str | None]], min_words: int = 10) -> list[tuple[list, set]]:
+    """Per (id, text): sorted spans that go and the first documents that hold them."""
     lines = []
-    for d, text in docs.items():
+    for k, (d, text) in enumerate(docs):
         at = 0
         for line in (text or "").split("\n"):
             if len(re.findall(r"[^\x20\x09-\x0D]+", line)) >= min_words:
-                lines.append((d, at, at + len(line), shingles(line)))
+                lines.append((k, at, at + len(line), shingles(line)))
             at += len(line) + 1
     sets = list({x[3] for x in lines})
     number = {s: i for i, s in enumerate(sets)}
@@ -132,17 +147,50 @@ def paragraph_copies(docs: dict[int, str | None], min_words: int = 10) -> dict:
     for a, b in similar(sets):
         union.join(a, b)
     least: dict[int, int] = {}
-    for d, _, _, s in lines:
+    for k, _, _, s in lines:
         r = union.root(number[s])
-        least[r] = min(least.get(r, d), d)
-    out = {d: [] for d in docs}
-    for d, a, z, s in lines:
+        least[r] = min(least.get(r, docs[k][0]), docs[k][0])
+    gone = [{} for _ in docs]
+    for k, a, z, s in lines:
         first = least[union.root(number[s])]
-        if first < d:
-            out[d].append((a, z, first))
+        if first < docs[k][0]:
+            gone[k][a, z] = first
+    cut = [sentences(text or "") for _, text in docs]
+    first_of: dict[tuple, int] = {}
+    for (d, _), some in zip(docs, cut):
+        for _, _, words in some:
+            first_of[words] = min(first_of.get(words, d), d)
+    out = []
+    for (d, _), some, spans in zip(docs, cut, gone):
+        again = [first_of[words] < d for _, _, words in some]
+        covered = [any(a <= s and e <= z for a, z in spans) for s, e, _ in some]
+        i, more = 0, {}
+        while i < len(some):
+            j = i
+            while j < len(some) and again[j]:
+                j += 1
+            if any(covered[k] or len(some[k][2]) >= min_words for k in range(i, j)):
+                more |= {some[k][:2]: first_of[some[k][2]] for k in range(i, j) if not covered[k]}
+            i = max(j, i + 1)
+        both = spans | more
+        out.append((sorted(both), set(both.values())))
     return out
 
 
+def repeated_runs(docs: list[tuple[int, str | None]], length: int = 50) -> list[list[tuple[int, int]]]:
+    """Per document: the words (start, stop) in runs of ``length`` words that a document with a smaller id has."""
+    first: dict[tuple, int] = {}
+    out: dict[int, list] = {}
+    for k in sorted(range(len(docs)), key=lambda k: docs[k][0]):
+        words = [(m.start(), m.end(), m[0].translate(LOWER)) for m in re.finditer(r"[^\x20\x09-\x0D]+", docs[k][1] or "")]
+        mark = bytearray(len(words))
+        for i in range(len(words) - length + 1):
+            if first.setdefault(tuple(w for _, _, w in words[i : i + length]), docs[k][0]) < docs[k][0]:
+                mark[i : i + length] = b"\1" * length
+        out[k] = [w[:2] for w, m in zip(words, mark) if m]
+    return [out[k] for k in range(len(docs))]
+
+
 def check_pieces(rows: list, docs: list[tuple], encode, window: int = 1024) -> float:
     """Assert that pieces hold every id of every document once, in order, and sequences have no gaps; returns the filled share."""
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)

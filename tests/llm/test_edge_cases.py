@@ -387,25 +387,39 @@ def test_components(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
-def test_paragraphs(docs, empty):
+def test_paragraphs(spark, docs, empty):
     distinct = [(d, t) for d, t in {(d, t) for d, t, _ in ROWS}]
-    lines = [(d, i, line) for d, t in distinct for i, line in enumerate((t or "").split("\n")) if len(line.split()) >= 10]
-    named = [x for x in lines if x[0] is not None]
-    union = brute.Union(range(len(named)))
-    for a, b in brute.similar([brute.shingles(x[2]) for x in named]):
-        union.join(a, b)
-    least: dict = {}
-    for i, x in enumerate(named):
-        least[union.root(i)] = min(least.get(union.root(i), x[0]), x[0])
-    gone = [(x[0], x[1]) for i, x in enumerate(named) if least[union.root(i)] < x[0]]
-    found = paragraphs.copies(docs.dropDuplicates(["doc_id", "text"]))
-    assert sorted((r.doc_id, r.par) for r in found.where("removed").collect()) == sorted(gone)
-    out = paragraphs.per_document(found).collect()
-    assert len(out) == len(distinct) and sum(r.n_removed for r in out) == len(gone)
+    named = [x for x in distinct if x[0] is not None]
+    want = [(d, ",".join(f"{a}:{z}" for a, z in spans), sorted(firsts)) for (d, _), (spans, firsts) in zip(named, brute.paragraph_copies(named))]
+    want += [(None, "", [])] * (len(distinct) - len(named))
+    out = paragraphs.per_document(paragraphs.copies(docs)).collect()
+    assert plain((r.doc_id, r.removed, r.duplicate_of) for r in out) == plain(want) and any(w[1] for w in want)
     assert paragraphs.copies(empty).count() == 0
     cut = paragraphs.cut_copies(docs)
     assert cut.columns == docs.columns and cut.count() == len(ROWS)
-    assert cut.where("doc_id = 2").first().text == ""
+    assert cut.where("doc_id = 2").first().text == "" and cut.where("text_key <> 7").count() == 0
+
+
+def test_passages_inside_lines_and_over_short_ones(spark):
+    passage = [prose(14) + ".", prose(4) + "!", prose(12) + "?"]
+    lead, tail = prose(15) + ".", prose(13)
+    rows = [(1, " ".join(passage)), (2, f"{lead} {' '.join(passage)} {tail}"), (3, "\n".join([lead, *passage, tail])),
+            (4, f"{passage[1]} {tail}x"), (5, f"{passage[1]}\n\n{passage[2]}\t{prose(3)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in paragraphs.per_document(paragraphs.copies(docs)).collect()}
+    want = brute.paragraph_copies(rows)
+    assert {d: got[d].removed for d, _ in rows} == {d: ",".join(f"{a}:{z}" for a, z in spans) for (d, _), (spans, _) in zip(rows, want)}
+    cut = {r.doc_id: r.text for r in paragraphs.cut_copies(docs).collect()}
+    assert [" ".join(cut[d].split()) for d in (1, 2, 3)] == [" ".join(rows[0][1].split()), f"{lead} {tail}", ""]
+    assert got[4].n_removed == 0  # a short sentence alone stays
+    assert "\n" in cut[5] and passage[1] not in cut[5] and passage[2] not in cut[5]
+
+
+def test_cut_spans():
+    text = "ab cd\n\nef\ngh\0 ij"
+    assert paragraphs.without(text, []) == text
+    assert paragraphs.without(text, [(0, 5)]) == "\nef\ngh\0 ij"
+    assert paragraphs.without(text, [(0, 2), (7, 9), (14, 16)]) == " cd\n\ngh\0 "
 
 
 def test_bands_reach_the_recall():
