@@ -37,8 +37,8 @@ COARSE_BITS, FINE_BITS = 6, 12
 #: A word is common enough to split the corpus only if less than this share of the documents has it.
 COMMON = 1 / 8
 K1, B = 1.2, 0.75
-#: Encoded words that a task remembers before it starts again.
-REMEMBER = 500_000
+#: Encoded words that a worker remembers before it starts again, some 200 bytes each.
+REMEMBER = 120_000
 
 
 @cache
@@ -490,6 +490,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
             if len(out) > 2_000:
                 done.append(_arrow(out))
                 out = []
+        # The worker lives on; what a shard took goes back to the machine.
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches([*done, _arrow(out)], PIECES)
 
     return dealt.groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(packed, PIECES_SQL)
