@@ -11,6 +11,8 @@ from contestlake.operators import scan
 from contestlake.session import cut_lineage
 
 KEY = ["entity", "member"]
+#: A chunk that does not decrease with the effective time; by default chunks are bounded by their rows.
+Chunk = Callable[[Column], Column] | None
 
 # What each action does to membership.
 OPENING = ["add", "claim_add", "draft"]
@@ -62,6 +64,11 @@ def with_corrections(actions: DataFrame, corrections: DataFrame, order: list[str
     return actions.unionByName(moves, allowMissingColumns=True)
 
 
+def _chunk_of(moves: DataFrame, order: list[str], at: str, chunk: Chunk) -> Column:
+    """The stated chunks, or chunks of about equally many rows."""
+    return chunk(F.col(at)) if chunk else scan.order_chunks(moves, order)
+
+
 def _alternating(moves: DataFrame, order: list[str], chunk: Column) -> DataFrame:
     """Opens and closes flagged by whether they change the state.
 
@@ -74,8 +81,7 @@ def _alternating(moves: DataFrame, order: list[str], chunk: Column) -> DataFrame
     return seen.withColumn("in_turn", F.col("kind") != F.coalesce(F.col("prev_kind"), F.lit("close"))).drop("prev_kind")
 
 
-def build_intervals(actions: DataFrame, order: list[str], at: str,
-                    chunk: Callable[[Column], Column] = F.to_date) -> DataFrame:
+def build_intervals(actions: DataFrame, order: list[str], at: str, chunk: Chunk = None) -> DataFrame:
     """Intervals per (entity, member): from, to (null = open), via, status.
 
     ``actions`` has entity, member, action, counterparty and the order columns,
@@ -84,20 +90,21 @@ def build_intervals(actions: DataFrame, order: list[str], at: str,
     return intervals_of(membership_moves(actions, order), order, at, chunk)
 
 
-def intervals_of(moves: DataFrame, order: list[str], at: str, chunk: Callable[[Column], Column] = F.to_date) -> DataFrame:
+def intervals_of(moves: DataFrame, order: list[str], at: str, chunk: Chunk = None) -> DataFrame:
     """Intervals from membership moves."""
+    part = _chunk_of(moves, order, at, chunk)
     # The kept turns are read four times below; they are written once.
-    turns = cut_lineage(_alternating(moves, order, chunk(F.col(at))).where("in_turn").drop("in_turn"))
+    turns = cut_lineage(_alternating(moves, order, part).where("in_turn").drop("in_turn"))
     full = [*order, "step"]
-    nxt = scan.shifted(turns, KEY, full, chunk(F.col(at)), {at: "to_ts", "action": "ended_by"}, forward=True)
+    nxt = scan.shifted(turns, KEY, full, part, {at: "to_ts", "action": "ended_by"}, forward=True)
     opens = nxt.where(F.col("kind") == "open").select(
         *KEY, F.struct(*full).alias("opened"), F.col(at).alias("from_ts"), "to_ts", F.col("action").alias("via"), "ended_by")
-    status = _interval_status(moves, turns, order, at, chunk)
+    status = _interval_status(moves, turns, order, part)
     return opens.join(status, [*KEY, "opened"], "left").select(
         *KEY, "from_ts", "to_ts", "via", "ended_by", F.coalesce("status", F.lit("active")).alias("status"))
 
 
-def _placed_moves(moves, turns, order, at, chunk):
+def _placed_moves(moves, turns, order, part):
     """Status moves with the kept open or close they follow."""
     full = [*order, "step"]
     none = F.lit(None).cast("string")
@@ -105,24 +112,24 @@ def _placed_moves(moves, turns, order, at, chunk):
         moves.where(F.col("kind") == "status").select(*KEY, *full, "kind", "status"))
     edge = F.when(F.col("kind") != "status", F.struct("kind", F.struct(*full).alias("opened")))
     line = line.withColumn("edge", edge)
-    return scan.fill_forward(line, KEY, full, chunk(F.col(at)), {"edge": "last_edge"}).where(F.col("kind") == "status")
+    return scan.fill_forward(line, KEY, full, part, {"edge": "last_edge"}).where(F.col("kind") == "status")
 
 
-def _interval_status(moves, turns, order, at, chunk):
-    placed = _placed_moves(moves, turns, order, at, chunk).where(F.col("last_edge.kind") == "open")
+def _interval_status(moves, turns, order, part):
+    placed = _placed_moves(moves, turns, order, part).where(F.col("last_edge.kind") == "open")
     return placed.groupBy(*KEY, F.col("last_edge.opened").alias("opened")).agg(
         F.max_by("status", F.struct(*order, "step")).alias("status"))
 
 
-def interval_anomalies(actions: DataFrame, order: list[str], at: str,
-                       chunk: Callable[[Column], Column] = F.to_date) -> DataFrame:
+def interval_anomalies(actions: DataFrame, order: list[str], at: str, chunk: Chunk = None) -> DataFrame:
     """Events that could not apply: double open, close or move without open."""
     moves = membership_moves(actions, order)
-    flagged = _alternating(moves, order, chunk(F.col(at)))
+    part = _chunk_of(moves, order, at, chunk)
+    flagged = _alternating(moves, order, part)
     name = F.when(F.col("kind") == "open", "double-open").otherwise("close-without-open")
     edges = flagged.where(~F.col("in_turn")).select(*KEY, *order, "action", name.alias("anomaly"))
     turns = flagged.where("in_turn").drop("in_turn")
-    lost = _placed_moves(moves.withColumn("status", F.col("action")), turns, order, at, chunk).where(
+    lost = _placed_moves(moves.withColumn("status", F.col("action")), turns, order, part).where(
         F.coalesce(F.col("last_edge.kind"), F.lit("close")) != "open")
     return edges.unionByName(lost.select(
         *KEY, *order, F.col("status").alias("action"), F.lit("status-move-without-stint").alias("anomaly")))

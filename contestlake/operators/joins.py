@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contestlake.session import cut_lineage
+
 
 def in_period(facts: DataFrame, periods: DataFrame, number: Column) -> DataFrame:
     """Facts with the period they fall in, by period number instead of range."""
@@ -84,7 +86,6 @@ def follow_counts(leaves: DataFrame, arrivals: DataFrame, days: int = 3, chunk=N
     """
     from contestlake.operators import scan
 
-    chunk = chunk or (lambda ts: F.to_date(ts))
     takers = arrivals.select("member", F.col("entity").alias("taker")).distinct()
     sides = leaves.select("member", F.col("entity").alias("left_by"), "ts").join(takers, "member")
     sides = sides.where(F.col("left_by") != F.col("taker"))
@@ -102,7 +103,10 @@ def follow_counts(leaves: DataFrame, arrivals: DataFrame, days: int = 3, chunk=N
                           F.lit(0).alias("sign"), F.lit(0).cast("long").alias("times"), "n").unionByName(
         probes.select("member", "taker", "at", "step", F.col("left_by").cast("long"), "sign", "times",
                       F.lit(0).cast("long").alias("n")))
-    counted = scan.running_sum(line, ["member", "taker"], ["at", "step", "left_by"], chunk(F.col("at")), {"n": "seen"})
+    order = ["at", "step", "left_by"]
+    line = cut_lineage(line)  # read three times: for the bounds of the chunks, their sums and the rows
+    part = chunk(F.col("at")) if chunk else scan.order_chunks(line, order)
+    counted = scan.running_sum(line, ["member", "taker"], order, part, {"n": "seen"})
     return counted.where(F.col("sign") != 0).groupBy(F.col("left_by").alias("victim"), F.col("taker").alias("sniper")).agg(
         F.sum(F.col("sign") * F.col("times") * F.col("seen")).alias("n")).where(F.col("n") > 0)
 

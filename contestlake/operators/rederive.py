@@ -7,7 +7,6 @@ place among those rows in the order of their other columns.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,7 +49,7 @@ def applied(stored: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
 
 
 def interval_changes(stored: DataFrame, log: DataFrame, fresh: DataFrame, order: list[str], at: str,
-                     chunk: Callable[[Column], Column] = F.to_date) -> DataFrame:
+                     chunk: intervals.Chunk = None) -> DataFrame:
     """Change set of the stored intervals after ``fresh`` actions came in, whenever they took effect.
 
     ``log`` holds all actions, the fresh ones too.  Only the (entity, member)

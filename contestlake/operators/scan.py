@@ -120,3 +120,45 @@ def value_chunks(df: DataFrame, column: str, pieces: int | None = None) -> Colum
     bounds = df.agg(F.percentile_approx(column, points, 10 * pieces).alias("b")).first()["b"] or []
     marks = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]).cast("array<double>")
     return F.size(F.filter(marks, lambda b: b <= F.col(column)))
+
+
+#: Rows that a chunk holds, about, where the caller sets no other number of pieces.
+CHUNK_ROWS = 100_000
+
+
+def _as_number(df: DataFrame, column: str) -> Column:
+    kind = dict(df.dtypes)[column]
+    if kind == "date":
+        return F.unix_date(column).cast("double")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    return F.col(column).cast("double")
+
+
+def order_chunks(df: DataFrame, order: list[str], pieces: int | None = None) -> Column:
+    """Chunk number along ``order`` by quantiles of the rows, so that a chunk holds about as many rows as any other.
+
+    A value of the first column that fills chunks of its own (very many rows of
+    one moment) is cut again by quantiles of the second column.  The first two
+    columns must be dates, times or numbers.  What reaches the driver is at
+    most two bounds per piece; the scan on top is exact whatever they are.
+    """
+    first = _as_number(df, order[0])
+    if pieces is None:
+        pieces = max(8, min(10_000, df.count() // CHUNK_ROWS))
+    points = [i / pieces for i in range(1, pieces)]
+    bounds = df.agg(F.percentile_approx(first, points, 10 * pieces).alias("b")).first()["b"] or []
+    marks = sorted(set(bounds))
+    heavy = sorted(b for b in marks if bounds.count(b) > 1)
+    cuts: list[tuple[float, float]] = [(b, float("-inf")) for b in marks]
+    if heavy and len(order) > 1:
+        second = _as_number(df, order[1])
+        most = max(bounds.count(b) for b in heavy) + 1
+        inner = [i / most for i in range(1, most)]
+        found = df.where(first.isin(heavy)).groupBy(first.alias("v")).agg(F.percentile_approx(second, inner, 10 * most).alias("b")).collect()
+        cuts += [(r["v"], x) for r in found for x in sorted(set(r["b"] or []))]
+    if not cuts:
+        return F.lit(0)
+    spread = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in sorted(cuts)])
+    at = F.struct(first.alias("a"), (_as_number(df, order[1]) if len(order) > 1 else F.lit(0.0)).alias("b"))
+    return F.size(F.filter(spread, lambda c: (c["a"] < at["a"]) | ((c["a"] == at["a"]) & (c["b"] <= at["b"]))))

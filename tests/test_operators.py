@@ -424,3 +424,22 @@ def test_correction_lines(spark):
     rows, rejects = captures.corrections(spark.createDataFrame(list(enumerate([good, "", *bad])), "pos long, line string"))
     assert [(r.pos, r.effective, r.player, r.from_team, r.to_team) for r in rows.collect()] == [(0, date(2024, 1, 5), "Al Ruiz", "Beta", "Alpha")]
     assert rejects.count() == 4
+
+
+def test_chunks_are_bounded_by_rows(spark):
+    """A third of all moves on one member and one day, and a tenth at one moment."""
+    rng = random.Random(3)
+    day = datetime(2024, 1, 5)
+    rows = [(i, day + timedelta(seconds=i), 1, 7, rng.choice(["add", "drop"]), None) for i in range(1500)]
+    rows += [(5000 + i, day + timedelta(hours=30), 1, 7, rng.choice(["add", "drop"]), None) for i in range(500)]
+    rows += [(9000 + i, datetime(2024, 1, 1) + timedelta(minutes=9 * i), rng.randint(0, 3), rng.randint(0, 40), rng.choice(["add", "drop"]), None) for i in range(2500)]
+    df = spark.createDataFrame(rows, ACTION_SCHEMA).repartition(5)
+    part = scan.order_chunks(df, ["ts", "seq"], 45)
+    sizes = [r["count"] for r in df.groupBy("entity", "member", part.alias("part")).count().collect()]
+    assert max(sizes) < 2 * len(rows) / 45
+    by_rows = intervals.build_intervals(df, ["ts", "seq"], "ts", lambda ts: scan.order_chunks(df, ["ts", "seq"], 45))
+    by_day = intervals.build_intervals(df, ["ts", "seq"], "ts", F.to_date)
+    plain = intervals.build_intervals(df, ["ts", "seq"], "ts")
+    want = sorted(by_day.collect(), key=str)
+    assert sorted(by_rows.collect(), key=str) == want == sorted(plain.collect(), key=str)
+    assert scan.order_chunks(df.limit(0), ["ts", "seq"]) is not None
