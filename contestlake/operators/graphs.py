@@ -159,6 +159,79 @@ def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 5) -> DataFram
     return labels
 
 
+def modularity(ways: DataFrame, labels: DataFrame, total: float) -> float:
+    """Share of weight inside communities, less what chance would put there; ``ways`` has every edge in both directions."""
+    own = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    other = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    named = ways.join(own, "a").join(other, "b")
+    per = named.groupBy("la").agg(F.sum(F.when(F.col("la") == F.col("lb"), F.col("w")).otherwise(0.0)).alias("inside"), F.sum("w").alias("all"))
+    return per.agg(F.sum(F.col("inside") / total - F.pow(F.col("all") / total, 2))).first()[0] or 0.0
+
+
+def _moved(ways: DataFrame, labels: DataFrame, degrees: DataFrame, total: float, turn: int) -> DataFrame:
+    """One half of the nodes each move to the neighbouring community that gains most, if any gains; ties go to the smallest label."""
+    sums = labels.join(degrees, "node").groupBy("label").agg(F.sum("k").alias("sum"))
+    far = labels.select(F.col("node").alias("b"), "label")
+    votes = ways.where("a <> b").join(far, "b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("w").alias("w"))
+    here = labels.join(degrees, "node").select("node", "k", F.col("label").alias("own"))
+    here = here.where(F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2)
+    known = votes.unionByName(labels.select("node", "label", F.lit(0.0).alias("w"))).groupBy("node", "label").agg(F.sum("w").alias("w"))
+    rated = known.join(here, "node").join(sums, "label")
+    mine = F.col("label") == F.col("own")
+    gain = F.col("w") - F.col("k") * (F.col("sum") - F.when(mine, F.col("k")).otherwise(0.0)) / total
+    rated = rated.withColumn("gain", F.round(gain, 9))
+    best = rated.groupBy("node").agg(
+        F.max_by("label", F.struct(F.col("gain"), -F.col("label"))).alias("new"), F.max("gain").alias("most"),
+        F.max(F.when(mine, F.col("gain"))).alias("stay"))
+    best = best.where("most > stay").select("node", "new")
+    return labels.join(best, "node", "left").select("node", F.coalesce("new", "label").alias("label"))
+
+
+def louvain(edges: DataFrame, nodes: DataFrame, weight: str | None = None, gain: float = 1e-6) -> tuple[DataFrame, float]:
+    """((node, label), modularity) by modularity moves and graph contraction.
+
+    ``edges``: a, b (whole numbers, each pair once) and, if named, a weight;
+    by default every edge counts one.  Nodes move in halves, so neighbours
+    don't swap places for ever, and a round counts only if modularity rises.
+    When neither half gains, communities become the nodes of the next level,
+    until a level gains nothing.  A label is the smallest node of its
+    community; a node without edges is one of its own.  Loops are ignored.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    pairs = edges.where("a <> b").select("a", "b", w.alias("w"))
+    ways = cut_lineage(pairs.union(pairs.select("b", "a", "w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
+    total = ways.agg(F.sum("w")).first()[0]
+    final = nodes.select("node", F.col("node").alias("label"))
+    if not total:
+        return final, 0.0
+    best = float("-inf")
+    while True:
+        degrees = cut_lineage(ways.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")))
+        labels = degrees.select("node", F.col("node").alias("label"))
+        here = start = modularity(ways, labels, total)
+        turn = idle = 0
+        while idle < 2:
+            tried = cut_lineage(_moved(ways, labels, degrees, total, turn))
+            value = modularity(ways, tried, total)
+            turn += 1
+            if value > here + gain:
+                labels, here, idle = tried, value, 0
+            else:
+                idle += 1
+        # The smallest member names a community, so that labels do not depend on the order of moves.
+        names = labels.groupBy("label").agg(F.min("node").alias("name"))
+        labels = cut_lineage(labels.join(names, "label").select("node", F.col("name").alias("label")))
+        step = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        final = cut_lineage(final.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
+        if here <= max(best, start) + gain:
+            return final, here
+        best = here
+        own = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+        other = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        merged = ways.join(own, "a").join(other, "b").groupBy(F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.sum("w").alias("w"))
+        ways = cut_lineage(merged)
+
+
 def feature_vectors(totals: DataFrame, weeks: int, scales: dict[str, float]) -> DataFrame:
     """Scaled production per week as one array per member."""
     return totals.select("member", F.array(*[F.col(c) / weeks / s for c, s in scales.items()]).alias("features"))

@@ -90,6 +90,16 @@ def communities(spark, sf):
     return G.communities(supplier_edges(spark, sf), nodes)
 
 
+@query("supplier_communities")
+def supplier_communities(spark, sf):
+    """Louvain communities of the suppliers that had the same part returned; unweighted, as edges that occur at all."""
+    back = L.table(spark, sf, "lineitem").where(F.col("l_returnflag") == "R").select(
+        F.col("l_partkey").alias("member"), F.col("l_suppkey").alias("entity")).distinct()
+    nodes = L.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"))
+    labels, _ = G.louvain(J.shared_member_edges(back), nodes)
+    return labels
+
+
 # --- advice ----------------------------------------------------------------
 
 CALENDAR = Calendar(date(2024, 1, 1), date(2024, 1, 8), 5)
