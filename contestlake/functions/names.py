@@ -82,3 +82,13 @@ def is_only(positions: Column, allowed: list[str]) -> Column:
     tokens = F.split(positions, ",")
     inside = F.size(F.array_except(tokens, F.array(*[F.lit(a) for a in allowed]))) == 0
     return F.when(positions.isNotNull() & (positions != ""), inside)
+
+
+# Team codes of the league's site that the official feeds write in another way.
+TEAM_CODES = {"CHW": "CWS", "WAS": "WSH"}
+
+
+def translated(code: Column, table: dict[str, str] = TEAM_CODES) -> Column:
+    """A code as the other source writes it; codes outside the table are the same in both."""
+    pairs = [F.lit(x) for kv in table.items() for x in kv]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), code), code) if pairs else code

@@ -74,6 +74,13 @@ def weighted_on_base(weights: dict[str, float], volume: list[str]) -> tuple[Colu
     return num, den
 
 
+def singles(hits: Column, doubles: Column, triples: Column, homers: Column) -> Column:
+    """Hits that are none of the longer ones; a log that lists fewer hits than those has none."""
+    zero = F.lit(0)
+    longer = F.coalesce(doubles, zero) + F.coalesce(triples, zero) + F.coalesce(homers, zero)
+    return F.greatest(F.coalesce(hits, zero) - longer, zero)
+
+
 def swap_impact(volume: Column, edge: Column, factor: Column, denominator: Column) -> Column:
     """Rate change from turning one slot's remaining volume into a better one."""
     return ratio(factor * volume * edge, denominator)

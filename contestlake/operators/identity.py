@@ -40,15 +40,18 @@ def _found(known: Column) -> Column:
     return F.when(few("k"), level("k")).when(known, by_flag).otherwise(level("kt"))
 
 
-def cascade(sources: DataFrame, targets: DataFrame) -> DataFrame:
+def cascade(sources: DataFrame, targets: DataFrame, codes: dict[str, str] | None = None) -> DataFrame:
     """Match every source row by the first pass that has candidates.
 
     ``sources``: source_id, norm, flag, team, rostered.  ``targets``:
     target_id, norm, flag, team.  Fuzzy passes are for rostered rows only: on
     the long tail they would hand out wrong ids.  All passes run together: a
     source is one row per pass, four lookups serve them all, and the strongest
-    pass with a candidate is kept.
+    pass with a candidate is kept.  ``codes`` translates the sources' teams to
+    those of the targets.
     """
+    if codes:
+        sources = sources.withColumn("team", N.translated(F.col("team"), codes))
     keys = F.inline(_match_keys(F.col("norm")))
     wanted = targets.select("target_id", "flag", "team", keys)
     rows = sources.select("source_id", "flag", "team", "rostered", keys).where(

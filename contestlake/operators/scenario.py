@@ -127,6 +127,33 @@ def member_marginal(inputs: DataFrame, flows: DataFrame, metrics: list[Metric],
     return value_touched(touched, board, len(metrics)).withColumn("marginal", -F.col("change")).drop("before", "after", "change")
 
 
+def member_gain(inputs: DataFrame, flows: DataFrame, us, metrics: list[Metric], played: int, left: int,
+                weight: float = 0.35) -> DataFrame:
+    """Points that ``us`` wins when a free member's weekly flow is added; one scenario per row of ``flows``.
+
+    Columns beside member and the components are kept.
+    """
+    names = component_names(metrics)
+    inputs = settled(inputs)
+    board = base_board(inputs, metrics, played, left, weight)
+    kind = inputs.schema["entity"].dataType
+    rows = flows.drop("entity").withColumn("entity", F.lit(us).cast(kind)).join(inputs, "entity")
+    v = signed_values(metrics, lambda c: F.col(f"{c}_ytd"), lambda c: F.col(f"{c}_recent"), F.col, played, left, weight)
+    kept = [c for c in flows.columns if c not in ("entity", *names)]
+    touched = rows.select(*kept, F.array(F.struct("entity", v.alias("v"))).alias("touched"))
+    return value_touched(touched, board, len(metrics)).withColumnRenamed("change", "gain").drop("entity", "before", "after")
+
+
+# What a coming start adds, the weight of plain quality inside one step, and what an idle member keeps.
+START_BUMP, QUALITY_SHARE, IDLE_SHARE = 0.3, 1000.0, 0.4
+
+
+def lineup_key(marginal: Column, starts: Column, quality_: Column, idle: Column) -> Column:
+    """Order of members for the lineup: marginal points and coming starts, then quality, cut for members who do not play."""
+    value = marginal + starts * F.lit(START_BUMP) + quality_ / F.lit(QUALITY_SHARE)
+    return value * F.when(idle, IDLE_SHARE).otherwise(1.0)
+
+
 def weekly_flows(totals: DataFrame, names: list[str], played: int) -> DataFrame:
     return totals.select(*[c for c in totals.columns if c not in names], *[(F.col(c) / played).alias(c) for c in names])
 

@@ -13,4 +13,5 @@ from contestlake.plans import relational  # noqa: F401
 from contestlake.plans import feeds  # noqa: F401
 from contestlake.plans import streams  # noqa: F401
 from contestlake.plans import marts  # noqa: F401
+from contestlake.plans import overviews  # noqa: F401
 from contestlake.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -162,10 +162,11 @@ def slot_options(spark, sf):
     return L.members(spark, sf).select("member", F.explode(table[F.col("role")]).alias("slot"))
 
 
-def _sql_slots():
+def sql_slots(head, score):
+    """SQL twin of the slot assignment; ``head`` has a CTE ``fl`` of members, and ``score`` is an expression over it."""
     opts = " UNION ALL ".join(f"SELECT c_custkey AS member, '{s}' AS slot FROM customer WHERE c_mktsegment='{r}'" for r, v in SLOT_OF.items() for s in [*v, "UTIL"])
-    sql = BASE + f""",
-sm AS (SELECT entity, member, quality AS score, CASE member%6 WHEN 0 THEN 'UTIL' WHEN 1 THEN 'MACH' END AS current FROM fl),
+    sql = head + f""",
+sm AS (SELECT entity, member, {score} AS score, CASE member%6 WHEN 0 THEN 'UTIL' WHEN 1 THEN 'MACH' END AS current FROM fl),
 op AS (SELECT sm.entity, sm.member, o.slot, {rnd("score+CASE WHEN current=o.slot THEN cast(0.75 AS double) ELSE 0 END", 6)} AS key FROM ({opts}) o JOIN sm ON sm.member=o.member)
 """
     taken = []
@@ -176,7 +177,7 @@ op AS (SELECT sm.entity, sm.member, o.slot, {rnd("score+CASE WHEN current=o.slot
     return sql + ", asg AS (" + " UNION ALL ".join(taken) + ")\n"
 
 
-SLOTS = _sql_slots()
+SLOTS = sql_slots(BASE, "quality")
 
 
 def assigned(spark, sf):
