@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from contestlake.functions import names
 from contestlake.functions.calendars import Calendar
 from contestlake.operators import joins
-from contestlake.sources import captures, sinks
+from contestlake.sources import captures, landing, sinks
 
 
 def member_uid(player):
@@ -26,8 +26,15 @@ def member_uid(player):
     return names.content_uid(names.normalize_name(player))
 
 
-def lines(spark: SparkSession, folder: str, file: str) -> DataFrame:
-    return captures.strip_stamp(captures.read_lines(spark, f"{folder}/{file}"))
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    return captures.strip_stamp(captures.read_lines(spark, path))
+
+
+#: Artifacts that an ingest reads.
+FILES = [
+    "transactions_all_raw.txt", "fa_pool_batters.psv", "fa_pool_pitchers.psv", "standings_overall.txt", "standings_overall_raw.txt",
+    "standings_byperiod_all.txt", "lineups_all.psv", "roster_grid.txt", "draft_results.txt", "player_news_raw.txt",
+]
 
 
 def transaction_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,67 +88,87 @@ def overall_lines(rows: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def run_ingest(spark: SparkSession, folder: str, warehouse: str, as_of: datetime, teams: list[str], calendar: Calendar,
-               present: set[str], identities: DataFrame | None = None) -> None:
-    """Ingest the files of ``folder`` named in ``present``; a run that fails is recorded as failed."""
+               present: set[str] | None = None, identities: DataFrame | None = None, landed: DataFrame | None = None) -> None:
+    """Ingest one day's capture; a run that fails is recorded as failed.
+
+    The files are those of ``folder`` named in ``present``.  With ``landed``
+    (``landing.file_list`` of all days) a file that the day lacks, or that is
+    empty, is taken from the newest earlier day that has it, and its rows carry
+    that day's stamp, so an older capture never overwrites a newer one.
+    """
     run = f"{folder.rstrip('/').rsplit('/', 1)[-1]}"
     runs = f"{warehouse}/ops_runs"
     sinks.record_run(spark, runs, run, "ingest", "running", as_of)
     try:
-        _ingest_files(spark, folder, warehouse, as_of, teams, calendar, present, identities, run)
+        sources = {f: (f"{folder}/{f}", as_of) for f in present or ()}
+        if landed is not None:
+            for file, (path, day) in landing.pick(landed, run, FILES).items():
+                moment = as_of if day == run else datetime.combine(datetime.fromisoformat(day).date(), as_of.time())
+                sources.setdefault(file, (path, moment))
+        _ingest_files(spark, warehouse, as_of, teams, calendar, sources, identities, run)
     except Exception:
         sinks.record_run(spark, runs, run, "ingest", "failed", as_of)
         raise
     sinks.record_run(spark, runs, run, "ingest", "complete", as_of)
 
 
-def _ingest_files(spark, folder, warehouse, as_of, teams, calendar, present, identities, run) -> None:
+def _ingest_files(spark, warehouse, run_at, teams, calendar, sources, identities, run) -> None:
     def put(name, rows, key, partition):
         sinks.write_upsert(spark, f"{warehouse}/{name}", rows, key, "observed_at", partition)
 
     def refuse(artifact, rejects):
         """Lines that were not understood, under the run and file they came from; a second run replaces its own."""
-        rows = rejects.select(F.lit(run).alias("run_id"), F.lit(artifact).alias("artifact"), "line", F.lit(as_of).alias("observed_at"))
+        rows = rejects.select(F.lit(run).alias("run_id"), F.lit(artifact).alias("artifact"), "line", F.lit(run_at).alias("observed_at"))
         put("ops_rejects", rows.distinct(), ["run_id", "artifact", "line"], "run_id")
 
-    if "transactions_all_raw.txt" in present:
-        rows, rejects = captures.sniffed_transactions(lines(spark, folder, "transactions_all_raw.txt"), teams)
+    if "transactions_all_raw.txt" in sources:
+        path, as_of = sources["transactions_all_raw.txt"]
+        rows, rejects = captures.sniffed_transactions(lines(spark, path), teams)
         txn, acts = transaction_tables(rows)
         put("ev_txn", txn, ["uid"], "month")
         put("ev_txn_action", acts, ["uid", "idx"], "month")
         refuse("transactions_all_raw.txt", rejects)
     for kind, file in (("bat", "fa_pool_batters.psv"), ("pit", "fa_pool_pitchers.psv")):
-        if file in present:
-            rows, rejects = captures.pool(lines(spark, folder, file), kind)
+        if file in sources:
+            path, as_of = sources[file]
+            rows, rejects = captures.pool(lines(spark, path), kind)
             target = calendar.pool_target(F.lit(as_of.date()))
             put("snap_pool_entry", pool_entries(rows, kind, target, as_of, identities), ["entry", "side", "as_of"], "day")
             refuse(file, rejects)
-    if "standings_overall.txt" in present:
-        rows = captures.standings_text(lines(spark, folder, "standings_overall.txt"))
+    if "standings_overall.txt" in sources:
+        path, as_of = sources["standings_overall.txt"]
+        rows = captures.standings_text(lines(spark, path))
         put("snap_standing_line", standing_lines(rows, "ytd", as_of).withColumn("month", F.date_format("as_of", "yyyy-MM")),
             ["scope", "as_of", "metric", "team"], "month")
-    if "standings_overall_raw.txt" in present:
-        rows = captures.overall_page(captures.read_lines(spark, f"{folder}/standings_overall_raw.txt"))
+    if "standings_overall_raw.txt" in sources:
+        path, as_of = sources["standings_overall_raw.txt"]
+        rows = captures.overall_page(captures.read_lines(spark, path))
         put("snap_overall_line", overall_lines(rows, as_of), ["as_of", "team"], "month")
-    if "standings_byperiod_all.txt" in present:
-        rows = captures.by_period(captures.read_lines(spark, f"{folder}/standings_byperiod_all.txt"), teams)
+    if "standings_byperiod_all.txt" in sources:
+        path, as_of = sources["standings_byperiod_all.txt"]
+        rows = captures.by_period(captures.read_lines(spark, path), teams)
         closed = sinks.closed_only(rows, calendar.end(F.col("period")), as_of.date())
         put("snap_period_line", standing_lines(closed, "period", as_of), ["scope", "period", "metric", "team"], "period")
-    if "lineups_all.psv" in present:
-        rows, rejects = captures.lineups(lines(spark, folder, "lineups_all.psv"), teams)
+    if "lineups_all.psv" in sources:
+        path, as_of = sources["lineups_all.psv"]
+        rows, rejects = captures.lineups(lines(spark, path), teams)
         put("snap_lineup", rows.select("team", "period", "section", "slot", "player", member_uid(F.col("player")).alias("member"),
                                        "strong_id", F.lit(as_of).alias("observed_at")), ["team", "period", "section", "slot", "member"], "period")
         refuse("lineups_all.psv", rejects)
-    if "roster_grid.txt" in present:
-        rows = captures.roster_grid(lines(spark, folder, "roster_grid.txt"), teams)
+    if "roster_grid.txt" in sources:
+        path, as_of = sources["roster_grid.txt"]
+        rows = captures.roster_grid(lines(spark, path), teams)
         put("snap_grid_entry", rows.select("team", "slot_group", "label", "status", F.lit(as_of).alias("observed_at"),
                                            F.lit(str(as_of.date())).alias("day")), ["team", "slot_group", "label", "day"], "day")
-    if "draft_results.txt" in present:
-        rows, rejects = captures.draft(lines(spark, folder, "draft_results.txt"), teams)
+    if "draft_results.txt" in sources:
+        path, as_of = sources["draft_results.txt"]
+        rows, rejects = captures.draft(lines(spark, path), teams)
         put("ev_pick", rows.select("overall", "pick_in_round", "team", "player", member_uid(F.col("player")).alias("member"), "auto", "queued",
                                    F.lit(as_of).alias("observed_at"), "round"), ["round", "overall"], "round")
         refuse("draft_results.txt", rejects)
-    if "player_news_raw.txt" in present:
-        rows, rejects = captures.news(lines(spark, folder, "player_news_raw.txt"))
+    if "player_news_raw.txt" in sources:
+        path, as_of = sources["player_news_raw.txt"]
+        rows, rejects = captures.news(lines(spark, path))
         put("ev_news", seen_news(spark, f"{warehouse}/ev_news", news_items(rows, as_of), as_of), ["uid"], "bucket")
         refuse("player_news_raw.txt", rejects)
 

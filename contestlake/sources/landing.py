@@ -32,6 +32,31 @@ def file_list(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "date string, file string, length long, path string")
 
 
+def legacy_names(found: DataFrame) -> DataFrame:
+    """Files under the names of today: older runners wrote ``stem_periodN.psv`` for ``stem.psv``.
+
+    A file of today's name wins over an older one of the same day, and of
+    several older ones the last by name.
+    """
+    plain = F.regexp_replace("file", r"_period[^.]*\.", ".")
+    named = found.withColumn("plain", plain)
+    order = F.struct((F.col("length") > 0), F.col("plain") == F.col("file"), F.col("file"))
+    best = named.groupBy("date", F.col("plain").alias("file")).agg(F.max_by(F.struct("length", "path"), order).alias("best"))
+    return best.select("date", "file", F.col("best.length").alias("length"), F.col("best.path").alias("path"))
+
+
+def pick(found: DataFrame, day: str, files: list[str]) -> dict[str, tuple[str, str]]:
+    """file → (path, date) to use on a day: its own file, or the newest earlier one that is not empty.
+
+    At most one row per expected file reaches the driver.
+    """
+    spark = found.sparkSession
+    asks = spark.createDataFrame([(f, day) for f in files], "file string, date string")
+    wanted = legacy_names(found).join(asks.select("file"), "file", "left_semi")
+    rows = latest_available(wanted, asks).where("path is not null").collect()
+    return {r["file"]: (r["path"], r["from_date"]) for r in rows}
+
+
 def failed_pages(manifest: DataFrame) -> DataFrame:
     """Pages a manifest marks as failed (``-1 chars``)."""
     line = r"^- `([^`]+)` <- `([^`]*)` \((-?\d+) chars\)"

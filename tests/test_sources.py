@@ -259,3 +259,28 @@ def test_a_failed_run_is_recorded(spark, folder):
     with pytest.raises(Exception):
         ingest.run_ingest(spark, day, lake, datetime(2026, 8, 2, 12), TEAMS, cal, {"roster_grid.txt"})
     assert [r.status for r in sinks.last_runs(spark.read.parquet(f"{lake}/ops_runs")).collect()] == ["failed"]
+
+
+def test_a_missing_file_comes_from_the_newest_earlier_day(spark, folder):
+    lake = f"{folder}/lake"
+    cal = Calendar(date(2026, 3, 25), date(2026, 3, 30), 27)
+    stats = "|".join(["1"] * 15)
+    pool = lambda who: f"77||FA|{who} OF • NYY|{stats}|12\n"
+    for day, files in {
+        "2026-08-01": {"fa_pool_batters_period18.psv": pool("Old Name"), "roster_grid.txt": "TEAM|C|1B|OF|P\nBeta|Al Ruiz|||\n"},
+        "2026-08-02": {"fa_pool_batters.psv": pool("Al Ruiz"), "fa_pool_batters_period19.psv": pool("Wrong File"), "roster_grid.txt": ""},
+        "2026-08-03": {"fa_pool_batters.psv": ""},
+    }.items():
+        os.makedirs(f"{folder}/days/{day}")
+        for name, text in files.items():
+            put(f"{folder}/days/{day}", name, text, bool(text))
+    found = landing.file_list(spark, f"{folder}/days")
+    picked = landing.pick(found, "2026-08-03", ingest.FILES)
+    assert {f: (p.rsplit("/", 2)[1:], d) for f, (p, d) in picked.items()} == {
+        "fa_pool_batters.psv": (["2026-08-02", "fa_pool_batters.psv"], "2026-08-02"), "roster_grid.txt": (["2026-08-01", "roster_grid.txt"], "2026-08-01")}
+    assert landing.pick(found, "2026-08-01", ["fa_pool_batters.psv"])["fa_pool_batters.psv"][0].endswith("fa_pool_batters_period18.psv")
+    ingest.run_ingest(spark, f"{folder}/days/2026-08-03", lake, datetime(2026, 8, 3, 12), TEAMS, cal, landed=found)
+    entry = spark.read.parquet(f"{lake}/snap_pool_entry").first()
+    assert (entry.player, str(entry.day), entry.observed_at.day) == ("Al Ruiz", "2026-08-02", 2)
+    grid = spark.read.parquet(f"{lake}/snap_grid_entry").first()
+    assert (grid.label, str(grid.day)) == ("Al Ruiz", "2026-08-01")
