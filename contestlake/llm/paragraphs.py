@@ -268,7 +268,8 @@ def repeated_sentences(named: DataFrame, lines: DataFrame, min_words: int) -> Da
     shared = bitmap_of(keys.where("n > 1"), F.col("key"), 24)
     found = cut_lineage(named.mapInArrow(_shared_sentences(shared), SENTENCES))
     classes = found.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    classes = classes.where("first_doc < last_doc").drop("last_doc")
+    # Written, so that the join has nothing but rows on both sides and Spark can split a sentence that very many documents repeat.
+    classes = cut_lineage(classes.where("first_doc < last_doc").drop("last_doc"))
     again = found.join(classes, ["sig_a", "sig_b"]).where("doc_id > first_doc").drop("sig_a", "sig_b")
     key = ["doc_id", "text_key"]
     again = again.unionByName(lines.select(*key, F.lit(None).cast("int").alias("number"), "start", "stop", F.lit(0).alias("words"), "first_doc"))
