@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from contestlake.llm.bitmaps import bitmap_of, contains
 from contestlake.llm.components import components
-from contestlake.llm.jaccard import PERCENT, SHINGLE, signature, verified_links
+from contestlake.llm.jaccard import PERCENT, SHINGLE, verified_links
 from contestlake.llm.joins import null_safe
-from contestlake.llm.shingles import Words, batches, mix, text_bytes
+from contestlake.llm.shingles import Words, batches, mix, spread, text_bytes
 from contestlake.session import cut_lineage
 
 MIN_WORDS = 10
@@ -49,11 +49,9 @@ def tune(threshold: float, recall: float = RECALL) -> tuple[int, int]:
     return best
 
 
-def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key per set and band, from ``bands * rows`` minimum hashes."""
-    flat = np.concatenate(sets)
-    start = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    out = np.zeros((len(sets), bands), dtype=np.uint64)
+def band_keys(flat: np.ndarray, start: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One 64-bit key per set and band, from ``bands * rows`` minimum hashes; a set begins at each ``start``."""
+    out = np.zeros((len(start), bands), dtype=np.uint64)
     seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
     for i, seed in enumerate(seeds):
         least = np.minimum.reduceat((flat ^ (seed >> np.uint64(7))) * seed, start)
@@ -72,31 +70,55 @@ def _paragraphs(text: str) -> list[tuple[int, int, int, bytes]]:
     return out
 
 
-def _sets(lines: list[bytes], min_words: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(index, words, shingles) of the lines that are long enough."""
-    words = Words(lines)
-    grams = words.grams(SHINGLE)
-    for i in np.flatnonzero(words.count >= min_words).tolist():
-        n, a = int(words.count[i]), int(words.first[i])
-        if n >= SHINGLE:
-            yield i, n, np.unique(grams[a : a + n - SHINGLE + 1])
-        else:
-            yield i, n, np.array([words.whole(i)], dtype=np.uint64)
-
-
-def _rows(batch: pa.RecordBatch, min_words: int) -> Iterator[list[tuple]]:
-    """Per run of documents: (row in the batch, paragraph, its shingles); a document opens with (row, None, None)."""
+class Sets:
+    """Shingle sets of the paragraphs in some lines: ``line`` says which they are; ``flat`` has the shingles, distinct in each, ``start`` and ``size`` where."""
+
+    def __init__(self, lines: list[bytes], min_words: int):
+        words = Words(lines)
+        self.line = np.flatnonzero(words.count >= max(min_words, 1))
+        n = words.count[self.line]
+        grams, long = words.grams(SHINGLE), n >= SHINGLE
+        size = np.where(long, n - SHINGLE + 1, 1)
+        place = spread(words.first[self.line], np.where(long, size, 0))
+        every = np.empty(int(size.sum()), dtype=np.uint64)
+        owner = np.repeat(np.arange(len(size)), size)
+        every[long[owner]] = grams[place]
+        if not long.all():
+            every[~long[owner]] = [words.whole(i) for i in self.line[~long].tolist()]
+        # One sort brings equal shingles of a paragraph together: its number above, the shingle's high bits below.
+        bits = max(int(len(size)).bit_length(), 1)
+        order = np.argsort((owner.astype(np.uint64) << np.uint64(64 - bits)) | (every >> np.uint64(bits)))
+        every, owner = every[order], owner[order]
+        new = np.ones(len(every), dtype=bool)
+        new[1:] = (every[1:] != every[:-1]) | (owner[1:] != owner[:-1])
+        self.flat = every[new]
+        self.size = np.bincount(owner[new], minlength=len(size))
+        self.start = np.cumsum(self.size) - self.size
+
+    def signatures(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each set, as ``signature`` has them."""
+        if not len(self.start):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a = np.add.reduceat(mix(self.flat + np.uint64(1)), self.start)
+        b = np.add.reduceat(mix(self.flat ^ np.uint64(0x5851F42D4C957F2D)), self.start)
+        return a.view(np.int64), b.view(np.int64)
+
+    def of(self, i: int) -> np.ndarray:
+        """Sorted shingles of one set."""
+        return np.sort(self.flat[self.start[i] : self.start[i] + self.size[i]])
+
+
+def _runs(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple[range, list[int], list[tuple], np.ndarray, Sets]]:
+    """Per run of documents: their rows in the batch, how many lines each has, all lines, the row of each line, and the sets."""
     at = 0
     for texts in batches(text_bytes(batch.column("text"))):
-        lines, owner, out = [], [], []
-        for k, text in enumerate(texts):
+        lines, counts = [], []
+        for text in texts:
             some = _paragraphs(text.decode("utf-8"))
-            out.append((at + k, len(some), None))
+            counts.append(len(some))
             lines += some
-            owner += [at + k] * len(some)
-        if lines:
-            out += [(owner[i], lines[i], grams) for i, _, grams in _sets([x[3] for x in lines], min_words)]
-        yield out
+        rows = range(at, at + len(texts))
+        yield rows, counts, lines, np.repeat(np.arange(at, at + len(texts)), counts), Sets([x[3] for x in lines], min_words)
         at += len(texts)
 
 
@@ -105,15 +127,21 @@ LISTED = "doc_id long, text_key long, par int, start int, stop int, n int, sig_a
 
 def _listing(min_words: int):
     """A row per paragraph; one with par = -1 per document, whose n counts all paragraphs."""
-    schema = pa.schema([("par", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("n", pa.int32()), ("sig_a", pa.int64()), ("sig_b", pa.int64())])
 
     def run(arrow: Arrow) -> Arrow:
         for b in arrow:
-            for some in _rows(b, min_words):
-                at = pa.array([r for r, _, _ in some], pa.int64())
-                rows = [(-1, None, None, p, None, None) if g is None else (*p[:3], len(g), *signature(g)) for _, p, g in some]
-                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
-                yield pa.record_batch([b.column("doc_id").take(at), b.column("text_key").take(at), *columns], names=["doc_id", "text_key", *schema.names])
+            for rows, counts, lines, owner, sets in _runs(b, min_words):
+                a, z = sets.signatures()
+                some = [lines[i] for i in sets.line.tolist()]
+                at = pa.array(np.r_[np.arange(rows.start, rows.stop), owner[sets.line]].astype(np.int64))
+                head = len(rows)
+                columns = [pa.array([-1] * head + [x[0] for x in some], pa.int32())]
+                columns += [pa.array([None] * head + [x[k] for x in some], pa.int32()) for k in (1, 2)]
+                columns.append(pa.array(np.r_[counts, sets.size].astype(np.int32)))
+                blank = np.r_[np.ones(head, bool), np.zeros(len(some), bool)]
+                columns += [pa.array(np.r_[np.zeros(head, np.int64), x], mask=blank) for x in (a, z)]
+                names = ["doc_id", "text_key", "par", "start", "stop", "n", "sig_a", "sig_b"]
+                yield pa.record_batch([b.column("doc_id").take(at), b.column("text_key").take(at), *columns], names=names)
 
     return run
 
@@ -129,19 +157,18 @@ def _bands(min_words: int, bands: int, rows: int):
     def run(arrow: Arrow) -> Arrow:
         known: set[int] = set()
         for b in arrow:
-            for some in _rows(b, min_words):
-                fresh = {}
-                for _, _, g in some:
-                    if g is not None and (node := signature(g)[0]) not in known:
-                        fresh.setdefault(node, g)
+            for _, _, _, _, sets in _runs(b, min_words):
+                nodes, at = np.unique(sets.signatures()[0], return_index=True)
+                fresh = [x not in known for x in nodes.tolist()]
+                nodes, at = nodes[fresh], at[fresh]
                 if len(known) > HELD_NODES:
                     known = set()
-                known.update(fresh)
-                if fresh:
-                    sets = list(fresh.values())
-                    keys = band_keys(sets, bands, rows).astype(np.int64).reshape(-1)
-                    n = np.repeat(np.array([len(g) for g in sets], dtype=np.int32), bands)
-                    node = np.repeat(np.fromiter(fresh, np.int64, len(fresh)), bands)
+                known.update(nodes.tolist())
+                if len(nodes):
+                    size = sets.size[at]
+                    flat = sets.flat[spread(sets.start[at], size)]
+                    keys = band_keys(flat, np.cumsum(size) - size, bands, rows).astype(np.int64).reshape(-1)
+                    n, node = np.repeat(size.astype(np.int32), bands), np.repeat(nodes, bands)
                     yield pa.record_batch([pa.array(keys), pa.array(n), pa.array(node)], names=["key", "n", "node"])
 
     return run
@@ -172,17 +199,14 @@ def _grams(min_words: int, wanted_docs: np.ndarray, wanted: np.ndarray):
             hashes = b.column("id_hash").to_numpy(zero_copy_only=False).view(np.uint64)
             b = b.filter(pa.array(contains(wanted_docs, hashes)))
             ids, keys = b.column("doc_id").to_pylist(), b.column("text_key").to_pylist()
-            for some in _rows(b, min_words):
-                out = []
-                for r, p, g in some:
-                    if g is not None:
-                        sig = signature(g)
-                        if contains(wanted, np.array(sig[:1], dtype=np.int64).view(np.uint64))[0]:
-                            out.append((f"{ids[r]}:{p[0]}:{keys[r]}", *sig, g.tobytes()))
-                if out:
-                    node, a, z, grams = zip(*out)
+            for _, _, lines, owner, sets in _runs(b, min_words):
+                a, z = sets.signatures()
+                some = np.flatnonzero(contains(wanted, a.view(np.uint64)))
+                if len(some):
+                    line = sets.line[some]
+                    node = [f"{ids[r]}:{lines[i][0]}:{keys[r]}" for i, r in zip(line.tolist(), owner[line].tolist())]
                     yield pa.record_batch(
-                        [pa.array(node, pa.string()), pa.array(a, pa.int64()), pa.array(z, pa.int64()), pa.array(grams, pa.binary())],
+                        [pa.array(node, pa.string()), pa.array(a[some]), pa.array(z[some]), pa.array([sets.of(i).tobytes() for i in some.tolist()], pa.binary())],
                         names=["node", "sig_a", "sig_b", "grams"])
 
     return run

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from contestlake.llm import chat, components, decontaminate, jaccard, packing, paragraphs, quality, secrets, suffixes, urls, warc
+from contestlake.llm.shingles import Words, shingle_sets
 from tests.llm import brute
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -434,3 +435,14 @@ def test_pipeline_stages_on_odd_rows(spark, docs, empty, items, folder):
         for _, stage in corpus_pipeline.STAGES:
             now = stage(spark, now, folder)
         assert (now.count() > 0) == (frame is docs)
+
+
+def test_paragraph_sets_are_those_of_the_join():
+    lines = [prose(n).encode() for n in (3, 12, 5, 40, 9)] + [b"a b " * 20, b"", "é ü".encode()]
+    for least in (1, 10):
+        sets = paragraphs.Sets(lines, least)
+        words = Words(lines)
+        want = [g for g, n in zip(shingle_sets(words), words.count) if n >= least]
+        assert [sets.of(i).tolist() for i in range(len(sets.line))] == [g.tolist() for g in want]
+        assert list(zip(*(x.tolist() for x in sets.signatures()))) == [jaccard.signature(g) for g in want]
+    assert len(paragraphs.Sets([], 1).flat) == 0 and len(paragraphs.Sets([b""], 1).signatures()[0]) == 0
