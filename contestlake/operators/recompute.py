@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestlake.functions.rates import ratio
+from contestlake.operators import ranking
 from contestlake.operators.metrics import Metric, component_names, metric_values
 from contestlake.session import cut_lineage
 
@@ -67,7 +68,9 @@ def reconcile_capacity(occupants: DataFrame, official: DataFrame, group: list[st
     official ones.  Sets are met in the middle: sets of half the size are kept
     only while they fit under the gap, and two halves are joined by *equality*
     of one with the gap minus the other, so sets of the full size are never
-    enumerated.  Preference: rates agree, then per-slot excess, then the
+    enumerated.  Members that are alike in slot, counts and rate components are
+    one class that a set takes by multiplicity, smallest indexes first: thirty
+    members who did nothing give one set of each size.  Preference: rates agree, then per-slot excess, then the
     smallest indexes.  Outcome: no-excess, solved, solved-crossslot, unsolved.
     """
     comps = list(dict.fromkeys(c for n, d, _ in rates.values() for c in (n, d)))
@@ -83,30 +86,40 @@ def reconcile_capacity(occupants: DataFrame, official: DataFrame, group: list[st
     goals = open_.select(*group, "gap", F.explode("ks").alias("k"))
     limit = goals.agg(F.max("k")).first()[0] or 0
 
-    ones = occupants.select(*group, F.col("idx").alias("last"), F.col("idx").alias("first"), F.array("idx").alias("ids"), vec.alias("v"))
-    ones = ones.join(goals.groupBy(*group, "gap").agg(F.max("k").alias("k_max")), group).where(_fits(F.col("v"), F.col("gap")))
-    ones = cut_lineage(ones.where(F.col("k_max") >= 1))
+    # The n-th of a class may only follow the one before it; more than ``limit`` of a class are never taken.
+    alike = [*group, "slot", "v", *comps]
+    items = ranking.top_k(occupants.select(*group, "slot", "idx", *comps, vec.alias("v")), alike, [F.asc("idx")], limit, "nth")
+    items = items.withColumn("kind", F.min("idx").over(Window.partitionBy(*alike))).select(*group, "kind", "nth", "idx", "v")
+    ones = items.join(goals.groupBy(*group, "gap").agg(F.max("k").alias("k_max")), group).where(_fits(F.col("v"), F.col("gap")))
+    ones = cut_lineage(ones.where(F.col("nth") <= F.col("k_max")).select(
+        *group, F.struct("kind", "nth").alias("last"), F.struct("kind", "nth").alias("first"), F.array("idx").alias("ids"), "v", "gap", "k_max"))
+
+    def follows(one, other):
+        """Whether an item (or a set that begins with it) may stand behind another."""
+        new = (other["kind"] > one["kind"]) & (other["nth"] == 1)
+        return new | ((other["kind"] == one["kind"]) & (other["nth"] == one["nth"] + 1))
+
     sets = {1: ones}
     for size in range(2, (limit + 1) // 2 + 1):
         longer = sets[size - 1].where((F.col("k_max") + 1) / 2 >= size)
-        step = ones.select(*group, F.col("last").alias("add"), F.col("v").alias("add_v"))
-        grown = longer.join(step, group).where(F.col("add") > F.col("last"))
+        step = ones.select(*group, F.col("last").alias("add"), F.col("ids").alias("add_ids"), F.col("v").alias("add_v"))
+        grown = longer.join(step, group).where(follows(F.col("last"), F.col("add")))
         grown = grown.withColumn("v", _plus(F.col("v"), F.col("add_v"))).where(_fits(F.col("v"), F.col("gap")))
         sets[size] = cut_lineage(grown.select(
-            *group, F.col("add").alias("last"), "first", F.concat("ids", F.array("add")).alias("ids"), "v", "gap", "k_max"))
+            *group, F.col("add").alias("last"), "first", F.concat("ids", "add_ids").alias("ids"), "v", "gap", "k_max"))
     found = [goals.where((F.col("k") == 0) & F.forall("gap", lambda g: g == 0)).select(
         *group, "k", F.array().cast("array<int>").alias("ids"))]
     for k in range(1, limit + 1):
         hi, lo = (k + 1) // 2, k // 2
         aims = goals.where(F.col("k") == k).select(*group, "k")
-        left = sets[hi].join(aims, group)
+        left = sets[hi].where(F.col("first.nth") == 1).join(aims, group)
         if lo == 0:
             hits = left.where(F.col("v") == F.col("gap")).select(*group, "k", "ids")
         else:
             right = sets[lo].select(*group, F.col("first").alias("r_first"), F.col("ids").alias("r_ids"), F.col("v").alias("rest"))
             left = left.withColumn("rest", _minus(F.col("gap"), F.col("v")))
-            hits = left.join(right, [*group, "rest"]).where(F.col("r_first") > F.col("last")).select(
-                *group, "k", F.concat("ids", "r_ids").alias("ids"))
+            hits = left.join(right, [*group, "rest"]).where(follows(F.col("last"), F.col("r_first"))).select(
+                *group, "k", F.array_sort(F.concat("ids", "r_ids")).alias("ids"))
         found.append(hits)
     solutions = reduce(lambda a, b: a.unionByName(b), found)
     best = _pick(solutions, open_, occupants, group, rates, comps)

@@ -213,6 +213,50 @@ def test_capacity_solver_cross_slot_and_unsolved(spark):
     assert got == {1: ("solved-crossslot", [3]), 2: ("unsolved", [])}
 
 
+def test_capacity_with_many_alike(spark):
+    """Thirty members who did nothing are one class; the least indexes of each class are taken."""
+    zeros = [(1, "P", i, 0, 0, 0) for i in range(1, 31)]
+    rows = [*zeros, (1, "P", 31, 4, 9, 2), (1, "P", 32, 4, 9, 2), (1, "P", 33, 4, 9, 3), (1, "P", 34, 6, 3, 1)]
+    occ = spark.createDataFrame(rows, "game int, slot string, idx int, k long, outs long, er long")
+    off = spark.createDataFrame([(1, 10, 4 / 12)], "game int, off_k long, off_era double")
+    out = recompute.reconcile_capacity(occ, off, ["game"], ["k"], {"era": ("er", "outs", 1e-9)}, {"P": 28}, 28, any_limit=6).first()
+    assert (out.outcome, out.excluded, out.strict) == ("solved", [1, 2, 3, 4, 31, 32], True)
+
+
+def test_capacity_against_every_subset(spark):
+    rng = random.Random(11)
+    rows, official, want = [], [], {}
+    for g in range(40):
+        n, cap = rng.randint(4, 8), {"A": 2, "B": 2}
+        team = [(g, rng.choice("AB"), i + 1, rng.randint(0, 2), rng.randint(1, 3), rng.randint(0, 1)) for i in range(n)]
+        out = rng.sample(team, rng.randint(0, 3))
+        kept = [r for r in team if r not in out]
+        outs = sum(r[4] for r in kept)
+        rate = sum(r[5] for r in kept) / outs if outs else 0.0
+        rows += team
+        official.append((g, sum(r[3] for r in kept), rate))
+        over = {s: max(sum(r[1] == s for r in team) - cap[s], 0) for s in "AB"}
+        k_slot, k_any = sum(over.values()), n - 4
+        best = None
+        if k_slot or k_any > 0:
+            for k in {k_slot, *([k_any] if 0 < k_any <= 4 else [])}:
+                for some in itertools.combinations(team, k):
+                    rest = [r for r in team if r not in some]
+                    if sum(r[3] for r in rest) == official[-1][1]:
+                        base = sum(r[4] for r in rest)
+                        strict = bool(base) and abs(sum(r[5] for r in rest) / base - rate) <= 1e-9
+                        quota = k == k_slot and all(sum(r[1] == s for r in some) == over[s] for s in "AB")
+                        stage = 1 if quota else 2 if k == k_any else None
+                        if stage:
+                            found = (not strict, stage, [r[2] for r in some])
+                            best = min(best, found) if best else found
+        want[g] = "no-excess" if not (k_slot or k_any > 0) else best and best[2]
+    occ = spark.createDataFrame(rows, "game int, slot string, idx int, k long, outs long, er long")
+    off = spark.createDataFrame(official, "game int, off_k long, off_era double")
+    got = recompute.reconcile_capacity(occ, off, ["game"], ["k"], {"era": ("er", "outs", 1e-9)}, {"A": 2, "B": 2}, 4).collect()
+    assert {r.game: r.outcome if r.outcome == "no-excess" else r.excluded if r.outcome != "unsolved" else None for r in got} == want
+
+
 def test_cascade_narrows(spark):
     targets = spark.createDataFrame(
         [(1, "al ruiz", True, "A"), (2, "al ruiz", False, "A"), (3, "al ruiz", False, "B"), (4, "bo diaz jr", False, "C"), (5, "cy young", True, "D")],
