@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -77,9 +78,9 @@ def _children(data: bytes, start: int, end: int, most: int = 16) -> list[tuple[i
     return out
 
 
-def is_private_key(data: bytes) -> bool:
+def is_private_key(data: bytes | memoryview) -> bool:
     """PKCS#8 (plain or encrypted), PKCS#1, SEC 1 or OpenSSH private keys."""
-    if data.startswith(OPENSSH):
+    if data[: len(OPENSSH)] == OPENSSH:
         at = len(OPENSSH)
         for _ in range(3):  # cipher, key derivation, its options
             if at + 4 > len(data):
@@ -137,7 +138,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=_order)
 
 
-def _declared(data: bytes) -> int | None:
+def _declared(data: bytes | memoryview) -> int | None:
     """Bytes that a key at the start of ``data`` says it has, 0 if there can be none; None if more bytes must be read to tell."""
     if data[: len(OPENSSH)] == OPENSSH[: len(data)]:
         at, keys = len(OPENSSH), None
@@ -163,41 +164,67 @@ def _declared(data: bytes) -> int | None:
     return top[2] if version or (inner[0] == 0x30 and data[inner[1]] == 0x06) else 0
 
 
-def _key_at(text: str, start: int, piece: re.Pattern, bits: int) -> int | None:
-    """End of the private key that is encoded from ``start`` on, over line breaks; None if there is none."""
-    letters: list[str] = []  # at most 1,024 at a time, so that a long run is not read again from each start
-    ends: list[tuple[int, int]] = []  # letters so far, and where the last of them ends
-    have, at, want, open_ = 0, start, HEAD, True
-    while True:
-        while open_ and have < want:
-            m = piece.match(text, at)
-            if m is None:
-                open_ = False
-            else:
-                at = m.end()
-                if m[1]:
-                    if have + len(m[1]) > want:  # a long run is read as far as wanted
-                        at = m.start() + want - have
-                    letters.append(text[m.start() : at])
-                    have += at - m.start()
-                    ends.append((have, at))
-        joint = "".join(letters)
-        data = _decoded(joint, bits)
+class Run:
+    """The letters from one place on, over line breaks, decoded once for each way that they can be grouped."""
+
+    def __init__(self, text: str, start: int, piece: re.Pattern, bits: int):
+        self.bits, self.period = bits, 8 // bits if bits == 4 else 4
+        letters, self.begin, self.before = [], [], []
+        at, have = start, 0
+        while m := piece.match(text, at):
+            if m[1]:
+                letters.append(m[1])
+                self.begin.append(at)
+                self.before.append(have)
+                have += len(m[1])
+            at = m.end()
+        self.letters, self.end = "".join(letters), at
+        self.grouped: dict[int, memoryview] = {}
+
+    def key_at(self, text: str, start: int) -> int | None:
+        """End of the private key that is encoded from ``start`` on; a key that says it is longer than the run is none."""
+        k = bisect.bisect_right(self.begin, start) - 1
+        number = self.before[k] + start - self.begin[k]
+        group = number % self.period
+        if group not in self.grouped:
+            self.grouped[group] = memoryview(_decoded(self.letters[group:], self.bits))
+        data = self.grouped[group][(number - group) * self.bits // 8 :]
         total = _declared(data)
-        if total == 0 or (total is None and not open_):
+        if not total:
             return None
-        need = 2 * have if total is None else -(-total * 8 // bits)
-        if total is not None and need <= have:
-            if not is_private_key(data[:total]):
-                return None
-            n, end = next(x for x in ends if x[0] >= need)
-            end -= n - need
-            while bits == 6 and text[end : end + 1] == "=":
-                end += 1
-            return end
-        if not open_:
+        need = number - (-total * 8 // self.bits)
+        if need > len(self.letters) or not is_private_key(data[:total]):
             return None
-        want = need if total is None else min(need, 2 * want + have)
+        k = bisect.bisect_left(self.before, need) - 1
+        end = self.begin[k] + need - self.before[k]
+        while self.bits == 6 and text[end : end + 1] == "=":
+            end += 1
+        return end
+
+
+def _may_begin(text: str, start: int, piece: re.Pattern, bits: int) -> bool:
+    """Whether the first letters are not those of something else."""
+    letters, at = "", start
+    while len(letters) < HEAD and (m := piece.match(text, at)):
+        letters, at = letters + (m[1] or ""), m.end()
+    return _declared(_decoded(letters[:HEAD], bits)) != 0
+
+
+class Spans:
+    """Sorted spans, merged, to ask what they touch."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.start, self.end = [], []
+        for a, z in sorted(spans):
+            if self.end and a <= self.end[-1]:
+                self.end[-1] = max(self.end[-1], z)
+            else:
+                self.start.append(a)
+                self.end.append(z)
+
+    def touch(self, start: int, end: int) -> bool:
+        k = bisect.bisect_left(self.start, end) - 1
+        return k >= 0 and self.end[k] > start
 
 
 def _decoded(letters: str, bits: int) -> bytes:
@@ -246,20 +273,23 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             data = _unbase64(m[2])
             if data and is_private_key(data):
                 out.append((m.start(), m.end(), "key"))
-    taken = [(s, e) for s, e, _ in out]
+    taken = Spans([(s, e) for s, e, _ in out])
     for begin, piece, bits in CARRIERS:
-        done = -1
+        done, run = -1, None
         for m in begin.finditer(text):
-            if m.start() >= done and not any(s <= m.start() < e for s, e in taken):
-                end = _key_at(text, m.start(), piece, bits)
+            at = m.start()
+            if at >= done and not taken.touch(at, at + 1) and _may_begin(text, at, piece, bits):
+                if run is None or at >= run.end:
+                    run = Run(text, at, piece, bits)
+                end = run.key_at(text, at)
                 if end is not None:
-                    out.append((m.start(), end, "key"))
+                    out.append((at, end, "key"))
                     done = end
     out += _tokens(text)
-    taken, done = [(s, e) for s, e, k in out if k == "key"], -1
+    taken, done = Spans([(s, e) for s, e, k in out if k == "key"]), -1
     for pattern, decode in ((BASE64_RUN, _unbase64), (HEX_RUN, _unhex)):
         for m in pattern.finditer(text):
-            if any(s < m.end() and m.start() < e for s, e in taken):
+            if taken.touch(m.start(), m.end()):
                 continue
             data = decode(m[0])
             if data and is_private_key(data) and m.start() >= done:
