@@ -101,29 +101,51 @@ def rule_flags(stats: DataFrame) -> DataFrame:
 def host_verdicts(flags: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     """(source, shrunken rate per rule, host_failed) for every host; null is a host of its own.
 
-    The prior of a rule is the beta distribution with the mean and variance of
-    the hosts' raw rates.  Hosts that do not vary (or a single host) leave the
-    variance at 0; the rates then need no shrinking.  Two numbers per rule
-    reach the driver.
+    The prior of a rule is a beta distribution fitted to all hosts.  Its mean is
+    the share of all documents.  Its weight follows from how much more the
+    hosts' rates differ than chance alone makes them (between and within hosts,
+    each host counted by its documents): hosts that differ no more than that,
+    or that have one document each, are all taken for the mean.  Five numbers
+    per rule reach the driver.
     """
     hosts = cut_lineage(
         flags.groupBy("source").agg(
             F.count(F.lit(1)).alias("n"), *[F.sum(F.col(r).cast("long")).alias(r) for r in RULES]
         )
     )
-    moments = hosts.agg(
-        *[F.avg(F.col(r) / F.col("n")).alias(f"m_{r}") for r in RULES],
-        *[F.var_pop(F.col(r) / F.col("n")).alias(f"v_{r}") for r in RULES],
+    sums = hosts.agg(
+        F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("n")).alias("squares"),
+        *[F.sum(r).alias(f"k_{r}") for r in RULES],
+        *[F.sum(F.col(r) * F.col(r) / F.col("n")).alias(f"q_{r}") for r in RULES],
     ).first()
     rates = []
     for r in RULES:
-        mean, var = moments[f"m_{r}"], moments[f"v_{r}"]
-        weight = max(mean * (1 - mean) / var - 1, 0.0) if var else 0.0
-        rates.append(((F.col(r) + F.lit(weight * (mean or 0.0))) / (F.col("n") + F.lit(weight))).alias(f"rate_{r}"))
+        mean, weight = beta_prior(sums["hosts"], sums["docs"] or 0, sums["squares"] or 0, sums[f"k_{r}"] or 0, sums[f"q_{r}"] or 0.0)
+        shrunk = F.lit(mean) if weight is None else (F.col(r) + F.lit(weight * mean)) / (F.col("n") + F.lit(weight))
+        rates.append(shrunk.alias(f"rate_{r}"))
     rated = hosts.select("source", "n", *rates)
     return rated.withColumn("host_failed", F.greatest(*[F.col(f"rate_{r}") for r in RULES]) > host_limit)
 
 
+def beta_prior(hosts: int, docs: int, squares: int, failed: int, weighted: float) -> tuple[float, float | None]:
+    """(mean, weight in documents) of the prior; no weight if hosts do not differ beyond chance.
+
+    ``squares`` is the sum of the hosts' squared sizes and ``weighted`` that of
+    their squared failures over their sizes, which give the mean squares
+    between and within hosts.
+    """
+    mean = failed / docs if docs else 0.0
+    if hosts < 2 or docs <= hosts:
+        return mean, None
+    between = (weighted - failed * failed / docs) / (hosts - 1)
+    within = (failed - weighted) / (docs - hosts)
+    size = (docs - squares / docs) / (hosts - 1)
+    spread = between - within
+    if spread <= 1e-12:
+        return mean, None
+    return mean, size * within / spread
+
+
 def judge(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     """One row per document: its counts, ``base_failed`` and ``kept``.
 

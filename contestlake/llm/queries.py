@@ -108,10 +108,19 @@ rules AS (
          unnest([short::INT, repetitive::INT, symbols::INT, dup_lines::INT]) AS failed
   FROM flags),
 hosts AS (SELECT source, rule, count(*) AS n, sum(failed) AS k FROM rules GROUP BY ALL),
-moments AS (SELECT rule, avg(k / n) AS m, var_pop(k / n) AS v FROM hosts GROUP BY rule),
-prior AS (SELECT rule, m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 0) ELSE 0 END AS weight FROM moments),
+sums AS (
+  SELECT rule, count(*) AS h, sum(n) AS docs, sum(n * n) AS squares, sum(k) AS failed, sum(k * k / n) AS weighted
+  FROM hosts GROUP BY rule),
+means AS (
+  SELECT rule, failed / docs AS m, (docs - squares / docs) / (h - 1) AS size,
+         CASE WHEN h > 1 AND docs > h THEN (failed - weighted) / (docs - h) END AS within,
+         CASE WHEN h > 1 AND docs > h THEN (weighted - failed * failed / docs) / (h - 1) END AS between_hosts
+  FROM sums),
+prior AS (
+  SELECT rule, m, CASE WHEN between_hosts - within > 1e-12 THEN size * within / (between_hosts - within) END AS weight FROM means),
 bad AS (
-  SELECT DISTINCT source FROM hosts JOIN prior USING (rule) WHERE (k + weight * m) / (n + weight) > 0.5)
+  SELECT DISTINCT source FROM hosts JOIN prior USING (rule)
+  WHERE CASE WHEN weight IS NULL THEN m ELSE (k + weight * m) / (n + weight) END > 0.5)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, short OR repetitive AS base_failed,
        NOT (short OR repetitive)

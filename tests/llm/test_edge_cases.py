@@ -300,6 +300,35 @@ def test_a_bad_host_takes_its_documents(spark):
     assert kept == {d for d, _, _ in good}
 
 
+def test_hosts_of_one_document_are_not_judged_by_it(spark):
+    rows = [(i, "short text" if i < 10 else prose(40), f"host{i}") for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id for r in quality.judge(frame).where("kept").collect()} == set(range(10, 50))
+    verdicts = quality.host_verdicts(quality.rule_flags(quality.document_stats(frame))).collect()
+    assert {round(r.rate_short, 9) for r in verdicts} == {0.2} and not any(r.host_failed for r in verdicts)
+
+
+def test_beta_prior_recovers_its_parameters():
+    draw = np.random.default_rng(3)
+    size = draw.integers(1, 40, 20000)
+    failed = draw.binomial(size, draw.beta(2.0, 6.0, 20000))
+    mean, weight = quality.beta_prior(20000, int(size.sum()), int((size * size).sum()), int(failed.sum()), float((failed**2 / size).sum()))
+    assert abs(mean - 0.25) < 0.01 and abs(weight - 8) < 0.6
+    same = draw.binomial(size, 0.25)  # hosts that differ by chance alone
+    weight = quality.beta_prior(20000, int(size.sum()), int((size * size).sum()), int(same.sum()), float((same**2 / size).sum()))[1]
+    assert weight is None or weight > 150
+    assert quality.beta_prior(1, 5, 25, 2, 0.8) == (0.4, None) and quality.beta_prior(0, 0, 0, 0, 0.0) == (0.0, None)
+
+
+def test_long_runs_of_key_heads_take_linear_time():
+    import time
+
+    for head in ("MIQ/////AgEA", "MIMBAAAAAgEA", "MIID6AIBADA\n", "3083010000020100"):
+        started = time.time()
+        assert secrets.confirmed_spans(head * (1_000_000 // len(head))) == []
+        assert time.time() - started < 20
+
+
 def test_archives(spark):
     rows = [(1, "http://a.net/x y", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://b", None), (4, "", ""), (5, "u", "line\nline\r\n\r\nWARC/1.1\r\n"),
             (5, "u", "line\nline\r\n\r\nWARC/1.1\r\n"), (None, "n", "<p>é</p>"), (6, "long", "z" * 3_000_000)]
