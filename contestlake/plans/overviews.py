@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from contestlake.functions import names as N
 from contestlake.functions.calendars import month_number
-from contestlake.functions.rates import fixed, number, ratio, singles, weighted_on_base
-from contestlake.functions.rates import ON_BASE_WEIGHTS
+from contestlake.functions.rates import ON_BASE_WEIGHTS, fixed, ratio, singles, weighted_on_base
 from contestlake.operators import aggregates as A
 from contestlake.operators import identity as D
 from contestlake.operators import marts as M
 from contestlake.operators import ranking
 from contestlake.operators import scenario as SCN
 from contestlake.operators import signals as SG
+from contestlake.operators import swaps as SW
 from contestlake.plans import actions as ACT
 from contestlake.plans import graphs as G
 from contestlake.plans import identities as IDS
@@ -110,11 +110,13 @@ def streaming_adds(spark, sf):
 
 
 @query("counterparty_offers", f"""
+WITH s AS ({SC.SWAP} SELECT rival, give, get, q_give, q_get, ours, theirs, tier FROM sk WHERE k<=1 ORDER BY t, ours DESC, give, get LIMIT 1000)
 SELECT s.rival, s.give, s.get, s.tier, s.ours, s.theirs, {rnd("s.q_get-s.q_give", 2)} AS market, c.score AS fit, c.trades
-FROM {sub("scenario_swap_scan")} s JOIN {sub("counterparty_scan")} c ON c.entity=s.rival""")
+FROM s JOIN {sub("counterparty_scan")} c ON c.entity=s.rival""")
 def counterparty_offers(spark, sf):
-    """The swaps on our list with complementary rivals: what each side wins, what the market says, how often they trade."""
-    swaps, rivals = rows(spark, sf, "scenario_swap_scan"), rows(spark, sf, "counterparty_scan")
+    """The best swap of every target with complementary rivals: what each side wins, what the market says, how often they trade."""
+    swaps = SW.scan_swaps(SC.inputs(spark, sf), SC.rosters(spark, sf), L.US, L.METRICS, L.AS_OF, SC.LEFT, per_target=1, top=1000)
+    rivals = rows(spark, sf, "counterparty_scan")
     both = swaps.join(rivals.select(F.col("entity").alias("rival"), F.col("score").alias("fit"), "trades"), "rival")
     return both.select("rival", "give", "get", "tier", "ours", "theirs", fixed(F.col("q_get") - F.col("q_give"), 2).alias("market"), "fit", "trades")
 

@@ -162,7 +162,7 @@ def slot_options(spark, sf):
     return L.members(spark, sf).select("member", F.explode(table[F.col("role")]).alias("slot"))
 
 
-def sql_slots(head, score):
+def sql_slots(head, score, template=TEMPLATE):
     """SQL twin of the slot assignment; ``head`` has a CTE ``fl`` of members, and ``score`` is an expression over it."""
     opts = " UNION ALL ".join(f"SELECT c_custkey AS member, '{s}' AS slot FROM customer WHERE c_mktsegment='{r}'" for r, v in SLOT_OF.items() for s in [*v, "UTIL"])
     sql = head + f""",
@@ -170,7 +170,7 @@ sm AS (SELECT entity, member, {score} AS score, CASE member%6 WHEN 0 THEN 'UTIL'
 op AS (SELECT sm.entity, sm.member, o.slot, {rnd("score+CASE WHEN current=o.slot THEN cast(0.75 AS double) ELSE 0 END", 6)} AS key FROM ({opts}) o JOIN sm ON sm.member=o.member)
 """
     taken = []
-    for i, (slot, n) in enumerate(TEMPLATE):
+    for i, (slot, n) in enumerate(template):
         before = "".join(f" AND member NOT IN (SELECT member FROM t{j})" for j in range(i))
         sql += f""", t{i} AS MATERIALIZED (SELECT entity, member, '{slot}' AS slot FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY key DESC, member) AS r FROM op WHERE slot='{slot}'{before}) WHERE r<={n})"""
         taken.append(f"SELECT * FROM t{i}")
@@ -196,10 +196,15 @@ def lineup_changes(spark, sf):
     return SC.lineup_changes(slot_members(spark, sf), assigned(spark, sf))
 
 
-@query("empty_slots", SLOTS + f""", wt AS (SELECT n_nationkey AS entity, s AS slot, n AS places FROM nation, (VALUES {", ".join(f"('{s}',{n})" for s, n in TEMPLATE)}) v(s,n))
+#: More places of one kind than most entities can fill.
+WIDE = [("AUTO", 130), *TEMPLATE[1:]]
+
+
+@query("empty_slots", sql_slots(BASE, "quality", WIDE) + f""", wt AS (SELECT n_nationkey AS entity, s AS slot, n AS places FROM nation, (VALUES {", ".join(f"('{s}',{n})" for s, n in WIDE)}) v(s,n))
 SELECT wt.entity, wt.slot, places-count(asg.member) AS empty FROM wt LEFT JOIN asg ON asg.entity=wt.entity AND asg.slot=wt.slot GROUP BY wt.entity, wt.slot, places HAVING places>count(asg.member)""")
 def empty_slots(spark, sf):
-    return SC.empty_slots(L.entities(spark, sf), assigned(spark, sf), TEMPLATE)
+    filled = SC.assign_slots(slot_members(spark, sf), slot_options(spark, sf), WIDE)
+    return SC.empty_slots(L.entities(spark, sf), filled, WIDE)
 
 
 @query("member_quality", BASE + "SELECT entity, member, quality FROM ro")
