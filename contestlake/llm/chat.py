@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -70,18 +71,18 @@ def tokenizer(path: str) -> Tokenizer:
     return t
 
 
-def token_mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
-    """True for tokens that share a character with a span; both are sorted and found by binary search."""
-    mask = np.zeros(len(offsets), dtype=bool)
-    for start, end in spans:
-        if start < end:
-            first = np.searchsorted(offsets[:, 1], start, side="right")
-            last = np.searchsorted(offsets[:, 0], end, side="left")
-            mask[first:last] = True
-    return mask
+def token_mask(offsets: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """True for tokens that share a character with a span; both are sorted and found by binary search, all spans at once."""
+    some = spans[spans[:, 0] < spans[:, 1]]
+    first = np.searchsorted(offsets[:, 1], some[:, 0], side="right")
+    last = np.searchsorted(offsets[:, 0], some[:, 1], side="left")
+    change = np.zeros(len(offsets) + 1, dtype=np.int64)
+    np.add.at(change, first, first < last)
+    np.subtract.at(change, last, first < last)
+    return np.cumsum(change[:-1]) > 0
 
 
-def masked_pieces(formatted: str, offsets: np.ndarray, mask: np.ndarray, spans: list[tuple[int, int]]) -> list[str]:
+def masked_pieces(formatted: str, offsets: np.ndarray, mask: np.ndarray, spans: np.ndarray) -> list[str]:
     """Text under the mask, span by span: the characters of masked tokens, cut at the span's ends.
 
     A token may begin before a span or end behind it; the span says which of
@@ -89,16 +90,17 @@ def masked_pieces(formatted: str, offsets: np.ndarray, mask: np.ndarray, spans:
     point) count it once.
     """
     out = []
-    for start, end in spans:
-        first = np.searchsorted(offsets[:, 1], start, side="right")
-        last = np.searchsorted(offsets[:, 0], end, side="left")
-        at, parts = start, []
-        for (a, b), on in zip(offsets[first:last].tolist(), mask[first:last].tolist()):
-            a, b = max(a, at), min(b, end)
-            if on and a < b:
-                parts.append(formatted[a:b])
-                at = b
-        out.append("".join(parts))
+    firsts = np.searchsorted(offsets[:, 1], spans[:, 0], side="right")
+    lasts = np.searchsorted(offsets[:, 0], spans[:, 1], side="left")
+    for (start, end), first, last in zip(spans.tolist(), firsts.tolist(), lasts.tolist()):
+        on = mask[first:last]
+        a, b = offsets[first:last, 0][on], np.minimum(offsets[first:last, 1][on], end)
+        # Each token counts from where those before it have ended.
+        a = np.maximum(a, np.maximum.accumulate(np.r_[start, b[:-1]])) if len(b) else a
+        a, b = a[a < b], b[a < b]
+        gaps = np.flatnonzero(a[1:] > b[:-1]) + 1
+        heads, tails = a[np.r_[0, gaps]] if len(a) else a, b[np.r_[gaps - 1, len(b) - 1]] if len(b) else b
+        out.append("".join(formatted[x:y] for x, y in zip(heads.tolist(), tails.tolist())))
     return out
 
 
@@ -140,10 +142,9 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, loss_role: str =
         for conv, some in _conversations(batches):
             text, spans = render(some, loss_role)
             encoded = encoder.encode(text, add_special_tokens=False)
-            offsets = np.array(encoded.offsets, dtype=np.int32).reshape(-1, 2)
-            mask = token_mask(offsets, spans)
-            out.append((conv, text, encoded.ids, mask.tolist(), offsets[:, 0].tolist(), offsets[:, 1].tolist(),
-                        [s for s, _ in spans], [e for _, e in spans]))
+            offsets = np.fromiter(chain.from_iterable(encoded.offsets), np.int32, 2 * len(encoded)).reshape(-1, 2)
+            where = np.array(spans, dtype=np.int32).reshape(-1, 2)
+            out.append((conv, text, np.array(encoded.ids, dtype=np.int32), token_mask(offsets, where), offsets, where))
             size += len(text)
             if size > 1 << 20:
                 yield _arrow(out)
@@ -154,9 +155,24 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, loss_role: str =
     return dealt.select("conv_id", "role", "text").mapInArrow(rows, FORMATTED_SQL)
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    """One list per array, made of the arrays' own numbers."""
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
+
+
 def _arrow(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [[] for _ in FORMATTED]
-    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, FORMATTED)], schema=FORMATTED)
+    if not rows:
+        return pa.RecordBatch.from_pylist([], schema=FORMATTED)
+    conv, text, ids, mask, offsets, spans = zip(*rows)
+    pairs = [_lists([x[:, k] for x in some]) for some in (offsets, spans) for k in (0, 1)]
+    return pa.record_batch([pa.array(conv, pa.int64()), pa.array(text), _lists(ids), _lists(mask), *pairs], names=FORMATTED.names)
+
+
+def _numbers(column: pa.ListArray) -> tuple[np.ndarray, list[int]]:
+    """All numbers of a list column, and where each row's begin and end."""
+    ends = column.offsets.to_numpy()
+    return column.flatten().to_numpy(zero_copy_only=False), (ends - ends[0]).tolist()
 
 
 READ_BACK = pa.schema(
@@ -171,12 +187,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for row in b.to_pylist():
-                text = row["formatted"]
-                offsets = np.array([row["token_start"], row["token_end"]], dtype=np.int32).T.reshape(-1, 2)
-                spans = list(zip(row["span_start"], row["span_end"]))
-                loss = "".join(map(unescape, masked_pieces(text, offsets, np.array(row["mask"], dtype=bool), spans)))
-                out.append((row["conv_id"], [{"role": r, "text": t} for r, t in parse(text)], loss, len(text)))
+            tokens = np.stack([_numbers(b.column(c))[0] for c in ("token_start", "token_end")], axis=1)
+            spans = np.stack([_numbers(b.column(c))[0] for c in ("span_start", "span_end")], axis=1)
+            mask, at = _numbers(b.column("mask"))
+            held = _numbers(b.column("span_start"))[1]
+            for i, (conv, text) in enumerate(zip(b.column("conv_id").to_pylist(), b.column("formatted").to_pylist())):
+                some = slice(at[i], at[i + 1])
+                pieces = masked_pieces(text, tokens[some], mask[some], spans[held[i] : held[i + 1]])
+                out.append((conv, [{"role": r, "text": t} for r, t in parse(text)], "".join(map(unescape, pieces)), len(text)))
             columns = list(zip(*out)) or [[] for _ in READ_BACK]
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, READ_BACK)], schema=READ_BACK)
 
