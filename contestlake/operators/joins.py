@@ -10,7 +10,7 @@ from contestlake.session import cut_lineage
 
 def in_period(facts: DataFrame, periods: DataFrame, number: Column) -> DataFrame:
     """Facts with the period they fall in, by period number instead of range."""
-    return facts.withColumn("number", number).join(F.broadcast(periods), "number")
+    return facts.withColumn("number", number).join(periods, "number")
 
 
 def universe(key: str, *sources: DataFrame) -> DataFrame:

@@ -55,8 +55,8 @@ def claim_chance(needs: DataFrame, pushy: DataFrame, order: DataFrame, offers: D
     metric, weight; ``pushy``: entity, claims; ``order``: entity, place;
     ``offers``: member, metric.
     """
-    wants = offers.join(F.broadcast(needs), "metric").groupBy("member", "entity").agg(F.sum("weight").alias("need"))
-    rows = wants.join(F.broadcast(pushy), "entity").join(F.broadcast(order), "entity")
+    wants = offers.join(needs, "metric").groupBy("member", "entity").agg(F.sum("weight").alias("need"))
+    rows = wants.join(pushy, "entity").join(order, "entity")
     score = F.col("need") * F.col("claims") / F.col("place")
     rows = rows.withColumn("score", score)
     total = rows.groupBy("member").agg(F.sum("score").alias("total"))

@@ -230,7 +230,7 @@ def shrunken_projection(totals: DataFrame, roster: DataFrame, stats: list[str],
     rows = totals.withColumn("grp", production_role(c("side"), c("position"), c("starts_wins"), c("saves"), c("outs")))
     means = aggregates.group_mean_with_fallback(rows, "grp", "side", stats, thin).drop("n")
     base = F.create_map(*[F.lit(x) for kv in prior.items() for x in kv])
-    rows = rows.join(F.broadcast(means), ["side", "grp"]).withColumn("alpha", ratio(c("volume"), c("volume") + base[c("side")]))
+    rows = rows.join(means, ["side", "grp"]).withColumn("alpha", ratio(c("volume"), c("volume") + base[c("side")]))
     shrunk = [
         (c("alpha") * c(s) / weeks + (1 - c("alpha")) * c(f"mu_{s}") / weeks * 0.5).alias(f"p_{s}") for s in stats]
     rows = rows.select("member", "side", *shrunk)

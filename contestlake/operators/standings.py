@@ -116,7 +116,7 @@ def marginal_curve(projected: DataFrame, us, metrics: list[Metric], keep: int =
         "metric", F.col("proj_value").alias("our_value"), F.col("proj_points").alias("our_points"),
         _swap_columns(metrics).alias("impact"),
     )
-    above = projected.join(F.broadcast(mine), "metric").where(F.col("proj_points") > F.col("our_points"))
+    above = projected.join(mine, "metric").where(F.col("proj_points") > F.col("our_points"))
     gap = F.abs(F.col("proj_value") - F.col("our_value"))
     rows = above.select(
         "metric", F.col("entity").alias("passes"), fixed(gap, 4).alias("units_needed"),
@@ -215,7 +215,7 @@ def needs_surplus(projected: DataFrame, norms: DataFrame, metrics: list[Metric],
     """
     gaps = ranking.neighbour_gaps(projected, ["metric"], "proj_value", F.col("direction"), "proj_points")
     rate = F.col("kind") == "rate"
-    scaled = gaps.join(F.broadcast(norms), "metric", "left").withColumn(
+    scaled = gaps.join(norms, "metric", "left").withColumn(
         "unit", F.when(rate, _swap_columns(metrics)).otherwise(F.col("norm")))
     effort, slack = ratio(F.col("gap_up"), F.col("unit")), ratio(F.col("cushion"), F.col("unit"))
     chasing = (F.col("points_up") > 0) & (effort < F.when(rate, chase[1]).otherwise(chase[0]))
@@ -232,7 +232,7 @@ def complementarity(profiles: DataFrame, us) -> DataFrame:
     mine = profiles.where(F.col("entity") == us).select(
         "metric", F.col("chasing").alias("we_chase"), F.col("surplus").alias("we_spare"),
         F.col("points_up").alias("our_gain"))
-    both = profiles.where(F.col("entity") != us).join(F.broadcast(mine), "metric")
+    both = profiles.where(F.col("entity") != us).join(mine, "metric")
     give = F.col("surplus") & F.col("we_chase")
     want = F.col("chasing") & F.col("we_spare")
     scored = both.groupBy("entity").agg(

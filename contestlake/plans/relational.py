@@ -96,7 +96,7 @@ def star_join(spark, sf):
         F.col("n_nationkey").alias("entity"), F.col("r_name").alias("region"))
     who = per_member.join(L.members(spark, sf).select("member", "entity"), "member").groupBy("entity", "year").agg(
         F.sum("lines").alias("lines"), F.sum("cents").alias("cents"))
-    return who.join(F.broadcast(place), "entity").groupBy("region", "year").agg(F.sum("lines").alias("lines"), F.sum("cents").alias("cents"))
+    return who.join(place, "entity").groupBy("region", "year").agg(F.sum("lines").alias("lines"), F.sum("cents").alias("cents"))
 
 
 @query("list_parameter_join", """

@@ -115,7 +115,7 @@ def luck_gap(spark, sf):
     who = per.join(L.members(spark, sf).select("member", "entity"), "member")
     actual = who.select("member", ratio(F.col("dsc"), F.col("rev")).alias("actual"))
     base = who.groupBy("entity").agg(ratio(F.sum("dsc"), F.sum("rev")).alias("expected"))
-    expected = who.select("member", "entity").join(F.broadcast(base), "entity").select("member", "expected")
+    expected = who.select("member", "entity").join(base, "entity").select("member", "expected")
     return S.luck_gap(actual, expected, 0.5, 2.0)
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contestlake.functions.calendars import Calendar
+from contestlake.operators import intervals
 from contestlake.sources import captures, feeds, ingest, landing, sinks
 
 TEAMS = ["Alpha Dogs", "Beta", "O'Neil Club"]
@@ -217,6 +218,11 @@ def test_ingest_twice_is_once(spark, folder):
     assert [r.period for r in spark.read.parquet(f"{lake}/snap_period_line").collect()] == [1]
     assert spark.read.parquet(f"{lake}/ev_news").first().return_weeks == 5.0
     assert [r.status for r in sinks.last_runs(spark.read.parquet(f"{lake}/ops_runs")).collect()] == ["complete"]
+    # The log of the warehouse is what the interval builder takes.
+    log = ingest.reconcile_state(lake, spark)
+    held = intervals.build_intervals(log, ["effective", "posted_at", "uid", "idx"], "effective")
+    opening = log.where(F.col("action").isin(*intervals.OPENING, "trade")).select("entity", "member").distinct().count()
+    assert 0 < held.where("to_ts is null").count() <= opening
     # Fees are not multiplied by the actions of a transaction.
     fees = spark.read.parquet(f"{lake}/ev_txn").groupBy("team").agg(F.sum("cost").alias("c"))
     assert {r.team: r.c for r in fees.collect()}["Beta"] == 2.5
