@@ -31,7 +31,7 @@ from contestlake.session import cut_lineage
 MIN_WORDS = 10
 RECALL = 0.9999
 #: Signatures that a task remembers while it sends bands.
-HELD_NODES = 500_000
+HELD_NODES = 100_000
 #: Share of pairs at ``FAR`` similarity that may collide.
 NOISE, FAR = 0.15, 0.2
 
