@@ -24,10 +24,11 @@ def _lookup(targets: DataFrame, by: list[str], tag: str) -> DataFrame:
     """Candidates per key level: how many, and the one id when it is unique.
 
     Candidates are counted and never listed, so a name that a third of the
-    universe shares is a single row.
+    universe shares is a single row.  A lookup has up to a row per target and
+    pass, which the size of the file does not tell: it is merged, not broadcast.
     """
     return targets.groupBy("strength", "key", *by).agg(
-        F.count(F.lit(1)).alias(f"n_{tag}"), F.min("target_id").alias(f"id_{tag}"))
+        F.count(F.lit(1)).alias(f"n_{tag}"), F.min("target_id").alias(f"id_{tag}")).hint("merge")
 
 
 def _found(known: Column) -> Column:
@@ -76,7 +77,7 @@ def resolve_collisions(matches: DataFrame) -> DataFrame:
     best = claims.groupBy("target_id").agg(
         F.min("strength").alias("best"), F.min_by("at_strength", "strength").alias("at_best"),
         F.sum("at_strength").alias("claims"))
-    judged = matches.join(best, "target_id", "left")
+    judged = matches.join(best.hint("merge"), "target_id", "left")
     wins = (F.col("claims") == 1) | ((F.col("strength") == F.col("best")) & (F.col("at_best") == 1))
     lost = (F.col("status") == "matched") & ~wins
     return judged.select(
@@ -86,7 +87,7 @@ def resolve_collisions(matches: DataFrame) -> DataFrame:
 
 def apply_overrides(matches: DataFrame, overrides: DataFrame) -> DataFrame:
     """Hand decisions win: (source_id, forced_id)."""
-    out = matches.join(overrides, "source_id", "left")
+    out = matches.join(overrides.hint("merge"), "source_id", "left")
     return out.select(
         "source_id", F.coalesce("forced_id", "target_id").alias("target_id"),
         F.when(F.col("forced_id").isNotNull(), "override").otherwise(F.col("status")).alias("status"))
