@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from contestlake.functions.rates import fixed
 from contestlake.operators import ranking, scan
-from contestlake.session import cut_lineage
+from contestlake.session import cut_lineage, stored
 
 SLACK = 2e-6  # wider than the rounding of a similarity
 
@@ -168,12 +168,23 @@ def modularity(ways: DataFrame, labels: DataFrame, total: float) -> float:
     return per.agg(F.sum(F.col("inside") / total - F.pow(F.col("all") / total, 2))).first()[0] or 0.0
 
 
-def _moved(ways: DataFrame, labels: DataFrame, degrees: DataFrame, total: float, turn: int) -> DataFrame:
-    """One half of the nodes each move to the neighbouring community that gains most, if any gains; ties go to the smallest label."""
-    sums = labels.join(degrees, "node").groupBy("label").agg(F.sum("k").alias("sum"))
+def _votes(ways: DataFrame, labels: DataFrame) -> DataFrame:
+    """Weight from every node to every neighbouring community."""
     far = labels.select(F.col("node").alias("b"), "label")
-    votes = ways.where("a <> b").join(far, "b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("w").alias("w"))
-    here = labels.join(degrees, "node").select("node", "k", F.col("label").alias("own"))
+    return ways.join(far, "b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("w").alias("w"))
+
+
+def _value(votes: DataFrame, labels: DataFrame, total: float) -> float:
+    """``modularity`` from the votes under the same labels; ``labels`` carries degrees and loops."""
+    named = labels.join(votes, ["node", "label"], "left")
+    per = named.groupBy("label").agg(F.sum(F.coalesce("w", F.lit(0.0)) + F.col("loop")).alias("inside"), F.sum("k").alias("all"))
+    return per.agg(F.sum(F.col("inside") / total - F.pow(F.col("all") / total, 2))).first()[0] or 0.0
+
+
+def _moved(votes: DataFrame, labels: DataFrame, total: float, turn: int) -> DataFrame:
+    """One half of the nodes each move to the neighbouring community that gains most, if any gains; ties go to the smallest label."""
+    sums = labels.groupBy("label").agg(F.sum("k").alias("sum"))
+    here = labels.select("node", "k", F.col("label").alias("own"))
     here = here.where(F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2)
     known = votes.unionByName(labels.select("node", "label", F.lit(0.0).alias("w"))).groupBy("node", "label").agg(F.sum("w").alias("w"))
     rated = known.join(here, "node").join(sums, "label")
@@ -184,7 +195,7 @@ def _moved(ways: DataFrame, labels: DataFrame, degrees: DataFrame, total: float,
         F.max_by("label", F.struct(F.col("gain"), -F.col("label"))).alias("new"), F.max("gain").alias("most"),
         F.max(F.when(mine, F.col("gain"))).alias("stay"))
     best = best.where("most > stay").select("node", "new")
-    return labels.join(best, "node", "left").select("node", F.coalesce("new", "label").alias("label"))
+    return labels.join(best, "node", "left").select("node", "k", "loop", F.coalesce("new", "label").alias("label"))
 
 
 def louvain(edges: DataFrame, nodes: DataFrame, weight: str | None = None, gain: float = 1e-6) -> tuple[DataFrame, float]:
@@ -199,37 +210,47 @@ def louvain(edges: DataFrame, nodes: DataFrame, weight: str | None = None, gain:
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     pairs = edges.where("a <> b").select("a", "b", w.alias("w"))
-    ways = cut_lineage(pairs.union(pairs.select("b", "a", "w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
+    ways = stored(pairs.union(pairs.select("b", "a", "w")).groupBy("a", "b").agg(F.sum("w").alias("w")), "ways")
     total = ways.agg(F.sum("w")).first()[0]
     final = nodes.select("node", F.col("node").alias("label"))
     if not total:
         return final, 0.0
     best = float("-inf")
     while True:
-        degrees = cut_lineage(ways.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")))
-        labels = degrees.select("node", F.col("node").alias("label"))
-        here = start = modularity(ways, labels, total)
+        loop = F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0))
+        degrees = ways.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"), loop.alias("loop"))
+        labels = stored(degrees.withColumn("label", F.col("node")), "labels")
+        # Ways lie by their far end for all turns of a level, so a turn moves labels and votes only.
+        parts = int(ways.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        near = ways.where("a <> b").repartition(parts, "b").persist()
+        votes = _votes(near, labels).persist()
+        here = start = _value(votes, labels, total)
         turn = idle = 0
         while idle < 2:
-            tried = cut_lineage(_moved(ways, labels, degrees, total, turn))
-            value = modularity(ways, tried, total)
+            tried = stored(_moved(votes, labels, total, turn), "labels")
+            known = _votes(near, tried).persist()
+            value = _value(known, tried, total)
             turn += 1
             if value > here + gain:
                 labels, here, idle = tried, value, 0
+                votes, known = known, votes
             else:
                 idle += 1
+            known.unpersist()
+        votes.unpersist()
+        near.unpersist()
         # The smallest member names a community, so that labels do not depend on the order of moves.
         names = labels.groupBy("label").agg(F.min("node").alias("name"))
-        labels = cut_lineage(labels.join(names, "label").select("node", F.col("name").alias("label")))
+        labels = stored(labels.join(names, "label").select("node", F.col("name").alias("label")), "labels")
         step = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        final = cut_lineage(final.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
+        final = stored(final.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
         if here <= max(best, start) + gain:
             return final, here
         best = here
         own = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
         other = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         merged = ways.join(own, "a").join(other, "b").groupBy(F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.sum("w").alias("w"))
-        ways = cut_lineage(merged)
+        ways = stored(merged, "ways")
 
 
 def feature_vectors(totals: DataFrame, weeks: int, scales: dict[str, float]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Plans and helpers that must hold when the tables grow."""
 
-from contestlake.operators import identity
+from contestlake.operators import graphs, identity
 
 
 def _plan(df):
@@ -18,3 +18,18 @@ def test_name_lookups_are_not_broadcast(spark):
     assert "Broadcast" not in _plan(out)
     got = {r.source_id: (r.target_id, r.status) for r in out.collect()}
     assert got[2] == (2, "matched") and got[3] == (5, "override")
+
+
+def test_turns_leave_no_growing_plan(spark, monkeypatch):
+    """The planner's size of a state is that of its rows, however many turns made it."""
+    edges = spark.createDataFrame([(a, b) for a in range(8) for b in range(a + 1, 8) if a // 4 == b // 4], "a long, b long")
+    sizes, moved = [], graphs._moved
+
+    def seen(*args):
+        sizes.append(int(str(args[1]._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+        return moved(*args)
+
+    monkeypatch.setattr(graphs, "_moved", seen)
+    labels, _ = graphs.louvain(edges, spark.range(8).withColumnRenamed("id", "node"))
+    assert {r.node: r.label for r in labels.collect()} == {n: n // 4 * 4 for n in range(8)}
+    assert len(sizes) > 2 and max(sizes) < 10 * 1024 * 1024
