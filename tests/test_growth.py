@@ -1,6 +1,6 @@
 """Plans and helpers that must hold when the tables grow."""
 
-from contestlake.operators import graphs, identity
+from contestlake.operators import graphs, identity, swaps
 
 
 def _plan(df):
@@ -33,3 +33,18 @@ def test_turns_leave_no_growing_plan(spark, monkeypatch):
     labels, _ = graphs.louvain(edges, spark.range(8).withColumnRenamed("id", "node"))
     assert {r.node: r.label for r in labels.collect()} == {n: n // 4 * 4 for n in range(8)}
     assert len(sizes) > 2 and max(sizes) < 10 * 1024 * 1024
+
+
+def test_swap_work_is_spread(spark):
+    rows = spark.range(1, numPartitions=1)
+    parts = swaps.spread(rows, "id").rdd.getNumPartitions()
+    assert parts >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    search = swaps.Search.__new__(swaps.Search)
+    kind = "entity long, member long, quality double, qty double, box int, box2 int"
+    search.names, search.couples = ["qty"], True
+    search.dealt = spark.createDataFrame([(1, m, 1.0, 2.0, m % 2) for m in range(6)], kind.rsplit(",", 1)[0])
+    targets = spark.createDataFrame([(2, t, 1.0, 2.0, a, b) for t in range(10, 40) for a, b in [(0, 0), (0, 1), (1, 1)]], kind)
+    pairs = search.pairs(targets)
+    assert pairs.rdd.getNumPartitions() >= parts
+    got = sorted((r.get, r.give1, r.give2) for r in pairs.collect())
+    assert got == [(t, a, b) for t in range(10, 40) for a in range(6) for b in range(a + 1, 6)]
