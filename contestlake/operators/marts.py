@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contestlake.functions.rates import fixed, ratio
 from contestlake.operators import ranking
+from contestlake.session import spread
 
 
 def labelled(sections: dict[str, DataFrame]) -> DataFrame:
@@ -53,14 +54,15 @@ def claim_chance(needs: DataFrame, pushy: DataFrame, order: DataFrame, offers: D
     A rival's weight is need for the member's metrics times past claims over
     its place in the claim order, normalised per member.  ``needs``: entity,
     metric, weight; ``pushy``: entity, claims; ``order``: entity, place;
-    ``offers``: member, metric.
+    ``offers``: member, metric.  The three tables of entities are boards; the
+    offers grow, so they lie by member and the boards come to them.
     """
-    wants = offers.join(needs, "metric").groupBy("member", "entity").agg(F.sum("weight").alias("need"))
-    rows = wants.join(pushy, "entity").join(order, "entity")
-    score = F.col("need") * F.col("claims") / F.col("place")
-    rows = rows.withColumn("score", score)
-    total = rows.groupBy("member").agg(F.sum("score").alias("total"))
-    return rows.join(total, "member").select("member", "entity", fixed(ratio(F.col("score"), F.col("total")), 6).alias("chance"))
+    offers = spread(offers.where("member is not null"), "member")
+    wants = offers.join(F.broadcast(needs), "metric").groupBy("member", "entity").agg(F.sum("weight").alias("need"))
+    rows = wants.join(F.broadcast(pushy.join(order, "entity")), "entity")
+    rows = rows.withColumn("score", F.col("need") * F.col("claims") / F.col("place"))
+    total = F.sum("score").over(Window.partitionBy("member"))  # at most a row per entity
+    return rows.withColumn("total", total).select("member", "entity", fixed(ratio(F.col("score"), F.col("total")), 6).alias("chance"))
 
 
 def acted_first(events: DataFrame, actions: DataFrame, alert_minutes: int, within_days: int) -> DataFrame:

@@ -1,6 +1,6 @@
 """Plans and helpers that must hold when the tables grow."""
 
-from contestlake.operators import graphs, identity, swaps
+from contestlake.operators import graphs, identity, marts, swaps
 
 
 def _plan(df):
@@ -48,3 +48,15 @@ def test_swap_work_is_spread(spark):
     assert pairs.rdd.getNumPartitions() >= parts
     got = sorted((r.get, r.give1, r.give2) for r in pairs.collect())
     assert got == [(t, a, b) for t in range(10, 40) for a in range(6) for b in range(a + 1, 6)]
+
+
+def test_offers_are_not_broadcast(spark):
+    needs = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 3.0), ("b", "y", 1.0)], "entity string, metric string, weight double")
+    pushy = spark.createDataFrame([("a", 2), ("b", 1)], "entity string, claims long")
+    order = spark.createDataFrame([("a", 1), ("b", 2)], "entity string, place int")
+    offers = spark.createDataFrame([(1, "x"), (1, "y"), (2, "y"), (3, "z"), (None, "x"), (4, "x"), (4, "x")], "member long, metric string")
+    out = marts.claim_chance(needs, pushy, order, offers)
+    assert sorted((r.member, r.entity, r.chance) for r in out.collect()) == [
+        (1, "a", 0.5), (1, "b", 0.5), (2, "b", 1.0), (4, "a", 0.571429), (4, "b", 0.428571)]
+    boards = [line for line in _plan(out).split("\n") if "BroadcastHashJoin" in line and "metric" in line]
+    assert boards and all("BuildRight" in line for line in boards)
