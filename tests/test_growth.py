@@ -7,11 +7,18 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_name_lookups_are_not_broadcast(spark):
+def _filed(df, path):
+    """The rows as a small file, whose size the planner knows."""
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def test_name_lookups_are_not_broadcast(spark, folder):
     kind = "id long, norm string, flag boolean, team int"
     rows = [(i, f"a name{i}", i % 2 == 0, i % 3) for i in range(40)]
-    targets = spark.createDataFrame(rows, kind).withColumnRenamed("id", "target_id")
-    sources = spark.createDataFrame(rows, kind).withColumnRenamed("id", "source_id").selectExpr("*", "true AS rostered")
+    people = _filed(spark.createDataFrame(rows, kind), f"{folder}/people")
+    targets = people.withColumnRenamed("id", "target_id")
+    sources = people.withColumnRenamed("id", "source_id").selectExpr("*", "true AS rostered")
     found = identity.resolve_collisions(identity.cascade(sources, targets))
     forced = spark.createDataFrame([(3, 5)], "source_id long, forced_id long")
     out = identity.apply_overrides(found, forced)
@@ -50,12 +57,12 @@ def test_swap_work_is_spread(spark):
     assert got == [(t, a, b) for t in range(10, 40) for a in range(6) for b in range(a + 1, 6)]
 
 
-def test_offers_are_not_broadcast(spark):
+def test_offers_are_not_broadcast(spark, folder):
     needs = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 3.0), ("b", "y", 1.0)], "entity string, metric string, weight double")
     pushy = spark.createDataFrame([("a", 2), ("b", 1)], "entity string, claims long")
     order = spark.createDataFrame([("a", 1), ("b", 2)], "entity string, place int")
     offers = spark.createDataFrame([(1, "x"), (1, "y"), (2, "y"), (3, "z"), (None, "x"), (4, "x"), (4, "x")], "member long, metric string")
-    out = marts.claim_chance(needs, pushy, order, offers)
+    out = marts.claim_chance(needs, pushy, order, _filed(offers, f"{folder}/offers"))
     assert sorted((r.member, r.entity, r.chance) for r in out.collect()) == [
         (1, "a", 0.5), (1, "b", 0.5), (2, "b", 1.0), (4, "a", 0.571429), (4, "b", 0.428571)]
     boards = [line for line in _plan(out).split("\n") if "BroadcastHashJoin" in line and "metric" in line]
