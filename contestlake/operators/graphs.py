@@ -12,6 +12,11 @@ from contestlake.operators import ranking, scan
 from contestlake.session import cut_lineage, stored
 
 SLACK = 2e-6  # wider than the rounding of a similarity
+#: Dimensions from which nodes meet in blocks; rows of a block; rows of it, and pairs, that are compared at a time.
+LONG = 16
+BLOCK = 16_384
+STRIP = 256
+TERMS = 1_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -51,6 +56,9 @@ def knn_edges(rows: DataFrame, ident: str, vector: str, k: int = 6, cutoff: floa
        the finest grid whose cells are as wide as its radius.  Projections
        never lengthen a distance, so nothing within the radius is missed, and
        where nodes are crowded radii and cells are small.
+
+    Vectors of more than ``LONG`` dimensions lie too evenly for a grid; their
+    nodes meet block by block instead.
     """
     units = unit_vectors(rows, ident, vector)
     copies = ranking.top_k(units.withColumn("g", F.xxhash64("u")), ["u", "g"], [F.asc("id")], k + 1, "c")
@@ -64,6 +72,9 @@ def knn_edges(rows: DataFrame, ident: str, vector: str, k: int = 6, cutoff: floa
     dims = min(dims, size)
     nodes = cut_lineage(nodes.withColumn("p", _projections(_directions(nodes, dims))))
     nodes = _bounded(nodes, k, cutoff, dims, pieces)
+    if size > LONG and dict(nodes.dtypes)["node"] == "bigint":
+        near = _met_in_blocks(cut_lineage(nodes.select("node", "u", "bound")), k, cutoff)
+        return _expand(units, copies, near, k)
     wide = float((2 - 2 * cutoff + 2 * SLACK) ** 0.5)
     nodes = cut_lineage(nodes.withColumn("level", F.least(
         F.floor(F.log2(F.lit(wide) / F.greatest(F.col("radius"), F.lit(1e-9)))), F.lit(levels - 1)).cast("int")))
@@ -84,6 +95,100 @@ def knn_edges(rows: DataFrame, ident: str, vector: str, k: int = 6, cutoff: floa
     return _expand(units, copies, near, k)
 
 
+def _met_in_blocks(nodes: DataFrame, k: int, cutoff: float) -> DataFrame:
+    """The k nearest nodes of every node by all pairs: node, other, sim.
+
+    Nodes are dealt to blocks of about ``BLOCK``; a task takes two blocks (or
+    one with itself) and hands on at most k neighbours per node, so it holds
+    two blocks and a strip of similarities, whatever the number of nodes.
+    """
+    spark = nodes.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    total = nodes.count()
+    # Small inputs are cut finer, so that all tasks have a pair of blocks.
+    count = max(-(-total // BLOCK), min(int((2 * parts) ** 0.5) + 1, -(-total // 256)), 1)
+    own = F.pmod(F.xxhash64("node"), F.lit(count)).cast("int")
+    others = F.sequence(F.lit(0), F.lit(count - 1))
+    dealt = nodes.withColumn("block", own).withColumn("with", F.explode(others)).select(
+        (F.least("block", "with") * count + F.greatest("block", "with")).cast("long").alias("pair"),
+        (F.col("block") > F.col("with")).alias("second"), "node", "u", "bound")
+    found = dealt.repartition(max(parts, min(count * (count + 1) // 2, 4 * parts)), "pair").sortWithinPartitions("pair", "second").mapInArrow(
+        _nearest_in_blocks(count, k, cutoff), "node long, other long, sim double")
+    return ranking.top_k(found, ["node"], [F.desc("sim"), F.asc("other")], k).select("node", "other", "sim")
+
+
+def _nearest_in_blocks(count: int, k: int, cutoff: float):
+    """Arrow batches sorted by pair of blocks, the first block ahead → the k nearest others in the pair's other block."""
+    import numpy as np
+    import pyarrow as pa
+
+    def nearest(left, right, same):
+        """(row of left, row of right, similarity) of the k best rights of every left that reach its bound."""
+        (ids, u, bound), (far, w, _) = left, right
+        order = np.argsort(far, kind="stable")
+        far, w = far[order], w[order]
+        columns = np.ascontiguousarray(w.T)
+        for at in range(0, len(ids), STRIP):
+            near = u[at : at + STRIP] @ columns
+            # Sums in another order differ by less than the slack; what may count is summed term by term below.
+            floor = bound[at : at + STRIP]
+            reach = near >= floor[:, None] - SLACK / 2
+            if len(far) > k + 1 and reach.sum() > 8 * k * len(near):
+                floor = np.maximum(floor, np.partition(near, len(far) - k - 1, axis=1)[:, len(far) - k - 1] - SLACK)
+                reach = near >= floor[:, None] - SLACK / 2
+            a, b = np.nonzero(reach)
+            for some in range(0, len(a), TERMS):
+                i, j = a[some : some + TERMS] + at, b[some : some + TERMS]
+                if same:
+                    i, j = i[ids[i] != far[j]], j[ids[i] != far[j]]
+                sim = np.zeros(len(i))
+                for d in range(u.shape[1]):
+                    sim = sim + u[i, d] * w[j, d]
+                on = sim >= bound[i]
+                sim = np.floor(sim * 1e6 + 0.5) / 1e6
+                on &= sim >= cutoff
+                yield i[on], far[j[on]], ids[i[on]], sim[on]
+
+    def batch(left, right, same):
+        for i, other, node, sim in nearest(left, right, same):
+            order = np.lexsort((other, -sim, i))
+            i, other, node, sim = i[order], other[order], node[order], sim[order]
+            first = np.searchsorted(i, i, side="left")
+            on = np.arange(len(i)) - first < k
+            yield pa.record_batch([pa.array(node[on], pa.int64()), pa.array(other[on], pa.int64()), pa.array(sim[on], pa.float64())], names=["node", "other", "sim"])
+
+    def joined(parts):
+        return [np.concatenate(x) for x in zip(*parts)]
+
+    def meet(pair, first, second):
+        if first and second:
+            left, right = joined(first), joined(second)
+            yield from batch(left, right, False)
+            yield from batch(right, left, False)
+        elif first and pair // count == pair % count:
+            one = joined(first)
+            yield from batch(one, one, True)
+
+    def run(arrow):
+        now, first, second = None, [], []
+        for b in arrow:
+            pairs = b.column("pair").to_numpy()
+            late = b.column("second").to_numpy(zero_copy_only=False)
+            ids, bound = b.column("node").to_numpy(), b.column("bound").to_numpy()
+            u = b.column("u").flatten().to_numpy().reshape(len(ids), -1)
+            cuts = [0, *(np.flatnonzero(np.diff(pairs)) + 1).tolist(), len(pairs)]
+            for x, y in zip(cuts, cuts[1:]):
+                if pairs[x] != now:
+                    yield from meet(now, first, second)
+                    now, first, second = pairs[x], [], []
+                for held, which in ((first, ~late[x:y]), (second, late[x:y])):
+                    if which.any():
+                        held.append((ids[x:y][which], u[x:y][which], bound[x:y][which]))
+        yield from meet(now, first, second)
+
+    return run
+
+
 def _flat_dot(a: str, b: str, size: int) -> Column:
     """Dot product: compiled term by term for short vectors, a fold for long."""
     if size > 16:
