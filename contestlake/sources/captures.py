@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from contestlake.functions import calendars
 from contestlake.operators import scan
+from contestlake.session import stored
 
 ORDER = ["blk", "pos"]
 
@@ -143,11 +144,14 @@ def transactions_old(lines: DataFrame, teams: list[str]) -> tuple[DataFrame, Dat
     rows = rows.withColumn("team", F.when(F.col("rest").isNotNull(), F.regexp_extract("rest", f"^({team_head})", 1)))
     rows = rows.withColumn("payload", F.when(F.col("rest").isNull(), F.col("text")).otherwise(
         F.trim(F.expr("substring(rest, length(team) + 1)"))))
-    tail = lambda i: F.regexp_extract("payload", OLD_TAIL, i)
-    whole = F.regexp_extract_all(F.regexp_replace("payload", OLD_TAIL, ""), F.lit(OLD_SEGMENT), F.lit(0))
+    # Few lines end with a date or a fee; the others are spared the search for them.
+    ended = F.col("payload").rlike(r"[\d\s]$")
+    tail = lambda i: F.when(ended, F.regexp_extract("payload", OLD_TAIL, i)).otherwise("")
+    bare = F.when(ended, F.regexp_replace("payload", OLD_TAIL, "")).otherwise(F.col("payload"))
+    whole = F.regexp_extract_all(bare, F.lit(OLD_SEGMENT), F.lit(0))
     found = F.transform(whole, lambda s: _segment(F.regexp_replace(F.trim(s), r"\s+", " ")))
     rows = rows.select(*lines.columns, "text", "rest", "team", _once(
-        calendars.short_date(tail(1)).alias("effective"), tail(2).try_cast("decimal(9,2)").alias("paid"),
+        calendars.short_date(F.nullif(tail(1), F.lit(""))).alias("effective"), F.nullif(tail(2), F.lit("")).try_cast("decimal(9,2)").alias("paid"),
         F.filter(found, lambda s: s.isNotNull()).alias("segments")))
     rows = rows.withColumn("segments", F.transform("segments", lambda s: s.withField("counterparty", _full_team(s["counterparty"], teams))))
     header = F.col("rest").isNotNull()
@@ -155,6 +159,8 @@ def transactions_old(lines: DataFrame, teams: list[str]) -> tuple[DataFrame, Dat
     rejects = rows.where(header & ~good).select(*lines.columns)
     start = F.when(good, F.struct(*ORDER))
     used = rows.withColumn("start", start).where(good | (~header & (F.size("segments") > 0)))
+    # Read twice below, for what a block hands on and for its lines; the patterns run once.
+    used = stored(used.select("path", *ORDER, "text", "team", "effective", "paid", "segments", "start"), "segments")
     used = scan.fill_forward(used, ["path"], ORDER, F.col("blk"), {"start": "head"}).where(F.col("head").isNotNull())
     key = F.struct(*ORDER)
     txns = used.groupBy("path", "head").agg(
