@@ -107,6 +107,19 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     return out.drop(_CHUNK, *[f"__in_{t}" for t in columns.values()])
 
 
+def _place(marks: Column, count: int, value: Column, reached) -> Column:
+    """How many of the sorted marks the value has ``reached``: a search by halves, so many chunks cost a row little."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(count.bit_length()))])
+    found = lambda v: F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= count) & reached(F.get(marks, at + step - 1), v), at + step).otherwise(at))
+    return F.transform(F.array(value), found)[0]  # the value is computed once, not at each step
+
+
+def _sorted(value: float) -> tuple[bool, float]:
+    """Sorts as Spark does: NaN is the greatest number."""
+    return value != value, value
+
+
 def value_chunks(df: DataFrame, column: str, pieces: int | None = None) -> Column:
     """Chunk number of a value by approximate quantile bounds.
 
@@ -118,8 +131,10 @@ def value_chunks(df: DataFrame, column: str, pieces: int | None = None) -> Colum
         pieces = max(64, min(10_000, df.count() // 100_000))
     points = [i / pieces for i in range(1, pieces)]
     bounds = df.agg(F.percentile_approx(column, points, 10 * pieces).alias("b")).first()["b"] or []
-    marks = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]).cast("array<double>")
-    return F.size(F.filter(marks, lambda b: b <= F.col(column)))
+    marks = sorted(set(bounds), key=_sorted)
+    if not marks:
+        return F.lit(0)
+    return _place(F.array(*[F.lit(float(b)) for b in marks]), len(marks), F.col(column), lambda b, v: b <= v)
 
 
 #: Rows that a chunk holds, about, where the caller sets no other number of pieces.
@@ -159,6 +174,9 @@ def order_chunks(df: DataFrame, order: list[str], pieces: int | None = None) ->
         cuts += [(r["v"], x) for r in found for x in sorted(set(r["b"] or []))]
     if not cuts:
         return F.lit(0)
-    spread = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in sorted(cuts)])
-    at = F.struct(first.alias("a"), (_as_number(df, order[1]) if len(order) > 1 else F.lit(0.0)).alias("b"))
-    return F.size(F.filter(spread, lambda c: (c["a"] < at["a"]) | ((c["a"] == at["a"]) & (c["b"] <= at["b"]))))
+    if len(cuts) == len(marks):  # no moment is cut again
+        return _place(F.array(*[F.lit(float(b)) for b in sorted(marks, key=_sorted)]), len(marks), first, lambda c, at: c <= at)
+    cuts = sorted(cuts, key=lambda c: (_sorted(c[0]), _sorted(c[1])))
+    spread = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in cuts])
+    at = F.struct(first.alias("a"), _as_number(df, order[1]).alias("b"))
+    return _place(spread, len(cuts), at, lambda c, at: (c["a"] < at["a"]) | ((c["a"] == at["a"]) & (c["b"] <= at["b"])))
