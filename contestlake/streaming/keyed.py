@@ -130,28 +130,37 @@ def newest_rows(spark: SparkSession, root: str) -> DataFrame:
 # --- open intervals --------------------------------------------------------
 
 
+#: State cells that share the keys: fixed for the life of a checkpoint, as a key must find its cell again.
+CELLS = 1024
+
+
 class OpenIntervals(StatefulProcessor):
-    """One open interval per (entity, member); a close puts out the finished one."""
+    """At most one open interval per (entity, member); a close puts out the finished one.
+
+    A cell holds the open intervals of all its keys as one list, so that the
+    store is asked once per cell and batch, and not several times per key.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "from_ts long, via string, status string")
+        self.open = handle.getListState("open", "entity long, member long, from_ts long, via string, status string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        now = tuple(self.open.get()) if self.open.exists() else None
-        before = now
+        held = {(r[0], r[1]): tuple(r[2:]) for r in self.open.get()}
+        before = dict(held)
         for r in sorted(rows, key=lambda r: (r["at"], r["place"], r["step"])):
+            who = (r["entity"], r["member"])
+            now = held.get(who)
             if r["kind"] == "open" and now is None:
-                now = (r["at"], r["action"], "active")
+                held[who] = (r["at"], r["action"], "active")
             elif r["kind"] == "status" and now is not None:
-                now = (*now[:2], r["status"])
+                held[who] = (*now[:2], r["status"])
             elif r["kind"] == "close" and now is not None:
-                yield Row(entity=key[0], member=key[1], from_ts=now[0], to_ts=r["at"], via=now[1], ended_by=r["action"], status=now[2])
-                now = None
-        if now != before:
-            if now is None:
-                self.open.clear()
-            else:
-                self.open.update(now)
+                yield Row(entity=who[0], member=who[1], from_ts=now[0], to_ts=r["at"], via=now[1], ended_by=r["action"], status=now[2])
+                del held[who]
+        if held and held != before:
+            self.open.put([(*who, *now) for who, now in held.items()])
+        elif before and not held:
+            self.open.clear()
 
     def close(self) -> None:
         pass
@@ -165,15 +174,16 @@ def closed_intervals(actions: DataFrame, at: str, place: str) -> DataFrame:
     moves = intervals.membership_moves(actions, [at, place])
     rows = moves.select("entity", F.col("member").cast("long").alias("member"), "action", "kind", "status", "step",
                         micros(F.col(at)).alias("at"), F.col(place).cast("long").alias("place"))
-    return rows.groupBy("entity", "member").transformWithState(OpenIntervals(), CLOSED, "Append", "None")
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("entity", "member"), F.lit(CELLS)).cast("int"))
+    return rows.groupBy("cell").transformWithState(OpenIntervals(), CLOSED, "Append", "None")
 
 
 def all_intervals(spark: SparkSession, closed: DataFrame, root: str) -> DataFrame:
     """Closed intervals as put out, and the open ones from the store."""
     held = state(spark, root, "open").select(
-        F.col("key.entity").alias("entity"), F.col("key.member").alias("member"), F.col("value.from_ts").alias("from_ts"),
-        F.lit(None).cast("long").alias("to_ts"), F.col("value.via").alias("via"), F.lit(None).cast("string").alias("ended_by"),
-        F.col("value.status").alias("status"))
+        F.col("list_element.entity").alias("entity"), F.col("list_element.member").alias("member"), F.col("list_element.from_ts").alias("from_ts"),
+        F.lit(None).cast("long").alias("to_ts"), F.col("list_element.via").alias("via"), F.lit(None).cast("string").alias("ended_by"),
+        F.col("list_element.status").alias("status"))
     return closed.unionByName(held).withColumns({c: stamp(F.col(c)) for c in ("from_ts", "to_ts")})
 
 

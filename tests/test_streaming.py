@@ -82,6 +82,20 @@ def test_membership_across_batches(spark, folder):
     assert K.state(spark, f"{folder}/run", "open").count() == want.where("to_ts is null").count() < want.count()
 
 
+def test_open_intervals_share_cells(spark, folder, monkeypatch):
+    # The store is asked once per cell, however many members there are.
+    monkeypatch.setattr(K, "CELLS", 3)
+    actions = sorted(timed_actions(8, 200), key=lambda a: a[1])
+    schema = spark.createDataFrame([], ACTION_SCHEMA).schema
+    land(spark, actions, ACTION_SCHEMA, f"{folder}/in", 4)
+    closed = K.run(K.closed_intervals(P.parquet_stream(spark, f"{folder}/in", schema, 1), "ts", "seq"), f"{folder}/run")
+    got = K.all_intervals(spark, closed, f"{folder}/run")
+    want = intervals.build_intervals(spark.createDataFrame(actions, ACTION_SCHEMA), ["ts", "seq"], "ts").select(*got.columns)
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    held = K.state(spark, f"{folder}/run", "open")
+    assert held.select("key").distinct().count() <= 3 < held.count()
+
+
 def test_first_sightings_expire(spark, folder):
     start = datetime(2024, 1, 1)
     days = [0, 1, 2, 9, 10, 11, 30]
