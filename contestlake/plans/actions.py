@@ -19,7 +19,7 @@ from contestlake.operators import ranking
 from contestlake.operators import rederive as R
 from contestlake.plans import league as L
 from contestlake.plans.registry import query, rnd
-from contestlake.session import cut_lineage
+from contestlake.session import cut_lineage, step
 
 # Event types as actions.
 ACTIONS = {"signup": "add", "error": "drop", "purchase": "trade", "view": "move_to_il", "click": "move_from_il"}
@@ -66,7 +66,7 @@ WITH = "WITH " + SQL_ACTIONS
 
 
 def intervals(spark, sf):
-    return I.build_intervals(actions(spark, sf), ORDER, "ts")
+    return step(spark, sf, "intervals", lambda: I.build_intervals(actions(spark, sf), ORDER, "ts"))
 
 
 @query("event_intervals", WITH + "SELECT entity, member, from_ts, to_ts, via, ended_by, status FROM iv")

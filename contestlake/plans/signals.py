@@ -15,6 +15,7 @@ from contestlake.operators import signals as S
 from contestlake.plans import actions as ACT
 from contestlake.plans import league as L
 from contestlake.plans.registry import query, rnd
+from contestlake.session import step
 
 AS_OF = date(2001, 7, 31)
 WITH = "WITH " + L.SQL_COMPONENTS
@@ -134,7 +135,7 @@ sg AS (SELECT member, newest, CASE WHEN {rnd("r-p", 2)}>0 THEN 'spend_up' ELSE '
 
 
 def user_signals(spark, sf):
-    return S.trend_shift(day_series(spark, sf), "cents", 3000.0, unit=20000.0, name="spend")
+    return step(spark, sf, "user-signals", lambda: S.trend_shift(day_series(spark, sf), "cents", 3000.0, unit=20000.0, name="spend"))
 
 
 @query("free_agent_stamp", USER_TREND + "SELECT sg.*, NOT EXISTS (SELECT 1 FROM iv WHERE iv.member=sg.member AND to_ts IS NULL AND entity<3) AS free FROM sg")

@@ -1,6 +1,8 @@
 """Plans and helpers that must hold when the tables grow."""
 
+from contestlake import session
 from contestlake.operators import graphs, identity, marts, swaps
+from contestlake.plans import league
 
 
 def _plan(df):
@@ -67,3 +69,16 @@ def test_offers_are_not_broadcast(spark, folder):
         (1, "a", 0.5), (1, "b", 0.5), (2, "b", 1.0), (4, "a", 0.571429), (4, "b", 0.428571)]
     boards = [line for line in _plan(out).split("\n") if "BroadcastHashJoin" in line and "metric" in line]
     assert boards and all("BuildRight" in line for line in boards)
+
+
+def test_a_report_works_out_its_steps_once(spark, sf):
+    @session.sharing
+    def report(spark, sf):
+        return [league.member_periods(spark, sf), league.components(spark, sf)]
+
+    periods, components = report(spark, sf)
+    assert "lineitem.parquet" not in _plan(periods) + _plan(components)
+    alone = league.member_periods(spark, sf)
+    assert "lineitem.parquet" in _plan(alone)
+    assert sorted(periods.collect()) == sorted(alone.collect())
+    assert sorted(components.collect()) == sorted(league.components(spark, sf).collect())
