@@ -10,7 +10,6 @@ the next window.
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from contestlake.llm.shingles import ALNUM, Words, batches, mix, spread, text_bytes
+from contestlake.llm.shingles import ALNUM, Words, batches, mix, range_hashes, spread, text_bytes
 from contestlake.session import run_dir
 
 WINDOW = 1024
@@ -37,8 +36,11 @@ COARSE_BITS, FINE_BITS = 6, 12
 #: A word is common enough to split the corpus only if less than this share of the documents has it.
 COMMON = 1 / 8
 K1, B = 1.2, 0.75
-#: Encoded words that a worker remembers before it starts again, some 200 bytes each.
-REMEMBER = 120_000
+#: Encoded pieces that a worker remembers before it starts again, some 30 bytes each; none has more than ``LONG`` bytes.
+REMEMBER = 2_000_000
+LONG = 64
+#: Words that the tokenizer gets in one text.
+TOGETHER = 32
 
 
 @cache
@@ -49,34 +51,10 @@ def tokenizer(path: str) -> Tokenizer:
     return t
 
 
-# Bytes that byte-level BPE writes as the character of the same number; the others follow from 256 on.
-_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_OTHERS = [b for b in range(256) if b not in set(_PLAIN)]
-_AS_CHARACTER = {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
-#: Marks that may end a word; no apostrophe, which can begin a contraction.
-_MARKS = ".,;:!?|*#%$&<>()/"
 #: White space other than the space and the line feed.
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-
-def uneven(text: str) -> bool:
-    """Whether white space other than single spaces and line feeds between words is about."""
-    return (
-        not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
-        or _OTHER_SPACE.search(text) is not None
-    )
-
-
-class Numbered(dict):
-    """Numbers words as they are first asked for, and remembers which are new."""
-
-    def __init__(self, count: Iterator[int]):
-        self.count, self.new = count, []
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = next(self.count)
-        self.new.append(word)
-        return n
+#: How byte-level BPE writes a space.
+_SPACE = "\u0120"
 
 
 class Encoder:
@@ -85,91 +63,129 @@ class Encoder:
     The pre-tokenizer never joins what lies on both sides of a space, or of a
     line feed, that stands between two characters that are no white space.  A
     text may be cut in front of every such space, and around every such line
-    feed.  Words are encoded once and remembered; a word of letters and
-    closing marks goes to the model as those two, anything else through the
-    whole tokenizer.
+    feed.  Pieces are encoded once and remembered by a 64-bit hash; one of more
+    than ``LONG`` bytes is encoded whenever it comes.
     """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.model = self.tokenizer.model
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.spaced[[i for t, i in vocabulary.items() if t[0] == _SPACE]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.count = itertools.count()
-        # Words behind a space are known without it, all other pieces as they are.
-        self.spaced, self.whole = Numbered(self.count), Numbered(self.count)
-        self.marks: dict[str, list[int]] = {}
-        self.ids = np.zeros(1 << 16, dtype=np.uint16)
-        self.start = self.size = np.zeros(0, dtype=np.int64)
-        self.used = 0
-
-    def _letters(self, piece: str) -> list[int]:
-        """Ids of one pre-token of letters, with or without a space in front."""
-        if not piece.isascii():
-            piece = piece.encode().decode("latin-1").translate(_AS_CHARACTER)
-        elif piece[0] == " ":
-            piece = _AS_CHARACTER[32] + piece[1:]
-        return [t.id for t in self.model.tokenize(piece)]
-
-    def _learn(self) -> None:
-        numbers, found, hard = [], [], []
-        for known, space in ((self.spaced, " "), (self.whole, "")):
-            for word in known.new:
-                core = word.rstrip(_MARKS)
-                numbers.append(known[word])
-                if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
-                    ids = self._letters(space + core)
-                    if len(core) < len(word):
-                        marks = word[len(core) :]
-                        if marks not in self.marks:
-                            self.marks[marks] = [t.id for t in self.model.tokenize(marks)]
-                        ids += self.marks[marks]
-                    found.append(ids)
-                else:
-                    hard.append((len(found), space + word))
-                    found.append([])
-            known.new.clear()
-        if hard:
-            encoded = self.tokenizer.encode_batch_fast([w for _, w in hard], add_special_tokens=False)
-            for (at, _), e in zip(hard, encoded):
-                found[at] = e.ids
-        if not numbers:
-            return
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint16, int(size.sum()))
+        self.known = np.zeros(0, dtype=np.uint64)
+        self.start, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.ids, self.used = np.zeros(1 << 16, dtype=np.uint16), 0
+
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Some ids, and (start, size) of each piece among them.
+
+        Words behind a space go to the tokenizer some at a time; where the next
+        begins, a token does so with its space.
+        """
+        words, others = [], []
+        for i, p in enumerate(pieces):
+            (words if p[0] == " " and p.split() == [p[1:]] else others).append(i)
+        runs = [words[a : a + TOGETHER] for a in range(0, len(words), TOGETHER)]
+        flat, order, first, used = [], [], [], 0
+        for run, e in zip(runs, self._encoded(["".join([pieces[i] for i in r]) for r in runs])):
+            begin = np.flatnonzero(self.spaced[e])
+            if len(begin) != len(run) or begin[0]:
+                others += run
+                continue
+            flat.append(e)
+            order += run
+            first.append(used + begin)
+            used += len(e)
+        for i, e in zip(others, self._encoded([pieces[i] for i in others])):
+            flat.append(e)
+            order.append(i)
+            first.append(np.array([used]))
+            used += len(e)
+        start, size = np.zeros(len(pieces), dtype=np.int64), np.zeros(len(pieces), dtype=np.int64)
+        if pieces:
+            at = np.concatenate(first)
+            start[order], size[order] = at, np.diff(at, append=used)
+        return np.concatenate([np.zeros(0, np.uint16), *flat]), start, size
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Remembers new pieces, whose hashes rise."""
+        flat, start, size = self._ids(pieces)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(flat)] = flat
-        order = np.argsort(numbers)
-        self.start = np.concatenate([self.start, (self.used + np.cumsum(size) - size)[order]])
-        self.size = np.concatenate([self.size, size[order]])
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.start = np.insert(self.start, at, self.used + start)
+        self.size = np.insert(self.size, at, size)
         self.used += len(flat)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self.start) > REMEMBER:
+        if len(self.known) > REMEMBER:
             self.clear()
-        spaced, whole = self.spaced.__getitem__, self.whole.__getitem__
-        feed = whole("\n")
-        numbered = []
-        for t in texts:
-            if uneven(t):
-                numbered.append([whole(w) for w in cuts(t)])
-                continue
-            numbers: list[int] = []
-            for line in t.split("\n"):
-                words = line.split(" ")
-                numbers.append(whole(words[0]))
-                numbers += map(spaced, words[1:])
-                numbers.append(feed)
-            numbered.append(numbers[:-1])
-        self._learn()
-        out = []
-        for numbers in numbered:
-            at = np.array(numbers, dtype=np.int64)
-            out.append(self.ids[spread(self.start[at], self.size[at])])
-        return out
+        data, count, hashes, sizes = [], [], [], []
+        for some in batches(t.encode() for t in texts):
+            data.append(b"".join(some))
+            start, size, n = pieces_of(some)
+            count.append(n)
+            sizes.append(size)
+            hashes.append(range_hashes(data[-1], start, size))
+        flat = b"".join(data)
+        count, hash_, size = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.int64, count), (np.uint64, hashes), (np.int64, sizes)))
+        begin = np.cumsum(size) - size
+        long = np.flatnonzero(size > LONG)
+        short = np.flatnonzero(size <= LONG)
+        distinct, first, which = np.unique(hash_[short], return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), dtype=bool)
+        if len(self.known):
+            new = self.known[np.minimum(at, len(self.known) - 1)] != distinct
+        if new.any():
+            rows = short[first[new]]
+            self._learn(distinct[new], [flat[a : a + n].decode() for a, n in zip(begin[rows].tolist(), size[rows].tolist())])
+            at = np.searchsorted(self.known, distinct)
+        # Long pieces stand behind what is remembered.
+        extra, extra_start, extra_size = self._ids([flat[a : a + n].decode() for a, n in zip(begin[long].tolist(), size[long].tolist())])
+        ids = np.concatenate([self.ids[: self.used], extra]) if len(extra) else self.ids
+        from_, tokens = np.zeros(len(size), dtype=np.int64), np.zeros(len(size), dtype=np.int64)
+        from_[short], tokens[short] = self.start[at][which], self.size[at][which]
+        from_[long], tokens[long] = self.used + extra_start, extra_size
+        out = ids[spread(from_, tokens)]
+        ends = np.concatenate(([0], np.cumsum(tokens)))[np.cumsum(count)]
+        return np.split(out, ends[:-1]) if len(ends) else []
+
+
+def pieces_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, size) of the pieces that the joined texts are cut into, and how many each text has."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    n = len(data)
+    feed = data == 0x0A
+    white = np.ones(n + 2, dtype=bool)  # white[p + 1] is that of byte p; nothing stands outside
+    white[1:-1] = feed | (data == 0x20)
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[begin] = True
+    # A white byte between two others, inside a text.
+    alone = white[1:-1] & ~white[:-2] & ~white[2:] & ~edge[:-1] & ~edge[1:]
+    cut = edge.copy()
+    cut[:-1] |= alone
+    cut[1:] |= alone & feed
+    for i, t in enumerate(texts):
+        text = t.decode()
+        if _OTHER_SPACE.search(text):
+            a, z = int(begin[i]), int(begin[i] + sizes[i])
+            cut[a + 1 : z] = False
+            cut[a + np.cumsum([len(p.encode()) for p in cuts(text)])[:-1]] = True
+    start = np.flatnonzero(cut[:n])
+    count = np.diff(np.searchsorted(start, np.append(begin, n)))
+    return start, np.diff(np.append(start, n)), count
 
 
 @cache
@@ -215,9 +231,11 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, float]:
         df, n, length = np.zeros(1 << SLOT_BITS, dtype=np.int64), 0, 0
         for b in arrow:
             for texts in batches(text_bytes(b.column(0))):
-                for hashes in _hashes(texts):
-                    df[np.unique(_slot(hashes))] += 1
-                    n, length = n + 1, length + len(hashes)
+                words = Words(texts, ALNUM)
+                both = np.sort(np.repeat(np.arange(len(texts)), words.count) << SLOT_BITS | _slot(words.hash))
+                once = both[np.flatnonzero(np.diff(both, prepend=-1))]
+                df += np.bincount(once & ((1 << SLOT_BITS) - 1), minlength=len(df))
+                n, length = n + len(texts), length + len(words.hash)
         some = range(0, len(df), SLICE)
         yield pa.record_batch(
             [pa.array([*(i // SLICE for i in some), -1], pa.int32()),
@@ -385,18 +403,17 @@ class Shard:
     """
 
     def __init__(self, slots: list[np.ndarray], idf: np.ndarray, mean: float, lengths: list[int] | None = None):
-        docs, terms, weights = [], [], []
-        for i, s in enumerate(slots):
-            term, tf = np.unique(s, return_counts=True)
-            norm = K1 * (1 - B + B * (len(s) if lengths is None else lengths[i]) / max(mean, 1.0))
-            docs.append(np.full(len(term), i, dtype=np.int32))
-            terms.append(term)
-            weights.append((tf * (K1 + 1) / (tf + norm) * idf[term]).astype(np.float32))
-        self.terms = terms
-        term = np.concatenate(terms) if terms else np.zeros(0, dtype=np.int64)
+        sizes = np.fromiter(map(len, slots), np.int64, len(slots))
+        norm = K1 * (1 - B + B * (sizes if lengths is None else np.asarray(lengths, dtype=np.int64)) / max(mean, 1.0))
+        # Documents and their words in one number, sorted: equal ones stand together.
+        both = np.sort(np.repeat(np.arange(len(slots)), sizes) * len(idf) + np.concatenate([np.zeros(0, np.int64), *slots]))
+        first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
+        tf = np.diff(first, append=len(both))
+        doc, term = np.divmod(both[first], max(len(idf), 1))
+        self.terms = np.split(term, np.searchsorted(doc, np.arange(1, len(slots)))) if slots else []
         order = np.argsort(term, kind="stable")
-        self.doc = np.concatenate(docs)[order] if docs else np.zeros(0, dtype=np.int32)
-        self.weight = np.concatenate(weights)[order] if weights else np.zeros(0, dtype=np.float32)
+        self.doc = doc[order].astype(np.int32)
+        self.weight = (tf * (K1 + 1) / (tf + norm[doc]) * idf[term])[order].astype(np.float32)
         self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
         self.unused = np.ones(len(slots), dtype=bool)
 
@@ -471,9 +488,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
         df = np.frombuffer(b"".join(sent.column("df").to_pylist()), dtype=np.int64)
         order = np.argsort(known)
         known, df = known[order], df[order]
-        ids, terms, lengths = [], [], []
+        terms, lengths = [], []
+        ids = [np.append(x, np.uint16(end_id)) for x in encoder.encode([t or "" for c in rows.column("text").chunks for t in c.to_pylist()])]
         for texts in batches(t for c in rows.column("text").chunks for t in text_bytes(c)):
-            ids += [np.append(x, np.uint16(end_id)) for x in encoder.encode([t.decode("utf-8") for t in texts])]
             for h in _hashes(texts):
                 at = np.searchsorted(known, h)
                 terms.append(at[known[np.minimum(at, len(known) - 1)] == h].astype(np.int32) if len(known) else np.zeros(0, np.int32))
