@@ -58,7 +58,7 @@ def _der(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     tag, length, at = data[at], data[at + 1], at + 2
     if length & 0x80:
         n = length & 0x7F
-        if not 1 <= n <= 4 or at + n > end or data[at] == 0:
+        if not 1 <= n <= 4 or at + n > min(end, len(data)) or data[at] == 0:
             return None
         length, at = int.from_bytes(data[at : at + n], "big"), at + n
         if length < 0x80:

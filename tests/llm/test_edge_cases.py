@@ -329,6 +329,14 @@ def test_long_runs_of_key_heads_take_linear_time():
         assert time.time() - started < 20
 
 
+def test_key_heads_that_end_inside_a_length(spark):
+    texts = ["card 3084 5678 9012 3481.", "MIQBAQEBAoI.", "id 3084567890123484"]
+    for text in texts:
+        assert secrets.confirmed_spans(text) == [] and secrets.redact(text) == text
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [r.n_key for r in secrets.scan(frame).collect()] == [0, 0, 0]
+
+
 def test_archives(spark):
     rows = [(1, "http://a.net/x y", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://b", None), (4, "", ""), (5, "u", "line\nline\r\n\r\nWARC/1.1\r\n"),
             (5, "u", "line\nline\r\n\r\nWARC/1.1\r\n"), (None, "n", "<p>é</p>"), (6, "long", "z" * 3_000_000)]
