@@ -1,6 +1,9 @@
 """Plans and helpers that must hold when the tables grow."""
 
+from pyspark.sql import functions as F
+
 from contestlake import session
+from contestlake.llm import bitmaps, jaccard
 from contestlake.operators import graphs, identity, marts, swaps
 from contestlake.plans import league
 
@@ -44,6 +47,32 @@ def test_turns_leave_no_growing_plan(spark, monkeypatch):
     assert len(sizes) > 2 and max(sizes) < 10 * 1024 * 1024
 
 
+def test_listed_pairs_are_summed_before_they_are_written(spark, monkeypatch):
+    """A pair of near copies shares many columns; what is kept of it is one row."""
+    written, cut = [], jaccard.cut_lineage
+
+    def seen(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "cut_lineage", seen)
+    rows = [(key << 6, 400, node) for key in range(1, 60) for node in range(1, 13)]
+    rows += [(key << 6, 400, 100 + key % 7 + side) for key in range(100, 150) for side in (0, 20 + key)]  # one common column
+    edges = jaccard.candidate_edges(spark.createDataFrame(rows, "key long, n int, node long"))
+    assert {(r.a, r.b) for r in edges.collect()} == {(a, b) for a in range(1, 13) for b in range(a + 1, 13)}
+    assert written == [66]
+
+
+def test_only_what_may_go_is_dealt(spark):
+    docs = spark.createDataFrame([(i % 1000 if i else None, f"text {i}", i) for i in range(1500)], "doc_id long, text string, word int")
+    later = spark.createDataFrame([(i,) for i in range(0, 1000, 50)], "later_id long")
+    surely, maybe = bitmaps.split_by_bitmap(docs, F.xxhash64("doc_id"), later, F.xxhash64("later_id"))
+    assert surely.columns == maybe.columns == docs.columns
+    assert surely.count() + maybe.count() == 1500 and 20 <= maybe.where("doc_id % 50 = 0").count() and maybe.count() < 60
+    assert surely.where("doc_id % 50 = 0").count() == 0
+
+
 def test_swap_work_is_spread(spark):
     rows = spark.range(1, numPartitions=1)
     parts = swaps.spread(rows, "id").rdd.getNumPartitions()
