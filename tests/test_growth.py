@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from contestlake import session
 from contestlake.llm import bitmaps, jaccard
 from contestlake.operators import graphs, identity, marts, swaps
-from contestlake.plans import league
+from contestlake.plans import league, scenarios
 
 
 def _plan(df):
@@ -88,6 +88,16 @@ def test_swap_work_is_spread(spark):
     assert got == [(t, a, b) for t in range(10, 40) for a in range(6) for b in range(a + 1, 6)]
 
 
+def test_scans_sum_the_facts_once(spark, sf, monkeypatch):
+    """Board and rosters of a scan are read from the same files."""
+    asked, lines = [], league.day_lines
+    monkeypatch.setattr(league, "day_lines", lambda *args: asked.append(1) or lines(*args))
+    for scan in (scenarios.two_for_one_scan,):
+        asked.clear()
+        scan(spark, sf)
+        assert asked == [1]
+
+
 def test_offers_are_not_broadcast(spark, folder):
     needs = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 3.0), ("b", "y", 1.0)], "entity string, metric string, weight double")
     pushy = spark.createDataFrame([("a", 2), ("b", 1)], "entity string, claims long")
