@@ -1,6 +1,9 @@
 """Plans and helpers that must hold when the tables grow."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from contestlake import session
 from contestlake.llm import bitmaps, jaccard
@@ -92,12 +95,38 @@ def test_scans_sum_the_facts_once(spark, sf, monkeypatch):
     """Board and rosters of a scan are read from the same files."""
     asked, lines = [], league.day_lines
     monkeypatch.setattr(league, "day_lines", lambda *args: asked.append(1) or lines(*args))
-    for scan in (scenarios.two_for_one_scan,):
+    for scan in (scenarios.scenario_swap_scan, scenarios.two_for_one_scan):
         asked.clear()
         scan(spark, sf)
         assert asked == [1]
 
 
+def test_hopeless_targets_meet_no_box():
+    """A target that nothing of ours can buy is bounded once, not once per box."""
+    asked = []
+
+    class Board:
+        names, place = ["qty"], {"them": 0}
+
+        def bounds(self, rival, low, high, receive):
+            asked.append(len(rival))
+            gain = receive[:, 0] - low[:, 0]
+            return gain, -gain, np.full(len(gain), 2.0)
+
+    class Targets:
+        schema = StructType.fromDDL("entity string, member long, quality double, qty double")
+
+        def mapInArrow(self, run, kinds):  # noqa: N802
+            return list(run([pa.record_batch([["them"] * 500, list(range(500)), [1.0] * 500, [9.0 if i < 3 else 0.0 for i in range(500)]], names=self.schema.names)]))
+
+    k = np.arange(64)
+    flows = np.stack([k / 64 + 1], axis=1)
+    boxes = swaps.Boxes(k, k, flows, flows + 0.01, np.full(64, 5.0), k)
+    out = swaps.bounded(Targets(), Board(), boxes, swaps.OneForOne())
+    assert sum(asked) == 500 + 3 * 64
+    assert sorted((m, x) for b in out for m, x in zip(b["member"].to_pylist(), b["box"].to_pylist())) == [(m, x) for m in range(3) for x in range(64)]
+
+
 def test_offers_are_not_broadcast(spark, folder):
     needs = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 3.0), ("b", "y", 1.0)], "entity string, metric string, weight double")
     pushy = spark.createDataFrame([("a", 2), ("b", 1)], "entity string, claims long")
